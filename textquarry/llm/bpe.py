@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 #: Distinct pre-tokens that a task remembers at most.
-CACHE_ROWS = 200_000
+CACHE_ROWS = 400_000
 
 
 def byte_alphabet() -> list[str]:
@@ -86,6 +86,13 @@ def _model(path: str):
     return processor, table, back
 
 
+def mapped(token: str, table: dict) -> str:
+    """The token's bytes in the byte alphabet."""
+    if token.isascii() and token.isprintable():
+        return token.replace(" ", table[0x20])
+    return token.encode().decode("latin-1").translate(table)
+
+
 def _encoder(path: str, pattern: str):
     def make():
         import regex
@@ -95,18 +102,13 @@ def _encoder(path: str, pattern: str):
         known: dict[str, list[int]] = {}
 
         def run(texts):
-            ids = []
-            for text in texts:
-                toks = cut(text)
-                fresh = list({*toks} - known.keys())
-                if fresh:
-                    if len(known) > CACHE_ROWS:
-                        known.clear()
-                        fresh = list({*toks})
-                    mapped = [t.encode().decode("latin-1").translate(table) for t in fresh]
-                    known.update(zip(fresh, processor.encode(mapped, num_threads=1), strict=True))
-                ids.append(list(chain.from_iterable(map(known.__getitem__, toks))))
-            return (ids,)
+            cut_texts = [cut(t) for t in texts]
+            fresh = [t for t in set(chain.from_iterable(cut_texts)) if t not in known]
+            if len(known) + len(fresh) > CACHE_ROWS:
+                known.clear()
+                fresh = list(set(chain.from_iterable(cut_texts)))
+            known.update(zip(fresh, processor.encode([mapped(t, table) for t in fresh], num_threads=1), strict=True))
+            return ([list(chain.from_iterable(map(known.__getitem__, toks))) for toks in cut_texts],)
 
         return run
 

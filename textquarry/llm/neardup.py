@@ -21,6 +21,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import map_rows, saved
 
@@ -59,16 +60,20 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def shingle_set(w: list[bytes], memory: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of ``w``; of all words when there are fewer."""
-    from xxhash import xxh64_intdigest
+class WordHashes(dict):
+    """64-bit hash of each word, computed when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxh64_intdigest(word)
+        return value
 
+
+def shingle_set(w: list[bytes], memory: WordHashes) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of ``w``; of all words when there are fewer."""
     if len(w) < SHINGLE:
         return np.array([xxh64_intdigest(b" ".join(w), seed=len(w))], dtype=np.uint64) if w else np.zeros(0, np.uint64)
     if len(memory) > 500_000:
         memory.clear()
-    for x in {*w} - memory.keys():
-        memory[x] = xxh64_intdigest(x)
     h = np.fromiter(map(memory.__getitem__, w), dtype=np.uint64, count=len(w))
     n = len(h) - SHINGLE + 1
     s = h[:n] * _WORD_MUL[0]
@@ -113,7 +118,7 @@ def most_differing(similarity: float) -> int:
 def _signer():
     from hashlib import blake2b
 
-    memory: dict = {}
+    memory = WordHashes()
 
     def run(texts):
         keys, sizes, band, sketch = [], [], [], []
@@ -131,7 +136,7 @@ def _signer():
 
 
 def _setter():
-    memory: dict = {}
+    memory = WordHashes()
     return lambda texts: ([shingle_set(words(t), memory).view(np.int64) for t in texts],)
 
 
