@@ -90,28 +90,27 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", id_col: str
     pieces = piece_table(docs, path, text_col)
     head = head_of(pieces, head_rows)
     text = F.coalesce(F.col(text_col), F.lit(""))
+    special = F.when(F.contains(text, F.lit("<|endoftext|>")), F.size(F.split(text, SPECIAL, -1)) - 1).otherwise(0).cast("long")
+    # What a row has of itself is carried by a leading entry that no pre-token can equal (digits
+    # never share one with a control character) and that differs from row to row.
+    own = F.coalesce(F.concat(F.lit("\0"), F.col(id_col).cast("string")), F.lit("\0"))
     rows = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.octet_length(text).cast("long").alias("n_bytes"),
-        F.when(F.contains(text, F.lit("<|endoftext|>")), F.size(F.split(text, SPECIAL, -1)) - 1).otherwise(0).cast("long").alias("n_special"),
-        pretokens(text).alias("toks"),
+        F.col(id_col).alias("id"), F.hash(text).alias("h"), special.alias("special"), F.octet_length(text).cast("long").alias("size"),
+        F.concat(F.array(own), pretokens(text)).alias("toks"),
     )
-    key = ["id", "h", "n_bytes"]
-    # One leading null pre-token a row carries what the row has of itself.
-    each = rows.select(*key, "n_special", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "toks")).alias("pos", "tok"))
+    each = rows.select("id", "h", "special", "size", F.posexplode("toks").alias("pos", "tok"))
     each = each.join(F.broadcast(head.select("tok", "pieces")), "tok", "left")
     first = F.col("pos") == 0
-    known = first | F.col("pieces").isNotNull()
+    # Head pre-tokens are summed into the row's own entry at once; the others keep their frequency.
     each = each.select(
-        *key,
-        F.when(known, F.lit(None).cast("string")).otherwise(F.col("tok")).alias("tok"),
-        F.when(first, F.col("n_special")).otherwise(F.coalesce("pieces", F.lit(0))).alias("pieces"),
-        F.when(first, 1).otherwise(0).cast("long").alias("row"),
-    )
-    freq = each.groupBy(*key, "tok").agg(F.sum("pieces").alias("n"), F.sum("row").alias("row"), F.count("*").alias("freq"))
-    freq = saved(freq, "frequencies")
-    rare = freq.where(F.col("tok").isNotNull()).join(pieces.select("tok", "pieces"), "tok")
-    rare = rare.select(*key, (F.col("freq") * F.col("pieces")).alias("n"), F.lit(0).cast("long").alias("row"))
-    total = freq.where(F.col("tok").isNull()).select(*key, "n", "row").unionByName(rare)
-    total = total.groupBy(*key).agg(F.sum("n").alias("n"), F.sum("row").alias("row"))
-    back = total.select("id", "n_bytes", (F.col("n") / F.col("row")).cast("long").alias("n_tokens"), F.explode(F.sequence(F.lit(1).cast("long"), "row")))
+        "id", "h",
+        F.when(first | F.col("pieces").isNotNull(), F.coalesce(F.concat(F.lit("\0"), F.col("id").cast("string")), F.lit("\0"))).otherwise(F.col("tok")).alias("tok"),
+        F.when(first, F.col("special")).otherwise(F.coalesce("pieces", F.lit(1))).alias("n"),
+        F.when(first, F.col("size")).otherwise(0).alias("size"), F.when(first, 1).otherwise(0).alias("row"),
+    )
+    freq = each.groupBy("id", "h", "tok").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.sum("row").alias("row"))
+    total = freq.join(pieces.select("tok", "pieces"), "tok", "left").groupBy("id", "h")
+    total = total.agg(F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n"), F.sum("size").alias("size"), F.sum("row").alias("row"))
+    per_row = lambda c: (F.col(c) / F.col("row")).cast("long")
+    back = total.select("id", per_row("size").alias("n_bytes"), per_row("n").alias("n_tokens"), F.explode(F.sequence(F.lit(1).cast("long"), "row")))
     return back.select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
