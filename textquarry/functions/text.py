@@ -172,7 +172,7 @@ def valid_volume_title(title: Column | str) -> Column:
 def sentence_array(text: Column | str, profile: Profile = LATIN) -> Column:
     """Sentences in order; newlines split, enders split and stay, blanks go."""
     marked = F.regexp_replace(blank(text), f"([{profile.enders}])", "$1\n")
-    return F.filter(F.transform(F.split(marked, "\n", -1), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\n", -1), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def sentences(docs: DataFrame, text: str = "text", profile: Profile = LATIN) -> DataFrame:
@@ -273,7 +273,7 @@ def score_to_weight(score: Column | str) -> Column:
 
 def interpret_rewrite(raw: Column | str, query: Column | str) -> Column:
     """struct(rewrite, expansion) of a two-line output; a rewrite of 3 to 80 characters, else the query."""
-    lines = F.filter(F.transform(F.split(blank(raw), "\n", -1), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(blank(raw), "\n", -1), lambda s: F.trim(s)), lambda x: x != "")
     one, two = F.coalesce(F.get(lines, F.lit(0)), F.lit("")), F.coalesce(F.get(lines, F.lit(1)), F.lit(""))
     ok = F.length(one).between(3, 80)
     return F.struct(F.when(ok, one).otherwise(blank(query)).alias("rewrite"), F.when(F.length(two).between(3, 80), two).otherwise("").alias("expansion"))
