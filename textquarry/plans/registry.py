@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("retrieval",)
+MODULES = ("retrieval", "textual")
 
 
 def _all() -> dict[str, tuple]:
