@@ -140,7 +140,7 @@ def contamination_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def remove_spans(text: str, hits: list[tuple[int, int]]) -> str:
-    """``text`` without the words of ``hits`` and what stands between them; one space is left in each place."""
+    """``text`` without the words of ``hits`` and what stands between them; one space is left in each place inside."""
     if not len(hits):
         return text
     raw = text.encode("utf-8", "surrogatepass")
@@ -152,9 +152,9 @@ def remove_spans(text: str, hits: list[tuple[int, int]]) -> str:
         at += len(w)
     out, last = [], 0
     for a, b in hits:
-        out.append(raw[last : ends[a][0]])
+        out.append(raw[last : ends[a][0]].rstrip(b" "))
         last = ends[b - 1][1]
-    return b" ".join([*out, raw[last:].lstrip(b" ")]).decode("utf-8", "surrogatepass") if last else text
+    return b" ".join(x for x in [*out, raw[last:].lstrip(b" ")] if x).decode("utf-8", "surrogatepass")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5, n: int = WINDOW) -> DataFrame:
