@@ -28,7 +28,7 @@ WS = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
 #: The tokenizer's one special string; inside texts it is one token and separates segments.
 SPECIAL = r"<\|endoftext\|>"
-HEAD_ROWS = 131_072
+HEAD_ROWS = 262_144
 HEAD_CHARS = 64
 
 
