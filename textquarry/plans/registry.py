@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("retrieval", "textual", "graphs", "records", "evidence")
+MODULES = ("retrieval", "textual", "graphs", "records", "evidence", "outlines")
 
 
 def _all() -> dict[str, tuple]:
