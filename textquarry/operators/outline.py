@@ -9,11 +9,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions import text as fx
 from ..functions.profiles import LATIN, Profile
 
-_IN_DOC = Window.partitionBy("doc_id").orderBy("line_no")
+
+def _in_doc() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("line_no")
 
 
 def numbered_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -26,9 +29,9 @@ def drop_inline_toc(headings: DataFrame, gap: int = 25, least: int = 5) -> DataF
 
     The block begins with the first such run and is as long as the longest one.
     """
-    rows = headings.withColumn("__i", F.row_number().over(_IN_DOC) - 1)
-    far = F.coalesce(F.col("line_no") - F.lag("line_no").over(_IN_DOC) > gap, F.lit(True))
-    rows = rows.withColumn("__run", F.sum(far.cast("int")).over(_IN_DOC))
+    rows = headings.withColumn("__i", F.row_number().over(_in_doc()) - 1)
+    far = F.coalesce(F.col("line_no") - F.lag("line_no").over(_in_doc()) > gap, F.lit(True))
+    rows = rows.withColumn("__run", F.sum(far.cast("int")).over(_in_doc()))
     runs = rows.groupBy("doc_id", "__run").agg(F.count("*").alias("n"), F.min("__i").alias("at"))
     block = runs.groupBy("doc_id").agg(F.sum("n").alias("__n"), F.min(F.when(F.col("n") >= least, F.col("at"))).alias("__at"), F.max("n").alias("__len"))
     block = block.where((F.col("__n") > 5) & F.col("__at").isNotNull() & ((F.col("__at") <= 5) | (F.col("__at") >= F.col("__n") - F.col("__len") - 3)))
@@ -47,8 +50,8 @@ def toc_region(lines: DataFrame, title: str = "(?i)^(contents|table of contents|
     rows = lines.join(first, "doc_id").where(F.col("line_no").between(F.col("__start") + 1, F.col("__start") + cap))
     t = F.trim("line")
     rows = rows.withColumn("__bad", ((t == "") | (F.length(t) > 60) | t.rlike("[.!?;。！？；]$")).cast("int"))
-    rows = rows.withColumn("__three", F.sum("__bad").over(_IN_DOC.rowsBetween(0, 2)))
-    rows = rows.withColumn("__over", F.max((F.col("__three") == 3).cast("int")).over(_IN_DOC))
+    rows = rows.withColumn("__three", F.sum("__bad").over(_in_doc().rowsBetween(0, 2)))
+    rows = rows.withColumn("__over", F.max((F.col("__three") == 3).cast("int")).over(_in_doc()))
     rows = rows.where("__over = 0 AND __bad = 0").where(~t.rlike("(?i)^(isbn|copyright|author|publisher|版权|作者|出版)"))
     indent = F.length("line") - F.length(F.ltrim("line"))
     level = F.when(indent >= 4, 2).when(indent >= 2, 1).otherwise(0)
@@ -59,7 +62,7 @@ def inline_headings(lines: DataFrame, profile: Profile = LATIN, most_lines: int
     """Heading lines; in documents without any and under ``most_lines`` lines, isolated lines of 3 to 20 characters at level 2."""
     t = F.trim("line")
     rows = lines.withColumn("__level", fx.heading_level("line", profile))
-    alone = (F.trim(F.coalesce(F.lag("line").over(_IN_DOC), F.lit(""))) == "") & (F.trim(F.coalesce(F.lead("line").over(_IN_DOC), F.lit(""))) == "")
+    alone = (F.trim(F.coalesce(F.lag("line").over(_in_doc()), F.lit(""))) == "") & (F.trim(F.coalesce(F.lead("line").over(_in_doc()), F.lit(""))) == "")
     per_doc = Window.partitionBy("doc_id")
     rows = rows.withColumn("__alone", alone & F.length(t).between(3, 20)).withColumn("__none", (F.count("__level").over(per_doc) == 0) & (F.count("*").over(per_doc) < most_lines))
     level = F.coalesce("__level", F.when(F.col("__none") & F.col("__alone"), 2))
@@ -92,7 +95,7 @@ def outline_clean(headings: DataFrame, body: str = r"(?i)\b(can|should|must|will
 
 def chapters_to_parts(headings: DataFrame) -> DataFrame:
     """(doc_id, part_line, part, line_no, title): headings below the latest level-0 title; empty parts and headings before any part go."""
-    w = _IN_DOC.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = _in_doc().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     part = F.last(F.when(F.col("level") == 0, F.struct("line_no", "title")), ignorenulls=True).over(w)
     rows = headings.withColumn("__part", part).where("level > 0 AND __part IS NOT NULL")
     return rows.select("doc_id", F.col("__part.line_no").alias("part_line"), F.col("__part.title").alias("part"), "line_no", "title")
@@ -104,7 +107,7 @@ def volumes(docs: DataFrame, headings: DataFrame, least: int = 5000) -> DataFram
     Chosen greedily from the start of each document; a document's level-0 headings are folded in
     order, without leaving the JVM.
     """
-    n = numbered_lines(docs).withColumn("__at", F.sum(F.length("line") + 1).over(_IN_DOC) - F.length("line") - 1)
+    n = numbered_lines(docs).withColumn("__at", F.sum(F.length("line") + 1).over(_in_doc()) - F.length("line") - 1)
     rows = headings.where((F.col("level") == 0) & fx.valid_volume_title("title")).join(n.select("doc_id", "line_no", "__at"), ["doc_id", "line_no"])
     items = F.array_sort(F.collect_list(F.struct(F.col("__at").cast("long").alias("at"), "line_no", "title")))
     none = F.filter("items", lambda x: F.lit(False))
@@ -122,8 +125,8 @@ def structure_graph(headings: DataFrame, max_nodes: int = 60, levels: int = 4) -
     """
     once = Window.partitionBy("doc_id", "title").orderBy("line_no")
     rows = headings.withColumn("__n", F.row_number().over(once)).where("__n = 1")
-    rows = rows.withColumn("__n", F.row_number().over(_IN_DOC)).where(F.col("__n") <= max_nodes)
-    before = _IN_DOC.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__n", F.row_number().over(_in_doc())).where(F.col("__n") <= max_nodes)
+    before = _in_doc().rowsBetween(Window.unboundedPreceding, -1)
     latest = [F.last(F.when(F.col("level") == i, F.struct("line_no", "title")), ignorenulls=True).over(before) for i in range(levels)]
     rows = rows.withColumns({f"__l{i}": c for i, c in enumerate(latest)})
     parent, same = F.lit(None).cast("struct<line_no:int,title:string>"), F.lit(None).cast("struct<line_no:int,title:string>")

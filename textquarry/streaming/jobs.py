@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,16 @@ def first_results(results: DataFrame, ttl: str = "600 seconds") -> DataFrame:
     return results.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["key"])
 
 
+def cached_results(results: DataFrame, seconds: dict[str, int]) -> DataFrame:
+    """The first result of each key, kept at least as many seconds of event time as its ``kind`` says.
+
+    Each kind is a branch with its own time to live, so a class's state leaves once the watermark of
+    the whole query has passed it; kinds that are not named go.
+    """
+    branches = [first_results(results.where(F.col("kind") == kind), f"{ttl} seconds") for kind, ttl in seconds.items()]
+    return reduce(DataFrame.unionByName, branches)
+
+
 def run_to_end(df: DataFrame, name: str, mode: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Drive a stream through all that is there and stop."""
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
