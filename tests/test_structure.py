@@ -178,3 +178,11 @@ def test_result_classes(spark, tmp_path):
     stream = spark.readStream.schema(r.schema).parquet(str(tmp_path / "in"))
     jobs.run_to_end(jobs.cached_results(stream, {"normal": 600, "task": 3600}), "classes", "append", str(tmp_path / "c"))
     assert sorted((x["key"], x["kind"]) for x in spark.table("classes").collect()) == [("k", "normal"), ("k", "task")]
+
+
+def test_gap_hints_and_stats_line(spark):
+    chains = spark.createDataFrame([("b", 0, "b"), ("b", 1, "c")], "start string, step int, id string")
+    edges = spark.createDataFrame([("a", "b", 0.5), ("z", "b", 0.9), ("c", "b", 1.0)], "src string, dst string, weight double")
+    assert rows(graph_edit.gap_hints(chains, edges), "side", "hint", "priority") == [("after", "(none)", "medium"), ("before", "z", "high")]
+    stats = spark.createDataFrame([(1, 1234, 5, 1, 0)], "doc_id long, n_chars long, n_words long, n_sentences long, n_paragraphs long")
+    assert stats.select(units.stats_text().alias("x")).first()["x"] == "Document 1: 1,234 characters, 5 words, 1 sentences, 0 paragraphs."

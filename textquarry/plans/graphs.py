@@ -16,10 +16,10 @@ chunks AS (SELECT doc_id, i AS chunk_index, substr(t, i * 1800 + 1, 2000) AS chu
 lab AS (SELECT doc_id, chunk_index, i - 1 AS pos, ls[i] AS label, lower(ls[i]) AS id FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (
     SELECT doc_id, chunk_index, regexp_extract_all(chunk, '[A-Z][a-z]{5,}') AS ls FROM chunks))),
 nodes AS (SELECT id, arg_min(label, (doc_id, chunk_index, pos)) AS label, count(DISTINCT (doc_id, chunk_index)) AS n_chunks FROM lab GROUP BY id HAVING n_chunks >= 2),
-wnodes AS (SELECT id, label, n_chunks, round(least(0.95, 0.55 + 0.1 * n_chunks), 3) AS weight FROM nodes),
+wnodes AS (SELECT id, label, n_chunks, round(least(0.95, 0.55 + 0.1 * n_chunks), 3)::DOUBLE AS weight FROM nodes),
 seq AS (SELECT id AS src, lead(id) OVER (PARTITION BY doc_id, chunk_index ORDER BY pos) AS dst FROM lab WHERE id IN (SELECT id FROM nodes)),
 en AS (SELECT src, dst, count(*) AS n FROM seq WHERE dst IS NOT NULL AND dst != src GROUP BY ALL),
-edges AS (SELECT src, dst, n, round(least(0.9, 0.6 + 0.08 * (n - 1)), 3) AS weight,
+edges AS (SELECT src, dst, n, round(least(0.9, 0.6 + 0.08 * (n - 1)), 3)::DOUBLE AS weight,
     CASE WHEN contains(src, dst) THEN 'contains' WHEN contains(dst, src) THEN 'belongs_to' ELSE 'related' END AS relation FROM en)"""
 _BOTH = _BASE + ", bw AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), top AS (SELECT * FROM wnodes ORDER BY weight DESC, n_chunks DESC, length(label) DESC, id LIMIT 60)"
 
@@ -118,7 +118,7 @@ QUERIES = {
         SELECT unnest(list_transform(string_split(regexp_replace(t, '([.!?;])', '\\1' || chr(10), 'g'), chr(10)), lambda v: trim(v, ' '))) AS sentence FROM x) WHERE length(sentence) BETWEEN 4 AND 200),
         i AS (SELECT row_number() OVER () AS r, ids FROM s WHERE len(ids) >= 2), e AS (SELECT r, unnest(ids) AS id FROM i),
         p AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM e a JOIN e b ON a.r = b.r AND a.id < b.id WHERE a.id IN (SELECT id FROM nodes) AND b.id IN (SELECT id FROM nodes) GROUP BY ALL)
-        SELECT a, b, n, round(least(0.95, 0.7 + 0.1 * (n - 1)), 3) AS weight FROM p"""),
+        SELECT a, b, n, round(least(0.95, 0.7 + 0.1 * (n - 1)), 3)::DOUBLE AS weight FROM p"""),
     "keep_edges": (keep_edges, f"WITH {_BOTH} SELECT src, dst, weight FROM edges WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top)"),
     "node_degree": (node_degree, f"WITH {_BOTH} SELECT id, count(src) AS degree FROM nodes LEFT JOIN bw ON id = src GROUP BY id"),
     "related_concepts": (related_concepts, f"WITH {_BOTH} SELECT src AS id, label AS related, row_number() OVER (PARTITION BY src ORDER BY label, dst) AS place FROM (SELECT DISTINCT * FROM bw) JOIN nodes ON dst = id"),
