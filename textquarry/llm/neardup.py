@@ -159,8 +159,8 @@ def could_be(na: str, nb: str, sa: str, sb: str) -> Column:
     return (100 * small >= PERCENT * large) & (differing_bits(sa, sb) <= most_differing(PERCENT / 100 - SLACK))
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
-    """(id, component): the smallest id reachable over ``edges`` (a, b), for every id of ``nodes`` that has edges.
+def components(edges: DataFrame, most: int = 60) -> DataFrame:
+    """(id, component): the smallest id reachable over ``edges`` (a, b), for every id that has edges.
 
     Each round takes the smallest label among neighbours, then the label of that label; labels
     halve their distance to the root a round, so the rounds are about the logarithm of the
@@ -213,7 +213,6 @@ def link_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     sets = saved(map_rows(texts, _setter, "shingles array<bigint>", ["text"], ["id"], rows=1000).dropDuplicates(["id"]), "sets")
 
     labels = ids.select("id", F.col("id").alias("component"))
-    edges = None
     for turn in range(PIVOT_ROUNDS + 1):
         placed = members.join(labels, "id")
         mixed = placed.groupBy("key").agg(
@@ -238,17 +237,28 @@ def link_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             on = on & could_be("na", "nb", "sketcha", "sketchb") & (first == F.col("key"))
             pairs = l.join(r, on).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
         found = saved(_confirmed(pairs, sets), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        joined = components(ids, edges)
-        labels = ids.join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-        if turn < PIVOT_ROUNDS:
-            labels = saved(labels, "placed")
+        labels = _merged(labels, found)
     out = signed.join(classes, "ck", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.coalesce("component", "rep"))
     out = out.select(F.col("id").alias(id_col), "n_shingles", component.cast(docs.schema[id_col].dataType).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (id, component) after ``links`` (a, b), which join whole components.
+
+    Only the links of this round are followed, between components instead of documents, so the
+    work of earlier rounds is not repeated.
+    """
+    if links.isEmpty():
+        return labels
+    ends = links.join(labels.withColumnsRenamed({"id": "a", "component": "ca"}), "a").join(labels.withColumnsRenamed({"id": "b", "component": "cb"}), "b")
+    found = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    found = found.select(F.col("id").alias("component"), F.col("component").alias("lower"))
+    found = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
+    return saved(labels.join(found, "component", "left").select("id", F.coalesce("lower", "component").alias("component")), "placed")
+
+
 def _with_sketches(pairs: DataFrame, known: DataFrame) -> DataFrame:
     a = known.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     b = known.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
