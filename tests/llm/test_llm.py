@@ -144,6 +144,25 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(v["kept"] == (k == v["component_id"]) for k, v in got.items())
 
 
+def test_near_duplicates_at_a_lower_threshold(spark):
+    use = {p: neardup.scheme(p) for p in (85, 80)}
+    assert (use[85].bands, use[85].rows, use[85].slack) == (40, 8, 0.085)
+    assert all((1 - (p / 100) ** u.rows) ** u.bands <= 3e-6 for p, u in use.items())
+    rows, close = [], 0
+    for g in range(40):
+        base = prose(700 + g, 400).split()
+        other = list(base)
+        for k in range(8):
+            other[20 + 45 * k] = f"edit{k}"
+        a, b = shingles(" ".join(base)), shingles(" ".join(other))
+        close += 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b)
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    assert close == 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in neardup.keep_one(df, percent=80).collect()} == set(range(0, 80, 2))
+    assert all(r["kept"] for r in neardup.link_documents(df).collect())
+
+
 def test_odd_sketch_estimates_similarity():
     r = np.random.default_rng(1)
     a = r.integers(0, 1 << 62, 1000, dtype=np.uint64)

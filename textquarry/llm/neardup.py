@@ -1,7 +1,7 @@
 """Near-duplicate documents by MinHash, odd sketches and exact confirmation.
 
 1. One pass over the texts gives each document the hash of its word sequence, the size of its
-   shingle set, BANDS band values of its MinHash samples and an odd sketch: a parity bitmap in
+   shingle set, band values of its MinHash samples (as many as ``Scheme`` derives) and an odd sketch: a parity bitmap in
    which every MinHash sample toggles one bit. The bits in which two sketches differ estimate how
    many samples differ, precisely so at high similarity.
 2. Documents with equal word sequences are one class, represented by the smallest id.
@@ -18,6 +18,9 @@ Nothing of the corpus reaches the driver but counts.
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,25 +29,51 @@ from xxhash import xxh64_intdigest
 from .common import map_rows, saved
 
 SHINGLE = 5
-#: Jaccard similarity in hundredths from which documents are linked.
+#: Jaccard similarity in hundredths from which documents are linked, where the caller names no other.
 PERCENT = 85
-BANDS, ROWS = 40, 8
+#: Largest share of links at the threshold that share no band.
+MISS = 3e-6
+MOST_SAMPLES = 400
 SKETCH_BITS = 4096
-#: Candidates whose estimated similarity is lower by more than this are not confirmed: 4 deviations of
-#: the estimate at the threshold (0.020 from the samples, 0.007 from the sketch).
-SLACK = 0.085
 PIVOT_ROUNDS = 3
 #: Ids of candidate documents up to which they are broadcast (8 bytes each).
 BROADCAST_IDS = 2_000_000
 
-_K = BANDS * ROWS
-_RNG = np.random.default_rng(20240229)
-_MUL = _RNG.integers(1, 1 << 32, _K, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_ADD = _RNG.integers(0, 1 << 32, _K, dtype=np.uint64).astype(np.uint32)
-_WORD_MUL = _RNG.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
-_BAND_MUL = _RNG.integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
-_BAND_ADD = _RNG.integers(0, 1 << 63, BANDS, dtype=np.uint64)
-_BIT_MUL = _RNG.integers(1, 1 << 63, _K, dtype=np.uint64) | np.uint64(1)
+
+class Scheme:
+    """Bands, samples and sketch slack for a threshold ``percent``, with their fixed multipliers.
+
+    A band has the most rows with which, in MOST_SAMPLES samples, enough bands fit that links at
+    the threshold are missed at most with probability MISS: 40 bands of 8 at 85, 55 of 7 at 80.
+    Candidates whose estimated similarity is lower by more than ``slack`` are not confirmed: 4
+    deviations of the estimate at the threshold (about 0.020 from the samples, 0.007 from the sketch).
+    """
+
+    def __init__(self, percent: int) -> None:
+        if not 50 <= percent <= 99:
+            raise ValueError("percent is a threshold from 50 to 99")
+        s = percent / 100
+        needed = {r: math.ceil(math.log(MISS) / math.log1p(-(s**r))) for r in range(1, 65)}
+        self.percent = percent
+        self.rows = max(r for r, n in needed.items() if r * n <= MOST_SAMPLES)
+        self.bands = needed[self.rows]
+        self.samples = k = self.bands * self.rows
+        self.slack = math.ceil(4000 * math.sqrt(s * (1 - s) / k + 0.007**2)) / 1000
+        rng = np.random.default_rng(20240229)
+        self.mul = rng.integers(1, 1 << 32, k, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+        self.add = rng.integers(0, 1 << 32, k, dtype=np.uint64).astype(np.uint32)
+        self.word_mul = rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
+        self.band_mul = rng.integers(1, 1 << 63, self.rows, dtype=np.uint64) | np.uint64(1)
+        self.band_add = rng.integers(0, 1 << 63, self.bands, dtype=np.uint64)
+        self.bit_mul = rng.integers(1, 1 << 63, k, dtype=np.uint64) | np.uint64(1)
+
+
+@lru_cache
+def scheme(percent: int = PERCENT) -> Scheme:
+    return Scheme(percent)
+
+
+_WORD_MUL = scheme().word_mul
 #: A-Z lower-cased, other bytes as they are.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -83,40 +112,43 @@ def shingle_set(w: list[bytes], memory: WordHashes) -> np.ndarray:
     return np.unique(_mix(s))
 
 
-def minhash(shingles: np.ndarray) -> np.ndarray:
-    """_K minima of the set under multiply-add permutations of 32-bit values."""
+def minhash(shingles: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Minima of the set under the scheme's multiply-add permutations of 32-bit values."""
+    use = scheme(percent)
     h = (shingles >> np.uint64(32)).astype(np.uint32)
-    best = np.full(_K, 0xFFFFFFFF, dtype=np.uint32)
+    best = np.full(use.samples, 0xFFFFFFFF, dtype=np.uint32)
     for i in range(0, len(h), 512):  # blocks bound the temporary
         part = h[i : i + 512]
-        np.minimum(best, (_MUL[:, None] * part[None, :] + _ADD[:, None]).min(axis=1), out=best)
+        np.minimum(best, (use.mul[:, None] * part[None, :] + use.add[:, None]).min(axis=1), out=best)
     return best
 
 
-def bands(signature: np.ndarray) -> np.ndarray:
-    parts = (signature.reshape(BANDS, ROWS).astype(np.uint64) * _BAND_MUL).sum(axis=1, dtype=np.uint64)
-    return _mix(parts + _BAND_ADD).view(np.int64)
+def bands(signature: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    use = scheme(percent)
+    parts = (signature.reshape(use.bands, use.rows).astype(np.uint64) * use.band_mul).sum(axis=1, dtype=np.uint64)
+    return _mix(parts + use.band_add).view(np.int64)
 
 
-def odd_sketch(signature: np.ndarray) -> np.ndarray:
+def odd_sketch(signature: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """SKETCH_BITS parities as 64-bit words: sample i with minimum v toggles the bit that (i, v) hashes to."""
-    bit = _mix(signature.astype(np.uint64) * _BIT_MUL + np.arange(_K, dtype=np.uint64)) % np.uint64(SKETCH_BITS)
+    use = scheme(percent)
+    bit = _mix(signature.astype(np.uint64) * use.bit_mul + np.arange(use.samples, dtype=np.uint64)) % np.uint64(SKETCH_BITS)
     odd = np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def estimated(differing, samples: int = _K, bits: int = SKETCH_BITS):
+def estimated(differing, samples: int = scheme().samples, bits: int = SKETCH_BITS):
     """Similarity that the number of differing bits stands for."""
     share = np.clip(1 - 2 * np.asarray(differing, dtype=float) / bits, 1e-9, 1)
     return 1 + bits / (4 * samples) * np.log(share)
 
 
-def most_differing(similarity: float) -> int:
+def most_differing(similarity: float, samples: int = scheme().samples) -> int:
     """Differing bits up to which the estimate is at least ``similarity``."""
-    return max(d for d in range(SKETCH_BITS // 2) if estimated(d) >= similarity)
+    return max(d for d in range(SKETCH_BITS // 2) if estimated(d, samples) >= similarity)
 
 
-def _signer():
+def _signer(percent: int = PERCENT):
     from hashlib import blake2b
 
     memory = WordHashes()
@@ -128,9 +160,9 @@ def _signer():
             s = shingle_set(w, memory)
             keys.append(blake2b(b" ".join(w), digest_size=16).digest())
             sizes.append(len(s))
-            signature = minhash(s) if len(s) else None
-            band.append(bands(signature) if len(s) else [])
-            sketch.append(odd_sketch(signature) if len(s) else [])
+            signature = minhash(s, percent) if len(s) else None
+            band.append(bands(signature, percent) if len(s) else [])
+            sketch.append(odd_sketch(signature, percent) if len(s) else [])
         return keys, sizes, band, sketch
 
     return run
@@ -149,14 +181,15 @@ def differing_bits(a: str, b: str) -> Column:
     return out
 
 
-def similar(inter: Column, a: Column, b: Column) -> Column:
-    return 100 * inter >= PERCENT * (a + b - inter)
+def similar(inter: Column, a: Column, b: Column, percent: int = PERCENT) -> Column:
+    return 100 * inter >= percent * (a + b - inter)
 
 
-def could_be(na: str, nb: str, sa: str, sb: str) -> Column:
+def could_be(na: str, nb: str, sa: str, sb: str, percent: int = PERCENT) -> Column:
     """Sizes and odd sketches leave a link possible."""
     small, large = F.least(na, nb), F.greatest(na, nb)
-    return (100 * small >= PERCENT * large) & (differing_bits(sa, sb) <= most_differing(PERCENT / 100 - SLACK))
+    use = scheme(percent)
+    return (100 * small >= percent * large) & (differing_bits(sa, sb) <= most_differing(percent / 100 - use.slack, use.samples))
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -180,16 +213,16 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full shingle sets are similar enough."""
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     two = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
-    return two.where(similar(inter, F.size("sa"), F.size("sb"))).select("a", "b")
+    return two.where(similar(inter, F.size("sa"), F.size("sb"), percent)).select("a", "b")
 
 
-def link_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, kept.
+def link_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id, kept; links are of similarity ``percent`` / 100 and more.
 
     Null texts and texts without words have no shingles and are linked with nothing. Ids should
     be unique; rows that repeat an id and text come back as often as they came, and rows without
@@ -197,7 +230,7 @@ def link_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     an empty table.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = saved(map_rows(rows, _signer, "ck binary, n_shingles long, bands array<bigint>, sketch array<bigint>", ["text"], ["id"], rows=1000), "signed")
+    signed = saved(map_rows(rows, lambda: _signer(percent), "ck binary, n_shingles long, bands array<bigint>, sketch array<bigint>", ["text"], ["id"], rows=1000), "signed")
     filled = signed.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     # Equal word sequences: one class each, under its smallest id.
     classes = saved(filled.groupBy("ck").agg(F.min("id").alias("rep")), "classes")
@@ -222,7 +255,7 @@ def link_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         if turn < PIVOT_ROUNDS:
             pairs = placed.join(mixed.select("key", F.col("pivot.id").alias("p"), F.col("pivot.component").alias("pc")), "key")
             pairs = pairs.where("component != pc").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"), "id").distinct()
-            pairs = _with_sketches(pairs, known).where(could_be("na", "nb", "sa", "sb"))
+            pairs = _with_sketches(pairs, known).where(could_be("na", "nb", "sa", "sb", percent))
             # The likeliest pivot of each member is enough to begin with; the last round tests the rest.
             best = pairs.groupBy("id").agg(F.min_by(F.struct("a", "b"), F.struct(differing_bits("sa", "sb"), "a", "b")).alias("pair"))
             pairs = best.select("pair.a", "pair.b").distinct()
@@ -234,9 +267,9 @@ def link_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
             # A pair comes out of the first bucket that its members share, and of no other.
             first = F.get(F.filter(F.arrays_zip("bandsa", "bandsb"), lambda x: x["bandsa"] == x["bandsb"]), F.lit(0))["bandsa"]
             on = (F.col("key") == F.col("keyb")) & (F.col("ida") < F.col("idb")) & (F.col("componenta") != F.col("componentb"))
-            on = on & could_be("na", "nb", "sketcha", "sketchb") & (first == F.col("key"))
+            on = on & could_be("na", "nb", "sketcha", "sketchb", percent) & (first == F.col("key"))
             pairs = l.join(r, on).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
-        found = saved(_confirmed(pairs, sets), "links")
+        found = saved(_confirmed(pairs, sets, percent), "links")
         labels = _merged(labels, found)
     out = signed.join(classes, "ck", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.coalesce("component", "rep"))
@@ -265,10 +298,10 @@ def _with_sketches(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b")
 
 
-def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """``docs`` without near-duplicates: of each component the document with the smallest id stays.
 
     Documents without words stay. Rows that repeat a kept id all stay.
     """
-    dropped = link_documents(docs, text_col, id_col).where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__gone")).distinct()
+    dropped = link_documents(docs, text_col, id_col, percent).where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(dropped, F.col(id_col) == F.col("__gone"), "left_anti")
