@@ -144,6 +144,14 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(v["kept"] == (k == v["component_id"]) for k, v in got.items())
 
 
+def test_components_of_long_paths(spark):
+    bits = sorted(range(4096), key=lambda x: int(f"{x:012b}"[::-1], 2))
+    for path in ([*range(2, 3001), 1], bits):
+        edges = spark.createDataFrame(list(zip(path, path[1:])), "a long, b long")
+        got = neardup.components(edges).collect()
+        assert len(got) == len(path) and {r["component"] for r in got} == {min(path)}
+
+
 def test_near_duplicates_at_a_lower_threshold(spark):
     use = {p: neardup.scheme(p) for p in (85, 80)}
     assert (use[85].bands, use[85].rows, use[85].slack) == (40, 8, 0.085)

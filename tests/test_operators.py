@@ -89,6 +89,14 @@ def test_components_and_chain(spark):
     assert {r["id"]: r["ring"] for r in graph.bfs_rings(nodes, edges, nodes.where("id = 'b'")).collect()}["a"] == 1
 
 
+def test_components_of_a_long_path(spark):
+    path = [f"n{i:04}" for i in [*range(2, 3001), 1]]
+    nodes = spark.createDataFrame([(i,) for i in [*path, "lonely"]], "id string")
+    edges = spark.createDataFrame(list(zip(path, path[1:])), "src string, dst string")
+    got = {r["id"]: r["component"] for r in graph.components(nodes, edges).collect()}
+    assert len(got) == 3001 and got.pop("lonely") == "lonely" and set(got.values()) == {"n0001"}
+
+
 def test_corpus_diff(spark):
     schema = "path string, size long, mtime double"
     disk = spark.createDataFrame([("a", 1, 10.0), ("b", 1, 10.0), ("c", 1, 10.0)], schema)

@@ -111,19 +111,25 @@ def entity_resolve(raw: DataFrame, n: int) -> DataFrame:
     return top.crossJoin(F.broadcast(best)).select("canon", "label", "category", "n", F.bround(F.col("raw") / F.col("best"), 3).alias("score"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
-    """(id, component): the smallest id reachable, by label spreading with pointer jumping."""
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id reachable, by label spreading with root hooking and pointer jumping.
+
+    A smaller label goes to a node and to that node's own label, so whole trees are hooked; rounds
+    are about logarithmic on chains too, and go on until no label changes.
+    """
     both = both_ways(edges).distinct()
     labels = _cut(nodes.select("id", F.col("id").alias("component")).distinct())
-    for _ in range(most):
+    while True:
         near = both.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("seen"))
         step = labels.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", "seen").alias("now"))
+        own = F.struct("id", F.col("was").alias("was"), "now")
+        root = F.struct(F.col("was").alias("id"), F.lit(None).cast(labels.schema["component"].dataType).alias("was"), F.col("now").alias("now"))
+        step = step.select(F.explode(F.array(own, root)).alias("m")).groupBy("m.id").agg(F.max("m.was").alias("was"), F.min("m.now").alias("now"))
         jump = labels.select(F.col("id").alias("now"), F.col("component").alias("jumped"))
         step = _cut(step.join(jump, "now", "left").select("id", "was", F.least("now", "jumped").alias("component")))
         labels = step.select("id", "component")
         if step.where("was != component").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def bfs_rings(nodes: DataFrame, edges: DataFrame, centre: DataFrame, far: int = 3) -> DataFrame:
