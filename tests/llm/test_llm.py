@@ -267,6 +267,18 @@ def test_rules_choose_certified_cutoffs(spark, docs, empty):
     assert quality_rules.apply_rules(docs, labels.limit(0)).count() == docs.count() and quality_rules.apply_rules(empty, labels).count() == 0
 
 
+def test_rules_of_small_strata_are_shared(spark):
+    n = quality_rules.MAX_STRATA
+    good = [(i, prose(i % 50, 70), f"big{i % n}") for i in range(40 * n)]
+    good += [(10_000 + i, prose(i % 50, 70), f"small{i % 40}") for i in range(1200)]
+    bad = [(20_000 + i, " ".join(w + "###" for w in prose(i, 70).split()), f"small{i % 40}") for i in range(80)]
+    df = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 20_000), 0) for i, _, _ in good + bad], "doc_id long, quality int, toxic int")
+    got = by_id(quality_rules.apply_rules(df, labels, alpha=0.2))
+    assert all(got[i]["kept"] for i, _, _ in good) and not any(got[i]["kept"] for i, _, _ in bad)
+    assert {r["lang"] for r in got.values()} == {x for _, _, x in good}
+
+
 def test_crf_chain_matches_enumeration():
     u, pair, sizes = np.array([0.5, -1.0, 2.0, 0.3]), np.array([[0.7, -0.2], [0.1, 0.4]]), np.array([3, 1])
     p, pairs = quality_crf.chain(u, sizes, pair)

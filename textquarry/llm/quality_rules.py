@@ -5,11 +5,12 @@ language) and rule, a grid of cutoffs is tested on the labelled holdout: a cutof
 the exact binomial (Clopper-Pearson) upper bound of its false-rejection rate, among documents
 labelled good, is at most ALPHA / number of rules. All cutoffs of all rules and strata are tested at once, so each
 test runs at level DELTA / number of tests (Bonferroni): with probability 1 - DELTA the chosen
-cutoffs together reject at most ALPHA of a stratum's good documents. Of the safe cutoffs of a rule the
+cutoffs together reject at most ALPHA of a stratum's good documents. The MAX_STRATA strata with most
+labelled documents stand alone; all others are one shared stratum (null) and certified as one. Of the safe cutoffs of a rule the
 one that rejects most documents is used; a rule with no safe cutoff is off.
 
-Only counts over the grid reach the driver: strata (MAX_STRATA at most, the rest share one) x
-rules x cutoffs.
+Only the names of those strata and counts over the grid reach the driver: strata (MAX_STRATA and the
+shared one at most) x rules x cutoffs.
 """
 
 from __future__ import annotations
@@ -107,10 +108,18 @@ def is_safe(k: int, n: int, level: float, alpha: float = ALPHA) -> bool:
     return n > 0 and k < alpha * n and binomial_cdf(k, n, alpha) <= level
 
 
+def shared_strata(rows: DataFrame, labelled: DataFrame, most: int) -> DataFrame:
+    """``rows`` with ``stratum`` null where it is none of the ``most`` largest strata of ``labelled``, if there are more."""
+    top = labelled.groupBy("stratum").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "stratum").limit(most + 1).collect()
+    if len(top) <= most:
+        return rows
+    return rows.withColumn("stratum", F.when(F.col("stratum").isin([r["stratum"] for r in top[:most]]), F.col("stratum")))
+
+
 def choose_cutoffs(labelled: DataFrame, stratum: str = "stratum", alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, int]]:
     """Certified cutoffs by stratum and rule, from statistics with ``stratum`` and ``quality`` (1: good).
 
-    One aggregation; its result has MAX_STRATA rows at most.
+    One aggregation; its result has a row for each stratum, which ``shared_strata`` bounds.
     """
     good = F.col("quality") == 1
     aggs = [F.count(F.when(good, 1)).alias("n")]
@@ -118,7 +127,7 @@ def choose_cutoffs(labelled: DataFrame, stratum: str = "stratum", alpha: float =
         for c, cutoff in enumerate(rule[3]):
             rejected = _rejects(rule, cutoff) & ~base_failed()
             aggs += [F.count(F.when(rejected & good, 1)).alias(f"g{r}_{c}"), F.count(F.when(rejected, 1)).alias(f"a{r}_{c}")]
-    counts = labelled.groupBy(stratum).agg(*aggs, F.count("*").alias("rows")).orderBy(F.desc("rows"), stratum).limit(MAX_STRATA).collect()
+    counts = labelled.groupBy(stratum).agg(*aggs, F.count("*").alias("rows")).orderBy(F.desc("rows"), stratum).collect()
     level = delta / max(1, len(counts) * sum(len(rule[3]) for rule in RULES))
     chosen: dict[str, dict[str, int]] = {}
     for row in counts:
@@ -133,7 +142,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     """``docs`` with the statistics, base_failed, ``failed_rules`` and kept.
 
     Labels are joined by ``id_col`` and only their counts are used; a document whose labels
-    disagree counts as bad. Null strata share the stratum "". Null texts have no words and fail
+    disagree counts as bad. Null strata share the stratum "". Strata beyond the MAX_STRATA largest share one. Null texts have no words and fail
     the base; repeated rows each count; an empty ``labels`` leaves every rule off.
     """
     carry = docs.columns if carry is None else carry
@@ -141,13 +150,14 @@ def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)), F.col(id_col).alias("__id"), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.col(text_col).alias("__text"))
     rows = saved(with_stats(rows, "__text", [*names, "__id", "stratum"]), "stats")
     truth = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").alias("quality"))
+    rows = shared_strata(rows, rows.select("__id", "stratum").join(truth, "__id"), MAX_STRATA)
     labelled = rows.join(truth, "__id")
     chosen = choose_cutoffs(labelled, alpha=alpha, delta=delta)
     failed = []
     for rule in RULES:
         cut = {s: c[rule[0]] for s, c in chosen.items() if rule[0] in c}
         for stratum, cutoff in cut.items():
-            failed.append(F.when((F.col("stratum") == stratum) & _rejects(rule, cutoff), F.lit(rule[0])))
+            failed.append(F.when(F.col("stratum").eqNullSafe(F.lit(stratum)) & _rejects(rule, cutoff), F.lit(rule[0])))
     out = rows.withColumn("base_failed", base_failed())
     out = out.withColumn("failed_rules", F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>"))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("stratum", "__id")
