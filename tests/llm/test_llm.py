@@ -244,6 +244,15 @@ def test_decontamination(spark, docs, empty):
     assert decontam.find_contamination(empty, bench).count() == 0 and decontam.find_contamination(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_decontamination_by_items_without_id(spark):
+    bench = spark.createDataFrame([(None, "x y"), (2, "x y"), (None, "lone pair")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "a x y b"), (2, "lone pair"), (3, "a lone b")], "doc_id long, text string")
+    for part in (1 << 20, 1):
+        got = by_id(decontam.contamination_digest(decontam.find_contamination(df, bench, part_bytes=part)))
+        assert {k: (v["n_hit"], v["n_items"], v["contaminated"]) for k, v in got.items()} == {1: (2, 1, True), 2: (2, 0, True), 3: (0, 0, False)}
+    assert {r["doc_id"]: r["text"] for r in decontam.decontaminate(df, bench, 0.9).collect()} == {1: "a b", 3: "a lone b"}
+
+
 def test_rule_statistics():
     text = "a b c x\na b c x\n\n # d* \u00e9\u00a0f"  # a no-break space does not separate words
     assert quality_rules.text_stats(text) == (11, 14, 2, 3, 1, 8, 0)

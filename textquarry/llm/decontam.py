@@ -72,7 +72,7 @@ def _scanner(sent):
                 ids = set(item_ids[k]) if hits else set()
                 n_words.append(len(w))
                 spans.append([list(x) for x in union(before + [(a, b) for a, b, _ in found])])
-                items.append(sorted(ids.union(*(x for _, _, x in found))))
+                items.append(sorted(ids.union(*(x for _, _, x in found)) - {None}))
             return n_words, spans, items
 
         return run
@@ -94,16 +94,16 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def benchmark_parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> list[list[tuple]]:
     """The benchmark's (item_id, text) in lists of at most ``part_bytes`` bytes of text, or one item.
 
-    Items without an id or words cannot be reported and are left out.
+    Items without an id hit words but are not reported; null texts are left out.
     """
-    rows = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
+    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).distinct()
     parts: list[list[tuple]] = [[]]
     size = 0
     for r in rows.toLocalIterator():
         if parts[-1] and size + len(r["text"]) * 4 > part_bytes:
             parts.append([])
             size = 0
-        parts[-1].append((str(r["item_id"]), r["text"]))
+        parts[-1].append((None if r["item_id"] is None else str(r["item_id"]), r["text"]))
         size += len(r["text"]) * 4
     return parts
 
@@ -112,7 +112,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, p
     """``docs`` (its ``carry`` columns) with n_words, ``hits`` (word ranges inside windows) and ``item_ids`` (as strings).
 
     Null texts and texts without words have no windows; an empty benchmark hits nothing;
-    repeated rows and null ids pass through; an item that repeats counts once.
+    repeated rows and null ids pass through; an item that repeats counts once;
+    items with a null id add to ``hits`` only.
     """
     carry = docs.columns if carry is None else carry
     schema = "n_words long, hits array<array<int>>, item_ids array<string>"
