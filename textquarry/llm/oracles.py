@@ -16,7 +16,7 @@ def _spans(kinds: dict[str, str]) -> str:
         for k, (kind, p) in enumerate(kinds.items())
     )
     return f"""f AS ({parts}), g AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM f),
-    h AS (SELECT r, t, kind, k, i, ms[i] AS m, list_sum(list_transform(ps[1:i], lambda x: length(x)))
+    h AS (SELECT r, t, kind, k, i, ps, ms[i] AS m, list_sum(list_transform(ps[1:i], lambda x: length(x)))
         + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS st FROM g),
     s AS (SELECT *, st + length(m) AS en FROM h)"""
 
@@ -40,9 +40,9 @@ def _pii() -> str:
     turned = "(substr(m, 5) || substr(m, 1, 4))"
     code = "CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END"
     mod97 = f"list_reduce(list_prepend(0, list_transform(string_split({turned}, ''), lambda c: {code})), lambda a, x: (a * (CASE WHEN x > 9 THEN 100 ELSE 10 END) + x) % 97) = 1"
-    context = " ".join(f"WHEN kind = '{k}' THEN regexp_matches(before, $p${p}$p$)" for k, p in pii.CONTEXT.items())
+    context = " ".join(f"WHEN kind = '{k}' THEN regexp_matches(before, $p${p}$p$) OR regexp_matches(behind, $p${p}$p$)" for k, p in pii.CONTEXT.items())
     return f"""WITH {_DOCS}, {_spans(kinds)},
-    ok AS (SELECT *, substr(t, (greatest(st - {pii.CONTEXT_CHARS}, 0) + 1)::BIGINT, (st - greatest(st - {pii.CONTEXT_CHARS}, 0))::BIGINT) AS before FROM s WHERE CASE kind
+    ok AS (SELECT *, substr(t, (greatest(st - {pii.CONTEXT_CHARS}, 0) + 1)::BIGINT, (st - greatest(st - {pii.CONTEXT_CHARS}, 0))::BIGINT) AS before, substr(ps[i + 1], 1, {pii.CONTEXT_CHARS}) AS behind FROM s WHERE CASE kind
         WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') > '255'))) = 0
         WHEN 'card' THEN length({digits}) BETWEEN 16 AND 19 AND {luhn}
         WHEN 'phone' THEN length({digits}) BETWEEN 8 AND 15
@@ -61,7 +61,7 @@ def _secrets() -> str:
     assign = rf"""(?:{either})["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
     kinds = {"assign": assign, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]{24,}", "entropy": secrets.CANDIDATE}
     group = rf"""regexp_extract(m, $p$^(?:{either})["']?\x20*[:=]\x20*["']?(.*)$p$, 1)"""
-    allow = " OR ".join(f"regexp_matches(m, $p${p}$p$)" for p in secrets.ALLOW)
+    allow = " OR ".join(f"regexp_matches(m, $p${p}$p$)" for p in (rule.replace("++", "+") for rule in secrets.ALLOW))  # RE2 has no possessive forms
     table = "[" + ", ".join(map(str, secrets.CLOGC)) + "]"
     w = secrets.WINDOW
     least = f"""(SELECT r, st, min(total) AS best FROM (

@@ -1,11 +1,11 @@
 """Personal data in documents, by DataFrame functions alone.
 
 Regular expressions propose spans, checksums confirm them (Luhn for cards, mod-97 for IBANs),
-and words just before a span adjust its score. Everything is a projection of the row: no
+and words shortly before a span, or after it up to the next span of its kind, adjust its score. Everything is a projection of the row: no
 shuffle, no Python on the executors, and a row's work does not depend on other rows.
 
-Null texts count as empty; empty texts give zero counts and empty strings; repeated rows,
-null ids and extra columns pass through; an empty table gives an empty table.
+Null texts count as empty; empty texts give zero counts and empty strings; repeated rows and
+null ids pass through, extra columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 IBAN = r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 
-#: Words that make a kind likelier when they stand shortly before a span.
+#: Words that make a kind likelier when they stand shortly before or after a span.
 CONTEXT = {
     "email": "(?i)mail|contact|write",
     "ip": "(?i)address|host|server|(?:^|[^a-z0-9])ip(?:[^a-z0-9]|$)",
@@ -86,10 +86,9 @@ def _confirmed(kind: str, spans: Column) -> Column:
     return spans
 
 
-def _score(kind: str, text: Column, span: Column) -> Column:
-    start = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
-    before = F.substring(text, (start + 1).cast("int"), (span["start"] - start).cast("int"))
-    return F.lit(BASE_SCORE[kind]) + F.when(before.rlike(CONTEXT[kind]), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))
+def _score(kind: str, span: Column) -> Column:
+    near = span["before"].rlike(CONTEXT[kind]) | span["after"].rlike(CONTEXT[kind])
+    return F.lit(BASE_SCORE[kind]) + F.when(near, F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -110,10 +109,10 @@ def find_pii(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
         id_col, "text",
         *((F.when(wanted[k], F.col(f"m_{k}")).otherwise(empty) if k in wanted else F.col(f"m_{k}")).alias(f"m_{k}") for k in patterns),
     )
-    out = out.select(id_col, "text", *(_confirmed(k, located(text, F.col(f"m_{k}"), p)).alias(k) for k, p in patterns.items()))
+    out = out.select(id_col, "text", *(_confirmed(k, located(text, F.col(f"m_{k}"), p, CONTEXT_CHARS)).alias(k) for k, p in patterns.items()))
 
     def scored(kind):
-        spans = F.transform(kind, lambda s: F.struct(s["start"], s["end"], s["text"], _score(kind, F.col("text"), s).alias("score")))
+        spans = F.transform(kind, lambda s: F.struct(s["start"], s["end"], s["text"], _score(kind, s).alias("score")))
         return spans if kind in BASE_KINDS else F.filter(spans, lambda s: s["score"] >= MIN_SCORE)
 
     return out.select(id_col, "text", *(scored(k).alias(k) for k in patterns))

@@ -9,8 +9,9 @@ bound and no allow-list rule suppresses it.
 Entropies are whole numbers: with c log2 c rounded to millionths in a table, adding and
 removing characters is exact and every engine gets the same sums.
 
-Null texts count as empty; empty texts give zero counts and empty strings; repeated rows, null
-ids and extra columns pass through; an empty table gives an empty table.
+Null texts count as empty; empty texts give zero counts and empty strings; repeated rows and null
+ids pass through, extra columns are not read; an empty table gives an empty table. Spans of one kind
+cannot tie, as they do not overlap; of several kinds that start together the first listed comes first.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import SPAN, digest, located, matches, tagged
+from .spans import SPAN, digest, let, located, matches
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)"""
 # {16,} and {24,} match just the runs that pass the length checks: a pattern's first start in a
@@ -43,44 +44,36 @@ ALLOW = (
     r"^[0-9]+$",  # a number
     r"(?i)example|sample|placeholder|changeme",
     r"^[=_/+-]+$",  # a ruler
-    r"^(?:[a-z]+[-_/])+[a-z]+$",  # slugs and paths
+    r"^(?:[a-z]++[-_/])++[a-z]++$",  # slugs and paths
 )
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "entropy")
 
 
 def least_sum(candidate: Column) -> Column:
-    """Least sum of c log2 c (millionths) over the windows of ``candidate``; the table's end if shorter."""
-    table = F.array(*(F.lit(v).cast("int") for v in CLOGC))
-    zero = F.array_repeat(F.lit(0), len(ALPHABET))
-
-    def bumped(counts, at, by):
-        return F.transform(counts, lambda c, i: F.when(i == at, c + by).otherwise(c).cast("int"))
-
-    def step(acc, i):
-        enters = (F.instr(F.lit(ALPHABET), F.substring(candidate, i, F.lit(1))) - 1).cast("int")
-        leaves = (F.instr(F.lit(ALPHABET), F.substring(candidate, (i - WINDOW).cast("int"), F.lit(1))) - 1).cast("int")
-        full = i > WINDOW
-        # one character leaves ...
-        before = F.get(acc["counts"], leaves)
-        counts = F.when(full, bumped(acc["counts"], leaves, F.lit(-1))).otherwise(acc["counts"])
-        s = F.when(full, acc["s"] - F.get(table, before) + F.get(table, before - 1)).otherwise(acc["s"])
-        return F.struct(counts.alias("counts"), s.cast("int").alias("s"), acc["best"].alias("best"), enters.alias("enters"))
-
-    def entered(acc):
-        # ... and one enters
-        now = F.get(acc["counts"], acc["enters"])
-        s = (acc["s"] - F.get(table, now) + F.get(table, now + 1)).cast("int")
-        return bumped(acc["counts"], acc["enters"], F.lit(1)), s
-
-    def both(acc, i):
-        left = step(acc, i)
-        counts, s = entered(left)
-        best = F.when(i >= WINDOW, F.least(acc["best"], s)).otherwise(acc["best"])
-        return F.struct(counts.alias("counts"), s.alias("s"), best.cast("int").alias("best"))
-
-    start = F.struct(zero.cast("array<int>").alias("counts"), F.lit(0).alias("s"), F.lit(CLOGC[-1]).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), start, both, lambda acc: acc["best"])
+    """Least sum of c log2 c (millionths) over the windows of ``candidate``; the table's end if shorter.
+
+    The candidate is cut into character codes once; each step changes the two counts of the
+    characters that enter and leave, so the work is in proportion to its length.
+    """
+    first, last = ord(min(ALPHABET)), ord(max(ALPHABET))
+    table = F.lit(CLOGC)
+    zero = F.array_repeat(F.lit(0), last - first + 1)
+    codes = F.transform(F.split(candidate, ""), lambda c: F.ascii(c) - first)
+
+    def step(code, acc, i):
+        enters, leaves = F.get(code, i), F.get(code, i - WINDOW)  # none leaves before the window is full
+        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == enters, 1).otherwise(0) - F.when(k == leaves, 1).otherwise(0))
+        n, m = F.get(acc["counts"], enters), F.get(acc["counts"], leaves)
+        grown = F.get(table, n + 1) - F.get(table, n)
+        shrunk = F.coalesce(F.get(table, m - 1) - F.get(table, m), F.lit(0))
+        s = F.when(enters.eqNullSafe(leaves), acc["s"]).otherwise(acc["s"] + grown + shrunk)
+        best = F.when(i >= WINDOW, F.least(acc["best"], acc["s"])).otherwise(acc["best"])
+        return F.struct(counts.alias("counts"), s.cast("int").alias("s"), best.cast("int").alias("best"))
+
+    start = F.struct(zero.alias("counts"), F.lit(0).alias("s"), F.lit(CLOGC[-1]).alias("best"))
+    end = lambda n: lambda acc: F.when(n >= WINDOW, F.least(acc["best"], acc["s"])).otherwise(acc["best"])
+    return let(codes, lambda code: F.aggregate(F.sequence(F.lit(0), F.size(code) - 1), start, lambda acc, i: step(code, acc, i), end(F.size(code))))
 
 
 def suppressed(candidate: Column) -> Column:
