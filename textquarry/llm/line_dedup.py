@@ -6,7 +6,10 @@ once per task. Sketches decide all lines but those near the threshold, whose dis
 counted exactly. A boilerplate line stays in one document, the one with the smallest id (so
 that whole-document copies do not all lose their text), and goes everywhere else.
 
-Only hashes are shuffled; texts move once, in the final join by document id.
+The lines found, and before them those near the threshold, are saved and counted. Up to
+BROADCAST_KEYS of them are broadcast, so that no line row is shuffled for them; more are joined by
+a shuffle in which every key is dealt over SALTS tasks, whatever its frequency. Only hashes are
+shuffled; texts move once, in the final join by document id.
 """
 
 from __future__ import annotations
@@ -14,8 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 MIN_SITES = 10
 LG_K = 12
+#: Line keys (16 bytes each, and an id) up to which they are broadcast.
+BROADCAST_KEYS = 500_000
+#: Parts of a key's rows in a join by shuffle.
+SALTS = 16
 
 
 def _lines(text: Column) -> Column:
@@ -34,31 +43,43 @@ def line_rows(docs: DataFrame, site_col: str = "source", text_col: str = "text",
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(site_col), F.lit("")).alias("site"), F.explode(keys).alias("key"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(key, first_id, sites): lines on at least ``min_sites`` distinct sites."""
+def with_keys(rows: DataFrame, keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """``rows`` joined by ``key`` to the saved table ``keys``, which has each key once."""
+    if keys.count() <= most:
+        return rows.join(F.broadcast(keys), "key")
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    copies = keys.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, ["key", "__salt"]).drop("__salt")
+
+
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "source", text_col: str = "text", id_col: str = "doc_id", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """(key, first_id, sites): lines on at least ``min_sites`` distinct sites; saved."""
     rows = line_rows(docs, site_col, text_col, id_col)
     spread = rows.groupBy("key").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min("id").alias("first_id"), F.count("*").alias("n"))
+    margin = 1 + int(3 * 1.04 / (1 << LG_K) ** 0.5 * min_sites)
     # A line in fewer documents than min_sites cannot be on so many sites.
     spread = spread.where(F.col("n") >= min_sites).select("key", "first_id", F.hll_sketch_estimate("sketch").alias("sites"))
-    margin = 1 + int(3 * 1.04 / (1 << LG_K) ** 0.5 * min_sites)
-    # AQE reuses the exchange of the two branches below.
+    spread = saved(spread.where(F.col("sites") >= min_sites - margin), "spread")
     sure = spread.where(F.col("sites") > min_sites + margin)
-    near = spread.where(F.col("sites").between(min_sites - margin, min_sites + margin))
-    exact = rows.join(near.select("key"), "key", "left_semi").groupBy("key").agg(F.count_distinct("site").alias("exact"))
-    near = near.join(exact.where(F.col("exact") >= min_sites), "key").select("key", "first_id", F.col("exact").alias("sites"))
-    return sure.unionByName(near)
+    near = spread.where(F.col("sites") <= min_sites + margin).select("key", "first_id")
+    if near.isEmpty():
+        return sure
+    exact = with_keys(rows, near, broadcast_keys).groupBy("key").agg(F.min("first_id").alias("first_id"), F.count_distinct("site").alias("sites"))
+    return saved(sure.unionByName(exact.where(F.col("sites") >= min_sites)), "boilerplate")
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "source", text_col: str = "text", id_col: str = "doc_id", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_lines`` (lines with something in them) and ``n_removed``.
 
     Null texts count as empty and keep an empty text; blank lines are never removed or counted;
     null sites are one site; documents without an id count as one document. Rows that repeat an
-    id all keep a line whose first document they are. Extra columns pass through.
+    id all keep a line whose first document they are. Extra columns pass through, but for those
+    named like a new one, which gives way.
     """
-    bad = boilerplate(docs, min_sites, site_col, text_col, id_col)
+    docs = docs.drop("kept_text", "n_lines", "n_removed")
+    bad = boilerplate(docs, min_sites, site_col, text_col, id_col, broadcast_keys)
     rows = line_rows(docs, site_col, text_col, id_col).select("id", "key")
-    hits = rows.join(bad.select("key", "first_id"), "key").where(~F.col("id").eqNullSafe(F.col("first_id")))
+    hits = with_keys(rows, bad.select("key", "first_id"), broadcast_keys).where(~F.col("id").eqNullSafe(F.col("first_id")))
     hits = hits.groupBy("id").agg(F.collect_set("key").alias("__bad")).withColumnRenamed("id", "__hit_id")
     out = docs.join(hits, F.col(id_col).eqNullSafe(F.col("__hit_id")), "left")
     lines = _lines(F.col(text_col))
