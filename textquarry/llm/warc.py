@@ -32,6 +32,10 @@ from .common import map_rows, new_path, saved
 BLOCK_LINES = 512
 #: Payloads of at least so many bytes are stored once.
 MIN_REVISIT_BYTES = 0
+#: Repeated payloads (a digest, an id and a URL of 100 bytes on average) up to which they are broadcast.
+BROADCAST_ROWS = 200_000
+#: Parts of a digest's pages in a join by shuffle.
+SALTS = 16
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -54,40 +58,62 @@ def reversed_host_key(url: str, page_id) -> str:
 
 
 def _pad(page_id) -> str:
-    return "" if page_id is None else f"{page_id + (1 << 63):020d}"
+    """Whole numbers in their order, as 20 digits; other ids as text."""
+    if isinstance(page_id, int):
+        return f"{page_id + (1 << 63):020d}"
+    return "" if page_id is None else str(page_id).replace("\t", "%09").replace("\n", "%0A")
 
 
-def classify(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """``pages`` with payload_bytes, payload_digest and refers_to (null: a response).
+def classify(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``pages`` with payload_bytes, payload_digest, and refers_to and refers_url of the response (null: a response).
 
-    Only digests are grouped: a payload's largest id, combined before the shuffle; digests that
-    occur once are not joined.
+    Only digests are grouped: a payload's largest id (and the largest URL with it), combined before
+    the shuffle; digests that occur once are not kept. Up to ``broadcast_rows`` repeated payloads are
+    broadcast, so payloads stay where they are; with more, pages are joined by a shuffle in which each
+    digest is dealt over SALTS tasks.
     """
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.withColumn("payload_bytes", F.octet_length(payload).cast("long")).withColumn("payload_digest", base32_sha1(payload))
     firsts = rows.where(F.col("payload_bytes") >= min_bytes).groupBy(F.col("payload_digest").alias("__d"), F.col("payload_bytes").alias("__b"))
-    firsts = firsts.agg(F.max(id_col).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    rows = rows.join(firsts, (F.col("payload_digest") == F.col("__d")) & (F.col("payload_bytes") == F.col("__b")), "left")
-    refers = F.when(~F.col(id_col).eqNullSafe(F.col("__first")), F.col("__first"))
-    return rows.withColumn("refers_to", refers).drop("__d", "__b", "__first")
-
-
-def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
-    """One WARC record, uncompressed."""
+    firsts = firsts.agg(F.max(F.struct(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"))).alias("__first"), F.count("*").alias("__n"))
+    firsts = saved(firsts.where("__n > 1").select("__d", "__b", "__first"), "firsts")
+    size = firsts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("__first.url")), F.lit(0)).alias("bytes")).first()
+    on = (F.col("payload_digest") == F.col("__d")) & (F.col("payload_bytes") == F.col("__b"))
+    if size["n"] <= broadcast_rows and size["bytes"] <= 100 * broadcast_rows:
+        firsts = F.broadcast(firsts)
+    else:
+        rows = rows.withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+        firsts = firsts.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        on = on & (F.col("__salt") == F.col("__s"))
+    rows = rows.join(firsts, on, "left")
+    other = ~F.col(id_col).eqNullSafe(F.col("__first.id"))
+    rows = rows.withColumn("refers_to", F.when(other, F.col("__first.id"))).withColumn("refers_url", F.when(other, F.col("__first.url")))
+    return rows.drop("__d", "__b", "__first", "__salt", "__s")
+
+
+def record_id(page_id, url) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url or ""}')}>"
+
+
+def record(page_id, url, payload: bytes, digest: str, refers_to, refers_url=None) -> bytes:
+    """One WARC record, uncompressed; a revisit names its response by that record's id and URL."""
     kind = "response" if refers_to is None else "revisit"
     body = payload if refers_to is None else b""
+    clean = lambda u: (u or "").replace("\r", "%0D").replace("\n", "%0A")
     head = {
         "WARC-Type": kind,
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>",
-        "WARC-Target-URI": (url or "").replace("\r", "%0D").replace("\n", "%0A"),
+        "WARC-Record-ID": record_id(page_id, url),
+        "WARC-Target-URI": clean(url),
         "WARC-Date": "1970-01-01T00:00:00Z",
         "WARC-Payload-Digest": f"sha1:{digest}",
         "X-Page-Id": "" if page_id is None else str(page_id),
         "X-Payload-Length": str(len(payload)),
     }
     if refers_to is not None:
-        head["WARC-Refers-To"] = f"<urn:page:{refers_to}>"
+        head["WARC-Refers-To"] = record_id(refers_to, refers_url)
+        head["WARC-Refers-To-Target-URI"] = clean(refers_url)
         head["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+        head["X-Refers-To-Page-Id"] = str(refers_to)
     head["Content-Type"] = "text/html; charset=utf-8"
     head["Content-Length"] = str(len(body))
     lines = "".join(f"{k}: {v}\r\n" for k, v in head.items())
@@ -144,11 +170,11 @@ def write_archives(classified: DataFrame, path: str, id_col: str = "page_id", ur
         stream, finish = store.write(name)
         at = 0
 
-        def run(texts, ids, urls, digests, refers):
+        def run(texts, ids, urls, digests, refers, refer_urls):
             nonlocal at
             keys, offsets, lengths = [], [], []
-            for text, page, url, digest, refer in zip(texts, ids, urls, digests, refers, strict=True):
-                raw = gzip.compress(record(page, url, text.encode("utf-8", "surrogatepass"), digest, refer), 4, mtime=0)
+            for text, page, url, digest, refer, refer_url in zip(texts, ids, urls, digests, refers, refer_urls, strict=True):
+                raw = gzip.compress(record(page, url, text.encode("utf-8", "surrogatepass"), digest, refer, refer_url), 4, mtime=0)
                 stream.write(raw)
                 keys.append(reversed_host_key(url, page))
                 offsets.append(at)
@@ -163,7 +189,7 @@ def write_archives(classified: DataFrame, path: str, id_col: str = "page_id", ur
         run.done = done
         return run
 
-    captures = map_rows(classified, make, "key string, file string, offset long, length long", [payload_col, id_col, url_col, "payload_digest", "refers_to"], [])
+    captures = map_rows(classified, make, "key string, file string, offset long, length long", [payload_col, id_col, url_col, "payload_digest", "refers_to", "refers_url"], [])
     return saved(captures, "captures")
 
 
@@ -257,7 +283,7 @@ def _search(path: str, top: list[tuple]):
                 pages.append([h["X-Page-Id"] for h, _ in found])
                 sizes.append([int(h["X-Payload-Length"]) for h, _ in found])
                 digests.append([h["WARC-Payload-Digest"].removeprefix("sha1:") for h, _ in found])
-                refers.append([h.get("WARC-Refers-To", "<urn:page:>")[10:-1] for h, _ in found])
+                refers.append([h.get("X-Refers-To-Page-Id", "") for h, _ in found])
                 bodies.append([b for _, b in found])
             return types, pages, sizes, digests, refers, bodies
 
@@ -274,7 +300,9 @@ def lookup(queries: DataFrame, directory: DataFrame, path: str, key_col: str = "
     """
     top = [tuple(r) for r in directory.orderBy("first_key", "file").collect()]
     ddl = "t array<string>, p array<string>, s array<long>, d array<string>, r array<string>, b array<binary>"
-    ordered = queries.repartitionByRange(key_col).sortWithinPartitions(key_col)
+    # Keys are small but the records behind them are not: a number keeps AQE from joining the parts.
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = queries.repartitionByRange(parts, key_col).sortWithinPartitions(key_col)
     found = map_rows(ordered, _search(path, top), ddl, [key_col], rows=500)
     each = F.explode(F.arrays_zip("t", "p", "s", "d", "r", "b")).alias("x")
     return found.select(*(f"`{c}`" for c in queries.columns), each).select(
@@ -293,8 +321,9 @@ def archive(pages: DataFrame, spark: SparkSession, min_bytes: int = MIN_REVISIT_
     """Write archives and index of ``pages`` (page_id, url, html) to a new folder; it and the top directory.
 
     Null payloads are empty, null URLs are empty, rows that repeat an id and payload each get a
-    record (those of the largest id are all responses), extra columns are not read; an empty
-    table gives an empty archive.
+    record (those of the largest id are all responses; the same id and URL give the same record id),
+    ids may be of any type that orders, extra columns are not read; an empty table gives an empty
+    archive. The folder is the result; it stays until the caller deletes it.
     """
     path = new_path(spark, "warc")
     _make_folder(spark, path)
