@@ -95,7 +95,7 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", id_col: str
     # never share one with a control character) and that differs from row to row.
     own = F.coalesce(F.concat(F.lit("\0"), F.col(id_col).cast("string")), F.lit("\0"))
     rows = docs.select(
-        F.col(id_col).alias("id"), F.hash(text).alias("h"), special.alias("special"), F.octet_length(text).cast("long").alias("size"),
+        F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), special.alias("special"), F.octet_length(text).cast("long").alias("size"),
         F.concat(F.array(own), pretokens(text)).alias("toks"),
     )
     each = rows.select("id", "h", "special", "size", F.posexplode("toks").alias("pos", "tok"))
