@@ -5,9 +5,12 @@ of its line and of the lines before and after it; an edge's weights are those of
 pairs. Forward-backward gives each line's probability of being good, and a document's quality is
 their mean weighted by line length, calibrated on the training documents.
 
-The model is fitted on a bounded sample: at most SAMPLE documents per label, of at most
-SAMPLE_LINES lines each, chosen by a hash of the id. Only feature numbers of these reach the
-driver. Scoring is a map over rows.
+The model is fitted on a bounded sample: at most SAMPLE documents per label, chosen by a hash of
+the id, of longer ones the first SAMPLE_LINES lines. Labels are those of documents, so fitting takes
+two rounds: in the first every line carries its document's label; lines of which the first model
+is sure that they are of the other kind then change sides, and the second round learns from
+documents with lines of both kinds, which is what the label pairs of neighbours are learnt from.
+Only feature numbers of the sample reach the driver. Scoring is a map over rows.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ from .common import map_rows
 
 SAMPLE = 2500
 SAMPLE_LINES = 400
-STEPS = 250
+STEPS = (120, 150)
 RIDGE = 1e-3
+#: Log-odds from which a line of the first round's other kind changes sides (probability 0.95).
+SURE = 2.94
 #: Statistics of one line.
 NAMES = ("log_bytes", "upper", "symbol", "shout", "pipe", "digit", "stop", "other_punct", "non_ascii", "word_bytes", "title", "repeat_words", "repeat_line")
 N = len(NAMES)
@@ -42,10 +47,8 @@ def line_features(text: str) -> np.ndarray:
     size = np.array([len(x) for x in raw])
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
     if len(data):
-        at = np.concatenate(([0], np.cumsum(size)[:-1]))
         kinds = _CLASS_OF[data]
         counts = np.bincount(np.repeat(np.arange(len(lines)), size) * 9 + kinds, minlength=9 * len(lines)).reshape(-1, 9)
-        del at
         out[:, 1:9] = counts[:, :8] / np.maximum(size, 1)[:, None]
     out[:, 0] = np.log1p(size)
     seen_lines: set[str] = set()
@@ -149,19 +152,27 @@ def chain(u: np.ndarray, sizes: np.ndarray, pair: np.ndarray) -> tuple[np.ndarra
 
 
 def fit(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, prior: float) -> Crf:
-    """Maximum conditional likelihood (Adam), every line of a document carrying its label; then calibration."""
+    """Two rounds of maximum conditional likelihood on line labels; then calibration on document labels."""
     first = starts(sizes)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     z = with_neighbours(np.clip((x - mean) / scale, -6, 6), first).astype(np.float64)
     truth = np.repeat(y, sizes).astype(np.float64)
-    seen = np.zeros((2, 2))
-    inside = ~first
-    for a in (0, 1):
-        seen[a, a] = (truth[inside] == a).sum()
-    theta, pair = np.zeros(z.shape[1]), np.zeros((2, 2))
+    theta, pair = climb(z, sizes, truth, STEPS[0], np.zeros(z.shape[1]), np.zeros((2, 2)))
+    odds = z @ theta
+    truth = np.where(odds > SURE, 1.0, np.where(odds < -SURE, 0.0, truth))
+    theta, pair = climb(z, sizes, truth, STEPS[1], theta, np.zeros((2, 2)))
+    model = Crf(mean, scale, theta, pair)
+    slope, offset = calibrate(model.evidence(x, sizes), y, prior)
+    return Crf(mean, scale, theta, pair, slope, offset)
+
+
+def climb(z: np.ndarray, sizes: np.ndarray, truth: np.ndarray, steps: int, theta: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Adam on the log-likelihood of the line labels ``truth``, from the weights given."""
+    inside = np.flatnonzero(~starts(sizes))
+    seen = np.bincount((truth[inside - 1] * 2 + truth[inside]).astype(int), minlength=4).reshape(2, 2).astype(float)
     m = [np.zeros_like(theta), np.zeros_like(pair)]
     v = [np.zeros_like(theta), np.zeros_like(pair)]
-    for step in range(1, STEPS + 1):
+    for step in range(1, steps + 1):
         p, pairs = chain(z @ theta, sizes, pair)
         grads = [z.T @ (truth - p) / len(z) - RIDGE * theta, (seen - pairs) / len(z) - RIDGE * pair]
         for i, g in enumerate(grads):
@@ -172,9 +183,7 @@ def fit(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, prior: float) -> Crf:
                 theta = theta + delta
             else:
                 pair = np.clip(pair + delta, -3, 3)
-    model = Crf(mean, scale, theta, pair)
-    slope, offset = calibrate(model.evidence(x, sizes), y, prior)
-    return Crf(mean, scale, theta, pair, slope, offset)
+    return theta, pair
 
 
 def calibrate(evidence: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
@@ -208,25 +217,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: st
         return None
     picked = None
     for y in (0, 1):
-        part = truth.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(2 * sample)
+        part = truth.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
-    # 4 * sample ids at most are broadcast
+    # 2 * sample ids at most are broadcast; rows that repeat an id are one
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "id")
-    rows = rows.where(F.size(F.split("text", "\n", -1)) <= SAMPLE_LINES)
 
     def make():
         def run(texts):
-            made = [line_features(t) for t in texts]
-            return [m.ravel().tolist() for m in made], [len(m) for m in made]
+            made = [line_features(t)[:SAMPLE_LINES] for t in texts]
+            return [m.tobytes() for m in made], [len(m) for m in made]
 
         return run
 
-    got = map_rows(rows, make, "x array<float>, lines int", ["text"], ["id", "y"]).toPandas().sort_values("id", kind="stable")
-    got = got.assign(rank=got.groupby("y").cumcount())
-    got = got[got["rank"] < sample]
+    got = map_rows(rows, make, "x binary, lines int", ["text"], ["id", "y"]).dropDuplicates(["id"]).toPandas().sort_values("id", kind="stable")
     if got["y"].nunique() < 2:
         return None
-    x = np.concatenate(got["x"].to_numpy()).reshape(-1, N).astype(np.float32)
+    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, N)
     return fit(x, got["lines"].to_numpy(), got["y"].to_numpy(), n[1] / (n[0] + n[1]))
 
 
@@ -234,7 +240,7 @@ def score(docs: DataFrame, model: Crf | None, text_col: str = "text", carry: lis
     """``docs`` (its ``carry`` columns) with ``score`` and the share of lines likelier bad, ``bad_lines``.
 
     Null and empty texts are one empty line. Without a model every score is 0.5. Repeated rows,
-    null ids and extra columns pass through.
+    null ids and extra columns pass through, but for a ``score`` or ``bad_lines`` of ``docs``, which gives way.
     """
 
     def make():
@@ -250,4 +256,4 @@ def score(docs: DataFrame, model: Crf | None, text_col: str = "text", carry: lis
 
         return run
 
-    return map_rows(docs, make, "score double, bad_lines double", [text_col], carry, rows=500)
+    return map_rows(docs, make, "score double, bad_lines double", [text_col], carry, rows=500, chars=1_000_000)
