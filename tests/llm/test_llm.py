@@ -1,6 +1,7 @@
 """Training-data operators against brute force, and on nulls, empties, ties, repeats and long texts."""
 
 import base64
+import gzip
 import hashlib
 import os
 import random
@@ -8,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyarrow.fs import FileSelector
 from pyspark.sql import functions as F
 
 pytest.importorskip("textquarry.llm")
@@ -236,7 +238,7 @@ def test_decontamination(spark, docs, empty):
     rows = [(1, "Before, W0 w1-w2 w3 w4 w5 w6 w7 w8 w9! tail"), (2, "a Short, ITEM b"), (3, item), (4, None), (5, "w0 w1 w2"), (6, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for part in (1 << 20, 1):
-        got = by_id(decontam.contamination_digest(decontam.find_contamination(df, bench, part_bytes=part)))
+        got = by_id(decontam.contamination_digest(decontam.find_contamination(df, bench, broadcast_windows=part)))
         assert {k: (v["n_words"], v["n_hit"], v["n_items"]) for k, v in got.items()} == {1: (12, 10, 1), 2: (4, 2, 1), 3: (14, 14, 1), 4: (0, 0, 0), 5: (3, 0, 0), 6: (0, 0, 0)}
     clean = by_id(decontam.decontaminate(df, bench, drop_share=0.9))
     assert clean[1]["text"] == "Before, ! tail" and 3 not in clean and clean[4]["text"] is None and clean[2]["text"] == "a b"
@@ -248,7 +250,7 @@ def test_decontamination_by_items_without_id(spark):
     bench = spark.createDataFrame([(None, "x y"), (2, "x y"), (None, "lone pair")], "item_id long, text string")
     df = spark.createDataFrame([(1, "a x y b"), (2, "lone pair"), (3, "a lone b")], "doc_id long, text string")
     for part in (1 << 20, 1):
-        got = by_id(decontam.contamination_digest(decontam.find_contamination(df, bench, part_bytes=part)))
+        got = by_id(decontam.contamination_digest(decontam.find_contamination(df, bench, broadcast_windows=part)))
         assert {k: (v["n_hit"], v["n_items"], v["contaminated"]) for k, v in got.items()} == {1: (2, 1, True), 2: (2, 0, True), 3: (0, 0, False)}
     assert {r["doc_id"]: r["text"] for r in decontam.decontaminate(df, bench, 0.9).collect()} == {1: "a b", 3: "a lone b"}
 
@@ -338,3 +340,82 @@ def test_pipeline_stages_against_brute_force(spark):
             assert after.keys() == {k for k, (_, c) in components(sorted(before.items())).items() if k == c}
     out = pipeline.STAGES[-1][1](spark, kept, d)
     assert out.count() == kept.count() == pipeline.run(spark, d).count()
+
+
+def test_spans_and_windows_are_linear_in_long_texts(spark):
+    r = random.Random(3)
+    run = "".join(r.choice("ABCDEFGHIJabcdefghij0123456789+/") for _ in range(200_000))
+    mails = " ".join(f"user{i}@mail{i % 7}.org" for i in range(50_000))
+    slug = "a-" * 50_000 + "b"
+    df = spark.createDataFrame([(1, run), (2, mails), (3, slug), (4, " ".join(f"token=abcdefgh{i}" for i in range(20_000)))], "doc_id long, text string").repartition(4)
+    got = by_id(secrets.secrets_digest(secrets.find_secrets(df)))
+    assert (got[1]["n_entropy"], got[3]["n_entropy"], got[4]["n_assign"]) == (1, 0, 20_000)
+    spans = by_id(pii.pii_digest(pii.find_pii(df)))[2]
+    assert spans["n_email"] == 50_000
+    for k, span in enumerate(spans["spans"].split(",")):
+        _, a, b = span.split(":")
+        assert mails[int(a) : int(b)] == f"user{k}@mail{k % 7}.org"
+
+
+def test_pii_context_on_both_sides(spark):
+    filler = "1.2.3.4 " * 300  # more than a block of matches
+    df = spark.createDataFrame([(1, "ssn 123-45-6789"), (2, "123-45-6789 is her ssn"), (3, "123-45-6789"), (4, filler + "ssn: 123-45-6789 " + "x" * 50 + " 123-45-6789")], "doc_id long, text string")
+    got = by_id(pii.pii_digest(pii.find_pii(df)))
+    assert {k: v["n_ssn"] for k, v in got.items()} == {1: 1, 2: 1, 3: 0, 4: 1}
+    assert got[4]["n_ip"] == 300 and got[4]["spans"].split(",")[299] == "ip:2392:2399"
+
+
+def test_line_dedup_without_broadcast(spark):
+    rows = [(i, f"own {i}\nshared\nrare {i % 2}", f"s{i % 12}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    a, b = (sorted(line_dedup.dedup_lines(df, min_sites=6, broadcast_keys=k).collect()) for k in (1000, 0))
+    assert a == b and sum(r["n_removed"] for r in a) == 59 + 58
+    clashing = line_dedup.dedup_lines(df.withColumn("n_lines", F.lit(77)), min_sites=6)
+    assert clashing.columns.count("n_lines") == 1 and {r["n_lines"] for r in clashing.collect()} == {3}
+
+
+def test_warc_revisits_name_their_response(spark):
+    df = spark.createDataFrame([(f"p{i}", f"http://h{i}.org/", "same" if i else "own") for i in range(30)], "page_id string, url string, html string")
+    for rows in (1000, 0):
+        got = {r["page_id"]: r for r in warc.classify(df, broadcast_rows=rows).collect()}
+        assert got["p0"]["refers_to"] is None and got["p9"]["refers_to"] is None and got["p1"]["refers_to"] == "p9" and got["p1"]["refers_url"] == "http://h9.org/"
+        assert len(got) == 30
+    path, directory = warc.archive(df, spark)
+    store = warc.Store(path)
+    fields = []
+    for info in store.fs.get_file_info(FileSelector(store.base)):
+        if info.path.endswith(".warc.gz"):
+            raw = gzip.decompress(store.fs.open_input_file(info.path).read())
+            heads = [x for x in raw.split(b"WARC/1.1\r\n") if x]
+            fields += [warc.parse(b"WARC/1.1\r\n" + h)[0] for h in heads]
+    ids = {f["WARC-Record-ID"]: f for f in fields}
+    assert len(ids) == 30
+    for f in fields:
+        if f["WARC-Type"] == "revisit":
+            assert ids[f["WARC-Refers-To"]]["X-Page-Id"] == "p9" == f["X-Refers-To-Page-Id"]
+    assert {r["page"] for r in warc.lookup(warc.page_keys(df), directory, path).collect()} == {f"p{i}" for i in range(30)}
+
+
+def test_decontamination_joined_equals_broadcast(spark):
+    r = random.Random(8)
+    items = [(i, prose(900 + i, r.choice([3, 9, 10, 25]))) for i in range(30)]
+    rows = []
+    for i in range(60):
+        w = prose(i, 80).split()
+        for k in r.sample(range(30), i % 3):
+            at = r.randrange(len(w))
+            w[at:at] = items[k][1].upper().split()
+        rows.append((i % 50, " ".join(w), i))  # ids repeat
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, hits int").repartition(3)
+    a, b = (sorted(map(str, decontam.find_contamination(df, bench, carry=["doc_id"], broadcast_windows=n, cutting=True).collect())) for n in (10_000, 0))
+    assert a == b and len(a) == 60
+    found = decontam.find_contamination(df, bench, carry=["doc_id"]).collect()
+    fold = lambda t: t.encode().lower().split()
+    grams = {(tuple(w[i : i + min(10, len(w))])) for _, t in items for w in [fold(t)] for i in range(len(w) - min(10, len(w)) + 1)}
+    want = []
+    for d, t, _ in rows:
+        w = fold(t)
+        hit = {j for i in range(len(w)) for g in (3, 9, 10) if tuple(w[i : i + g]) in grams for j in range(i, i + g)}
+        want.append((d, len(hit)))
+    assert sorted((x["doc_id"], sum(q - p for p, q in x["hits"])) for x in found) == sorted(want)
