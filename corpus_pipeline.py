@@ -16,37 +16,66 @@ from textquarry.llm.common import saved, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier scores at least 0.5."""
+    """Documents that the line classifier scores at least 0.5.
+
+    Without labels of both kinds all stay. Null and empty texts are scored as one empty line;
+    repeated rows get the same score; columns of any name pass through.
+    """
     model = quality_crf.train(docs, table(spark, sf_dir, "labels"))
-    return quality_crf.score(docs, model).where("score >= 0.5").drop("score", "bad_lines")
+    plain, names = _plain(docs)
+    scored = quality_crf.score(plain, model, text_col=names["text"])
+    return _named(scored.where("score >= 0.5"), names)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go; so do documents that consisted of nothing else (copies of the one that keeps them)."""
-    cleaned = line_dedup.dedup_lines(docs)
+    """Boilerplate lines go; so do documents that consisted of nothing else (copies of the one that keeps them).
+
+    Null texts stay null and empty ones empty; null sources are one site; the document with the
+    smallest id keeps a line, and rows that repeat that id all do; columns of any name pass through.
+    """
+    plain, names = _plain(docs)
+    text = names["text"]
+    cleaned = line_dedup.dedup_lines(plain, site_col=names["source"], text_col=text, id_col=names["doc_id"])
     cleaned = cleaned.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
     changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    n_chars = F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    new = {"text": text, "n_chars": n_chars}
-    return cleaned.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    new = cleaned.withColumn(text, F.when(changed, F.col("kept_text")).otherwise(F.col(text)))
+    if "n_chars" in names:
+        n_chars = names["n_chars"]
+        new = new.withColumn(n_chars, F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n_chars)))
+    return _named(new, names)
+
+
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that clash with nothing, and those names by the old ones."""
+    names = {c: f"d{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _named(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*(F.col(new).alias(old) for old, new in names.items()))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One document of each near-duplicate group, the one with the smallest id.
+
+    Texts that are null or have no words, and rows without an id, stay; repeated rows of a kept id all stay.
+    """
     return neardup.keep_one(docs)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out; documents that are mostly benchmark go."""
+    """Benchmark passages are cut out; documents that are mostly benchmark go.
+
+    Null and empty texts have no words and stay; rows are taken one by one, so repeats and ties need no rule.
+    """
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each remaining text, their digest and that of the decoded bytes."""
+    """Token ids of each remaining text, their digest and that of the decoded bytes. Null texts are encoded as empty."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, carry=["doc_id"])
-    return bpe.bpe_digest(bpe.decode(encoded, path), carry=["ids"])
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, carry=["doc_id"], back=True)
+    return bpe.bpe_digest(encoded, carry=["ids"])
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("contamination", contamination), ("encoding", encoding)]

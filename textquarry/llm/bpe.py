@@ -15,14 +15,18 @@ import struct
 from functools import lru_cache
 from itertools import chain
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_rows
 
-#: Distinct pre-tokens that a task remembers at most.
-CACHE_ROWS = 400_000
+#: Distinct pre-tokens that a task remembers at most, of at most CACHE_CHARS characters each.
+CACHE_ROWS = 60_000
+CACHE_CHARS = 32
+#: New pre-tokens that go to the processor at once.
+BATCH = 20_000
 
 
 def byte_alphabet() -> list[str]:
@@ -73,17 +77,23 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-@lru_cache(maxsize=2)
-def _model(path: str):
-    """The processor, the byte table and the bytes of each id; once per worker process."""
+@lru_cache(maxsize=1)
+def _processor(path: str):
+    """The processor and the byte table; once per worker process."""
     import sentencepiece
 
-    ranks = load_ranks(path)
-    processor = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
-    table = {b: c for b, c in enumerate(byte_alphabet())}
+    processor = sentencepiece.SentencePieceProcessor(model_proto=serialise(load_ranks(path)))
+    return processor, {b: c for b, c in enumerate(byte_alphabet())}
+
+
+@lru_cache(maxsize=1)
+def _pieces(path: str):
+    """The bytes of each id, as an Arrow array: the processor's pieces, mapped back."""
+    import pyarrow as pa
+
+    processor, table = _processor(path)
     inverse = {ord(c): b for b, c in table.items()}
-    back = [bytes(processor.id_to_piece(i).translate(inverse), "latin-1") for i in range(len(ranks))]
-    return processor, table, back
+    return pa.array([bytes(processor.id_to_piece(i).translate(inverse), "latin-1") for i in range(len(processor) - 1)], pa.binary())
 
 
 def mapped(token: str, table: dict) -> str:
@@ -93,13 +103,20 @@ def mapped(token: str, table: dict) -> str:
     return token.encode().decode("latin-1").translate(table)
 
 
-def _encoder(path: str, pattern: str):
+def _encoder(path: str, pattern: str, back: bool):
     def make():
+        import pyarrow as pa
         import regex
 
-        processor, table, _ = _model(path)
+        processor, table = _processor(path)
         cut = regex.compile(pattern).findall
-        known: dict[str, list[int]] = {}
+        known: dict[str, bytes] = {}
+
+        def encoded(tokens):
+            for i in range(0, len(tokens), BATCH):
+                part = tokens[i : i + BATCH]
+                for token, ids in zip(part, processor.encode([mapped(t, table) for t in part], num_threads=1), strict=True):
+                    yield token, np.array(ids, np.int32).tobytes()
 
         def run(texts):
             cut_texts = [cut(t) for t in texts]
@@ -107,35 +124,68 @@ def _encoder(path: str, pattern: str):
             if len(known) + len(fresh) > CACHE_ROWS:
                 known.clear()
                 fresh = list(set(chain.from_iterable(cut_texts)))
-            known.update(zip(fresh, processor.encode([mapped(t, table) for t in fresh], num_threads=1), strict=True))
-            return ([list(chain.from_iterable(map(known.__getitem__, toks))) for toks in cut_texts],)
+            known.update(encoded(fresh))
+            ids = [b"".join(map(known.__getitem__, tokens)) for tokens in cut_texts]
+            del cut_texts
+            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+            flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
+            for t in [t for t in fresh if len(t) > CACHE_CHARS]:
+                del known[t]
+            if len(known) > CACHE_ROWS:  # a slice of more distinct pre-tokens than are kept
+                known.clear()
+            made = [pa.ListArray.from_arrays(pa.array(offsets), flat)]
+            return [*made, _bytes_of(flat, offsets, _pieces(path))] if back else made
 
         return run
 
     return make
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def _bytes_of(ids, offsets: np.ndarray, pieces):
+    """Bytes of the ids between each two ``offsets``; the pieces that are taken stand one after the other."""
+    import pyarrow as pa
+
+    if len(ids) == 0:
+        return pa.array([b""] * (len(offsets) - 1), pa.binary())
+    taken = pieces.take(ids)
+    at = np.frombuffer(taken.buffers()[1], np.int32, len(ids) + 1)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(at[offsets].tobytes()), taken.buffers()[2]])
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", carry: list[str] | None = None, back: bool = False) -> DataFrame:
     """``docs`` (its ``carry`` columns) with ``ids`` (array<int>), each match of ``pattern`` encoded alone.
 
+    With ``back`` also with ``decoded`` (binary), the ids decoded again as ``decode`` does, in the same pass.
+
     Null texts are encoded as empty (no ids). Every row stands for itself, so repeated rows, ties
-    and null ids need no rule; an empty table gives an empty table; extra columns pass through.
+    and null ids need no rule; an empty table gives an empty table; extra columns pass through,
+    but for those named like a new one, which gives way.
     """
-    return map_rows(docs, _encoder(path, pattern), "ids array<int>", [text_col], carry)
+    return map_rows(docs, _encoder(path, pattern, back), "ids array<int>" + (", decoded binary" if back else ""), [text_col], carry, chars=1_000_000)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded`` (binary): the bytes of its ids, joined. Null ids decode to null."""
 
-    def run(series: pd.Series) -> pd.Series:
-        back = _model(path)[2]
-        return series.map(lambda ids: None if ids is None else b"".join(map(back.__getitem__, ids.tolist())))
+    def run(frames):
+        import pyarrow as pa
+
+        for frame in frames:
+            ids = frame.column(0)
+            ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+            sizes = np.array([0 if x is None else x for x in ids.value_lengths().to_pylist()], np.int64)
+            made = _bytes_of(ids.flatten().cast(pa.int32()), np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), _pieces(path))
+            made = pa.array([x if ok else None for x, ok in zip(made.to_pylist(), ids.is_valid().to_pylist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*frame.columns[1:], made], names=[*frame.schema.names[1:], "decoded"])
 
-    return encoded.withColumn("decoded", F.pandas_udf(run, "binary")(F.col(ids_col)))
+    names = [c for c in encoded.columns if c != "decoded"]
+    given = encoded.select(F.col(f"`{ids_col}`").alias("i"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
+    ddl = T.StructType([*(T.StructField(f"c{k}", encoded.schema[c].dataType) for k, c in enumerate(names)), T.StructField("decoded", T.BinaryType())])
+    return given.mapInArrow(run, ddl).toDF(*names, "decoded")
 
 
 def bpe_digest(decoded: DataFrame, id_col: str = "doc_id", carry: tuple | list = ()) -> DataFrame:
-    """Counts and digests of ``decode(encode(docs))``."""
+    """Counts and digests of ``encode(docs, back=True)`` or ``decode(encode(docs))``."""
     return decoded.select(
         id_col,
         F.size("ids").cast("long").alias("n_tokens"),

@@ -14,17 +14,20 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 _own: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests, local
-    mode) a temporary folder of this machine stands in for it.
+    It is the cluster's ``spark.checkpoint.dir``; where that is unset a temporary folder of this
+    machine stands in for it, in local mode only.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="textquarry-")
@@ -35,12 +38,37 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def saved(df: DataFrame, tag: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The table stays until ``clear``: results are lazy and may read it at any time. Only
+    ``instead_of``, a table that was saved before and is read by nothing else, goes at once.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    paths = _written.setdefault(spark.sparkContext.applicationId, [])
+    paths.append(path)
+    if instead_of is not None:
+        paths.remove(instead_of.saved_at)
+        _delete(spark, instead_of.saved_at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that the operators of this application have saved.
+
+    Call it when their results are written or no longer needed.
+    """
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,21 +80,22 @@ def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def map_rows(df: DataFrame, make, ddl: str, inputs: list[str], carry: list[str] | None = None, rows: int = 2000, chars: int = 4_000_000) -> DataFrame:
+def map_rows(df: DataFrame, make, ddl: str, inputs: list[str], carry: list[str] | None = None, rows: int = 2000, chars: int = 2_000_000) -> DataFrame:
     """``carry`` columns of ``df`` (all by default), untouched, and new columns that Python computes.
 
     ``make()`` runs once a task and gives ``fn(*lists)``, which gets a slice of each column of
-    ``inputs`` and returns one list per column of ``ddl``; ``fn.done()``, where there is one, runs
-    when the task has no more rows. The first input is text, null as empty.
+    ``inputs`` and returns one list or Arrow array per column of ``ddl``; ``fn.done()``, where there
+    is one, runs when the task has no more rows. The first input is text, null as empty.
     Slices have at most ``rows`` rows and about ``chars`` characters, which bounds a task's
     temporaries; a single row is never cut. Carried columns stay in Arrow, so their nulls and
-    types survive and their names cannot clash with anything.
+    types survive. A new column takes the place of a carried one of the same name.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
     from pyspark.sql.pandas.types import to_arrow_type
 
-    carry = df.columns if carry is None else carry
     new = T.StructType.fromDDL(ddl)
+    carry = [c for c in (df.columns if carry is None else carry) if c not in new.names]
     kinds = [to_arrow_type(f.dataType) for f in new]
     n = len(carry)
     given = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)), *(F.col(f"`{c}`").alias(f"i{i}") for i, c in enumerate(inputs)))
@@ -75,28 +104,30 @@ def map_rows(df: DataFrame, make, ddl: str, inputs: list[str], carry: list[str]
     def run(frames):
         fn = make()
         for frame in frames:
-            sizes = pc.fill_null(pc.utf8_length(frame.column(n)), 0).to_pylist()
+            sizes = pc.fill_null(pc.binary_length(frame.column(n)), 0).to_numpy(zero_copy_only=False)
             for a, b in _slices(sizes, rows, chars):
                 part = frame.slice(a, b - a)
                 got = [part.column(n + i).to_pylist() for i in range(len(inputs))]
                 got[0] = [x or "" for x in got[0]]
                 made = fn(*got)
+                del got
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *(x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(made, kinds, strict=True))], names=schema.names)
         if hasattr(fn, "done"):
             fn.done()
-
-    import pyarrow.compute as pc
+        # workers live on after a task: what this one allocated goes back to the machine
+        del fn
+        pa.default_memory_pool().release_unused()
 
     out = given.mapInArrow(run, schema)
     return out.toDF(*carry, *new.names)
 
 
-def _slices(sizes: list[int], rows: int, chars: int):
+def _slices(sizes, rows: int, chars: int):
     start, size = 0, 0
     for i, n in enumerate(sizes):
         if i > start and (i - start >= rows or size + n > chars):
             yield start, i
             start, size = i, 0
-        size += n
-    if sizes:
+        size += int(n)
+    if len(sizes):
         yield start, len(sizes)

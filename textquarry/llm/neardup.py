@@ -90,6 +90,10 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
+#: Words whose hashes a task remembers at most.
+MEMORY = 100_000
+
+
 class WordHashes(dict):
     """64-bit hash of each word, computed when first asked for."""
 
@@ -102,7 +106,7 @@ def shingle_set(w: list[bytes], memory: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of ``w``; of all words when there are fewer."""
     if len(w) < SHINGLE:
         return np.array([xxh64_intdigest(b" ".join(w), seed=len(w))], dtype=np.uint64) if w else np.zeros(0, np.uint64)
-    if len(memory) > 500_000:
+    if len(memory) > MEMORY:
         memory.clear()
     h = np.fromiter(map(memory.__getitem__, w), dtype=np.uint64, count=len(w))
     n = len(h) - SHINGLE + 1

@@ -54,8 +54,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, carry=["doc_id"])
-    return bpe.bpe_digest(bpe.decode(encoded, path))
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, carry=["doc_id"], back=True)
+    return bpe.bpe_digest(encoded)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
