@@ -40,6 +40,7 @@ RULES = (
     ("few_words", "1000 * n_words", False, (60000, 80000, 100000)),
 )
 
+STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper")
 _LATIN_CAPITAL = re.compile(rb"\xc3[\x80-\x96\x98-\x9e]")
 
 
@@ -83,8 +84,7 @@ def _stats():
 
 def with_stats(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``docs`` (its ``carry`` columns) with the statistics of ``text_stats``; null texts have no words."""
-    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper")
-    return map_rows(docs, _stats, ", ".join(f"{n} long" for n in names), [text_col], carry)
+    return map_rows(docs, _stats, ", ".join(f"{n} long" for n in STATS), [text_col], carry)
 
 
 def base_failed() -> Column:
@@ -143,9 +143,10 @@ def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
 
     Labels are joined by ``id_col`` and only their counts are used; a document whose labels
     disagree counts as bad. Null strata share the stratum "". Strata beyond the MAX_STRATA largest share one. Null texts have no words and fail
-    the base; repeated rows each count; an empty ``labels`` leaves every rule off.
+    the base; repeated rows each count; an empty ``labels`` leaves every rule off. Of cutoffs that
+    reject equally many the milder is used. Columns of ``docs`` named like a new one give way.
     """
-    carry = docs.columns if carry is None else carry
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in (*STATS, "base_failed", "failed_rules", "kept")]
     names = [f"c{i}" for i in range(len(carry))]
     rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)), F.col(id_col).alias("__id"), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.col(text_col).alias("__text"))
     rows = saved(with_stats(rows, "__text", [*names, "__id", "stratum"]), "stats")
