@@ -8,8 +8,8 @@
 3. Representatives that share a band value are candidates. In each bucket, members are first
    paired with a pivot only; what is confirmed joins the pivot's component. After PIVOT_ROUNDS
    rounds (each with other pivots, in buckets that still hold several components) all remaining
-   pairs between different components of a bucket are tested. So copies never expand into all
-   pairs, and no candidate link between different components is lost.
+   pairs between different components of a bucket are tested, block against block. So copies never
+   expand into all pairs, and no candidate link between different components is lost.
 4. A candidate pair is tested by sizes, then by odd sketches, then on the full shingle sets.
 5. Components are spread by minimum label with pointer jumping, in tables.
 
@@ -36,6 +36,10 @@ MISS = 3e-6
 MOST_SAMPLES = 400
 SKETCH_BITS = 4096
 PIVOT_ROUNDS = 3
+#: Members of a bucket that meet in one task in the last round.
+BLOCK = 512
+#: Pairs of one pivot that meet in one task.
+HOT = 2000
 #: Ids of candidate documents up to which they are broadcast (8 bytes each).
 BROADCAST_IDS = 2_000_000
 
@@ -207,14 +211,14 @@ def components(edges: DataFrame) -> DataFrame:
     combine before the shuffle.
     """
     both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
+    last = labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("seen"))
         step = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "seen").alias("now"))
         step = hooked(step)
         jump = labels.select(F.col("id").alias("now"), F.col("component").alias("jumped"))
         step = step.join(jump, "now", "left").select("id", "was", F.least("now", F.coalesce("jumped", "now")).alias("component"))
-        step = saved(step, "labels")
+        step = last = saved(step, "labels", instead_of=last)
         labels = step.select("id", "component")
         if not step.where(F.col("was") != F.col("component")).limit(1).count():
             return labels
@@ -229,13 +233,57 @@ def hooked(step: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full shingle sets are similar enough."""
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    two = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    """Those of ``pairs`` (a, b; saved) whose full shingle sets are similar enough.
+
+    A ``b`` of very many pairs (a pivot) is no hot key: its pairs are dealt over one part for each
+    HOT of them, and only such ids have their set copied to several parts.
+    """
+    hot = pairs.groupBy("b").agg(F.floor(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 0")
+    hot = F.broadcast(hot) if pairs.count() <= HOT * BROADCAST_IDS // 10 else hot
+    part = F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(0)) + 1).cast("int")
+    dealt = pairs.join(hot, "b", "left").select("a", "b", part.alias("part"))
+    copies = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")).join(hot, "b", "left")
+    copies = copies.select("b", "sb", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(0)))).alias("part"))
+    one = dealt.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+    two = one.join(copies, ["b", "part"])
     inter = F.size(F.array_intersect("sa", "sb"))
     return two.where(similar(inter, F.size("sa"), F.size("sb"), percent)).select("a", "b")
 
 
+def _pivot_pairs(placed: DataFrame, mixed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each member of the ``mixed`` buckets with the likeliest of the pivots of its buckets.
+
+    Pivots bring their sketches along with their buckets, so no join is on a pivot's id but the one
+    of the buckets themselves, in which a pivot stands once for each band.
+    """
+    pivots = mixed.select("key", F.col("pivot.id").alias("b"), F.col("pivot.component").alias("pc"))
+    pivots = pivots.join(known.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    pairs = placed.join(pivots, "key").where("component != pc").drop("key", "component", "pc").dropDuplicates(["id", "b"])
+    pairs = pairs.join(known.select("id", F.col("n").alias("na"), F.col("sketch").alias("sa")), "id").where(could_be("na", "nb", "sa", "sb", percent))
+    best = pairs.groupBy(F.col("id").alias("a")).agg(F.min_by("b", F.struct(differing_bits("sa", "sb"), "b")).alias("b"))
+    return best.select("a", "b")
+
+
+def _remaining_pairs(placed: DataFrame, mixed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of different components of a bucket that sizes and sketches leave possible.
+
+    Members of a bucket of more than BLOCK are dealt to blocks, and each two blocks meet apart, so
+    no task has more than BLOCK times BLOCK pairs of a bucket.
+    """
+    blocks = mixed.select("key", F.floor((F.col("members") - 1) / BLOCK).cast("int").alias("last"))
+    rows = placed.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("last") + 1).cast("int"))
+    rows = saved(rows.join(known, "id"), "left")
+    names = ("id", "component", "n", "sketch", "bands", "block")
+    side = lambda tag, low, high: rows.select("key", *(F.col(c).alias(c + tag) for c in names), low.alias("low"), high.alias("high"))
+    up = side("a", F.col("block"), F.explode(F.sequence("block", "last")))
+    down = side("b", F.explode(F.sequence(F.lit(0), F.col("block"))), F.col("block"))
+    # A pair comes out of the first bucket that its members share, and of no other.
+    first = F.get(F.filter(F.arrays_zip("bandsa", "bandsb"), lambda x: x["bandsa"] == x["bandsb"]), F.lit(0))["bandsa"]
+    pairs = up.join(down, ["key", "low", "high"]).where((F.col("blocka") < F.col("blockb")) | (F.col("ida") < F.col("idb")))
+    pairs = pairs.where((F.col("componenta") != F.col("componentb")) & could_be("na", "nb", "sketcha", "sketchb", percent) & (first == F.col("key")))
+    return pairs.select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+
+
 def link_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept; links are of similarity ``percent`` / 100 and more.
 
@@ -264,27 +312,11 @@ def link_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     for turn in range(PIVOT_ROUNDS + 1):
         placed = members.join(labels, "id")
         mixed = placed.groupBy("key").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"),
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"),
             F.min_by(F.struct("id", "component"), F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.col("id"), "id")).alias("pivot"),
         ).where("lo < hi")
-        if turn < PIVOT_ROUNDS:
-            pairs = placed.join(mixed.select("key", F.col("pivot.id").alias("p"), F.col("pivot.component").alias("pc")), "key")
-            pairs = pairs.where("component != pc").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"), "id").distinct()
-            pairs = _with_sketches(pairs, known).where(could_be("na", "nb", "sa", "sb", percent))
-            # The likeliest pivot of each member is enough to begin with; the last round tests the rest.
-            best = pairs.groupBy("id").agg(F.min_by(F.struct("a", "b"), F.struct(differing_bits("sa", "sb"), "a", "b")).alias("pair"))
-            pairs = best.select("pair.a", "pair.b").distinct()
-        else:
-            left = placed.join(mixed.select("key"), "key", "left_semi")
-            full = saved(left.join(known, "id"), "left")
-            l = full.select("key", *(F.col(c).alias(c + "a") for c in ("id", "component", "n", "sketch", "bands")))
-            r = full.select(F.col("key").alias("keyb"), *(F.col(c).alias(c + "b") for c in ("id", "component", "n", "sketch", "bands")))
-            # A pair comes out of the first bucket that its members share, and of no other.
-            first = F.get(F.filter(F.arrays_zip("bandsa", "bandsb"), lambda x: x["bandsa"] == x["bandsb"]), F.lit(0))["bandsa"]
-            on = (F.col("key") == F.col("keyb")) & (F.col("ida") < F.col("idb")) & (F.col("componenta") != F.col("componentb"))
-            on = on & could_be("na", "nb", "sketcha", "sketchb", percent) & (first == F.col("key"))
-            pairs = l.join(r, on).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
-        found = saved(_confirmed(pairs, sets, percent), "links")
+        pairs = _pivot_pairs if turn < PIVOT_ROUNDS else _remaining_pairs
+        found = saved(_confirmed(saved(pairs(placed, mixed, known, percent), "pairs"), sets, percent), "links")
         labels = _merged(labels, found)
     out = signed.join(classes, "ck", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.coalesce("component", "rep"))
@@ -307,12 +339,6 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return saved(labels.join(found, "component", "left").select("id", F.coalesce("lower", "component").alias("component")), "placed")
 
 
-def _with_sketches(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    a = known.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = known.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    return pairs.join(a, "a").join(b, "b")
-
-
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """``docs`` without near-duplicates: of each component the document with the smallest id stays.
 
