@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from textquarry.llm import bpe, decontam, line_dedup, neardup, quality_crf
 from textquarry.llm.common import saved, table
 
+#: Similarity in hundredths from which documents are near-duplicates here.
+SIMILAR = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier scores at least 0.5.
@@ -56,11 +59,11 @@ def _named(df: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id.
+    """One document of each near-duplicate group (similarity 0.8 and more), the one with the smallest id.
 
     Texts that are null or have no words, and rows without an id, stay; repeated rows of a kept id all stay.
     """
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, percent=SIMILAR)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

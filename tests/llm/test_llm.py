@@ -113,7 +113,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
-def components(rows):
+def components(rows, percent=85):
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -124,7 +124,7 @@ def components(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     return {rows[i][0]: (len(sets[i]), rows[find(i)][0]) for i in range(len(rows))}
@@ -337,7 +337,7 @@ def test_pipeline_stages_against_brute_force(spark):
         after = {r["doc_id"]: r["text"] for r in kept.collect()}
         assert kept.columns == docs.columns and after.keys() <= before.keys() and after
         if name == "near_duplicates":
-            assert after.keys() == {k for k, (_, c) in components(sorted(before.items())).items() if k == c}
+            assert after.keys() == {k for k, (_, c) in components(sorted(before.items()), pipeline.SIMILAR).items() if k == c}
     out = pipeline.STAGES[-1][1](spark, kept, d)
     assert out.count() == kept.count() == pipeline.run(spark, d).count()
 
@@ -419,3 +419,115 @@ def test_decontamination_joined_equals_broadcast(spark):
         hit = {j for i in range(len(w)) for g in (3, 9, 10) if tuple(w[i : i + g]) in grams for j in range(i, i + g)}
         want.append((d, len(hit)))
     assert sorted((x["doc_id"], sum(q - p for p, q in x["hits"])) for x in found) == sorted(want)
+
+
+def test_rules_equal_their_sql_with_many_strata(spark):
+    import duckdb
+    import pandas as pd
+
+    from textquarry.llm import oracles
+
+    n = 40
+    rows = [(i, prose(i % 50, 70), None if i < 1600 else f"lang{i % n:02d}") for i in range(4000)]
+    rows += [(10_000 + i, " ".join(w + "###" for w in prose(i, 70).split()), None if i % 3 else f"lang{i % n:02d}") for i in range(200)]
+    docs = pd.DataFrame(rows, columns=["doc_id", "text", "lang"])
+    truth = pd.DataFrame({"doc_id": docs["doc_id"], "quality": (docs["doc_id"] < 10_000).astype(int)})
+    assert docs["lang"].fillna("").nunique() > quality_rules.MAX_STRATA
+    con = duckdb.connect()
+    con.register("documents", docs)
+    con.register("labels", truth)
+    cur = con.execute(oracles.ORACLES["op6_quality_rules"])
+    names = [c[0] for c in cur.description]
+    want = {r["doc_id"]: (r["doc_id"], r["kept"], r["failed_rules"]) for r in (dict(zip(names, row)) for row in cur.fetchall())}
+    df = spark.createDataFrame([tuple(None if pd.isna(v) else v for v in r) for r in docs.itertuples(index=False)], "doc_id long, text string, lang string")
+    got = quality_rules.apply_rules(df, spark.createDataFrame(truth), carry=["doc_id"])
+    assert {r["doc_id"]: (r["doc_id"], r["kept"], ",".join(r["failed_rules"])) for r in got.collect()} == want
+    assert any(not v[1] for v in want.values())
+
+
+def test_rules_keep_clashing_columns_apart(spark, docs):
+    named = docs.withColumn("n_words", F.lit("mine")).withColumn("kept", F.lit("mine"))
+    got = quality_rules.apply_rules(named, spark.createDataFrame([(0, 1)], "doc_id long, quality int"))
+    assert got.columns.count("n_words") == got.columns.count("kept") == 1 and dict(got.dtypes)["kept"] == "boolean"
+
+
+def naive_features(text):
+    lines = [x for x in text.split("\n") if x.strip()] or [""]
+    groups = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "#*$%&<>@^~=+", "!?", "|", "0123456789", ".", ",;:'\"()-_/\\[]{}"]
+    out, seen, windows = [], [], []
+    for line in lines:
+        raw, w = line.encode(), line.split()
+        size = max(1, len(raw))
+        share = [sum(chr(b) in g for b in raw) / size for g in groups] + [sum(b >= 128 for b in raw) / size]
+        tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        fresh = len({t for t in tri if t not in windows})
+        windows += tri
+        if w:
+            out.append([np.log1p(len(raw)), *share, len(raw) / len(w), sum(x.istitle() for x in w) / len(w), 1 - fresh / len(tri) if tri else 0, line in seen])
+            seen.append(line)
+        else:
+            out.append([np.log1p(len(raw)), *share, 0, 0, 0, 0])
+    return np.array(out, float)
+
+
+def test_crf_features_and_weights_against_brute_force(spark, docs):
+    r = np.random.default_rng(4)
+    model = quality_crf.Crf(r.normal(size=quality_crf.N), 1 + r.random(quality_crf.N), r.normal(size=3 * quality_crf.N + 3) / 3, r.normal(size=(2, 2)), 1.3, -0.2)
+    small = docs.where("length(text) < 5000 or text is null").collect()
+    for d in small:
+        assert quality_crf.line_features(d["text"] or "") == pytest.approx(naive_features(d["text"] or ""), abs=1e-5)
+    got = sorted((r["doc_id"] or -1, round(r["score"], 6)) for r in quality_crf.score(docs.where("length(text) < 5000 or text is null"), model, carry=["doc_id"]).collect())
+    want = []
+    for d in small:
+        text = d["text"] or ""
+        x = np.clip((naive_features(text) - model.mean) / model.scale, -6, 6)
+        n = len(x)
+        zero = np.zeros(quality_crf.N)
+        u = [np.concatenate(([1], x[i], x[i - 1] if i else zero, x[i + 1] if i + 1 < n else zero, [i == 0], [i == n - 1])) @ model.unary for i in range(n)]
+        total, good = 0.0, np.zeros(n)
+        for labels in np.ndindex(*[2] * n):
+            p = np.exp(sum(a * b for a, b in zip(labels, u)) + sum(model.pair[a, b] for a, b in zip(labels, labels[1:])))
+            total += p
+            good += p * np.array(labels)
+        weight = np.array([len(x.encode()) for x in text.split("\n") if x.strip()] or [0]) + 1.0
+        mean = np.clip((good / total * weight).sum() / weight.sum(), 1e-4, 1 - 1e-4)
+        want.append((d["doc_id"] or -1, round(float(1 / (1 + np.exp(-(1.3 * np.log(mean / (1 - mean)) - 0.2)))), 6)))
+    assert [a for a, _ in got] == [a for a, _ in sorted(want)]
+    assert [b for _, b in got] == pytest.approx([b for _, b in sorted(want)], abs=1e-4)
+
+
+@pytest.fixture(scope="module")
+def small_tables(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("tables"))
+    good = [(100 + i, prose(i, 40)) for i in range(60)]
+    bad = [(300 + i, prose(i, 40).upper().replace(" ", "!! ")) for i in range(60)]
+    spark.createDataFrame([(i, int(i < 300), 0) for i, _ in good + bad] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(14))), (None, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return d, good + bad
+
+
+def test_pipeline_stages_on_edges(spark, docs, empty, small_tables):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    d, more = small_tables
+    names = ["score", "bad_lines", "kept_text", "n_lines", "n_removed", "hits", "cut", "component_id", "kept", "ids", "decoded", "n_tokens"]
+    more = spark.createDataFrame([(i, t, "en", "s", len(t), "k", i, 0.5) for i, t in more] + [(900, " ".join(f"W{i}" for i in range(12)), "en", "s", 40, "k", 1, 0.1)], SCHEMA)
+    full = docs.unionByName(more).select("*", *(F.lit(7).alias(c) for c in names if c != "score"))
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, full, d)
+        rows = out.collect()
+        none = stage(spark, full.limit(0), d)
+        assert none.count() == 0 and none.columns == out.columns
+        if name == "encoding":
+            assert len(rows) == full.count() and {r["n_tokens"] for r in rows if r["doc_id"] in (5, 6)} == {0}
+            continue
+        assert out.columns == full.columns and all(r["kept_text"] == 7 and r["n_lines"] == 7 for r in rows)
+        left = {r["doc_id"] for r in rows}
+        assert left <= {r["doc_id"] for r in full.collect()}
+        if name == "quality":
+            assert left >= {i for i in range(100, 160)} and not left & {i for i in range(300, 360)}
+        elif name == "lines":
+            assert {r["text"] for r in rows if r["doc_id"] == 6} == {None} and {r["text"] for r in rows if r["doc_id"] == 5} == {""}
+        elif name == "near_duplicates":
+            assert {0, 4, 5, 6, 7} <= left and not left & {1, 2, 8} and sum(r["doc_id"] == 0 for r in rows) == 2
+        else:
+            assert 900 not in left and len(rows) == full.count() - 1
