@@ -55,7 +55,7 @@ def test_windows_cover_the_text(spark):
     docs = spark.createDataFrame([(1, "x" * 25), (2, ""), (3, None), (4, "abc")], "doc_id long, text string")
     got = index.fixed_windows(docs, 10, 3).orderBy("doc_id", "chunk_index").collect()
     assert [(r["doc_id"], len(r["chunk"])) for r in got] == [(1, 10), (1, 10), (1, 10), (1, 4), (4, 3)]
-    back = {r["doc_id"]: r["text"] for r in records.rebuild_text(index.fixed_windows(docs, 10, 3), 3, 3).collect()}
+    back = {r["doc_id"]: r["text"] for r in records.rebuild_text(index.fixed_windows(docs, 10, 3), 3, 3, "").collect()}
     assert back == {1: "x" * 25, 4: "abc"}
 
 

@@ -6,10 +6,13 @@ generation and needs no shuffle. Null texts count as empty.
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .profiles import LATIN, Profile
+from .profiles import HAN, LATIN, Profile
 
 
 def _c(x: Column | str) -> Column:
@@ -63,9 +66,13 @@ def clean_text(text: Column | str, profile: Profile = LATIN) -> Column:
     return F.regexp_replace(F.regexp_replace(out, "^[ \t\r\n]+", ""), "[ \t\r\n]+$", "")
 
 
+#: Signs that extraction leaves behind: replacement character, private use area, zero-width marks.
+STRAY = "[\\x{fffd}\\x{e000}-\\x{f8ff}\\x{200b}\\x{feff}]"
+
+
 def preprocess(text: Column | str, profile: Profile = LATIN) -> Column:
-    """Drop end marks, dates, footnotes and page numbers on lines of their own; inline bullets become list lines."""
-    out = blank(text)
+    """Drop stray glyphs, and end marks, dates, footnotes and page numbers on lines of their own; inline bullets become list lines."""
+    out = F.regexp_replace(blank(text), STRAY, "")
     for pattern in profile.preprocess:
         out = F.regexp_replace(out, pattern, "")
     out = F.regexp_replace(out, "\n{4,}", "\n\n\n")
@@ -108,8 +115,18 @@ def clean_label(label: Column | str) -> Column:
 
 
 def route_questions(queries: DataFrame, text: str = "text", profile: Profile = LATIN) -> DataFrame:
-    """One flag per route."""
-    return queries.withColumns({k: blank(text).rlike(p) for k, p in profile.routes.items()})
+    """One flag per route; ``is_single_overview`` is the overview flag where one document is chosen."""
+    flags = {k: blank(text).rlike(p) for k, p in profile.routes.items()}
+    single = flags["is_overview"] | blank(text).rlike(profile.single) | flags["is_enumerate"]
+    return queries.withColumns(flags | {"is_single_overview": single})
+
+
+def narrative_expand(question: Column | str, profile: Profile = LATIN) -> Column:
+    """The first of the longest terms of a narrative question that are no stopwords, and the history vocabulary; null for others."""
+    terms = query_terms(question, profile)
+    most = F.array_max(F.transform(terms, lambda t: F.length(t)))
+    entity = F.get(F.filter(terms, lambda t: F.length(t) == most), F.lit(0))
+    return F.when(blank(question).rlike(profile.routes["is_narrative"]) & entity.isNotNull(), F.concat_ws(" ", entity, *(F.lit(w) for w in profile.history)))
 
 
 def refine_query(text: Column | str, qualifiers: tuple[str, ...] = ("author", "history", "summary", "review", "meaning")) -> Column:
@@ -122,14 +139,25 @@ def refine_query(text: Column | str, qualifiers: tuple[str, ...] = ("author", "h
     return F.when(name != "", F.concat(name, extra)).otherwise(F.substring(t, 1, 30))
 
 
-def infer_category(label: Column | str, profile: Profile = LATIN) -> Column:
-    """The first category whose pattern the label matches, else ``concept``."""
+def infer_category(label: Column | str, profile: Profile = LATIN, novel: bool = False) -> Column:
+    """The first category whose pattern the label matches, persons between locations and events, else ``concept``."""
     out = F.lit("concept")
     for name, pattern in reversed(profile.categories):
         out = F.when(F.lower(blank(label)).rlike(pattern), F.lit(name)).otherwise(out)
+        if name == "event":
+            out = F.when(is_person(label, profile, novel), F.lit("person")).otherwise(out)
     return out
 
 
+def is_person(label: Column | str, profile: Profile = LATIN, novel: bool = False) -> Column:
+    """A title and a name; or 2 to 4 Han characters from a surname on (in novels any 3 or 4), not ending like a noun."""
+    t = blank(label)
+    if profile.titles:
+        return t.rlike(profile.titles)
+    han = t.rlike(f"^[{HAN}]{{2,4}}$") & ~t.rlike(f"[{profile.noun_ends}]$")
+    return han & (t.rlike(f"^[{profile.surnames}]") | (F.lit(novel) & (F.length(t) >= 3)))
+
+
 def detect_doc_type(text: Column | str, profile: Profile = LATIN) -> Column:
     """Academic with at least 3 hint words in the first 3000 characters and over 1.5 times the novel's; novel with at least 4 and more; else general."""
     head = F.lower(F.substring(blank(text), 1, 3000))
@@ -193,10 +221,25 @@ def heading_id(text: Column | str) -> Column:
     return F.concat(F.lit("heading-"), F.url_encode(F.regexp_replace(t, "[^\\p{L}\\p{N}_-]", "")))
 
 
-def canonical_label(label: Column | str) -> Column:
-    """H3: without notes in brackets, spaces, dots and dashes; lower case (ASCII labels need no NFKC)."""
-    t = F.regexp_replace(blank(label), "[（(][^）)]*[)）]", "")
-    return F.lower(F.regexp_replace(t, "[ \t\r\n·•_—　-]+", ""))
+def canonical_label(label: Column | str, synonyms: dict[str, str] | None = None, nfkc: bool = False) -> Column:
+    """H3: without notes in brackets, spaces, dots and dashes; lower case; then its synonym, if it has one.
+
+    With ``nfkc`` compatibility forms are unified first, in Arrow batches; ASCII labels do not need that.
+    """
+    t = F.regexp_replace(compatible(blank(label)) if nfkc else blank(label), "[（(][^）)]*[)）]", "")
+    t = F.lower(F.regexp_replace(t, "[ \t\r\n·•_—　-]+", ""))
+    if not synonyms:
+        return t
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in synonyms.items() for x in pair))[t], t)
+
+
+def compatible(text: Column) -> Column:
+    """NFKC of a column, which Spark has no function for."""
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+
+    return F.pandas_udf(run, "string")(text)
 
 
 def focus_score(text: Column | str, focus: str) -> Column:
@@ -271,6 +314,12 @@ def score_to_weight(score: Column | str) -> Column:
     return F.bround(0.4 + 0.6 * F.coalesce(_c(score), F.lit(0.0)), 3)
 
 
+def edge_label(label: Column | str, src: Column | str, dst: Column | str) -> Column:
+    """An edge's label, or ``a→b`` where it is blank."""
+    t = F.trim(blank(label))
+    return F.when(t != "", t).otherwise(F.concat(blank(src), F.lit("→"), blank(dst)))
+
+
 def interpret_rewrite(raw: Column | str, query: Column | str) -> Column:
     """struct(rewrite, expansion) of a two-line output; a rewrite of 3 to 80 characters, else the query."""
     lines = F.filter(F.transform(F.split(blank(raw), "\n", -1), lambda s: F.trim(s)), lambda x: x != "")

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import text as fx
 
 
-def document_stats(docs: DataFrame) -> DataFrame:
-    """Characters without white space, Han characters, words, sentences and paragraphs of each document."""
+def document_stats(docs: DataFrame, pages: DataFrame | None = None, headings: DataFrame | None = None) -> DataFrame:
+    """Characters without white space, Han characters, words, sentences and paragraphs of each document.
+
+    With ``pages`` (doc_id, page) also ``pages``, the largest; with ``headings`` (doc_id) also ``chapters``,
+    their number, null for none. Both combine before their shuffle.
+    """
     t = fx.blank("text")
     paragraphs = F.filter(F.split(t, "\n[ \t]*\n", -1), lambda p: F.trim(F.translate(p, "\n", " ")) != "")
-    return docs.select(
+    out = docs.select(
         "doc_id",
         F.length(F.regexp_replace(t, "[ \t\r\n]", "")).cast("long").alias("n_chars"),
         F.length(F.regexp_replace(t, "[^\\x{4e00}-\\x{9fff}]", "")).cast("long").alias("n_han"),
@@ -20,20 +24,37 @@ def document_stats(docs: DataFrame) -> DataFrame:
         F.size(fx.sentence_array("text")).cast("long").alias("n_sentences"),
         F.size(paragraphs).cast("long").alias("n_paragraphs"),
     )
+    if pages is not None:
+        out = out.join(pages.groupBy("doc_id").agg(F.max("page").alias("pages")), "doc_id", "left")
+    if headings is not None:
+        out = out.join(headings.groupBy("doc_id").agg(F.count("*").alias("chapters")), "doc_id", "left")
+    return out
 
 
-def library_stats(stats: DataFrame, docs: DataFrame, by: str = "lang") -> DataFrame:
-    """D3: totals per format and over the library (``all``)."""
-    both = stats.join(docs.select("doc_id", F.col(by).alias("format")), "doc_id")
-    out = both.rollup("format").agg(F.count("*").alias("n_documents"), F.sum("n_words").alias("n_words"), F.sum("n_sentences").alias("n_sentences"))
-    return out.withColumn("format", F.coalesce("format", F.lit("all")))
-
+def library_stats(stats: DataFrame, docs: DataFrame, by: str = "lang", ids: str | None = None) -> DataFrame:
+    """D3: a row per document (``kind`` document), per format (format) and for the library (library), with totals.
 
-def file_catalogue(chunks: DataFrame) -> DataFrame:
-    """Chunks, characters and the first chunk of each document."""
-    return chunks.groupBy("doc_id").agg(
+    With ``ids`` only documents whose id contains it count. Chapters belong to documents alone.
+    """
+    both = stats.join(docs.select("doc_id", F.col(by).alias("format")), "doc_id")
+    if ids is not None:
+        both = both.where(F.contains(F.col("doc_id").cast("string"), F.lit(ids)))
+    sums = [F.count("*").alias("n_documents"), F.sum("n_words").alias("n_words"), F.sum("n_sentences").alias("n_sentences")]
+    totals = both.rollup("format").agg(*sums, F.grouping("format").alias("all"))
+    none = F.lit(None).cast("long").alias("chapters")
+    totals = totals.select(F.when(F.col("all") == 1, "library").otherwise("format").alias("kind"), F.lit(None).cast("string").alias("doc_id"), "format", "n_documents", "n_words", "n_sentences", none)
+    chapters = F.col("chapters") if "chapters" in both.columns else none
+    each = both.select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("doc_id"), "format", F.lit(1).cast("long").alias("n_documents"), "n_words", "n_sentences", chapters)
+    return each.unionByName(totals)
+
+
+def file_catalogue(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """Chunks, characters, the first chunk, suffix and metadata of each document; ``files`` has doc_id, file_name and more."""
+    out = chunks.groupBy("doc_id").agg(
         F.count("*").alias("n_chunks"), F.sum(F.length("chunk")).alias("n_chars"), F.md5(F.min_by("chunk", "chunk_index")).alias("first_md5")
     )
+    suffix = F.when(F.contains("file_name", F.lit(".")), F.lower(F.substring_index("file_name", ".", -1))).otherwise("")
+    return out.join(files.withColumn("suffix", suffix), "doc_id")
 
 
 def html_to_text(pages: DataFrame, max_lines: int = 300, max_chars: int = 15_000) -> DataFrame:
@@ -53,18 +74,36 @@ def html_to_text(pages: DataFrame, max_lines: int = 300, max_chars: int = 15_000
 
 
 def corpus_diff(disk: DataFrame, indexed: DataFrame) -> DataFrame:
-    """(path, status) of new, modified (mtime off by over a second, or another size) and deleted files."""
-    both = disk.alias("a").join(indexed.alias("b"), F.col("a.path") == F.col("b.path"), "full")
-    status = (
-        F.when(F.col("b.path").isNull(), "new").when(F.col("a.path").isNull(), "deleted")
-        .when((F.abs(F.col("a.mtime") - F.col("b.mtime")) > 1) | (F.col("a.size") != F.col("b.size")), "modified")
-    )
-    return both.select(F.coalesce("a.path", "b.path").alias("path"), status.alias("status")).where("status IS NOT NULL")
+    """(rel_path, name, status) of new, modified (mtime off by over a second, or another size) and deleted files.
+
+    ``disk`` has source_root, rel_path, name, size and mtime; ``indexed`` the same, where older rows lack the
+    root, or root and path. A file matches its row by root and path, else by path alone, else by name.
+    """
+    exact = indexed.where("source_root IS NOT NULL AND rel_path IS NOT NULL")
+    by_path = indexed.where("source_root IS NULL AND rel_path IS NOT NULL")
+    by_name = indexed.where("rel_path IS NULL")
+    facts = F.struct("mtime", "size")
+    first = lambda df, *key: df.groupBy(*key).agg(F.min(facts).alias("f"))
+    both = disk.join(first(exact, "source_root", "rel_path").withColumnRenamed("f", "f1"), ["source_root", "rel_path"], "left")
+    both = both.join(first(by_path, "rel_path").withColumnRenamed("f", "f2"), "rel_path", "left")
+    both = both.join(first(by_name, "name").withColumnRenamed("f", "f3"), "name", "left").withColumn("f", F.coalesce("f1", "f2", "f3"))
+    status = F.when(F.col("f").isNull(), "new").when((F.abs(F.col("mtime") - F.col("f.mtime")) > 1) | (F.col("size") != F.col("f.size")), "modified")
+    changed = both.select("rel_path", "name", status.alias("status")).where("status IS NOT NULL")
+    gone = exact.unionByName(by_path).join(disk.select("rel_path"), "rel_path", "left_anti").select("rel_path", "name")
+    gone = gone.unionByName(by_name.join(disk.select("name"), "name", "left_anti").select("rel_path", "name"))
+    return changed.unionByName(gone.withColumn("status", F.lit("deleted")))
 
 
-def skip_unchanged(disk: DataFrame, indexed: DataFrame) -> DataFrame:
-    """Files that are not indexed with just this time and size."""
-    return disk.join(indexed.select("path", "mtime", "size"), ["path", "mtime", "size"], "left_anti").select("path", "size", "mtime")
+def diff_counts(diff: DataFrame, indexed: DataFrame) -> DataFrame:
+    """One row: numbers of new, modified and deleted files, of indexed ones, and the latest ``uploaded_at``."""
+    n = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)
+    return diff.agg(n("new"), n("modified"), n("deleted")).crossJoin(indexed.agg(F.count("*").alias("total_indexed"), F.max("uploaded_at").alias("last_scan")))
+
+
+def skip_unchanged(disk: DataFrame, indexed: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Files that are not indexed with just this time and size; of ``targets`` (path) only, where given."""
+    files = disk if targets is None else disk.join(targets.select("path"), "path", "left_semi")
+    return files.join(indexed.select("path", "mtime", "size"), ["path", "mtime", "size"], "left_anti").select("path", "size", "mtime")
 
 
 def cross_document_terms(docs: DataFrame) -> DataFrame:
@@ -93,11 +132,31 @@ def replace_documents(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return stored.join(fresh.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(fresh)
 
 
-def delete_documents(stored: DataFrame, ids: DataFrame) -> DataFrame:
-    """Chunks of documents that are not in ``ids`` (blank ids are ignored)."""
-    return stored.join(ids.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "doc_id", "left_anti")
+def delete_documents(stored: DataFrame, ids: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Chunks none of whose columns ``by`` (such as physical and file name) is in ``ids`` (id); blank ids are ignored."""
+    ids = _ids(ids, stored, by[0])
+    for c in by:
+        stored = stored.join(ids.withColumnRenamed("id", c), c, "left_anti")
+    return stored
+
+
+def removed_counts(stored: DataFrame, ids: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(id, removed): how many chunks ``delete_documents`` takes away for each id, 0 included."""
+    ids = _ids(ids, stored, by[0])
+    keys = stored.select(F.explode(F.array_distinct(F.array(*(F.col(c) for c in by)))).alias("id")).groupBy("id").agg(F.count("*").alias("removed"))
+    return ids.join(keys, "id", "left").select("id", F.coalesce("removed", F.lit(0)).alias("removed"))
+
+
+def _ids(ids: DataFrame, stored: DataFrame, like: str) -> DataFrame:
+    filled = ids.where(F.trim(F.col("id").cast("string")) != "").select(F.col("id").cast(stored.schema[like].dataType).alias("id"))
+    return filled.distinct()
 
 
 def delete_domain(stored: DataFrame, domain: str) -> DataFrame:
     """Everything outside the domain."""
     return stored.where(~F.col("domain").eqNullSafe(F.lit(domain)))
+
+
+def domain_files(stored: DataFrame) -> DataFrame:
+    """(domain, n_files): how many files ``delete_domain`` would remove."""
+    return stored.groupBy("domain").agg(F.count_distinct("doc_id").alias("n_files"))

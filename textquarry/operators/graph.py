@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from ..sources.tables import shared_dir
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder; only where none is set, in one of this machine's (tests)."""
+    """Cut lineage in the shared folder."""
     spark: SparkSession = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textquarry-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
 
 

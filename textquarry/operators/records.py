@@ -15,17 +15,34 @@ from pyspark.sql import types as T
 
 
 def session_rollup(messages: DataFrame) -> DataFrame:
-    """(conv_id, n_messages, n_user, n_chars)."""
+    """(conv_id, library, created, updated, n_messages, n_user, n_chars) of messages with ``ts`` and ``library``.
+
+    A session's library is that of its latest message.
+    """
     return messages.groupBy("conv_id").agg(
-        F.count("*").alias("n_messages"), F.count(F.when(F.col("role") == "user", 1)).alias("n_user"), F.sum(F.length("text")).alias("n_chars")
-    )
+        F.max_by("library", "ts").alias("library"), F.min("ts").alias("created"), F.max("ts").alias("updated"),
+        F.count("*").alias("n_messages"), F.count(F.when(F.col("role") == "user", 1)).alias("n_user"), F.sum(F.length("text")).alias("n_chars"),
+    )
+
+
+def save_sessions(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The stored messages with those of every session in ``fresh`` replaced as a whole."""
+    return stored.join(fresh.select("conv_id").distinct(), "conv_id", "left_anti").unionByName(fresh)
 
 
-def conversation_window(messages: DataFrame, turns: int = 6, chars: int = 200) -> DataFrame:
-    """The last ``turns`` turns of each conversation, ``chars`` characters each, in order."""
+def conversation_window(messages: DataFrame, turns: int = 6, chars: int = 200, pairs: int = 4, pair_chars: int = 300) -> DataFrame:
+    """(conv_id, part, turn, back, role, text): the last user turn (``question``), the last ``pairs`` pairs of turns
+    before it (``history``) and the last ``turns`` turns (``recent``), cut to so many characters; ``back`` counts from 1.
+
+    Null and blank turns are no history.
+    """
+    asked = messages.withColumn("asked", F.max(F.when(F.col("role") == "user", F.col("turn"))).over(Window.partitionBy("conv_id")))
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    last = messages.withColumn("back", F.row_number().over(w)).where(F.col("back") <= turns)
-    return last.select("conv_id", "turn", "back", "role", F.substring("text", 1, chars).alias("text"))
+    row = lambda df, part, n: df.select("conv_id", F.lit(part).alias("part"), "turn", "back", "role", F.substring("text", 1, n).alias("text"))
+    question = asked.where("turn = asked").withColumn("back", F.lit(1))
+    history = asked.where("turn < asked").where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("back", F.row_number().over(w)).where(F.col("back") <= 2 * pairs)
+    recent = messages.withColumn("back", F.row_number().over(w)).where(F.col("back") <= turns)
+    return row(question, "question", 1_000_000).unionByName(row(history, "history", pair_chars)).unionByName(row(recent, "recent", chars))
 
 
 def session_preview(messages: DataFrame, chars: int = 50) -> DataFrame:
@@ -36,34 +53,48 @@ def session_preview(messages: DataFrame, chars: int = 50) -> DataFrame:
 
 
 def page_sessions(sessions: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """one page of the sessions, the longest first."""
-    return sessions.orderBy(F.desc("n_messages"), "conv_id").offset(offset).limit(limit)
+    """one page of the sessions, the newest first."""
+    return sessions.orderBy(F.desc("updated"), F.desc("conv_id")).offset(offset).limit(limit)
+
+
+def reading_records(events: DataFrame, ignored: tuple[str, ...] = ()) -> DataFrame:
+    """Per user and document the first and last time and the count; works on streams (update mode) and tables."""
+    kept = events.where(~F.col("document").isin(list(ignored))) if ignored else events
+    return kept.groupBy("user_id", "document").agg(F.min("ts").alias("first_read"), F.max("ts").alias("last_read"), F.count("*").alias("read_count"))
 
 
-def reading_records(events: DataFrame) -> DataFrame:
-    """Per user and kind of event the first and last time and the count; works on streams (update mode) and tables."""
-    return events.groupBy("user_id", "event_type").agg(F.min("ts").alias("first_read"), F.max("ts").alias("last_read"), F.count("*").alias("read_count"))
+def with_totals(page: DataFrame, **totals: DataFrame) -> DataFrame:
+    """``page`` with the number of rows of each of ``totals`` as a column."""
+    for name, df in totals.items():
+        page = page.crossJoin(F.broadcast(df.agg(F.count("*").alias(name))))  # one row
+    return page
 
 
 def reading_history(records: DataFrame, limit: int) -> DataFrame:
-    """latest first, then most read, then first read."""
-    return records.orderBy(F.desc("last_read"), F.desc("read_count"), "first_read", "user_id", "event_type").limit(limit)
+    """latest first, then most read, then first read; with the ``total`` of all records."""
+    page = records.orderBy(F.desc("last_read"), F.desc("read_count"), "first_read", "user_id", "document").limit(limit)
+    return with_totals(page, total=records)
 
 
-def continue_reading(records: DataFrame, n: int = 5) -> DataFrame:
-    """each user's ``n`` latest records."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("last_read"), "event_type")
-    return records.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+def continue_reading(records: DataFrame, n: int = 5, reason: str = "read recently") -> DataFrame:
+    """each user's ``n`` latest records, with the reason to suggest them."""
+    w = Window.partitionBy("user_id").orderBy(F.desc("last_read"), "document")
+    return records.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).withColumn("reason", F.lit(reason))
 
 
 # -- cards --------------------------------------------------------------------------------------
 
 
-def card_dedup(cards: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
-    """One card per trimmed lower-case label, the most important; labels of one character or in ``skip`` go."""
-    key = F.lower(F.trim("label"))
+def card_dedup(cards: DataFrame, files: DataFrame | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
+    """One card per trimmed lower-case label, the most important; labels of one character or in ``skip`` go.
+
+    With ``files`` (document), cards none of whose ``sources`` are among them go first.
+    """
+    if files is not None:
+        live = cards.select("card_id", F.explode("sources").alias("document")).join(files.select("document"), "document", "left_semi")
+        cards = cards.join(live.select("card_id"), "card_id", "left_semi")
     w = Window.partitionBy("key").orderBy(F.desc("importance"), "card_id")
-    kept = cards.withColumn("key", key).where((F.length("key") > 1) & ~F.col("key").isin(list(skip)))
+    kept = cards.withColumn("key", F.lower(F.trim("label"))).where((F.length("key") > 1) & ~F.col("key").isin(list(skip)))
     return kept.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "key")
 
 
@@ -73,36 +104,59 @@ def card_upsert(stored: DataFrame, fresh: DataFrame, now: Column) -> DataFrame:
     return fresh.join(old, "card_id", "left").select("card_id", "label", "importance", F.coalesce("was", now).alias("created_at"), now.alias("updated_at"))
 
 
-def filter_cards(cards: DataFrame, text: str) -> DataFrame:
-    """Cards whose label contains ``text``, whatever the case."""
-    return cards.where(F.contains(F.lower("label"), F.lit(text.lower())))
+def filter_cards(cards: DataFrame, document: str | None = None, difficulty: str | None = None, text: str = "") -> DataFrame:
+    """Cards of the document and difficulty, if given, with ``text`` in front, back or a tag, whatever the case."""
+    if document is not None:
+        cards = cards.where(F.col("document") == document)
+    if difficulty is not None:
+        cards = cards.where(F.col("difficulty") == difficulty)
+    has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(text.lower()))
+    return cards.where(has(F.col("front")) | has(F.col("back")) | F.exists("tags", has)) if text else cards
 
 
-def list_cards(cards: DataFrame, text: str, limit: int) -> DataFrame:
-    """matching cards by importance, then label."""
-    return filter_cards(cards, text).orderBy(F.desc("importance"), "label", "card_id").limit(limit)
+def list_cards(cards: DataFrame, text: str = "", limit: int | None = 20) -> DataFrame:
+    """cards with ``text`` in label or description by importance, label and latest update; ``limit`` None: all.
+
+    ``total`` is the number of rows given, ``total_all`` that of all cards.
+    """
+    t = F.lit(text.strip().lower())
+    found = cards.where(F.contains(F.lower("label"), t) | F.contains(F.lower("description"), t))
+    page = found.orderBy(F.desc("importance"), "label", F.desc("updated_at"), "card_id")
+    page = page if limit is None else page.limit(limit)
+    return with_totals(page, total=page, total_all=cards)
 
 
 def review_state(cards: DataFrame) -> DataFrame:
-    """Number of cards by difficulty, one column each."""
-    pivot = cards.groupBy("document").pivot("difficulty", ["new", "easy", "medium", "hard"]).count()
-    return pivot.na.fill(0)
+    """Per document the number of cards by difficulty (``new``, ``easy``, ``medium``, ``hard``), of all, and to review again."""
+    kinds = ("new", "easy", "medium", "hard")
+    pivot = cards.groupBy("document").pivot("difficulty", list(kinds)).count().na.fill(0)
+    return pivot.withColumn("cards", sum(F.col(k) for k in kinds)).withColumn("review", F.col("medium") + F.col("hard"))
+
+
+def review_set(cards: DataFrame) -> DataFrame:
+    """The cards to review again."""
+    return cards.where(F.col("difficulty").isin("medium", "hard"))
 
 
 def import_cards(stored: DataFrame, imported: DataFrame) -> DataFrame:
-    """Imported cards that are not stored yet, the first of repeats, then the stored ones."""
-    w = Window.partitionBy("label").orderBy("card_id")
-    new = imported.where(F.trim("label") != "").withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
-    return new.join(stored.select("label"), "label", "left_anti").select(*stored.columns).unionByName(stored)
+    """Imported cards with both sides that are not stored yet by (front, back), the first of repeats; then the stored ones.
+
+    A difficulty that is none counts as new; ``place`` is 0 for imported cards and 1 for stored ones.
+    """
+    w = Window.partitionBy("front", "back").orderBy("card_id")
+    filled = imported.where((F.trim("front") != "") & (F.trim("back") != "")).withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    new = filled.join(stored.select("front", "back"), ["front", "back"], "left_anti").select(*stored.columns)
+    level = F.when(F.col("difficulty").isin("new", "easy", "medium", "hard"), F.col("difficulty")).otherwise("new")
+    return new.withColumn("difficulty", level).withColumn("place", F.lit(0)).unionByName(stored.withColumn("place", F.lit(1)))
 
 
 # -- samples and cuts of documents --------------------------------------------------------------
 
 
-def even_sample(rows: DataFrame, cap: int, by: str = "doc_id", order: str = "chunk_index") -> DataFrame:
+def even_sample(rows: DataFrame, cap: int, by: tuple[str, ...] = ("doc_id",), order: str = "chunk_index") -> DataFrame:
     """At most ``cap`` rows of a group at round(i (n - 1) / (cap - 1)), half-even, first and last included."""
-    n = F.count("*").over(Window.partitionBy(by))
-    w = Window.partitionBy(by).orderBy(order)
+    n = F.count("*").over(Window.partitionBy(*by))
+    w = Window.partitionBy(*by).orderBy(order)
     numbered = rows.withColumn("n", n).withColumn("at", F.row_number().over(w) - 1)
     # Row r is picked when some i rounds to it: only the two nearest i can.
     i = F.col("at") * (cap - 1) / F.greatest(F.col("n") - 1, F.lit(1))
@@ -133,17 +187,18 @@ def thesis_sample(docs: DataFrame, limit: int = 12_000) -> DataFrame:
     return docs.select("doc_id", F.when(n > limit, F.substring(joined, 1, limit)).otherwise(F.col("text")).alias("sample"))
 
 
-def map_groups(chunks: DataFrame) -> DataFrame:
-    """3, 4, 5 or 6 groups of a document's chunks by their number; (doc_id, chunk_index, grp)."""
+def map_groups(chunks: DataFrame, picks: int = 8) -> DataFrame:
+    """3, 4, 5 or 6 groups of a document's chunks by their number, ``picks`` even ones of each; (doc_id, chunk_index, grp)."""
     n = F.count("*").over(Window.partitionBy("doc_id"))
     k = F.when(F.col("n") <= 100, 3).when(F.col("n") <= 600, 4).when(F.col("n") <= 2000, 5).otherwise(6)
     rows = chunks.withColumn("n", n).withColumn("k", k)
     bounds = F.transform(F.sequence(F.lit(1), F.col("k")), lambda g: F.bround(g * F.col("n") / F.col("k"), 0))
-    return rows.withColumn("bounds", bounds).select("doc_id", "chunk_index", F.size(F.filter("bounds", lambda b: b <= F.col("chunk_index"))).alias("grp"))
+    grouped = rows.withColumn("bounds", bounds).select("doc_id", "chunk_index", F.size(F.filter("bounds", lambda b: b <= F.col("chunk_index"))).alias("grp"))
+    return even_sample(grouped, picks, ("doc_id", "grp"))
 
 
-def rebuild_text(chunks: DataFrame, least: int = 8, most: int = 240) -> DataFrame:
-    """A document's chunks in order, without the longest prefix that repeats the end of the chunk before."""
+def rebuild_text(chunks: DataFrame, least: int = 8, most: int = 120, joint: str = "\n") -> DataFrame:
+    """A document's chunks in order, each without the longest prefix that repeats the end of the chunk before, joined by line ends."""
     w = Window.partitionBy("doc_id").orderBy("chunk_index")
     before = F.coalesce(F.lag("chunk").over(w), F.lit(""))
     rows = chunks.withColumn("before", before)
@@ -151,7 +206,7 @@ def rebuild_text(chunks: DataFrame, least: int = 8, most: int = 240) -> DataFram
     cut = F.coalesce(F.get(fits, F.lit(0)), F.lit(0))
     rows = rows.withColumn("rest", F.substring(F.col("chunk"), cut + 1, F.length("chunk")))
     ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "rest")))
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["rest"]), "").alias("text"))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["rest"]), joint).alias("text"))
 
 
 def attach_to_latest(rows: DataFrame, starts: DataFrame, by: str = "doc_id", at: str = "line_no") -> DataFrame:

@@ -11,7 +11,9 @@ from ..sources.tables import table
 
 
 def _messages(spark, sf_dir):
-    return table(spark, sf_dir, "conversations")
+    """Turns in order of writing, each conversation in one of three libraries."""
+    m = table(spark, sf_dir, "conversations")
+    return m.withColumn("ts", F.col("conv_id") * 1000 + F.col("turn")).withColumn("library", F.concat(F.lit("library"), F.pmod("conv_id", F.lit(3))))
 
 
 def _docs(spark, sf_dir):
@@ -23,15 +25,21 @@ def _chunks(spark, sf_dir):
 
 
 def _cards(spark, sf_dir):
-    """A card per document: its first word, its length as importance."""
+    """A card per document: its first word, its length as importance, its first line as description."""
     d = table(spark, sf_dir, "documents")
-    label = F.regexp_extract(fx.blank("text"), "^([A-Za-z]+)", 1)
-    kinds = F.array(F.lit("new"), F.lit("easy"), F.lit("medium"), F.lit("hard"))
-    return d.select(F.col("doc_id").alias("card_id"), label.alias("label"), F.col("n_chars").alias("importance"), F.col("source").alias("document"), F.get(kinds, F.pmod("doc_id", F.lit(4)).cast("int")).alias("difficulty"))
-
-
-_CARDS = """cards AS (SELECT doc_id AS card_id, regexp_extract(coalesce(text, ''), '^([A-Za-z]+)', 1) AS label, n_chars AS importance, source AS document,
-    ['new', 'easy', 'medium', 'hard'][doc_id % 4 + 1] AS difficulty FROM documents)"""
+    t = fx.blank("text")
+    label = F.regexp_extract(t, "^([A-Za-z]+)", 1)
+    kinds = F.array(F.lit("new"), F.lit("easy"), F.lit("medium"), F.lit("hard"), F.lit("odd"))
+    return d.select(
+        F.col("doc_id").alias("card_id"), label.alias("label"), F.substring_index(t, "\n", 1).alias("description"), F.col("n_chars").alias("importance"),
+        F.col("source").alias("document"), F.array("source").alias("sources"), F.array("lang", "source").alias("tags"), (F.col("n_chars") * 7 % 1000).alias("updated_at"),
+        F.get(kinds, F.pmod("doc_id", F.lit(5)).cast("int")).alias("difficulty"), label.alias("front"), F.regexp_extract(t, "([A-Za-z]+)[^A-Za-z]*$", 1).alias("back"),
+    )
+
+
+_CARDS = """cards AS (SELECT doc_id AS card_id, regexp_extract(coalesce(text, ''), '^([A-Za-z]+)', 1) AS label, string_split(coalesce(text, ''), chr(10))[1] AS description, n_chars AS importance,
+    source AS document, [source] AS sources, [lang, source] AS tags, n_chars * 7 % 1000 AS updated_at, ['new', 'easy', 'medium', 'hard', 'odd'][doc_id % 5 + 1] AS difficulty,
+    regexp_extract(coalesce(text, ''), '^([A-Za-z]+)', 1) AS front, regexp_extract(coalesce(text, ''), '([A-Za-z]+)[^A-Za-z]*$', 1) AS back FROM documents)"""
 _CHUNKS = """x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), chunks AS (SELECT doc_id, i AS chunk_index, substr(t, i * 1800 + 1, 2000) AS chunk FROM (
     SELECT doc_id, t, unnest(range(0, greatest(ceil((length(t) - 200) / 1800), 1)::BIGINT)) AS i FROM x WHERE length(t) > 0))"""
 _SENT = """s AS (SELECT doc_id, unnest(range(0, len(ss))) AS pos, unnest(ss) AS sentence FROM (SELECT doc_id, list_filter(list_transform(
@@ -55,7 +63,9 @@ def page_sessions(spark, sf_dir):
 
 
 def reading_records(spark, sf_dir):
-    return r.reading_records(table(spark, sf_dir, "events"))
+    """Each event reads a document, the one its value points to."""
+    e = table(spark, sf_dir, "events").withColumn("document", F.concat(F.lit("doc"), (F.col("value") * 100).cast("long") % 50))
+    return r.reading_records(e, ("doc13",))
 
 
 def reading_history(spark, sf_dir):
@@ -67,7 +77,9 @@ def continue_reading(spark, sf_dir):
 
 
 def card_dedup(spark, sf_dir):
-    return r.card_dedup(_cards(spark, sf_dir), ("the",))
+    """Cards of sources that have a German document."""
+    files = table(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("source").alias("document")).distinct()
+    return r.card_dedup(_cards(spark, sf_dir), files, ("the",)).select("card_id", "label", "importance", "document")
 
 
 def card_upsert(spark, sf_dir):
@@ -77,15 +89,30 @@ def card_upsert(spark, sf_dir):
 
 
 def list_cards(spark, sf_dir):
-    return r.list_cards(_cards(spark, sf_dir), "TH", 25)
+    return r.list_cards(_cards(spark, sf_dir), "TH", 25).select("card_id", "label", "importance", "updated_at", "total", "total_all")
+
+
+def filter_cards(spark, sf_dir):
+    return r.filter_cards(_cards(spark, sf_dir), "src3", "hard", "EN").select("card_id", "front", "back")
 
 
 def review_state(spark, sf_dir):
-    return r.review_state(_cards(spark, sf_dir))
+    return r.review_state(r.import_cards(_cards(spark, sf_dir).where("false"), _cards(spark, sf_dir)))
+
+
+def review_set(spark, sf_dir):
+    return r.review_set(_cards(spark, sf_dir)).select("card_id", "difficulty")
+
+
+def save_sessions(spark, sf_dir):
+    """Every third conversation is saved again with its user turns only; the turns of each session afterwards."""
+    m = _messages(spark, sf_dir)
+    saved = r.save_sessions(m, m.where("conv_id % 3 = 0 AND role = 'user'"))
+    return r.session_rollup(saved)
 
 
 def import_cards(spark, sf_dir):
-    c = _cards(spark, sf_dir).select("card_id", "label")
+    c = _cards(spark, sf_dir).select("card_id", "front", "back", "difficulty")
     return r.import_cards(c.where("card_id % 2 = 0"), c.where("card_id % 2 = 1"))
 
 
@@ -106,8 +133,8 @@ def map_groups(spark, sf_dir):
 
 
 def rebuild_text(spark, sf_dir):
-    """Chunks of every document put together again: the document's own text."""
-    return r.rebuild_text(_chunks(spark, sf_dir), most=200).select("doc_id", F.md5("text").alias("text_md5"))
+    """Chunks of 2000 characters that share 100, put together again."""
+    return r.rebuild_text(fixed_windows(table(spark, sf_dir, "documents"), 2000, 100)).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 def _lines(spark, sf_dir):
@@ -163,25 +190,42 @@ def map_partitions_by_key(spark, sf_dir):
     return r.map_partitions_by_key(_messages(spark, sf_dir).select("conv_id", "turn"), "conv_id", last, "conv_id long, last_turn long")
 
 
-_ROLL = "SELECT conv_id, count(*) AS n_messages, count(*) FILTER (WHERE role = 'user') AS n_user, sum(length(text)) AS n_chars FROM conversations GROUP BY conv_id"
-_READ = "SELECT user_id, event_type, min(ts) AS first_read, max(ts) AS last_read, count(*) AS read_count FROM events GROUP BY ALL"
+_MESSAGES = "m AS (SELECT *, conv_id * 1000 + turn AS ts, 'library' || (conv_id % 3) AS library FROM conversations)"
+_ROLLED = """SELECT conv_id, arg_max(library, ts) AS library, min(ts) AS created, max(ts) AS updated, count(*) AS n_messages, count(*) FILTER (WHERE role = 'user') AS n_user,
+    sum(length(text)) AS n_chars FROM m GROUP BY conv_id"""
+_ROLL = f"WITH {_MESSAGES} {_ROLLED}"
+_READ = """SELECT user_id, 'doc' || (trunc(value * 100)::BIGINT % 50) AS document, min(ts) AS first_read, max(ts) AS last_read, count(*) AS read_count FROM events
+    WHERE 'doc' || (trunc(value * 100)::BIGINT % 50) != 'doc13' GROUP BY ALL"""
 QUERIES = {
     "session_rollup": (session_rollup, _ROLL),
-    "conversation_window": (conversation_window, """SELECT conv_id, turn, back, role, substr(text, 1, 200) AS text FROM (
-        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 6"""),
+    "save_sessions": (save_sessions, f"WITH {_MESSAGES} {_ROLLED}".replace("FROM conversations", "FROM conversations WHERE conv_id % 3 != 0 OR role = 'user'")),
+    "conversation_window": (conversation_window, """WITH a AS (SELECT *, max(turn) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id) AS asked FROM conversations),
+        h AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM a WHERE turn < asked AND trim(coalesce(text, ''), ' ') != ''),
+        r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations)
+        SELECT conv_id, 'question' AS part, turn, 1 AS back, role, text FROM a WHERE turn = asked UNION ALL SELECT conv_id, 'history', turn, back, role, substr(text, 1, 300) FROM h WHERE back <= 8
+        UNION ALL SELECT conv_id, 'recent', turn, back, role, substr(text, 1, 200) FROM r WHERE back <= 6"""),
     "session_preview": (session_preview, """SELECT conv_id, CASE WHEN length(t) > 50 THEN substr(t, 1, 50) || '...' ELSE t END AS preview FROM (
         SELECT conv_id, regexp_replace(arg_max(text, turn), '[\\r\\n]', ' ', 'g') AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)"""),
-    "page_sessions": (page_sessions, f"SELECT * FROM ({_ROLL}) ORDER BY n_messages DESC, conv_id LIMIT 20 OFFSET 10"),
+    "page_sessions": (page_sessions, f"SELECT * FROM ({_ROLL}) ORDER BY updated DESC, conv_id DESC LIMIT 20 OFFSET 10"),
     "reading_records": (reading_records, _READ),
-    "reading_history": (reading_history, f"SELECT * FROM ({_READ}) ORDER BY last_read DESC, read_count DESC, first_read, user_id, event_type LIMIT 50"),
-    "continue_reading": (continue_reading, f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_read DESC, event_type) AS place FROM ({_READ})) WHERE place <= 5"),
-    "card_dedup": (card_dedup, f"""WITH {_CARDS} SELECT card_id, label, importance, document, difficulty FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(label)) ORDER BY importance DESC, card_id) AS rn
-        FROM cards WHERE length(trim(label)) > 1 AND lower(trim(label)) != 'the') WHERE rn = 1"""),
+    "reading_history": (reading_history, f"SELECT *, (SELECT count(*) FROM ({_READ})) AS total FROM ({_READ}) ORDER BY last_read DESC, read_count DESC, first_read, user_id, document LIMIT 50"),
+    "continue_reading": (continue_reading, f"SELECT *, 'read recently' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_read DESC, document) AS place FROM ({_READ})) WHERE place <= 5"),
+    "card_dedup": (card_dedup, f"""WITH {_CARDS} SELECT card_id, label, importance, document FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(label)) ORDER BY importance DESC, card_id) AS rn
+        FROM cards WHERE length(trim(label)) > 1 AND lower(trim(label)) != 'the' AND document IN (SELECT source FROM documents WHERE lang = 'de')) WHERE rn = 1"""),
     "card_upsert": (card_upsert, f"WITH {_CARDS} SELECT card_id, label, importance, CASE WHEN card_id % 2 = 0 THEN card_id * 10 ELSE 7 END AS created_at, 7::BIGINT AS updated_at FROM cards WHERE card_id % 3 != 0"),
-    "list_cards": (list_cards, f"WITH {_CARDS} SELECT * FROM cards WHERE contains(lower(label), 'th') ORDER BY importance DESC, label, card_id LIMIT 25"),
-    "review_state": (review_state, f"""WITH {_CARDS} SELECT document, {', '.join(f"count(*) FILTER (WHERE difficulty = '{k}') AS {k}" for k in ('new', 'easy', 'medium', 'hard'))} FROM cards GROUP BY document"""),
-    "import_cards": (import_cards, f"""WITH {_CARDS} SELECT card_id, label FROM cards WHERE card_id % 2 = 0 UNION ALL SELECT min(card_id), label FROM cards
-        WHERE card_id % 2 = 1 AND label != '' AND label NOT IN (SELECT label FROM cards WHERE card_id % 2 = 0) GROUP BY label"""),
+    "list_cards": (list_cards, f"""WITH {_CARDS}, p AS (SELECT * FROM cards WHERE contains(lower(label), 'th') OR contains(lower(description), 'th') ORDER BY importance DESC, label, updated_at DESC, card_id LIMIT 25)
+        SELECT card_id, label, importance, updated_at, (SELECT count(*) FROM p) AS total, (SELECT count(*) FROM cards) AS total_all FROM p"""),
+    "filter_cards": (filter_cards, f"""WITH {_CARDS} SELECT card_id, front, back FROM cards WHERE document = 'src3' AND difficulty = 'hard'
+        AND (contains(lower(front), 'en') OR contains(lower(back), 'en') OR len(list_filter(tags, lambda t: contains(lower(t), 'en'))) > 0)"""),
+    "review_state": (review_state, f"""WITH {_CARDS}, k AS (SELECT document, CASE WHEN difficulty = 'odd' THEN 'new' ELSE difficulty END AS difficulty FROM (
+        SELECT *, row_number() OVER (PARTITION BY front, back ORDER BY card_id) AS rn FROM cards WHERE trim(front) != '' AND trim(back) != '') WHERE rn = 1)
+        SELECT document, {', '.join(f"count(*) FILTER (WHERE difficulty = '{k}') AS {k}" for k in ('new', 'easy', 'medium', 'hard'))}, count(*) AS cards,
+        count(*) FILTER (WHERE difficulty IN ('medium', 'hard')) AS review FROM k GROUP BY document"""),
+    "review_set": (review_set, f"WITH {_CARDS} SELECT card_id, difficulty FROM cards WHERE difficulty IN ('medium', 'hard')"),
+    "import_cards": (import_cards, f"""WITH {_CARDS}, st AS (SELECT card_id, front, back, difficulty FROM cards WHERE card_id % 2 = 0),
+        im AS (SELECT *, row_number() OVER (PARTITION BY front, back ORDER BY card_id) AS rn FROM cards WHERE card_id % 2 = 1 AND front != '' AND back != '')
+        SELECT *, 1 AS place FROM st UNION ALL SELECT card_id, front, back, CASE WHEN difficulty = 'odd' THEN 'new' ELSE difficulty END, 0 FROM im
+        WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM st WHERE st.front = im.front AND st.back = im.back)"""),
     "even_sample": (even_sample, f"""WITH {_CHUNKS}, n AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id)
         SELECT DISTINCT doc_id, CASE WHEN n <= 4 THEN i ELSE round_even(i * (n - 1) / 3, 0)::BIGINT END AS chunk_index FROM (SELECT doc_id, n, unnest(range(0, least(n, 4))) AS i FROM n)"""),
     "sequential_segments": (sequential_segments, """WITH p AS (SELECT doc_id, text AS t, length(text) AS n, CASE WHEN length(text) <= 12000 THEN 1 WHEN length(text) <= 300000 THEN 4 WHEN length(text) <= 800000 THEN 6 ELSE 8 END AS parts
@@ -191,9 +235,15 @@ QUERIES = {
     "thesis_sample": (thesis_sample, """WITH p AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents)
         SELECT doc_id, md5(CASE WHEN n > 2000 THEN substr(substr(t, 1, (n * 15 // 100)) || chr(10) || substr(t, (n * 35 // 100) + 1, (n * 25 // 100)) || chr(10)
         || substr(t, n - (n * 15 // 100) + 1, (n * 15 // 100)), 1, 2000) ELSE t END) AS sample_md5 FROM p"""),
-    "map_groups": (map_groups, f"""WITH {_CHUNKS}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM chunks), k AS (SELECT *, CASE WHEN n <= 100 THEN 3 WHEN n <= 600 THEN 4 WHEN n <= 2000 THEN 5 ELSE 6 END AS k FROM n)
-        SELECT doc_id, chunk_index, len(list_filter(range(1, k + 1), lambda g: round_even(g * n / k, 0) <= chunk_index)) AS grp FROM k"""),
-    "rebuild_text": (rebuild_text, "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE length(text) > 0"),
+    "map_groups": (map_groups, f"""WITH {_CHUNKS}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM chunks), k AS (SELECT *, CASE WHEN n <= 100 THEN 3 WHEN n <= 600 THEN 4 WHEN n <= 2000 THEN 5 ELSE 6 END AS k FROM n),
+        g AS (SELECT doc_id, chunk_index, len(list_filter(range(1, k + 1), lambda g: round_even(g * n / k, 0) <= chunk_index)) AS grp FROM k),
+        z AS (SELECT doc_id, grp, count(*) AS n, min(chunk_index) AS start FROM g GROUP BY ALL)
+        SELECT DISTINCT doc_id, start + CASE WHEN n <= 8 THEN i ELSE round_even(i * (n - 1) / 7, 0)::BIGINT END AS chunk_index, grp FROM (SELECT *, unnest(range(0, least(n, 8))) AS i FROM z)"""),
+    "rebuild_text": (rebuild_text, """WITH c AS (SELECT doc_id, i, substr(text, i * 1900 + 1, 2000) AS chunk FROM (
+        SELECT doc_id, text, unnest(range(0, greatest(ceil((length(text) - 100) / 1900), 1)::BIGINT)) AS i FROM documents WHERE length(text) > 0)),
+        b AS (SELECT *, coalesce(lag(chunk) OVER (PARTITION BY doc_id ORDER BY i), '') AS before FROM c),
+        f AS (SELECT *, coalesce(list_max(list_filter(range(8, 121), lambda n: length(before) >= n AND length(chunk) >= n AND substr(chunk, 1, n) = right(before, n))), 0) AS cut FROM b)
+        SELECT doc_id, md5(string_agg(substr(chunk, cut + 1), chr(10) ORDER BY i)) AS text_md5 FROM f GROUP BY doc_id"""),
     "attach_to_latest": (attach_to_latest, """WITH l AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)))
         SELECT doc_id, line_no, max(CASE WHEN regexp_matches(line, '^[AEIOU]') THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS owner FROM l"""),
     "bucket_headings": (bucket_headings, """WITH l AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents), i AS (SELECT doc_id, n, unnest(range(0, n)) AS line_no FROM l)

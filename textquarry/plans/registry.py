@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("retrieval", "textual", "graphs", "records", "evidence", "outlines", "graph_edits", "unit_queries")
+MODULES = ("retrieval", "textual", "graphs", "records", "evidence", "outlines", "graph_edits", "unit_queries", "catalogue")
 
 
 def _all() -> dict[str, tuple]:

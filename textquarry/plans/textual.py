@@ -43,7 +43,7 @@ def _replaced(column: str, patterns, to: str = "") -> str:
 
 
 _CLEAN = _replaced(_replaced(_replaced("t", LATIN.cleanup), ["\\n{4,}"], "\n\n\n"), ["(?m)^[ \\t]*[0-9]{1,4}[ \\t]*$", "^[ \\t\\r\\n]+", "[ \\t\\r\\n]+$"])
-_PRE = _replaced(_replaced(_replaced(_replaced("t", LATIN.preprocess), ["\\n{4,}"], "\n\n\n"), ["(?m)^ {4,}"], "  "), ["([^ \\t\\r\\n])[ \\t]*•[ \\t]*"], "\\1\n- ")
+_PRE = _replaced(_replaced(_replaced(_replaced(_replaced("t", [fx.STRAY]), LATIN.preprocess), ["\\n{4,}"], "\n\n\n"), ["(?m)^ {4,}"], "  "), ["([^ \\t\\r\\n])[ \\t]*•[ \\t]*"], "\\1\n- ")
 _SENT = f"""s AS (SELECT doc_id, unnest(range(0, len(ss))) AS pos, unnest(ss) AS sentence FROM (
     SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([{LATIN.enders}])', '\\1' || chr(10), 'g'), chr(10)), lambda s: trim(s, ' ')), lambda s: s != '') AS ss FROM d))"""
 
@@ -75,7 +75,7 @@ def label_gate(spark, sf_dir):
         fx.infer_category("label").alias("category"), fx.canonical_label("label").alias("canonical"), fx.card_type(F.lit(""), "label").alias("card_type"))
 
 
-_CAT = "CASE " + " ".join(f"WHEN regexp_matches(lower(label), {_q(p)}) THEN '{n}'" for n, p in LATIN.categories) + " ELSE 'concept' END"
+_CAT = "CASE " + " ".join((f"WHEN regexp_matches(label, {_q(LATIN.titles)}) THEN 'person' " if n == "event" else "") + f"WHEN regexp_matches(lower(label), {_q(p)}) THEN '{n}'" for n, p in LATIN.categories) + " ELSE 'concept' END"
 _VALID = f"""length(label) BETWEEN 2 AND 40 AND lower(label) NOT IN ({', '.join(map(_q, fx.GENERIC_LABELS))}) AND (lower(label) IN ({', '.join(map(_q, fx.CONCEPT_WHITELIST))})
     OR regexp_matches(label, '^[A-Z]{{2,8}}$') OR regexp_matches(label, '^[A-Za-z]*[a-z][A-Z][A-Za-z]*$')
     OR (regexp_matches(label, '[A-Za-z]') AND regexp_matches(label, '[0-9]') AND regexp_matches(label, '^[A-Za-z0-9-]+$')))"""
@@ -117,18 +117,28 @@ def route_questions(spark, sf_dir):
     return fx.route_questions(c.select("conv_id", "turn", "text")).drop("text")
 
 
+def _all_stats(spark, sf_dir):
+    """Every window of a document is a page of it; headings as in ``headings``."""
+    from ..operators.index import fixed_windows
+
+    pages = fixed_windows(_docs(spark, sf_dir)).select("doc_id", (F.col("chunk_index") + 1).alias("page"))
+    return corpus.document_stats(_docs(spark, sf_dir), pages, headings(spark, sf_dir))
+
+
 def document_stats(spark, sf_dir):
-    return corpus.document_stats(_docs(spark, sf_dir))
+    return _all_stats(spark, sf_dir)
 
 
 def library_stats(spark, sf_dir):
-    return corpus.library_stats(corpus.document_stats(_docs(spark, sf_dir)), _docs(spark, sf_dir))
+    """Of the documents with a 7 in their id."""
+    return corpus.library_stats(_all_stats(spark, sf_dir), _docs(spark, sf_dir), ids="7")
 
 
 def file_catalogue(spark, sf_dir):
     from ..operators.index import fixed_windows
 
-    return corpus.file_catalogue(fixed_windows(_docs(spark, sf_dir)))
+    files = _docs(spark, sf_dir).select("doc_id", F.concat("source", F.lit("."), F.upper("lang")).alias("file_name"), "lang")
+    return corpus.file_catalogue(fixed_windows(_docs(spark, sf_dir)), files)
 
 
 def kb_stats(spark, sf_dir):
@@ -141,18 +151,6 @@ def html_to_text(spark, sf_dir):
     return corpus.html_to_text(table(spark, sf_dir, "pages")).select("page_id", "title", F.md5("content").alias("content_md5"))
 
 
-def corpus_diff(spark, sf_dir):
-    """The even documents as they are indexed, all but every 5th as on disk, every 3rd of them changed."""
-    d = _docs(spark, sf_dir).select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"), F.col("doc_id").cast("double").alias("mtime"))
-    disk = d.where("path % 5 != 0").withColumn("mtime", F.col("mtime") + F.when(F.col("path") % 3 == 0, 100.0).otherwise(0.5))
-    return corpus.corpus_diff(disk, d.where("path % 2 = 0"))
-
-
-def skip_unchanged(spark, sf_dir):
-    d = _docs(spark, sf_dir).select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"), F.col("doc_id").cast("double").alias("mtime"))
-    return corpus.skip_unchanged(d, d.where("path % 2 = 0").withColumn("size", F.col("size") + F.when(F.col("path") % 6 == 0, 1).otherwise(0)))
-
-
 def cross_document_terms(spark, sf_dir):
     return corpus.cross_document_terms(_docs(spark, sf_dir))
 
@@ -166,7 +164,11 @@ _CHUNKS = """chunks AS (SELECT doc_id, i AS chunk_index, substr(t, i * 1800 + 1,
     SELECT doc_id, t, unnest(range(0, greatest(ceil((length(t) - 200) / 1800), 1)::BIGINT)) AS i FROM d WHERE length(t) > 0))"""
 _STATS = """st AS (SELECT doc_id, length(regexp_replace(t, '[ \\t\\r\\n]', '', 'g')) AS n_chars, length(regexp_replace(t, '[^\\x{4e00}-\\x{9fff}]', '', 'g')) AS n_han,
     len(regexp_extract_all(t, '[^ \\t\\r\\n]+')) AS n_words, len(list_filter(list_transform(string_split(regexp_replace(t, '([.!?;])', '\\1' || chr(10), 'g'), chr(10)),
-    lambda s: trim(s, ' ')), lambda s: s != '')) AS n_sentences, len(list_filter(string_split_regex(t, '\\n[ \\t]*\\n'), lambda p: trim(p, ' ' || chr(10)) != '')) AS n_paragraphs FROM d)"""
+    lambda s: trim(s, ' ')), lambda s: s != '')) AS n_sentences, len(list_filter(string_split_regex(t, '\\n[ \\t]*\\n'), lambda p: trim(p, ' ' || chr(10)) != '')) AS n_paragraphs FROM d),
+    pg AS (SELECT doc_id, max(chunk_index) + 1 AS pages FROM chunks GROUP BY doc_id),
+    hd AS (SELECT doc_id, line_no, """ + _LEVEL + """ AS level, x AS text FROM (SELECT *, trim(line, ' ') AS x FROM li)),
+    ch AS (SELECT doc_id, count(DISTINCT lower(text)) AS chapters FROM hd WHERE level IS NOT NULL GROUP BY doc_id),
+    full_st AS (SELECT st.*, pages, chapters FROM st LEFT JOIN pg USING (doc_id) LEFT JOIN ch USING (doc_id))"""
 _HTML = "html"
 for _p, _to in (("(?is)<(script|style)[^>]*>.*?</(script|style)>", ""), ("(?i)</(p|div|li|tr|h[1-6]|section|article|ul|ol|table)>|<br */?>", "\n"), ("<[^>]*>", " ")):
     _HTML = f"regexp_replace({_HTML}, {_q(_p)}, {_q(_to)}, 'g')"
@@ -200,20 +202,19 @@ QUERIES = {
     "query_terms": (query_terms, f"""SELECT item_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'),
         lambda t: length(t) >= 2 AND t NOT IN ({', '.join(map(_q, LATIN.stopwords))})))), ' '), '') AS terms,
         'q:' || md5(trim(regexp_replace(coalesce(text, ''), '[ \\t\\r\\n]+', ' ', 'g'), ' ')) AS cache_key, substr(coalesce(text, ''), 1, 30) AS refined FROM benchmark"""),
-    "route_questions": (route_questions, "SELECT conv_id, turn, " + ", ".join(f"regexp_matches(coalesce(text, ''), {_q(p)}) AS {k}" for k, p in LATIN.routes.items()) + " FROM conversations"),
-    "document_stats": (document_stats, f"WITH {_D}, {_STATS} SELECT * FROM st"),
-    "library_stats": (library_stats, f"""WITH {_D}, {_STATS} SELECT coalesce(lang, 'all') AS format, count(*) AS n_documents, sum(n_words) AS n_words, sum(n_sentences) AS n_sentences
-        FROM st JOIN d USING (doc_id) GROUP BY ROLLUP (lang)"""),
-    "file_catalogue": (file_catalogue, f"WITH {_D}, {_CHUNKS} SELECT doc_id, count(*) AS n_chunks, sum(length(chunk)) AS n_chars, md5(arg_min(chunk, chunk_index)) AS first_md5 FROM chunks GROUP BY doc_id"),
+    "route_questions": (route_questions, "SELECT conv_id, turn, " + ", ".join(f"regexp_matches(coalesce(text, ''), {_q(p)}) AS {k}" for k, p in LATIN.routes.items())
+        + f", is_overview OR is_enumerate OR regexp_matches(coalesce(text, ''), {_q(LATIN.single)}) AS is_single_overview FROM conversations"),
+    "document_stats": (document_stats, f"WITH {_D}, {_CHUNKS}, {_LINES}, {_STATS} SELECT * FROM full_st"),
+    "library_stats": (library_stats, f"""WITH {_D}, {_CHUNKS}, {_LINES}, {_STATS}, b AS (SELECT full_st.*, lang AS format FROM full_st JOIN d USING (doc_id) WHERE contains(doc_id::VARCHAR, '7'))
+        SELECT 'document' AS kind, doc_id::VARCHAR AS doc_id, format, 1 AS n_documents, n_words, n_sentences, chapters FROM b
+        UNION ALL SELECT 'format', NULL, format, count(*), sum(n_words), sum(n_sentences), NULL FROM b GROUP BY format
+        UNION ALL SELECT 'library', NULL, NULL, count(*), sum(n_words), sum(n_sentences), NULL FROM b"""),
+    "file_catalogue": (file_catalogue, f"""WITH {_D}, {_CHUNKS} SELECT doc_id, count(*) AS n_chunks, sum(length(chunk)) AS n_chars, md5(arg_min(chunk, chunk_index)) AS first_md5,
+        any_value(d.source || '.' || upper(d.lang)) AS file_name, any_value(d.lang) AS lang, any_value(d.lang) AS suffix FROM chunks JOIN d USING (doc_id) GROUP BY doc_id"""),
     "kb_stats": (kb_stats, f"WITH {_D}, {_CHUNKS} SELECT count(*) AS n_chunks, count(DISTINCT doc_id) AS n_files FROM chunks"),
     "html_to_text": (html_to_text, f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), x AS (SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' '), ''), 'Imported') AS title,
         list_filter(list_transform(string_split({_HTML}, chr(10)), lambda s: trim(regexp_replace(s, '[ \\t]+', ' ', 'g'), ' ')), lambda s: length(s) > 5)[1:300] AS ls FROM p)
         SELECT page_id, title, md5(substr(coalesce(array_to_string(ls, chr(10)), ''), 1, 15000)) AS content_md5 FROM x"""),
-    "corpus_diff": (corpus_diff, """WITH d AS (SELECT doc_id AS path, n_chars AS size, doc_id::DOUBLE AS mtime FROM documents),
-        disk AS (SELECT path, size, mtime + CASE WHEN path % 3 = 0 THEN 100 ELSE 0.5 END AS mtime FROM d WHERE path % 5 != 0), ind AS (SELECT * FROM d WHERE path % 2 = 0)
-        SELECT * FROM (SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'new' WHEN a.path IS NULL THEN 'deleted'
-        WHEN abs(a.mtime - b.mtime) > 1 OR a.size != b.size THEN 'modified' END AS status FROM disk a FULL JOIN ind b ON a.path = b.path) WHERE status IS NOT NULL"""),
-    "skip_unchanged": (skip_unchanged, "SELECT doc_id AS path, n_chars AS size, doc_id::DOUBLE AS mtime FROM documents WHERE doc_id % 2 != 0 OR doc_id % 6 = 0"),
     "cross_document_terms": (cross_document_terms, f"""WITH {_D}, w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(t), '[a-z0-9_]+')) AS term FROM d), c AS (SELECT term, count(*) AS n, min(doc_id) AS first_doc FROM w GROUP BY term)
         SELECT term, n AS n_documents, n > 1 AS shared, CASE WHEN n = 1 THEN first_doc END AS only_doc FROM c"""),
     "markdown_sections": (markdown_sections, f"""WITH {_D}, {_LINES}, m AS (SELECT doc_id, line_no, CASE WHEN line_no % 7 = 0 THEN '## ' || line ELSE line END AS line FROM li),

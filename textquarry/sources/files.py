@@ -22,11 +22,12 @@ def scan_corpus(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFF
     return files.select("path", name.alias("name"), F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"), text.alias("text"))
 
 
-def path_identity(path: Column, root: str) -> Column:
-    """A2: struct(source_root, rel_path, rel_dir); ``rel_dir`` is the folder, or ``.``."""
+def path_identity(path: Column, root: str, default: str = "default") -> Column:
+    """A2: struct(source_root, rel_path, rel_dir, domain); ``rel_dir`` is the folder, or ``.``; the domain its last name, or ``default``."""
     rel = F.regexp_replace(F.translate(path, "\\", "/"), "^.*?" + root.strip("/").replace(".", "\\.") + "/", "")
     folder = F.when(F.contains(rel, F.lit("/")), F.regexp_replace(rel, "/[^/]*$", "")).otherwise(".")
-    return F.struct(F.lit(root).alias("source_root"), rel.alias("rel_path"), folder.alias("rel_dir"))
+    domain = F.when(folder == ".", F.lit(default)).otherwise(F.substring_index(folder, "/", -1))
+    return F.struct(F.lit(root).alias("source_root"), rel.alias("rel_path"), folder.alias("rel_dir"), domain.alias("domain"))
 
 
 def wrap_source_code(name: Column, text: Column) -> Column:

@@ -2,9 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table by name; Spark prunes its columns and pushes filters into it."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; unset, one of this machine in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, "") or _fresh(spark)
+
+
+def _fresh(spark: SparkSession) -> str:
+    path = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="textquarry-")
+    return path

@@ -24,7 +24,7 @@ def incremental_index(stream: DataFrame, path: str, checkpoint: str, size: int =
         fresh = index.fixed_windows(batch.dropDuplicates(["doc_id"]), size, overlap)
         if number:
             stored = spark.read.parquet(f"{path}/v={number - 1}")
-            fresh = corpus.delete_documents(stored, batch.select("doc_id")).unionByName(fresh)
+            fresh = corpus.delete_documents(stored, batch.select(F.col("doc_id").alias("id"))).unionByName(fresh)
         fresh.write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
