@@ -209,6 +209,12 @@ def sentences(docs: DataFrame, text: str = "text", profile: Profile = LATIN) ->
     return docs.select(*keep, F.posexplode(sentence_array(text, profile)).alias("pos", "sentence"))
 
 
+def abstract_label(label: Column | str) -> Column:
+    """Looks like a notion: an abstract ending, or four and more Han characters; names with a middle dot do not."""
+    c = F.lower(blank(label))
+    return ~c.rlike("[·•]") & (c.rlike("(ness|ity|ism|ment|tion|ance|ence)$") | c.rlike("^[\\x{4e00}-\\x{9fff}]{4,8}$"))
+
+
 def slugify(label: Column | str) -> Column:
     """H1: lower-case ASCII with dashes; without any, a name from the label's MD5."""
     slug = F.regexp_replace(F.regexp_replace(F.lower(blank(label)), "[^a-z0-9]+", "-"), "^-+|-+$", "")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from ..functions.profiles import HAN
 from ..sources.tables import shared_dir
 
 
@@ -23,49 +24,96 @@ def chunk_labels(chunks: DataFrame, pattern: str = "[A-Z][a-z]{5,}") -> DataFram
     return chunks.select("doc_id", "chunk_index", F.posexplode(found).alias("pos", "label"))
 
 
-def concept_nodes(labels: DataFrame, least_chunks: int = 2) -> DataFrame:
-    """Nodes (id, label, n_chunks, weight) of labels in at least ``least_chunks`` chunks; the first spelling is shown.
+def concept_nodes(labels: DataFrame, chunks: DataFrame | None = None, fiction: bool = False) -> DataFrame:
+    """Nodes (id, label, n_chunks, weight, first_doc, first_chunk); the first spelling is shown.
 
-    Counts combine before the shuffle in two steps, so a label on a third of all chunks stays cheap.
+    Outside fiction a node occurs in 2 chunks at least, unless ``chunks`` are fewer than 4. Counts combine
+    before the shuffle in two steps, so a label on a third of all chunks stays cheap.
     """
+    few = chunks is not None and chunks.limit(4).count() < 4
+    least = 1 if fiction or few else 2
     per_chunk = labels.withColumn("id", fx.slugify("label")).groupBy("id", "doc_id", "chunk_index").agg(F.min(F.struct("pos", "label")).alias("first"))
     nodes = per_chunk.groupBy("id").agg(F.count("*").alias("n_chunks"), F.min(F.struct("doc_id", "chunk_index", "first")).alias("f"))
     weight = F.round(F.least(F.lit(0.95), 0.55 + 0.1 * F.col("n_chunks")), 3)
-    return nodes.where(F.col("n_chunks") >= least_chunks).select("id", F.col("f.first.label").alias("label"), "n_chunks", weight.alias("weight"))
+    first = (F.col("f.doc_id").alias("first_doc"), F.col("f.chunk_index").alias("first_chunk"))
+    return nodes.where(F.col("n_chunks") >= least).select("id", F.col("f.first.label").alias("label"), "n_chunks", weight.alias("weight"), *first)
+
+
+def concept_chunks(labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, doc_id, chunk_index): the chunks of every node, as rows, for a node may have very many."""
+    return labels.select(fx.slugify("label").alias("id"), "doc_id", "chunk_index").distinct().join(nodes.select("id"), "id", "left_semi")
 
 
 def rank_concepts(nodes: DataFrame, n: int) -> DataFrame:
-    """the ``n`` best nodes by weight, chunks, label length and label."""
-    return nodes.orderBy(F.desc("weight"), F.desc("n_chunks"), F.desc(F.length("label")), "id").limit(n)
+    """the ``n`` best nodes by weight (Han labels gain 0.08 for each of up to 5 characters beyond 2), chunks, label length and id."""
+    bonus = F.when(F.col("label").rlike(f"^[{HAN}]+$"), 0.08 * F.least(F.greatest(F.length("label") - 2, F.lit(0)), F.lit(5))).otherwise(0.0)
+    return nodes.orderBy(F.desc(F.col("weight") + bonus), F.desc("n_chunks"), F.desc(F.length("label")), "id").limit(n)
 
 
-def adjacency_edges(labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges (src, dst, n, weight, relation) between consecutive selected concepts of a chunk."""
+def adjacent(labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst, doc_id, chunk_index) of consecutive selected concepts of a chunk."""
     kept = labels.withColumn("id", fx.slugify("label")).join(nodes.select("id"), "id", "left_semi")
     w = Window.partitionBy("doc_id", "chunk_index").orderBy("pos")
     pairs = kept.withColumn("dst", F.lead("id").over(w)).where("dst IS NOT NULL AND dst != id")
-    edges = pairs.groupBy(F.col("id").alias("src"), "dst").agg(F.count("*").alias("n"))
-    return edges.withColumn("weight", F.round(F.least(F.lit(0.9), 0.6 + 0.08 * (F.col("n") - 1)), 3)).withColumn("relation", fx.infer_relation("src", "dst"))
+    return pairs.select(F.col("id").alias("src"), "dst", "doc_id", "chunk_index")
+
+
+def adjacency_edges(labels: DataFrame, nodes: DataFrame, chain: bool = False) -> DataFrame:
+    """Edges (src, dst, n, weight, relation) between consecutive selected concepts of a chunk.
+
+    With ``chain``, nodes (a bounded selection, ranked) without any such edge are joined in the order of
+    their rank by edges of weight 0.4.
+    """
+    edges = adjacent(labels, nodes).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    edges = edges.withColumn("weight", F.round(F.least(F.lit(0.9), 0.6 + 0.08 * (F.col("n") - 1)), 3))
+    if chain and edges.isEmpty():
+        w = Window.orderBy(F.desc("weight"), F.desc("n_chunks"), F.desc(F.length("label")), "id")
+        edges = nodes.select(F.col("id").alias("src"), F.lead("id").over(w).alias("dst"), F.lit(0).cast("long").alias("n"), F.lit(0.4).alias("weight")).where("dst IS NOT NULL")
+    return edges.withColumn("relation", fx.infer_relation("src", "dst"))
+
 
+def edge_chunks(labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst, doc_id, chunk_index): the chunks of every edge, as rows."""
+    return adjacent(labels, nodes).distinct()
 
-def sentence_cooccurrence(sentences: DataFrame, nodes: DataFrame, pattern: str = "[A-Z][a-z]{5,}") -> DataFrame:
-    """Unordered concept pairs (a, b, n, weight) of sentences with 4 to 200 characters.
 
-    Pairs are formed inside one sentence's label array, which the length bounds.
+#: Relations by what stands between two labels, in order, where the caller names no others.
+BETWEEN = (("part_of", "^ of (the )?$"), ("and", "^,? (and|or) $"), ("in", "^ (in|on|at) (the )?$"), ("is", "^ (is|was|are) (an? |the )?$"))
+
+
+def sentence_cooccurrence(sentences: DataFrame, nodes: DataFrame, pattern: str = "[A-Z][a-z]{5,}", between: tuple = BETWEEN, fiction: bool = False, cap: int | None = None) -> DataFrame:
+    """Unordered concept pairs (a, b, relation, n, weight) of sentences with 4 to 200 characters.
+
+    The relation is the first of ``between`` that what stands between the labels matches, in fiction the 1
+    to 4 characters between them without spaces and commas, else ``co_occurrence``. ``cap`` keeps the most
+    frequent min(3 nodes, cap) edges. Pairs are formed inside one sentence's label array, which the length bounds.
     """
-    ids = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("sentence", F.lit(pattern), F.lit(0)), lambda x: F.lower(x))))
-    s = sentences.where(F.length("sentence").between(4, 200)).select(ids.alias("ids")).where(F.size("ids") >= 2)
-    pairs = F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    p = s.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+    ids = F.array_sort(F.array_distinct(F.regexp_extract_all("sentence", F.lit(pattern), F.lit(0))))
+    s = sentences.where(F.length("sentence").between(4, 200)).select("sentence", ids.alias("ids")).where(F.size("ids") >= 2)
+    pairs = F.flatten(F.transform("ids", lambda a: F.transform(F.filter("ids", lambda b: b > a), lambda b: F.struct(a.alias("la"), b.alias("lb")))))
+    p = s.select("sentence", F.explode(pairs).alias("p")).select("sentence", "p.*")
+    p = p.withColumn("pa", F.instr("sentence", F.col("la"))).withColumn("pb", F.instr("sentence", F.col("lb")))
+    left = F.when(F.col("pa") < F.col("pb"), F.col("la")).otherwise(F.col("lb"))
+    at = F.least("pa", "pb") + F.length(left)
+    p = p.withColumn("gap", F.when(F.greatest("pa", "pb") > at, F.substring(F.col("sentence"), at, F.greatest("pa", "pb") - at)).otherwise(""))
+    relation = F.lit("co_occurrence")
+    if fiction:
+        tight = F.regexp_replace("gap", "[ \t,，、。！？；：\"']", "")
+        relation = F.when(F.length(tight).between(1, 4), tight).otherwise(relation)
+    for name, shape in reversed(between):
+        relation = F.when(F.col("gap").rlike(shape), F.lit(name)).otherwise(relation)
+    p = p.groupBy(F.lower("la").alias("a"), F.lower("lb").alias("b"), relation.alias("relation")).agg(F.count("*").alias("n"))
     ends = nodes.select("id")
     p = p.join(ends.withColumnRenamed("id", "a"), "a", "left_semi").join(ends.withColumnRenamed("id", "b"), "b", "left_semi")
-    return p.withColumn("weight", F.round(F.least(F.lit(0.95), 0.7 + 0.1 * (F.col("n") - 1)), 3))
+    p = p.withColumn("weight", F.round(F.least(F.lit(0.95), 0.7 + 0.1 * (F.col("n") - 1)), 3))
+    return p if cap is None else p.orderBy(F.desc("n"), "a", "b", "relation").limit(min(cap, 3 * nodes.count()))
 
 
-def keep_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with both ends among ``nodes``."""
+def keep_edges(edges: DataFrame, nodes: DataFrame, max_nodes: int | None = None) -> DataFrame:
+    """Edges with both ends among ``nodes``; with ``max_nodes`` the 2 max_nodes strongest of them."""
     ids = nodes.select("id")
-    return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    kept = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return kept if max_nodes is None else kept.orderBy(F.desc("weight"), "src", "dst").limit(2 * max_nodes)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -85,29 +133,39 @@ def related_concepts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return near.select(F.col("src").alias("id"), F.col("label").alias("related"), F.row_number().over(w).alias("place"))
 
 
-def concept_sources(labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct documents of every concept, as a count and the first id."""
-    return (
-        labels.select(fx.slugify("label").alias("id"), "doc_id").distinct().join(nodes.select("id"), "id", "left_semi")
-        .groupBy("id").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_document"))
-    )
+def concept_sources(labels: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, document): the distinct documents of every concept and of its edges (src, dst, doc_id), as rows."""
+    own = labels.select(fx.slugify("label").alias("id"), "doc_id")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"), "doc_id")
+    both = own.distinct().unionByName(ends.distinct()).distinct()
+    return both.join(nodes.select("id"), "id", "left_semi").withColumnRenamed("doc_id", "document")
+
 
+def edge_majority(edges: DataFrame, count: str | None = None) -> DataFrame:
+    """Per (src, dst) the most frequent relation (the first in order on ties) and min(1, 0.4 + 0.15 n).
 
-def edge_majority(edges: DataFrame) -> DataFrame:
-    """Per (src, dst) the most frequent relation (the first in order on ties) and min(1, 0.4 + 0.15 n)."""
-    n = edges.groupBy("src", "dst", "relation").agg(F.count("*").alias("n"))
+    Rows count one each, or as ``count`` says.
+    """
+    n = edges.groupBy("src", "dst", "relation").agg((F.sum(count) if count else F.count("*")).alias("n"))
     best = n.groupBy("src", "dst").agg(F.min(F.struct((-F.col("n")).alias("m"), "relation")).alias("b"))
     return best.select("src", "dst", F.col("b.relation").alias("relation"), F.round(F.least(F.lit(1.0), 0.4 + 0.15 * -F.col("b.m")), 3).alias("weight"))
 
 
-def entity_resolve(raw: DataFrame, n: int) -> DataFrame:
-    """Canonical groups of raw labels: first spelling, count and a score relative to the best, the ``n`` best."""
+def entity_resolve(raw: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+    """Canonical groups of raw labels (label, n): spelling, count, degree and score relative to the best, the ``n`` best.
+
+    ``edges`` (src, dst, n, relation) have labels or ids as ends; those without a relation do not count. The
+    score is (count + 0.5 degree), times 0.7 for organizations and 1.15 for abstract labels.
+    """
     g = raw.groupBy(fx.canonical_label("label").alias("canon")).agg(F.sum("n").alias("n"), F.min("label").alias("label"))
-    g = g.where("canon != ''").withColumn("category", fx.infer_category("label"))
-    score = F.col("n") * F.when(F.col("category") == "organization", 0.7).otherwise(1.0)
-    top = g.withColumn("raw", score).orderBy(F.desc("raw"), "canon").limit(n)
-    best = g.agg(F.max(score).alias("best"))
-    return top.crossJoin(F.broadcast(best)).select("canon", "label", "category", "n", F.bround(F.col("raw") / F.col("best"), 3).alias("score"))
+    ends = edges.where("relation IS NOT NULL AND src != dst").select(F.explode(F.array("src", "dst")).alias("end"), "n")
+    degree = ends.groupBy(fx.canonical_label("end").alias("canon")).agg(F.sum("n").alias("degree"))
+    g = g.where("canon != ''").join(degree, "canon", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).withColumn("category", fx.infer_category("label"))
+    factor = F.when(F.col("category") == "organization", 0.7).when(fx.abstract_label("label"), 1.15).otherwise(1.0)
+    g = g.withColumn("raw", (F.col("n") + 0.5 * F.col("degree")) * factor)
+    best = g.agg(F.max("raw").alias("best"))
+    top = g.orderBy(F.desc("raw"), F.desc("n"), "canon").limit(n)
+    return top.crossJoin(F.broadcast(best)).select("canon", "label", "category", "n", "degree", F.bround(F.col("raw") / F.col("best"), 3).alias("score"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

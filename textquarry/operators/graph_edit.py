@@ -43,12 +43,6 @@ def filter_scope(nodes: DataFrame, edges: DataFrame, files: DataFrame | None = N
     return kept, keep_edges(edges, kept)
 
 
-def abstract_label(label: Column | str) -> Column:
-    """Looks like a notion: an abstract ending, or four and more Han characters; names with a middle dot do not."""
-    c = F.lower(fx.blank(label))
-    return ~c.rlike("[·•]") & (c.rlike("(ness|ity|ism|ment|tion|ance|ence)$") | c.rlike("^[\\x{4e00}-\\x{9fff}]{4,8}$"))
-
-
 def person_name(label: Column | str) -> Column:
     """One to four capitalised words, or 2 to 4 Han characters, perhaps with a middle dot."""
     return fx.blank(label).rlike("^[A-Z][a-z'-]+( [A-Z][a-z'.-]+){0,3}$|^[\\x{4e00}-\\x{9fff}]{2,4}$|^[\\x{4e00}-\\x{9fff}]+·[\\x{4e00}-\\x{9fff}]+$")
@@ -60,7 +54,7 @@ def correct_category(nodes: DataFrame) -> DataFrame:
     for a, b in CATEGORY_SYNONYMS.items():
         c = F.when(c == a, b).otherwise(c)
     c = F.when(c.isin(*CATEGORIES), c).otherwise("concept")
-    wrong = (c.isin(*CONCRETE) & abstract_label("label")) | ((c == "person") & ~person_name("label"))
+    wrong = (c.isin(*CONCRETE) & fx.abstract_label("label")) | ((c == "person") & ~person_name("label"))
     return nodes.withColumn("category", F.when(wrong, "concept").otherwise(c))
 
 
