@@ -1,9 +1,10 @@
 """Chunks, the lexical index and ranked retrieval, for all queries at once.
 
-The index is normalised tables: postings(term, chunk, tf), chunk lengths and term statistics.
-Search is an equi-join on the term; the optimizer broadcasts a query side that is small and
-shuffles it otherwise. Ranking is a per-query window limited to k, which Spark cuts before the
-shuffle.
+The index is normalised tables: postings(term, chunk, tf, length) and term statistics. A chunk's terms
+are counted inside its own task. For a search the terms of the queries, up to BROADCAST_TERMS rows,
+are broadcast, so only their postings leave the tasks and a word of every query and chunk is no hot
+key; more query terms meet the postings in a shuffle in which each term is dealt over SALTS parts.
+Ranking is a per-query window limited to k, which Spark cuts before the shuffle.
 """
 
 from __future__ import annotations
@@ -17,6 +18,12 @@ from ..functions.profiles import LATIN, ZH, Profile
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 MISSING_RANK = 9999
+#: Rows (query, term) up to which the query side is broadcast, about 100 bytes each.
+BROADCAST_TERMS = 500_000
+#: Parts of a term's postings in a join by shuffle.
+SALTS = 16
+#: Queries whose vectors go to every task at once.
+QUERY_BLOCK = 4096
 
 
 def fixed_windows(docs: DataFrame, size: int = 2000, overlap: int = 200, cap: int | None = None) -> DataFrame:
@@ -33,23 +40,35 @@ def fixed_windows(docs: DataFrame, size: int = 2000, overlap: int = 200, cap: in
     return at.select("doc_id", "chunk_index", F.substring("text", (F.col("chunk_index") * step + 1).cast("int"), F.lit(size)).alias("chunk"))
 
 
-def postings(chunks: DataFrame, profile: Profile = ZH) -> DataFrame:
-    """(term, doc_id, chunk_index, tf)."""
-    terms = F.explode(F.regexp_extract_all("chunk", F.lit(profile.token), F.lit(0)))
-    return chunks.select("doc_id", "chunk_index", terms.alias("term")).groupBy("term", "doc_id", "chunk_index").agg(F.count("*").alias("tf"))
+def terms_of(profile: Profile = ZH, bigrams: bool = False) -> Column:
+    """The terms of ``chunk`` in order; with ``bigrams`` also those of two consecutive terms, joined by a space."""
+    one = F.regexp_extract_all("chunk", F.lit(profile.token), F.lit(0))
+    if not bigrams:
+        return one
+    pairs = lambda t: F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda x, i: F.concat(F.get(t, i), F.lit(" "), x))
+    return F.get(F.transform(F.array(one), lambda t: F.concat(t, pairs(t))), F.lit(0))
 
 
-def chunk_lengths(chunks: DataFrame, profile: Profile = ZH) -> DataFrame:
-    """(doc_id, chunk_index, n_terms); chunks without terms have 0."""
-    return chunks.select("doc_id", "chunk_index", F.size(F.regexp_extract_all("chunk", F.lit(profile.token), F.lit(0))).alias("n_terms"))
+def postings(chunks: DataFrame, profile: Profile = ZH, bigrams: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """(term, doc_id, chunk_index, n_terms, tf), ``n_terms`` the chunk's length; of the broadcast terms ``only``, if given."""
+    rows = chunks.select("doc_id", "chunk_index", terms_of(profile, bigrams).alias("terms"))
+    rows = rows.select("doc_id", "chunk_index", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    rows = rows if only is None else rows.join(F.broadcast(only.select("term")), "term", "left_semi")
+    return rows.groupBy("term", "doc_id", "chunk_index", "n_terms").agg(F.count("*").alias("tf"))
 
 
-def term_stats(post: DataFrame, n_chunks: DataFrame) -> DataFrame:
-    """(term, df, idf); a negative idf becomes EPSILON times the mean idf. ``n_chunks`` has one row, N."""
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(n_chunks)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+def term_stats(chunks: DataFrame, profile: Profile = ZH) -> tuple[DataFrame, DataFrame]:
+    """(term, df, idf), where a negative idf becomes EPSILON times the mean idf, and one row (n, mean_terms) of the chunks.
+
+    Terms are made distinct inside each chunk, so their counts combine before the shuffle.
+    """
+    terms = chunks.select(terms_of(profile).alias("terms"))
+    size = terms.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean_terms"))
+    df = terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.crossJoin(F.broadcast(size.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    stats = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return stats, size
 
 
 def query_term_rows(queries: DataFrame, profile: Profile = ZH) -> DataFrame:
@@ -58,15 +77,22 @@ def query_term_rows(queries: DataFrame, profile: Profile = ZH) -> DataFrame:
     return queries.select("query_id", terms.alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame, profile: Profile = ZH) -> DataFrame:
+def with_terms(post: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
+    """``post`` joined by term to ``wanted`` (query_id, term, ...): broadcast when ``small``, else dealt over SALTS parts a term."""
+    if small:
+        return post.join(F.broadcast(wanted), "term")
+    dealt = post.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "chunk_index"), F.lit(SALTS)).cast("int"))
+    return dealt.join(wanted.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["term", "__salt"]).drop("__salt")
+
+
+def bm25_scores(queries: DataFrame, chunks: DataFrame, profile: Profile = ZH, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(query_id, doc_id, chunk_index, score) of every pair with a positive score, rounded to 6 decimals."""
-    post = postings(chunks, profile)
-    length = chunk_lengths(chunks, profile)
-    size = length.agg(F.count("*").alias("n"), F.avg("n_terms").alias("mean_terms"))
-    stats = term_stats(post, size.select("n"))
-    # Queries meet the term statistics first, so only their terms' postings are joined.
-    wanted = query_term_rows(queries, profile).join(stats.select("term", "idf"), "term")
-    hit = wanted.join(post, "term").join(length, ["doc_id", "chunk_index"]).crossJoin(F.broadcast(size.select("mean_terms")))
+    stats, size = term_stats(chunks, profile)
+    asked = query_term_rows(queries, profile)
+    small = asked.count() <= broadcast_terms
+    post = postings(chunks, profile, only=asked.select("term").distinct() if small else None)
+    wanted = asked.join(stats.select("term", "idf"), "term")
+    hit = with_terms(post, wanted, small).crossJoin(F.broadcast(size.select("mean_terms")))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("mean_terms"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
     scored = hit.groupBy("query_id", "doc_id", "chunk_index").agg(F.round(F.sum(part), 6).alias("score"))
@@ -79,32 +105,77 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dot(a: Column | str, b: Column | str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int, least: float = 0.01, block: int = QUERY_BLOCK) -> DataFrame:
+    """C4: raw dot product of every query (query_id, query) with every row (vec_id, embedding); the best max(4k, 40), ties by id.
 
-
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int, least: float = 0.01, max_queries: int = 100_000) -> DataFrame:
-    """C4: raw dot product of every query (query_id, query) with every row (vec_id, embedding); the best max(4k, 40).
-
-    The block of queries is broadcast; its size is checked, and larger sets run block by block.
+    Queries go to the tasks in blocks of about ``block``, one pass over the vectors each; a task scores
+    a batch by one matrix product and gives its own best rows only, which are merged after the shuffle.
+    Null vectors, and those of another length than the queries', have no score.
     """
-    n = queries.count()
+    most, n = max(4 * k, 40), queries.count()
+    blocks = max(1, -(-n // block))
     out = None
-    for block in range(max(1, -(-n // max_queries))):
-        part = queries if n <= max_queries else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // max_queries))) == block)
-        scored = vectors.crossJoin(F.broadcast(part)).select("query_id", "vec_id", F.round(dot("query", "embedding"), 6).alias("score")).where(F.col("score") > least)
-        best = top_k(scored, max(4 * k, 40), ties=("vec_id",))
+    for i in range(blocks):
+        asked = queries.where(F.col("query").isNotNull() & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).collect()
+        best = top_k(_block_search(asked, vectors, most, least), most, ties=("vec_id",))
         out = best if out is None else out.unionByName(best)
     return out
 
 
-def fuse(vec: DataFrame, lex: DataFrame, key: list[str], wv: float = 0.7, wb: float = 0.3) -> DataFrame:
-    """Reciprocal-rank fusion of two candidate lists (query_id, key..., score, rank) over query variants."""
-    best = lambda d, s: d.groupBy("query_id", *key).agg(F.max("score").alias(f"{s}_score"), F.min("rank").alias(f"{s}_rank"))
+def _block_search(asked: list, vectors: DataFrame, most: int, least: float) -> DataFrame:
+    """(query_id, vec_id, score): the ``most`` best rows of each task for the queries ``asked``."""
+    import numpy as np
+
+    ids = [r["query_id"] for r in asked]
+    matrix = np.array([r["query"] for r in asked], dtype=float)
+    width = matrix.shape[1] if len(ids) else 0
+
+    def run(frames):
+        import pyarrow as pa
+
+        best = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
+        for frame in frames:
+            if not len(frame) or not ids:
+                continue
+            vec = frame.column(0).to_numpy()
+            score = np.round(frame.column(1).flatten().to_numpy().astype(float).reshape(len(vec), width) @ matrix.T, 6)
+            for q in range(len(ids)):
+                at = np.flatnonzero(score[:, q] > least)
+                s, v = np.concatenate((best[q][0], score[at, q])), np.concatenate((best[q][1], vec[at]))
+                order = np.lexsort((v, -s))[:most]
+                best[q] = (s[order], v[order])
+        for q, (s, v) in zip(ids, best, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([q] * len(v), pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+
+    rows = vectors.where(F.size("embedding") == width).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    return rows.mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+#: Weights of the vector list where a file looks like fiction or academic, else VECTOR_WEIGHT; the lexical list has the rest.
+FICTION_WEIGHT, ACADEMIC_WEIGHT, VECTOR_WEIGHT = 0.55, 0.80, 0.7
+
+
+def vector_weight(hint: Column, fiction: str, academic: str) -> Column:
+    return F.when(hint.rlike(fiction), FICTION_WEIGHT).when(hint.rlike(academic), ACADEMIC_WEIGHT).otherwise(VECTOR_WEIGHT)
+
+
+def fuse(vec: DataFrame, lex: DataFrame, key: list[str], weight: str | None = None) -> DataFrame:
+    """Reciprocal-rank fusion of two candidate lists (query_id, key..., score, rank) over query variants.
+
+    Variants of a query share its id: the best score and rank of each list count. ``weight`` names the
+    column of the lists that has the vector list's weight.
+    """
+    extra = [F.max(weight).alias(weight)] if weight else []
+
+    def best(d, side):
+        return d.groupBy("query_id", *key).agg(F.max("score").alias(f"{side}_score"), F.min("rank").alias(f"{side}_rank"), *(e.alias(f"{side}_weight") for e in extra))
+
     both = best(vec, "v").join(best(lex, "b"), ["query_id", *key], "full")
     rank = lambda c: F.coalesce(c, F.lit(MISSING_RANK))
-    score = wv / (RRF_K + rank("v_rank")) + wb / (RRF_K + rank("b_rank"))
-    return both.withColumn("score", F.round(score, 8))
+    wv = F.coalesce("v_weight", "b_weight") if weight else F.lit(VECTOR_WEIGHT)
+    score = wv / (RRF_K + rank("v_rank")) + (1 - wv) / (RRF_K + rank("b_rank"))
+    out = both.withColumn("score", F.round(score, 8))
+    return out.drop("v_weight", "b_weight") if weight else out
 
 
 def phrase_bonus(cands: DataFrame, queries: DataFrame, text: str = "chunk") -> DataFrame:
@@ -130,18 +201,41 @@ def sentence_evidence(hits: DataFrame, queries: DataFrame, n: int = 8, per_chunk
     return rows.select("query_id", "evidence_rank", "doc_id", "chunk_index", "pos", "hit_count", "sentence")
 
 
-def tfidf(post: DataFrame, vocab: int = 5000) -> DataFrame:
-    """L2-normalised tf-idf weights (term, doc_id, chunk_index, weight) over the ``vocab`` most frequent terms.
+def vocabulary(chunks: DataFrame, vocab: int = 5000, profile: Profile = ZH, bigrams: bool = True) -> DataFrame:
+    """(term, df, idf) of the ``vocab`` most frequent terms, ties by term; smoothed idf ln((1 + N) / (1 + df)) + 1, N all chunks."""
+    post = chunks.select(terms_of(profile, bigrams).alias("terms"))
+    freq = post.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("freq"))
+    top = freq.orderBy(F.desc("freq"), "term").limit(vocab).select("term")
+    df = post.select(F.explode(F.array_distinct("terms")).alias("term")).join(F.broadcast(top), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    n = chunks.agg(F.count("*").alias("n"))
+    return df.crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
-    Smoothed idf ln((1 + N) / (1 + df)) + 1; the vocabulary is at most ``vocab`` rows.
-    """
-    total = post.groupBy("term").agg(F.sum("tf").alias("freq"), F.count("*").alias("df"))
-    top = total.orderBy(F.desc("freq"), "term").limit(vocab)
-    n = post.select("doc_id", "chunk_index").distinct().agg(F.count("*").alias("n"))
-    idf = top.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = post.join(F.broadcast(idf), "term").select("term", "doc_id", "chunk_index", (F.col("tf") * F.col("idf")).alias("raw"))
+
+def weighted(rows: DataFrame, terms: DataFrame, profile: Profile = ZH, bigrams: bool = True) -> DataFrame:
+    """(term, doc_id, chunk_index, weight): L2-normalised tf-idf of chunks over a ``vocabulary``, not rounded."""
+    post = postings(rows, profile, bigrams, only=terms).join(F.broadcast(terms.select("term", "idf")), "term")
+    raw = post.select("term", "doc_id", "chunk_index", (F.col("tf") * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id", "chunk_index")))
-    return raw.select("term", "doc_id", "chunk_index", F.round(F.col("raw") / norm, 6).alias("weight"))
+    return raw.select("term", "doc_id", "chunk_index", (F.col("raw") / norm).alias("weight"))
+
+
+def tfidf(chunks: DataFrame, vocab: int = 5000, profile: Profile = ZH, bigrams: bool = True) -> DataFrame:
+    """L2-normalised tf-idf weights (term, doc_id, chunk_index, weight) of terms and bigrams, rounded to 6 decimals.
+
+    Only postings of the vocabulary, which is broadcast (at most ``vocab`` rows), are shuffled.
+    """
+    out = weighted(chunks, vocabulary(chunks, vocab, profile, bigrams), profile, bigrams)
+    return out.withColumn("weight", F.round("weight", 6))
+
+
+def tfidf_search(queries: DataFrame, chunks: DataFrame, k: int, vocab: int = 5000, least: float = 0.01, profile: Profile = ZH, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """C4 in the space of tf-idf: cosine of every query (query_id, text) with every chunk; the best max(4k, 40) over ``least``."""
+    terms = vocabulary(chunks, vocab, profile)
+    asked = queries.select(F.col("query_id").alias("doc_id"), F.lit(0).alias("chunk_index"), fx.blank("text").alias("chunk"))
+    asked = weighted(asked, terms, profile).select("term", F.col("doc_id").alias("query_id"), F.col("weight").alias("asked"))
+    hit = with_terms(weighted(chunks, terms, profile), asked, asked.count() <= broadcast_terms)
+    scored = hit.groupBy("query_id", "doc_id", "chunk_index").agg(F.round(F.sum(F.col("asked") * F.col("weight")), 6).alias("score"))
+    return top_k(scored.where(F.col("score") > least), max(4 * k, 40))
 
 
 def mmr(hits: DataFrame, vectors: DataFrame, k: int, trade: float = 0.7) -> DataFrame:

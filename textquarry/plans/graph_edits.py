@@ -11,7 +11,7 @@ from ..operators.corpus import html_to_text
 from ..operators.index import fixed_windows
 from ..sources.tables import table
 from .graphs import _BASE, _graph, _labels
-from .retrieval import INDEX
+from .retrieval import CHUNKS, TFIDF
 
 
 def _sourced(spark, sf_dir):
@@ -109,7 +109,7 @@ def name_candidates(spark, sf_dir):
 
 def chunk_keywords(spark, sf_dir):
     c = fixed_windows(table(spark, sf_dir, "documents"))
-    return ge.chunk_keywords(ix.tfidf(ix.postings(c)), c, 10)
+    return ge.chunk_keywords(ix.tfidf(c), c, 10)
 
 
 def filter_web_results(spark, sf_dir):
@@ -144,10 +144,7 @@ QUERIES = {
     "name_candidates": (name_candidates, f"""WITH {_BASE}, n AS (SELECT unnest(regexp_extract_all(chunk, '([A-Z][a-z]{{3,}}) *(?:is|ist|est|es)', 1)) AS name, 2 AS s FROM chunks
         UNION ALL SELECT unnest(regexp_extract_all(chunk, '([A-Z][a-z]{{3,}}) *(?:the|der|le|la)', 1)), 1 FROM chunks UNION ALL SELECT unnest(regexp_extract_all(chunk, '[A-Z][a-z]{{3,}}')), 1 FROM chunks)
         SELECT name, sum(s)::BIGINT AS score FROM n WHERE lower(name) != 'chapter' GROUP BY name HAVING sum(s) >= 2 ORDER BY score DESC, length(name) DESC, name LIMIT 30"""),
-    "chunk_keywords": (chunk_keywords, f"""WITH {INDEX}, v AS (SELECT term, count(*) AS df FROM post GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 5000),
-        w AS (SELECT doc_id, chunk_index, term, tf * (ln((1 + (SELECT count(DISTINCT (doc_id, chunk_index)) FROM post)) / (1 + df)) + 1) AS raw FROM post JOIN v USING (term)),
-        w2 AS (SELECT *, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id, chunk_index)), 6) AS weight FROM w),
-        t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY weight DESC, term) AS rn FROM w2)
+    "chunk_keywords": (chunk_keywords, f"""WITH {CHUNKS}, {TFIDF}, t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY round(w, 6) DESC, term) AS rn FROM tw)
         SELECT doc_id, chunk_index, term AS keyword FROM t WHERE rn <= 10 UNION SELECT doc_id, chunk_index, unnest(regexp_extract_all(chunk, '[A-Z][a-z]+(?:tion|ment|ness|ity)')) FROM chunks
         UNION SELECT doc_id, chunk_index, unnest(list_filter(regexp_extract_all(chunk, '[\\p{{L}}\\p{{N}}_]+'), lambda v: regexp_matches(v, '^[A-Z]{{2,8}}$'))) FROM chunks"""),
     "filter_web_results": (filter_web_results, None),

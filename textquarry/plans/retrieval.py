@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as fx
 from ..functions.profiles import LATIN
 from ..operators import index as ix
+from ..operators.evidence import query_variants
 from ..sources.tables import table
 
 _ENDERS = "([" + LATIN.enders + "])"
@@ -52,8 +54,7 @@ def fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks(spark, sf_dir)
-    stats = ix.term_stats(ix.postings(c), c.agg(F.count("*").alias("n")))
+    stats, _ = ix.term_stats(chunks(spark, sf_dir))
     return stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -80,13 +81,35 @@ def mmr_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.mmr(vector_search(spark, sf_dir), table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 5)
 
 
+#: Sources that stand for fiction and for academic files.
+FICTION, ACADEMIC = "src[01]$", "src1[0-3]$"
+#: Variants of a query have the id 4 query_id + variant while they are searched.
+VARIANTS = 4
+
+
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2 for every passage: itself, its refinement (H12) and its narrative expansion (B21) when asked for its history."""
+    q = questions(spark, sf_dir)
+    asked = F.concat(F.lit("history of "), fx.blank("text"))
+    rewrites = q.select("query_id", F.lit(1).alias("ord"), fx.refine_query("text").alias("text")).unionByName(q.select("query_id", F.lit(2).alias("ord"), fx.narrative_expand(asked).alias("text")))
+    return query_variants(q, rewrites).select((F.col("query_id") * VARIANTS + F.col("place")).alias("query_id"), "text")
+
+
+def _candidates(spark, sf_dir, hits: DataFrame, c: DataFrame) -> DataFrame:
+    """Hits of variants under their query's id, keyed by document and first 100 characters, with the document's weight."""
+    start = c.select("doc_id", "chunk_index", F.substring("chunk", 1, 100).alias("prefix"))
+    weight = table(spark, sf_dir, "documents").select("doc_id", ix.vector_weight(F.col("source"), FICTION, ACADEMIC).alias("weight"))
+    rows = hits.join(start, ["doc_id", "chunk_index"]).join(weight, "doc_id")
+    return rows.select(F.expr(f"query_id div {VARIANTS}").alias("query_id"), "doc_id", "prefix", "score", "rank", "weight")
+
+
 def hybrid_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vector candidates of every 100th vector fused with a second list, the rows of its label in id order."""
-    e = table(spark, sf_dir, "embeddings")
-    vec = vector_search(spark, sf_dir)
-    same = e.select("vec_id", "label").join(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label"), "label")
-    lex = ix.top_k(same.select("query_id", "vec_id", F.lit(1.0).alias("score")), 40, ties=("vec_id",))
-    return ix.fuse(vec, lex, ["vec_id"]).select("query_id", "vec_id", "v_rank", "b_rank", "score")
+    """Chunks for every passage in up to three variants, by tf-idf cosine and BM25, fused."""
+    q, c = variants(spark, sf_dir), chunks(spark, sf_dir)
+    vec = _candidates(spark, sf_dir, ix.tfidf_search(q, c, 5), c)
+    lex = _candidates(spark, sf_dir, ix.top_k(ix.bm25_scores(q, c), 40), c)
+    fused = ix.fuse(vec, lex, ["doc_id", "prefix"], "weight")
+    return fused.select("query_id", "doc_id", F.md5("prefix").alias("prefix_md5"), "v_rank", "b_rank", "score")
 
 
 def phrase_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +119,7 @@ def phrase_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.tfidf(ix.postings(chunks(spark, sf_dir)))
+    return ix.tfidf(chunks(spark, sf_dir))
 
 
 def weak_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,21 +129,52 @@ def weak_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered citations of every query's hits."""
-    hits = bm25_search(spark, sf_dir)
-    loc = F.format_string("doc %d, part %d", "doc_id", F.col("chunk_index") + 1)
-    return hits.select("query_id", F.col("rank").alias("number"), loc.alias("location"), F.round(1 / (1 + F.col("score")), 4).alias("distance"))
+    """Numbered citations of every query's hits, distinct by file, page and chunk; two chunks stand for a page."""
+    hits = bm25_search(spark, sf_dir).withColumn("page", F.expr("chunk_index div 2") + 1)
+    hits = hits.groupBy("query_id", "doc_id", "page", "chunk_index").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
+    number = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    loc = F.format_string("doc %d, page %d, part %d", "doc_id", "page", F.col("chunk_index") + 1)
+    return hits.select("query_id", number.alias("number"), loc.alias("location"), F.round(1 / (1 + F.col("score")), 4).alias("distance"))
 
 
 _VEC = """dots AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * v.embedding[i]::DOUBLE)), 6) AS score
     FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0),
 vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM dots WHERE score > 0.01) WHERE rank <= 40)"""
-_FUSE = _VEC + """,
-lex AS (SELECT * FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) AS rank FROM (
-    SELECT q.vec_id AS query_id, v.vec_id FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0 AND v.label = q.label)) WHERE rank <= 40),
-fused AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.vec_id, b.vec_id) AS vec_id, a.rank AS v_rank, b.rank AS b_rank,
-    round(0.7 / (60 + coalesce(a.rank, 9999)) + 0.3 / (60 + coalesce(b.rank, 9999)), 8) AS score
-    FROM vec a FULL JOIN lex b ON a.query_id = b.query_id AND a.vec_id = b.vec_id)"""
+_TOKEN = "[\\x{4e00}-\\x{9fff}]|[A-Za-z0-9_]+"
+
+
+def _grams(name: str, rows: str, keys: str) -> str:
+    """CTE: (keys, term) of every term and bigram of ``t``."""
+    return f"""{name} AS (SELECT {keys}, unnest(list_concat(ts, list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1]))) AS term FROM (
+        SELECT {keys}, regexp_extract_all(t, '{_TOKEN}') AS ts FROM {rows}))"""
+
+
+#: CTEs up to ``tw``: (term, doc_id, chunk_index, w) by tf-idf.
+TFIDF = f"""{_grams('gr', '(SELECT *, chunk AS t FROM chunks)', 'doc_id, chunk_index')},
+gp AS (SELECT term, doc_id, chunk_index, count(*) AS tf FROM gr GROUP BY ALL),
+voc AS (SELECT term, ln((1 + (SELECT count(*) FROM chunks)) / (1 + count(*))) + 1 AS idf FROM gp GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 5000),
+gw AS (SELECT term, doc_id, chunk_index, tf * idf AS raw FROM gp JOIN voc USING (term)),
+tw AS (SELECT term, doc_id, chunk_index, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id, chunk_index)) AS w FROM gw)"""
+_ASK = "'history of ' || coalesce(text, '')"
+_BM25_OF = BM25[len(INDEX) :].replace("SELECT item_id AS query_id,", "SELECT query_id,").replace("FROM benchmark)", "FROM var)").replace("rank <= 5", "rank <= 40")
+_FUSE = f"""{INDEX}, {TFIDF},
+nw AS (SELECT item_id, i, ts[i] AS t FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM (SELECT item_id, regexp_extract_all(lower({_ASK}), '[a-z0-9_]+') AS ts FROM benchmark))),
+ne AS (SELECT item_id, arg_min(t, (-length(t), i)) AS entity FROM nw WHERE length(t) >= 2 AND t NOT IN ({_STOP}) GROUP BY ALL),
+va AS (SELECT item_id, 0 AS ord, trim(coalesce(text, ''), ' ') AS text FROM benchmark UNION ALL SELECT item_id, 1, trim(substr(coalesce(text, ''), 1, 30), ' ') FROM benchmark
+    UNION ALL SELECT item_id, 2, entity || ' {' '.join(LATIN.history)}' FROM ne),
+vb AS (SELECT item_id, text, min(ord) AS ord FROM va WHERE text != '' GROUP BY ALL),
+var AS (SELECT * FROM (SELECT item_id * {VARIANTS} + row_number() OVER (PARTITION BY item_id ORDER BY ord, text) AS query_id, text FROM vb)){_BM25_OF},
+{_grams('qg', '(SELECT query_id, text AS t FROM var)', 'query_id')},
+qr AS (SELECT query_id, term, count(*) * any_value(idf) AS raw FROM qg JOIN voc USING (term) GROUP BY ALL),
+qw AS (SELECT query_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY query_id)) AS a FROM qr),
+cs AS (SELECT query_id, doc_id, chunk_index, round(sum(a * w), 6) AS score FROM qw JOIN tw USING (term) GROUP BY ALL),
+ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rank FROM cs WHERE score > 0.01) WHERE rank <= 40),
+wt AS (SELECT doc_id, CASE WHEN regexp_matches(source, '{FICTION}') THEN {ix.FICTION_WEIGHT} WHEN regexp_matches(source, '{ACADEMIC}') THEN {ix.ACADEMIC_WEIGHT} ELSE {ix.VECTOR_WEIGHT} END::DOUBLE AS weight FROM documents),
+lv AS (SELECT query_id // {VARIANTS} AS query_id, doc_id, substr(chunk, 1, 100) AS prefix, min(rank) AS rank FROM ch JOIN chunks USING (doc_id, chunk_index) GROUP BY ALL),
+ll AS (SELECT query_id // {VARIANTS} AS query_id, doc_id, substr(chunk, 1, 100) AS prefix, min(rank) AS rank FROM hits JOIN chunks USING (doc_id, chunk_index) GROUP BY ALL),
+fused AS (SELECT query_id, doc_id, md5(prefix) AS prefix_md5, v_rank, b_rank, round(weight / (60 + coalesce(v_rank, 9999)) + (1 - weight) / (60 + coalesce(b_rank, 9999)), 8) AS score FROM (
+    SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.prefix, b.prefix) AS prefix, a.rank AS v_rank, b.rank AS b_rank
+    FROM lv a FULL JOIN ll b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND a.prefix = b.prefix) JOIN wt USING (doc_id))"""
 
 QUERIES = {
     "fixed_windows": (fixed_windows, f"WITH {CHUNKS} SELECT doc_id, chunk_index, md5(chunk) AS chunk_md5 FROM chunks"),
@@ -131,10 +185,8 @@ QUERIES = {
     "mmr_rerank": (mmr_rerank, None),
     "hybrid_fuse": (hybrid_fuse, f"WITH {_FUSE} SELECT * FROM fused"),
     "weak_evidence": (weak_evidence, f"WITH {_FUSE} SELECT query_id, max(score) AS best, max(score) < 0.010 AS weak FROM fused GROUP BY query_id"),
-    "tfidf_matrix": (tfidf_matrix, f"""WITH {INDEX}, voc AS (SELECT term, count(*) AS df FROM post GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 5000),
-        w AS (SELECT term, doc_id, chunk_index, tf * (ln((1 + (SELECT count(*) FROM (SELECT DISTINCT doc_id, chunk_index FROM post))) / (1 + df)) + 1) AS raw FROM post JOIN voc USING (term))
-        SELECT term, doc_id, chunk_index, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id, chunk_index)), 6) AS weight FROM w"""),
-    "citations": (citations, f"WITH {BM25} SELECT query_id, rank AS number, 'doc ' || doc_id || ', part ' || (chunk_index + 1) AS location, round(1 / (1 + score), 4) AS distance FROM hits"),
+    "tfidf_matrix": (tfidf_matrix, f"WITH {CHUNKS}, {TFIDF} SELECT term, doc_id, chunk_index, round(w, 6) AS weight FROM tw"),
+    "citations": (citations, f"WITH {BM25} SELECT query_id, rank AS number, 'doc ' || doc_id || ', page ' || (chunk_index // 2 + 1) || ', part ' || (chunk_index + 1) AS location, round(1 / (1 + score), 4) AS distance FROM hits"),
 }
 # The first eight distinct terms in order, which DuckDB's list_distinct does not keep.
 _ORDERED = f"""qt AS (SELECT item_id AS query_id, list(t ORDER BY i)[1:8] AS terms FROM (

@@ -60,7 +60,7 @@ def salvage_json(spark, sf_dir):
 
 
 def svd_embed(spark, sf_dir):
-    w = ix.tfidf(ix.postings(fixed_windows(_docs(spark, sf_dir))), 200)
+    w = ix.tfidf(fixed_windows(_docs(spark, sf_dir)), 200)
     return u.svd_embed(w, 16)[0].select("doc_id", "chunk_index", F.size("embedding").alias("dim"))
 
 
