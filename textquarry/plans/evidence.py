@@ -9,23 +9,24 @@ from ..functions.profiles import LATIN
 from ..operators import evidence as e
 from ..operators.index import fixed_windows
 from ..sources.tables import table
-from .retrieval import _STOP, CHUNKS, questions
+from .retrieval import _STOP, CHUNKS, EVIDENCE, bm25_evidence, questions
 
 _SPLIT = "list_filter(list_transform(string_split(regexp_replace({}, '([.!?;])', '\\1' || chr(10), 'g'), chr(10)), lambda s: trim(s, ' ')), lambda s: s != '')"
-_EXACT = CHUNKS + f""",
-qt AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(t), '[a-z0-9_]+'), lambda t: length(t) >= 2 AND t NOT IN ({_STOP})))) AS term,
+_EXACT_ONLY = f""",
+xq AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(t), '[a-z0-9_]+'), lambda t: length(t) >= 2 AND t NOT IN ({_STOP})))) AS term,
     lower(regexp_extract(t, '"([^"]+)"', 1)) AS phrase FROM (SELECT item_id AS query_id, coalesce(text, '') AS t FROM benchmark)),
 sl AS (SELECT doc_id, chunk_index, {_SPLIT.format("chunk")} AS ss FROM chunks),
 s AS (SELECT doc_id, chunk_index, i - 1 AS pos, ss[i] AS sentence, concat(CASE WHEN i > 1 THEN ss[i - 1] ELSE '' END, ss[i], coalesce(ss[i + 1], '')) AS window_text
     FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM sl)),
 w AS (SELECT doc_id, chunk_index, pos, unnest(list_distinct(regexp_extract_all(lower(sentence), '[a-z0-9_]+'))) AS term FROM s),
-h AS (SELECT query_id, doc_id, chunk_index, pos, count(*) AS hit_count, any_value(phrase) AS phrase FROM w JOIN qt USING (term) GROUP BY ALL),
+h AS (SELECT query_id, doc_id, chunk_index, pos, count(*) AS hit_count, any_value(phrase) AS phrase FROM w JOIN xq USING (term) GROUP BY ALL),
 h2 AS (SELECT h.*, sentence, window_text FROM h JOIN s USING (doc_id, chunk_index, pos) WHERE phrase = '' OR contains(lower(sentence), phrase)),
 h3 AS (SELECT *, row_number() OVER (PARTITION BY query_id, substr(sentence, 1, 80) ORDER BY hit_count DESC, doc_id, chunk_index, pos) AS r1 FROM h2),
 h4 AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, chunk_index ORDER BY hit_count DESC, pos) AS r2 FROM h3 WHERE r1 = 1),
 ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hit_count DESC, doc_id, chunk_index, pos) AS place FROM h4 WHERE r2 <= 2) WHERE place <= 8)"""
-_DEDUP = _EXACT + """,
-both_ AS (SELECT 0 AS origin, query_id, place, doc_id, chunk_index, pos, sentence FROM ex UNION ALL SELECT 1, query_id, pos, doc_id, chunk_index, pos, sentence FROM h2 WHERE chunk_index = 0 AND hit_count >= 2),
+_EXACT = CHUNKS + _EXACT_ONLY
+_DEDUP = EVIDENCE + _EXACT_ONLY + """,
+both_ AS (SELECT 0 AS origin, query_id, place, doc_id, chunk_index, pos, sentence FROM ex UNION ALL SELECT 1, query_id, evidence_rank, doc_id, chunk_index, pos, sentence FROM ev3 WHERE evidence_rank <= 8),
 b1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, substr(sentence, 1, 80) ORDER BY origin, place, doc_id, chunk_index, pos) AS r1 FROM both_),
 b2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, chunk_index ORDER BY origin, place, pos) AS r2 FROM b1 WHERE r1 = 1),
 ded AS (SELECT * EXCLUDE (place, r1, r2) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY origin, doc_id, chunk_index, pos) AS p FROM b2 WHERE r2 <= 2) WHERE p <= 12)"""
@@ -49,13 +50,9 @@ def exact_sentence_scan(spark, sf_dir):
 
 
 def _dedup(spark, sf_dir):
-    """First-chunk sentences with two terms and more stand in for the evidence of hits."""
-    q, c = questions(spark, sf_dir), _chunks(spark, sf_dir)
-    terms = q.select("query_id", F.explode(fx.query_terms("text", LATIN)).alias("term"))
-    s = c.where("chunk_index = 0").select("doc_id", "chunk_index", F.posexplode(fx.sentence_array("chunk")).alias("pos", "sentence"))
-    words = s.select("*", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("sentence"), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("term"))
-    hits = words.join(terms, "term").groupBy("query_id", "doc_id", "chunk_index", "pos", "sentence").agg(F.count("*").alias("n")).where("n >= 2")
-    return e.evidence_dedup(e.exact_sentences(q, c, 8), hits.withColumn("place", F.col("pos")))
+    """The exact scan's sentences before those of the BM25 hits."""
+    hits = bm25_evidence(spark, sf_dir).withColumnRenamed("evidence_rank", "place")
+    return e.evidence_dedup(e.exact_sentences(questions(spark, sf_dir), _chunks(spark, sf_dir), 8), hits)
 
 
 def evidence_dedup(spark, sf_dir):
@@ -91,10 +88,11 @@ def file_topics(spark, sf_dir):
 
 
 def reality_check(spark, sf_dir):
-    """Each benchmark item's words against the document of the same number."""
-    points = table(spark, sf_dir, "benchmark").select((F.length("text") % 200).cast("long").alias("segment_id"), F.substring("text", 1, 12).alias("point"), "item_id")
+    """The words of every sentence of a benchmark item, one by one, against the document of the same number."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("segment_id"), F.col("text"))
+    words = fx.sentences(items).select("segment_id", "pos", F.posexplode(F.split("sentence", " ")).alias("word", "point"))
     segments = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("segment_id"), "text")
-    return e.reality_check(points, segments).select("item_id", "segment_id")
+    return e.reality_check(words, segments).select("segment_id", "pos", "word")
 
 
 def pending_units(spark, sf_dir):
@@ -110,9 +108,9 @@ def document_pair_diff(spark, sf_dir):
 
 
 def locate_evidence(spark, sf_dir):
+    """Every sentence of every document."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    first = fx.sentences(d).where("pos = 1 AND length(sentence) <= 400")
-    return e.locate_evidence(first, d).select("doc_id", "start", "end")
+    return e.locate_evidence(fx.sentences(d), d).select("doc_id", "pos", "start", "end")
 
 
 QUERIES = {
@@ -139,9 +137,10 @@ QUERIES = {
         SELECT domain, doc_id, md5(substr(part, 1, room::BIGINT)) AS part_md5 FROM r WHERE room > 0"""),
     "file_topics": (file_topics, f"""WITH {CHUNKS}, f AS (SELECT DISTINCT doc_id FROM chunks ORDER BY doc_id LIMIT 12)
         SELECT doc_id, chunk_index + 1 AS place, trim(substr(chunk, 1, 80), ' ') AS point FROM chunks WHERE doc_id IN (SELECT doc_id FROM f) AND chunk_index < 2"""),
-    "reality_check": (reality_check, """WITH p AS (SELECT item_id, (length(text) % 200)::BIGINT AS segment_id, regexp_extract_all(substr(text, 1, 12), '[A-Za-z0-9]{3,}') AS ts FROM benchmark),
-        s AS (SELECT doc_id AS segment_id, regexp_replace(coalesce(text, ''), '[ \\t\\r\\n]+', '', 'g') AS flat FROM documents)
-        SELECT item_id, segment_id FROM p LEFT JOIN s USING (segment_id) WHERE len(ts) = 0 OR len(list_filter(ts, lambda t: contains(coalesce(flat, ''), t))) > 0"""),
+    "reality_check": (reality_check, f"""WITH b AS (SELECT item_id, {_SPLIT.format("coalesce(text, '')")} AS ss FROM benchmark), p AS (SELECT item_id, i - 1 AS pos, string_split(ss[i], ' ') AS ws FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM b)),
+        w AS (SELECT item_id, pos, i - 1 AS word, regexp_extract_all(ws[i], '[A-Za-z0-9]{{3,}}') AS ts FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM p)),
+        s AS (SELECT doc_id AS item_id, regexp_replace(coalesce(text, ''), '[ \\t\\r\\n]+', '', 'g') AS flat FROM documents)
+        SELECT item_id AS segment_id, pos, word FROM w LEFT JOIN s USING (item_id) WHERE len(ts) = 0 OR len(list_filter(ts, lambda t: contains(coalesce(flat, ''), t))) > 0"""),
     "pending_units": (pending_units, f"WITH {CHUNKS} SELECT doc_id, chunk_index AS grp FROM chunks WHERE (doc_id + chunk_index) % 2 != 0"),
     "document_pair_diff": (document_pair_diff, f"""WITH l AS (SELECT doc_id, unnest({_SPLIT.format("coalesce(text, '')")}) AS sentence FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(regexp_extract_all(lower(sentence), '[a-z0-9_]+'), ' ') AS s FROM l),
@@ -153,5 +152,9 @@ QUERIES = {
             AND 2 * len(list_intersect(o.w, n.w)) >= len(o.w) + len(n.w) - len(list_intersect(o.w, n.w)) GROUP BY o.a)
         SELECT u.a, u.b, count(*) FILTER (NOT ia) AS n_added, count(*) FILTER (NOT ib) AS n_removed, round((count(*) FILTER (ia AND ib)) / count(*), 4)::DOUBLE AS similarity,
             coalesce(any_value(n_modified), 0) AS n_modified FROM u LEFT JOIN m ON u.a = m.a GROUP BY u.a, u.b"""),
-    "locate_evidence": (locate_evidence, None),
+    "locate_evidence": (locate_evidence, f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS (SELECT doc_id, t, string_split(t, '') AS cs FROM d),
+        m AS (SELECT doc_id, regexp_replace(t, '[ \\t\\r\\n]', '', 'g') AS flat, list_filter(range(1, len(cs) + 1), lambda i: cs[i] NOT IN (' ', chr(9), chr(10), chr(13))) AS places, {_SPLIT.format("t")} AS ss FROM c),
+        s AS (SELECT doc_id, i - 1 AS pos, flat, places, regexp_replace(ss[i], '[ \\t\\r\\n]', '', 'g') AS s FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM m)),
+        f AS (SELECT *, strpos(flat, s) AS first FROM s)
+        SELECT doc_id, pos, CASE WHEN s != '' AND first > 0 THEN places[first] - 1 ELSE -1 END AS start, CASE WHEN s != '' AND first > 0 THEN places[first + length(s) - 1] ELSE -1 END AS "end" FROM f"""),
 }

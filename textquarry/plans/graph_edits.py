@@ -10,8 +10,9 @@ from ..operators import index as ix
 from ..operators.corpus import html_to_text
 from ..operators.index import fixed_windows
 from ..sources.tables import table
-from .graphs import _BASE, _graph, _labels
+from .graphs import _BASE, _BOTH, _CAT, _graph, _labels
 from .retrieval import CHUNKS, TFIDF
+from .textual import _HTML
 
 
 def _sourced(spark, sf_dir):
@@ -134,18 +135,45 @@ QUERIES = {
     "remove_nodes": (remove_nodes, f"WITH {_BASE}, k AS (SELECT id FROM nodes WHERE label >= 'E') SELECT src, dst, n FROM edges WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)"),
     "restore_nodes": (restore_nodes, f"WITH {_BASE}, k AS (SELECT id FROM nodes WHERE label >= 'E' OR label < 'C') SELECT src, dst, n FROM edges WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)"),
     "import_graph": (import_graph, f"WITH {_BASE}, k AS (SELECT id FROM nodes WHERE label > 'E') SELECT 'new-' || src AS src, 'new-' || dst AS dst, relation AS label FROM edges WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)"),
-    "graph_quality": (graph_quality, None),
+    "graph_quality": (graph_quality, f"""WITH RECURSIVE {_BOTH}, und AS MATERIALIZED (SELECT DISTINCT * FROM bw),
+        lb(id, component) USING KEY (id) AS (SELECT id, id FROM nodes UNION
+            SELECT u.src AS id, min(l.component) AS component FROM lb l JOIN und u ON u.dst = l.id JOIN recurring.lb o ON o.id = u.src GROUP BY u.src HAVING min(l.component) < any_value(o.component)),
+        cs AS (SELECT component, count(*) AS n FROM lb GROUP BY component), k AS (SELECT {_CAT} AS category, count(*) AS n FROM nodes GROUP BY 1),
+        p AS (SELECT id, ('0x' || substr(md5(id), 1, 4))::BIGINT / 8 AS x, ('0x' || substr(md5(id), 5, 4))::BIGINT / 8 AS y FROM nodes),
+        ov AS (SELECT count(*) AS n FROM p a JOIN p b ON a.id < b.id WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 < 2500),
+        f AS (SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM k) AS cats, (SELECT max(n) FROM k) AS largest,
+            (SELECT avg((relation IN ('', 'related', 'relates', '关联', '相关', '有关'))::INT) FROM edges) AS vague, (SELECT count(*) FROM cs) AS comps, (SELECT count(*) FROM cs WHERE n = 1) AS alone,
+            (SELECT n FROM ov) AS n_over, (SELECT avg(regexp_matches(lower(label), 'er|in')::INT) FROM nodes) AS coverage),
+        q AS (SELECT *, least(1, cats / 4 * (1 - 0.5::DOUBLE * largest / n_nodes)) AS diversity, greatest(0, 1 - 1.5::DOUBLE * vague) AS labels, greatest(0, 1 - 0.2::DOUBLE * (comps - 1) - alone / n_nodes) AS connectivity,
+            greatest(0, 1 - 2 * n_over / greatest(n_nodes * (n_nodes - 1) / 2, 1)) AS layout, least(1, coverage * 1.2::DOUBLE) AS coherence FROM f),
+        r AS (SELECT *, round({' + '.join(f'{w}::DOUBLE * {k}' for k, w in ge.QUALITY_WEIGHTS.items())}, 4) AS score FROM q)
+        SELECT n_nodes, n_edges, round(diversity, 6) AS diversity, round(labels, 6) AS labels, round(connectivity, 6) AS connectivity, round(layout, 6) AS layout, round(coherence, 6) AS coherence,
+            score, score >= 0.6 AS passed, vague > 0.5 AS warn_vague, alone / n_nodes > 0.1 AS warn_isolated FROM r"""),
     "domain_graphs": (domain_graphs, f"""WITH {_BASE}, dl AS (SELECT lab.*, source AS domain FROM lab JOIN documents USING (doc_id)),
         dn AS (SELECT domain, id FROM dl GROUP BY ALL HAVING count(DISTINCT (doc_id, chunk_index)) >= 2),
         ds AS (SELECT domain, id AS a, lead(id) OVER (PARTITION BY doc_id, chunk_index ORDER BY pos) AS b FROM dl SEMI JOIN dn USING (domain, id)),
         e AS (SELECT domain, count(DISTINCT (a, b)) AS n_edges FROM ds WHERE b IS NOT NULL AND a != b GROUP BY domain), n AS (SELECT domain, count(*) AS n_nodes FROM dn GROUP BY domain)
         SELECT d.domain, coalesce(n_nodes, 0) AS n_nodes, coalesce(n_edges, 0) AS n_edges, n_nodes IS NOT NULL AS ok FROM (SELECT DISTINCT domain FROM dl) d LEFT JOIN n USING (domain) LEFT JOIN e USING (domain)"""),
-    "gap_hints": (gap_hints, None),
+    "gap_hints": (gap_hints, f"""WITH RECURSIVE {_BOTH}, walk AS (SELECT id AS start, 0 AS step, id, [id] AS path FROM top UNION ALL
+        SELECT start, step + 1, dst, list_append(path, dst) FROM (SELECT w.*, e.dst, row_number() OVER (PARTITION BY start ORDER BY weight DESC, dst) AS rn
+            FROM walk w JOIN edges e ON e.src = w.id WHERE NOT list_contains(path, e.dst) AND step < 2) WHERE rn = 1),
+        ends AS (SELECT start, arg_min(id, step) AS head, arg_max(id, step) AS tail FROM walk GROUP BY start),
+        o AS (SELECT start, 'before' AS side, src AS hint, weight FROM ends JOIN edges ON dst = head UNION ALL SELECT start, 'after', dst, weight FROM ends JOIN edges ON src = tail),
+        b AS (SELECT start, side, arg_min(hint, (-weight, hint)) AS hint, max(weight) AS weight FROM o WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.start = o.start AND w.id = o.hint) GROUP BY ALL),
+        s AS (SELECT start, unnest(['before', 'after']) AS side FROM ends)
+        SELECT start, side, coalesce(hint, '(none)') AS hint, weight, CASE WHEN hint IS NULL THEN 'medium' ELSE 'high' END AS priority FROM s LEFT JOIN b USING (start, side)"""),
     "name_candidates": (name_candidates, f"""WITH {_BASE}, n AS (SELECT unnest(regexp_extract_all(chunk, '([A-Z][a-z]{{3,}}) *(?:is|ist|est|es)', 1)) AS name, 2 AS s FROM chunks
         UNION ALL SELECT unnest(regexp_extract_all(chunk, '([A-Z][a-z]{{3,}}) *(?:the|der|le|la)', 1)), 1 FROM chunks UNION ALL SELECT unnest(regexp_extract_all(chunk, '[A-Z][a-z]{{3,}}')), 1 FROM chunks)
         SELECT name, sum(s)::BIGINT AS score FROM n WHERE lower(name) != 'chapter' GROUP BY name HAVING sum(s) >= 2 ORDER BY score DESC, length(name) DESC, name LIMIT 30"""),
     "chunk_keywords": (chunk_keywords, f"""WITH {CHUNKS}, {TFIDF}, t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY round(w, 6) DESC, term) AS rn FROM tw)
         SELECT doc_id, chunk_index, term AS keyword FROM t WHERE rn <= 10 UNION SELECT doc_id, chunk_index, unnest(regexp_extract_all(chunk, '[A-Z][a-z]+(?:tion|ment|ness|ity)')) FROM chunks
         UNION SELECT doc_id, chunk_index, unnest(list_filter(regexp_extract_all(chunk, '[\\p{{L}}\\p{{N}}_]+'), lambda v: regexp_matches(v, '^[A-Z]{{2,8}}$'))) FROM chunks"""),
-    "filter_web_results": (filter_web_results, None),
+    "filter_web_results": (filter_web_results, f"""WITH g AS (SELECT page_id, url AS u, coalesce(html, '') AS html FROM pages),
+        x AS (SELECT page_id, trim(coalesce(u, ''), ' ') AS url, trim(coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' '), ''), 'Imported'), ' ') AS title,
+            list_filter(list_transform(string_split({_HTML}, chr(10)), lambda s: trim(regexp_replace(s, '[ \\t]+', ' ', 'g'), ' ')), lambda s: length(s) > 5)[1:300] AS ls FROM g),
+        b AS (SELECT page_id % 10 AS query_id, page_id, url, title, trim(substr(coalesce(array_to_string(ls, chr(10)), ''), 1, 15000), ' ') AS body FROM x),
+        k AS (SELECT * FROM b WHERE title != '' AND url != '' AND length(body) >= 20 AND NOT regexp_matches(lower(title || ' ' || url || ' ' || body), '{"|".join(ge.SPAM_WORDS)}')
+            AND NOT regexp_matches(regexp_extract(lower(url), '^[a-z]+://([^/:]+)', 1), '(^|\\.)({"|".join(h.replace(".", chr(92) + ".") for h in ge.SPAM_HOSTS)})$')),
+        o AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY page_id) AS rn FROM k)
+        SELECT query_id, place, url FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY page_id, url) AS place, substr(url, 1, 500) AS url FROM o WHERE rn = 1) WHERE place <= 8"""),
 }

@@ -1,7 +1,6 @@
 """Registered queries over headings, outlines and trees of ``documents``, each with its SQL twin.
 
-The documents have no headings, so every third line stands in for one: its first 40 characters,
-at level line / 3 mod 3.
+The documents have no headings, so every line of theirs stands for one, at level line mod 3.
 """
 
 from __future__ import annotations
@@ -12,10 +11,13 @@ from ..operators import outline as o
 from ..operators.index import fixed_windows
 from ..sources.tables import table
 from .retrieval import CHUNKS
+from .textual import _LEVEL
 
 _L = """l AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (
     SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)))"""
-_H = _L + """, h AS (SELECT * FROM (SELECT doc_id, line_no, trim(substr(line, 1, 40), ' ') AS title, (line_no // 3) % 3 AS level FROM l WHERE line_no % 3 = 0) WHERE title != '')"""
+_H = _L + """, h AS (SELECT * FROM (SELECT doc_id, line_no, trim(line, ' ') AS title, line_no % 3 AS level FROM l) WHERE title != '')"""
+#: H2 without the encoding, which keeps different ids apart.
+_ID = "regexp_replace(regexp_replace(lower(trim(title, ' ')), '[ \\t\\r\\n]+', '-', 'g'), '[^\\p{L}\\p{N}_-]', '', 'g')"
 
 
 def _lines(spark, sf_dir):
@@ -23,8 +25,8 @@ def _lines(spark, sf_dir):
 
 
 def _headings(spark, sf_dir):
-    rows = _lines(spark, sf_dir).where("line_no % 3 = 0")
-    return rows.select("doc_id", "line_no", F.trim(F.substring("line", 1, 40)).alias("title"), F.expr("(line_no div 3) % 3").cast("int").alias("level")).where("title != ''")
+    rows = _lines(spark, sf_dir)
+    return rows.select("doc_id", "line_no", F.trim("line").alias("title"), (F.col("line_no") % 3).alias("level")).where("title != ''")
 
 
 def _chunks(spark, sf_dir):
@@ -32,16 +34,16 @@ def _chunks(spark, sf_dir):
 
 
 def drop_inline_toc(spark, sf_dir):
-    """Stand-in headings lie close together, so a gap of 2 lines never joins them and one of 3 does."""
+    """Lines after the thirtieth lie ten times as far apart."""
     h = _headings(spark, sf_dir).withColumn("line_no", F.col("line_no") * F.when(F.col("line_no") > 30, 10).otherwise(1))
     return o.drop_inline_toc(h)
 
 
 def toc_region(spark, sf_dir):
-    """The sixth line of a document stands in for its contents line; words stand on lines of their own."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "([.!?]) ", "$1\n").alias("text"))
-    rows = o.numbered_lines(d).withColumn("line", F.when(F.col("line_no") == 1, "Contents").otherwise(F.substring("line", 1, 50)))
-    return o.toc_region(rows.withColumn("line", F.regexp_replace("line", "[.]$", "")))
+    """The second line of a document stands for its contents line; words stand on lines of their own."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "([.!?,]) ", "$1\n").alias("text"))
+    rows = o.numbered_lines(d).withColumn("line", F.when(F.col("line_no") == 1, "Contents").otherwise(F.regexp_replace("line", "[.]$", "")))
+    return o.toc_region(rows)
 
 
 def inline_headings(spark, sf_dir):
@@ -49,13 +51,13 @@ def inline_headings(spark, sf_dir):
 
 
 def outline_from_markdown(spark, sf_dir):
-    """Every second line becomes a markdown heading of its first 12 characters."""
-    rows = _lines(spark, sf_dir).where("length(trim(line)) > 2 AND line_no % 2 = 0")
-    return o.outline_from_markdown(rows.select("doc_id", "line_no", F.concat(F.expr("repeat('#', line_no % 3 + 1)"), F.lit(" "), F.trim(F.substring("line", 1, 12))).alias("line")))
+    """Every line with something in it becomes a markdown heading."""
+    rows = _lines(spark, sf_dir).where("trim(line) != ''")
+    return o.outline_from_markdown(rows.select("doc_id", "line_no", F.concat(F.expr("repeat('#', line_no % 3 + 1)"), F.lit(" "), F.trim("line")).alias("line")))
 
 
 def outline_clean(spark, sf_dir):
-    return o.outline_clean(_headings(spark, sf_dir).where("title RLIKE '^[a-zA-Z0-9 ]+$'"))
+    return o.outline_clean(_headings(spark, sf_dir))
 
 
 def chapters_to_parts(spark, sf_dir):
@@ -76,13 +78,13 @@ def graph_mode(spark, sf_dir):
 
 
 def merge_outlines(spark, sf_dir):
-    h = _headings(spark, sf_dir).where("title RLIKE '^[a-zA-Z0-9 ]+$'")
+    h = _headings(spark, sf_dir)
     return o.merge_outlines(h.where("level = 0"), h.where("level > 0"))
 
 
 def outline_points_distinct(spark, sf_dir):
     h = _headings(spark, sf_dir)
-    return o.outline_points_distinct(h.select("doc_id", F.expr("line_no div 9").alias("chapter"), F.col("line_no").alias("ord"), F.substring("title", 1, 5).alias("point")))
+    return o.outline_points_distinct(h.select("doc_id", F.expr("line_no div 9").alias("chapter"), F.col("line_no").alias("ord"), F.col("title").alias("point")))
 
 
 def chapter_sample(spark, sf_dir):
@@ -109,8 +111,8 @@ QUERIES = {
         b AS (SELECT *, sum(far) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM a), r AS (SELECT doc_id, run, count(*) AS c, min(i) AS s FROM b GROUP BY ALL),
         k AS (SELECT doc_id, min(s) FILTER (c >= 5) AS s, max(c) AS c FROM r GROUP BY doc_id)
         SELECT doc_id, line_no, title, level FROM b JOIN k USING (doc_id) WHERE NOT coalesce(n > 5 AND (s <= 5 OR s >= n - c - 3) AND i >= s AND i < s + c, false)"""),
-    "toc_region": (toc_region, """WITH l AS (SELECT doc_id, i - 1 AS line_no, CASE WHEN i = 2 THEN 'Contents' ELSE regexp_replace(substr(ls[i], 1, 50), '[.]$', '') END AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (
-            SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)) AS ls FROM documents))),
+    "toc_region": (toc_region, """WITH l AS (SELECT doc_id, i - 1 AS line_no, CASE WHEN i = 2 THEN 'Contents' ELSE regexp_replace(ls[i], '[.]$', '') END AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (
+            SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?,]) ', '\\1' || chr(10), 'g'), chr(10)) AS ls FROM documents))),
         f AS (SELECT doc_id, min(line_no) AS s FROM l WHERE regexp_matches(trim(line, ' '), '(?i)^(contents|table of contents|目录|目 录)$') GROUP BY doc_id),
         r AS (SELECT l.*, trim(line, ' ') AS t, CASE WHEN trim(line, ' ') = '' OR length(trim(line, ' ')) > 60 OR regexp_matches(trim(line, ' '), '[.!?;。！？；]$') THEN 1 ELSE 0 END AS bad
             FROM l JOIN f USING (doc_id) WHERE line_no > s AND line_no <= s + 80),
@@ -119,18 +121,25 @@ QUERIES = {
         SELECT * FROM (SELECT doc_id, line_no, trim(regexp_replace(t, '[ .…·]*[0-9]+$', ''), ' ') AS title,
             CASE WHEN length(line) - length(ltrim(line, ' ')) >= 4 THEN 2 WHEN length(line) - length(ltrim(line, ' ')) >= 2 THEN 1 ELSE 0 END AS level FROM z
             WHERE worst < 3 AND bad = 0 AND NOT regexp_matches(t, '(?i)^(isbn|copyright|author|publisher|版权|作者|出版)')) WHERE title != ''"""),
-    "inline_headings": (inline_headings, None),
-    "outline_from_markdown": (outline_from_markdown, f"""WITH {_L}, m AS (SELECT doc_id, line_no, trim(trim(substr(line, 1, 12), ' '), ' ') AS title, line_no % 3 AS level FROM l WHERE length(trim(line, ' ')) > 2 AND line_no % 2 = 0),
+    "inline_headings": (inline_headings, f"""WITH {_L}, v AS (SELECT doc_id, line_no, x, {_LEVEL} AS level, trim(coalesce(lag(line) OVER w, ''), ' ') = '' AND trim(coalesce(lead(line) OVER w, ''), ' ') = '' AND length(x) BETWEEN 3 AND 20 AS alone
+            FROM (SELECT *, trim(line, ' ') AS x FROM l) WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+        n AS (SELECT *, count(level) OVER (PARTITION BY doc_id) = 0 AND count(*) OVER (PARTITION BY doc_id) < 5000 AS none FROM v)
+        SELECT doc_id, line_no, md5(trim(regexp_replace(x, '^#+[ \\t]*', ''), ' ')) AS title_md5, CASE WHEN level IS NULL THEN 2 ELSE level END AS level FROM n WHERE level IS NOT NULL OR (none AND alone)"""),
+    "outline_from_markdown": (outline_from_markdown, f"""WITH {_L}, m AS (SELECT doc_id, line_no, trim(line, ' ') AS title, line_no % 3 AS level FROM l),
         m2 AS (SELECT * FROM m WHERE title != ''), k AS (SELECT doc_id, regexp_replace(lower(title), '[ \\t]+', '', 'g') AS key, min(line_no) AS line_no, arg_max(title, line_no) AS title, arg_max(level, line_no) AS level FROM m2 GROUP BY 1, 2),
         b AS (SELECT DISTINCT doc_id, regexp_extract(title, '(?i)^((?:chapter|part) +[0-9]+)', 1) AS head FROM k WHERE regexp_extract(title, '(?i)^((?:chapter|part) +[0-9]+)', 1) NOT IN ('', title))
         SELECT doc_id, line_no, title, level FROM k WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = k.doc_id AND head = title)"""),
-    "outline_clean": (outline_clean, f"""WITH {_H}, c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, regexp_replace(lower(title), ' +', '-', 'g') ORDER BY line_no) AS rn FROM h
-            WHERE regexp_matches(title, '^[a-zA-Z0-9 ]+$') AND length(title) BETWEEN 3 AND 80
+    "outline_clean": (outline_clean, f"""WITH {_H}, c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, {_ID} ORDER BY line_no) AS rn FROM h
+            WHERE length(title) BETWEEN 3 AND 80
             AND NOT (regexp_matches(title, '^[0-9]+\\.?[ \\t]+.{{10,}}') AND regexp_matches(title, '(?i)\\b(can|should|must|will|first|finally|then)\\b')))
         SELECT doc_id, line_no, title, level FROM c WHERE rn = 1"""),
     "chapters_to_parts": (chapters_to_parts, f"""WITH {_H}, p AS (SELECT *, max(CASE WHEN level = 0 THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS part_line FROM h)
         SELECT p.doc_id, part_line, h.title AS part, p.line_no, p.title FROM p JOIN h ON h.doc_id = p.doc_id AND h.line_no = part_line WHERE p.level > 0"""),
-    "volumes": (volumes, None),
+    "volumes": (volumes, f"""WITH RECURSIVE {_H}, pos AS (SELECT doc_id, line_no, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - length(line) - 1 AS place FROM l),
+        c AS (SELECT h.doc_id, h.line_no, regexp_extract(title, '^([A-Za-z ]{{2,20}})', 1) AS title, place FROM h JOIN pos USING (doc_id, line_no) WHERE level = 0),
+        k AS (SELECT * FROM c WHERE length(trim(title, ' ')) BETWEEN 2 AND 20 AND NOT regexp_matches(trim(title, ' '), '(?i)^(fig|figure|table)') AND length(regexp_replace(title, ' ', '', 'g')) >= 2),
+        v AS (SELECT doc_id, min(place) AS place FROM k WHERE place >= 5000 GROUP BY doc_id UNION ALL SELECT v.doc_id, min(k.place) FROM v JOIN k ON k.doc_id = v.doc_id AND k.place >= v.place + 5000 GROUP BY v.doc_id)
+        SELECT doc_id, line_no, title FROM v JOIN k USING (doc_id, place)"""),
     "structure_graph": (structure_graph, f"""WITH {_H}, u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, title ORDER BY line_no) AS rn FROM h),
         v AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS place FROM u WHERE rn = 1), n AS (SELECT * FROM v WHERE place <= 60),
         e AS (SELECT b.doc_id, b.title AS dst, b.level, arg_max(a.title, a.line_no) FILTER (a.level < b.level) AS up, arg_max(a.title, a.line_no) FILTER (a.level = b.level) AS same
@@ -139,10 +148,10 @@ QUERIES = {
         UNION ALL SELECT doc_id, same, dst, 'next', 0.5, round(0.9 - 0.15 * level, 2)::DOUBLE FROM e WHERE same IS NOT NULL"""),
     "graph_mode": (graph_mode, f"""WITH {CHUNKS} SELECT doc_id, CASE WHEN avg(regexp_matches(chunk, '(?im)^(#{{1,6}}[ \\t]|(chapter|part) +[0-9]+|第[一二三四五六七八九十百0-9]+[章节部篇卷])')::INT) >= 0.3 THEN 'structure' ELSE 'concept' END AS mode
         FROM chunks GROUP BY doc_id"""),
-    "merge_outlines": (merge_outlines, f"""WITH {_H}, k AS (SELECT *, regexp_replace(lower(title), ' +', '', 'g') AS flat, regexp_replace(lower(title), ' +', '-', 'g') AS hid FROM h WHERE regexp_matches(title, '^[a-zA-Z0-9 ]+$'))
+    "merge_outlines": (merge_outlines, f"""WITH {_H}, k AS (SELECT *, regexp_replace(lower(title), '[ \\t\\r\\n　]+', '', 'g') AS flat, {_ID} AS hid FROM h)
         SELECT 0 AS origin, doc_id, line_no, title, level FROM k WHERE level = 0 UNION ALL
         SELECT 1, doc_id, line_no, title, level FROM k i WHERE level > 0 AND NOT EXISTS (SELECT 1 FROM k t WHERE t.level = 0 AND t.doc_id = i.doc_id AND (t.flat = i.flat OR t.hid = i.hid))"""),
-    "outline_points_distinct": (outline_points_distinct, f"""WITH {_H}, p AS (SELECT doc_id, line_no // 9 AS chapter, line_no AS ord, substr(title, 1, 5) AS point, regexp_replace(lower(substr(title, 1, 5)), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS key FROM h),
+    "outline_points_distinct": (outline_points_distinct, f"""WITH {_H}, p AS (SELECT doc_id, line_no // 9 AS chapter, line_no AS ord, title AS point, regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS key FROM h),
         k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY chapter, ord) AS rn FROM p WHERE key != '') WHERE rn = 1)
         SELECT c.doc_id, c.chapter, coalesce(ord, 0) AS ord, coalesce(point, '(see the other chapters)') AS point FROM (SELECT DISTINCT doc_id, chapter FROM p) c LEFT JOIN k USING (doc_id, chapter)"""),
     "chapter_sample": (chapter_sample, f"""WITH {CHUNKS}, t AS (SELECT doc_id FROM chunks WHERE chunk_index % 4 = 0 GROUP BY doc_id HAVING count(*) >= 2),

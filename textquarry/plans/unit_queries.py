@@ -9,6 +9,8 @@ from ..operators import index as ix
 from ..operators import units as u
 from ..operators.index import fixed_windows
 from ..sources.tables import table
+from .textual import _D as _TD
+from .textual import _STATS
 
 
 def _docs(spark, sf_dir):
@@ -64,6 +66,7 @@ def svd_embed(spark, sf_dir):
     return u.svd_embed(w, 16)[0].select("doc_id", "chunk_index", F.size("embedding").alias("dim"))
 
 
+_STATS_ONLY = _STATS.split(",\n    pg AS")[0]
 _D = "d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
 QUERIES = {
     "chunk_pages": (chunk_pages, None),
@@ -80,7 +83,7 @@ QUERIES = {
         q AS (SELECT *, CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE c / k END AS cover, CASE WHEN k = 0 THEN 0 ELSE v END AS n_invented FROM p)
         SELECT doc_id, round(cover, 4) AS coverage, n_invented, m / greatest(n, 1) <= 0.3 AS short_enough,
             round(0.8::DOUBLE * cover + CASE WHEN n_invented = 0 THEN 0.2::DOUBLE ELSE 0 END, 4) AS score, k = 0 OR (cover >= 0.7 AND n_invented = 0) AS passed FROM q"""),
-    "stats_text": (stats_text, None),
+    "stats_text": (stats_text, f"""WITH {_TD}, {_STATS_ONLY} SELECT doc_id, 'Document ' || doc_id || ': ' || format('{{:,}} characters, {{:,}} words, {{:,}} sentences, {{:,}} paragraphs.', n_chars, n_words, n_sentences, n_paragraphs) AS line FROM st"""),
     "card_text": (card_text, f"""WITH {_D}, w AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Z][a-z]+') AS ws FROM d)
         SELECT doc_id, concat_ws('. ', ws[1], nullif(trim(substr(t, 1, 40), ' '), ''), CASE WHEN len(ws) > 1 THEN 'Related: ' || array_to_string(ws[2:4], ', ') END) AS line FROM w"""),
     "salvage_json": (salvage_json, f"""WITH {_D}, l AS (SELECT doc_id, regexp_extract(t, '([A-Za-z]+)', 1) AS label FROM d)
