@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as fx
-from textquarry.functions.profiles import ZH
+from textquarry.functions.profiles import LATIN, ZH
 from textquarry.operators import corpus, graph, index, records
 from textquarry.sources import files
 from textquarry.streaming import jobs
@@ -97,19 +97,34 @@ def test_components_of_a_long_path(spark):
     assert len(got) == 3001 and got.pop("lonely") == "lonely" and set(got.values()) == {"n0001"}
 
 
-def test_corpus_diff(spark):
-    schema = "path string, size long, mtime double"
-    disk = spark.createDataFrame([("a", 1, 10.0), ("b", 1, 10.0), ("c", 1, 10.0)], schema)
-    indexed = spark.createDataFrame([("a", 1, 10.5), ("b", 1, 110.0), ("d", 1, 0.0)], schema)
-    assert {r["path"]: r["status"] for r in corpus.corpus_diff(disk, indexed).collect()} == {"b": "modified", "c": "new", "d": "deleted"}
+def test_corpus_diff_by_tiers(spark):
+    schema = "source_root string, rel_path string, name string, size long, mtime double, uploaded_at string"
+    file = lambda path, mtime=10.0, root="/r": (root, path, path.rsplit("/", 1)[-1], 1, mtime, "2026")
+    disk = spark.createDataFrame([file("a/x"), file("b/x"), file("a/y"), file("z"), file("a/x", root="/s"), file("n")], schema)
+    indexed = spark.createDataFrame([file("a/x", 10.5), ("/r", "gone", "gone", 1, 1.0, "2027"), (None, "a/y", "y", 1, 110.0, None), (None, None, "z", 1, 10.0, None), (None, None, "lost", 1, 1.0, None)], schema)
+    got = corpus.corpus_diff(disk, indexed)
+    assert sorted((r["rel_path"] or "", r["name"], r["status"]) for r in got.collect()) == sorted(
+        [("b/x", "x", "new"), ("a/x", "x", "new"), ("n", "n", "new"), ("a/y", "y", "modified"), ("gone", "gone", "deleted"), ("", "lost", "deleted")]
+    )
+    assert corpus.diff_counts(got, indexed).first().asDict() == {"new": 3, "modified": 1, "deleted": 2, "total_indexed": 5, "last_scan": "2027"}
 
 
 def test_replace_and_delete(spark):
     stored = spark.createDataFrame([(1, "old"), (2, "keep")], "doc_id long, chunk string")
     fresh = spark.createDataFrame([(1, "new")], "doc_id long, chunk string")
     assert {(r["doc_id"], r["chunk"]) for r in corpus.replace_documents(stored, fresh).collect()} == {(1, "new"), (2, "keep")}
-    assert corpus.delete_documents(stored, fresh.select("doc_id")).count() == 1
-    assert corpus.delete_documents(stored, spark.createDataFrame([(None,)], "doc_id long")).count() == 2
+    ids = spark.createDataFrame([("1",), (" ",), (None,), ("7",)], "id string")
+    assert [r["doc_id"] for r in corpus.delete_documents(stored, ids).collect()] == [2]
+    assert {r["id"]: r["removed"] for r in corpus.removed_counts(stored, ids).collect()} == {1: 1, 7: 0}
+    assert corpus.delete_documents(stored, spark.createDataFrame([(None,)], "id string")).count() == 2
+
+
+def test_text_rules(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert one(fx.canonical_label(F.lit("Ａｂ ｃ（x）"), {"abc": "letters"}, nfkc=True)) == "letters"
+    assert one(fx.infer_category(F.lit("王小明"), ZH)) == "person" and one(fx.infer_category(F.lit("Dr. House"))) == "person"
+    assert one(fx.narrative_expand(F.lit("桥水基金创建背景"), LATIN)) is None
+    assert one(fx.narrative_expand(F.lit("history of Acme holdings"))) == "holdings " + " ".join(LATIN.history)
 
 
 def test_map_rows_keeps_failures_apart(spark):
@@ -131,21 +146,42 @@ def test_files(spark, tmp_path):
 
 
 def test_streams_equal_batches(spark, tmp_path):
-    events = spark.createDataFrame([(i % 3, "view" if i % 2 else "buy", i) for i in range(20)], "user_id long, event_type string, s long")
-    events = events.select("user_id", "event_type", F.timestamp_seconds("s").alias("ts"))
+    events = spark.createDataFrame([(i % 3, "view" if i % 2 else "buy", i) for i in range(20)], "user_id long, document string, s long")
+    events = events.select("user_id", "document", F.timestamp_seconds("s").alias("ts"))
     events.repartition(3).write.parquet(str(tmp_path / "events"))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
-    jobs.run_to_end(jobs.reading_counter(stream), "reads", "complete", str(tmp_path / "c1"))
-    assert set(spark.table("reads").collect()) == set(jobs.reading_counter(events).collect())
+    jobs.reading_counter(stream, str(tmp_path / "reads"), str(tmp_path / "c1"), buckets=2).awaitTermination()
+    whole = {tuple(r) for r in records.reading_records(events).collect()}
+    same = lambda: {tuple(r) for r in jobs.read_store(spark, str(tmp_path / "reads")).select("user_id", "document", "first_read", "last_read", "read_count").collect()}
+    assert same() == whole
+    last = sorted(int(p.name[6:]) for p in (tmp_path / "reads").glob("bucket=*/batch=*"))[-1]
+    assert all(len(list(p.glob("batch=*"))) <= 2 for p in (tmp_path / "reads").glob("bucket=*")) and last == 2
 
     docs = spark.createDataFrame([(1, "a" * 30), (2, "b")], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "docs"))
+    index_path = str(tmp_path / "index")
+    chunks = lambda: {(r["doc_id"], r["chunk"]) for r in jobs.read_store(spark, index_path).collect()}
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "docs"))
-    jobs.incremental_index(stream, str(tmp_path / "index"), str(tmp_path / "c2"), 10, 2).awaitTermination()
-    spark.createDataFrame([(1, "new")], "doc_id long, text string").write.mode("append").parquet(str(tmp_path / "docs"))
+    jobs.incremental_index(stream, index_path, str(tmp_path / "c2"), 10, 2, buckets=4).awaitTermination()
+    more = spark.createDataFrame([(1, "new"), (2, "b"), (3, "")], "doc_id long, text string")
+    more.write.mode("append").parquet(str(tmp_path / "docs"))
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "docs"))
-    jobs.incremental_index(stream, str(tmp_path / "index"), str(tmp_path / "c2"), 10, 2).awaitTermination()
-    assert {(r["doc_id"], r["chunk"]) for r in spark.read.parquet(str(tmp_path / "index/v=1")).collect()} == {(1, "new"), (2, "b")}
+    jobs.incremental_index(stream, index_path, str(tmp_path / "c2"), 10, 2, buckets=4).awaitTermination()
+    assert chunks() == {(1, "new"), (2, "b")}
+    jobs.index_batch(more, 1, index_path, 10, 2, 4)  # a replayed batch changes nothing
+    assert chunks() == {(1, "new"), (2, "b")}
+    jobs.index_batch(spark.createDataFrame([(2, "")], docs.schema), 2, index_path, 10, 2, 4)
+    assert chunks() == {(1, "new")}
+
+    cache = str(tmp_path / "cache")
+    batch = lambda *rows: spark.createDataFrame(list(rows), "key string, kind string, s long").select("key", "kind", F.timestamp_seconds("s").alias("ts"))
+    live = lambda: sorted((r["key"], int(r["ts"].timestamp())) for r in jobs.read_store(spark, cache).collect())
+    jobs.cache_batch(batch(("k", "normal", 0), ("d", "degraded", 0), ("k", "normal", 5)), 0, cache, {"normal": 600, "degraded": 60}, 3)
+    assert live() == [("d", 0), ("k", 0)]
+    jobs.cache_batch(batch(("k", "normal", 100), ("m", "normal", 100)), 1, cache, {"normal": 600, "degraded": 60}, 3)
+    assert live() == [("k", 0), ("m", 100)]
+    jobs.cache_batch(batch(("n", "normal", 101), ("o", "normal", 102)), 2, cache, {"normal": 600, "degraded": 60}, 3)
+    assert live() == [("m", 100), ("n", 101), ("o", 102)]
 
     results = spark.createDataFrame([("k", 0), ("k", 5), ("j", 1)], "key string, s long").select("key", F.timestamp_seconds("s").alias("ts"))
     results.coalesce(1).write.parquet(str(tmp_path / "results"))

@@ -105,15 +105,15 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int, least: float = 0.01, block: int = QUERY_BLOCK) -> DataFrame:
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int, least: float = 0.01, max_queries: int = QUERY_BLOCK) -> DataFrame:
     """C4: raw dot product of every query (query_id, query) with every row (vec_id, embedding); the best max(4k, 40), ties by id.
 
-    Queries go to the tasks in blocks of about ``block``, one pass over the vectors each; a task scores
+    Queries go to the tasks in blocks of about ``max_queries``, one pass over the vectors each; a task scores
     a batch by one matrix product and gives its own best rows only, which are merged after the shuffle.
     Null vectors, and those of another length than the queries', have no score.
     """
     most, n = max(4 * k, 40), queries.count()
-    blocks = max(1, -(-n // block))
+    blocks = max(1, -(-n // max_queries))
     out = None
     for i in range(blocks):
         asked = queries.where(F.col("query").isNotNull() & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).collect()
