@@ -17,9 +17,8 @@ from .textual import _HTML
 
 def _sourced(spark, sf_dir):
     """Nodes with their first document's source as file; edges with the first letter of their start's as theirs."""
-    labels, nodes, edges = _graph(spark, sf_dir)
-    first = g.concept_sources(labels, nodes).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("first_document"), F.col("source").alias("source_file")), "first_document")
-    nodes = nodes.join(first.select("id", "source_file"), "id")
+    _, nodes, edges = _graph(spark, sf_dir)
+    nodes = nodes.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("first_doc"), F.col("source").alias("source_file")), "first_doc")
     return nodes, edges.join(nodes.select(F.col("id").alias("src"), "source_file"), "src")
 
 
