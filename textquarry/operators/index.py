@@ -202,13 +202,17 @@ def sentence_evidence(hits: DataFrame, queries: DataFrame, n: int = 8, per_chunk
 
 
 def vocabulary(chunks: DataFrame, vocab: int = 5000, profile: Profile = ZH, bigrams: bool = True) -> DataFrame:
-    """(term, df, idf) of the ``vocab`` most frequent terms, ties by term; smoothed idf ln((1 + N) / (1 + df)) + 1, N all chunks."""
+    """(term, df, idf) of the ``vocab`` most frequent terms, ties by term; smoothed idf ln((1 + N) / (1 + df)) + 1, N all chunks.
+
+    At most ``vocab`` rows, which are gathered once: several steps use them.
+    """
     post = chunks.select(terms_of(profile, bigrams).alias("terms"))
     freq = post.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("freq"))
     top = freq.orderBy(F.desc("freq"), "term").limit(vocab).select("term")
     df = post.select(F.explode(F.array_distinct("terms")).alias("term")).join(F.broadcast(top), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     n = chunks.agg(F.count("*").alias("n"))
-    return df.crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    out = df.crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return chunks.sparkSession.createDataFrame(out.collect(), out.schema)
 
 
 def weighted(rows: DataFrame, terms: DataFrame, profile: Profile = ZH, bigrams: bool = True) -> DataFrame:
