@@ -1,5 +1,6 @@
 """Small inline cases of outlines, evidence, graph changes and units: fixed examples, nulls, empties, ties."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,18 @@ def test_exact_sentences_and_windows(spark):
     got = evidence.exact_sentences(q, index.fixed_windows(d), 5)
     assert rows(got, "query_id", "place", "doc_id", "sentence")[:2] == [(1, 1, 1, "Blue whale sings."), (2, 1, 1, "Red fox runs.")]
     assert rows(got.where("query_id = 1"), "window_text") == [("Red fox runs.Blue whale sings.End.",)]
+    spans = evidence.exact_sentences(spark.createDataFrame([(1, '"of the whale. It"')], "query_id long, text string"), index.fixed_windows(spark.createDataFrame([(7, "Sign of the whale. It ends.")], DOCS)), 5)
+    assert rows(spans, "doc_id", "pos", "hit_count", "sentence") == [(7, 0, 1, "Sign of the whale. It ends.")]
+    q = spark.createDataFrame([(1, "Ann met Bob")], "query_id long, text string")
+    d = spark.createDataFrame([(1, "Ann left. He met Bob. They spoke."), (2, "Ann left. They spoke. Bob met.")], DOCS)
+    assert rows(evidence.exact_sentences(q, index.fixed_windows(d), 9), "place", "doc_id", "pos", "hit_count") == [(1, 1, 1, 5), (2, 1, 0, 4), (3, 2, 2, 2)]
+
+
+def test_exact_sentences_in_han_text(spark):
+    d = spark.createDataFrame([(1, "红狐奔跑。蓝鲸在海里歌唱。完。"), (2, "无关。")], DOCS)
+    q = spark.createDataFrame([(1, "蓝鲸"), (2, "“狐奔跑。蓝鲸”"), (3, "红狐 蓝鲸")], "query_id long, text string")
+    got = rows(evidence.exact_sentences(q, index.fixed_windows(d), 5, ZH), "query_id", "place", "doc_id", "pos", "hit_count")
+    assert got == [(1, 1, 1, 1, 1), (2, 1, 1, 0, 1), (3, 1, 1, 0, 4), (3, 2, 1, 1, 4)]
 
 
 def test_entity_filter_falls_back(spark):
@@ -166,10 +179,19 @@ def test_generated_text(spark):
     assert [r["way"] for r in units.salvage_json(raw, "array<struct<label:string>>").collect()] == ["strict", "repaired", "labels", "none", "none"]
 
 
-def test_svd_projects_like_the_fit(spark):
-    w = spark.createDataFrame([(d, 0, t, float((d * k) % 5 + 1)) for d in range(8) for k, t in enumerate("abc", 1)], "doc_id long, chunk_index int, term string, weight double")
-    v, model = units.svd_embed(w, 2)
-    assert {len(r["embedding"]) for r in v.collect()} == {2} and rows(units.project(w, model), "doc_id", "embedding") == rows(v, "doc_id", "embedding")
+def test_svd_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    a = rng.random((60, 30)) * (rng.random((60, 30)) < 0.3) * (0.7 ** np.arange(30))
+    w = spark.createDataFrame([(int(d), 0, f"t{t:02d}", float(a[d, t])) for d, t in zip(*np.nonzero(a), strict=True)], "doc_id long, chunk_index int, term string, weight double")
+    v, model = units.svd_embed(w.repartition(5), 6)
+    ids, got = zip(*sorted((r["doc_id"], r["embedding"]) for r in v.collect()), strict=True)
+    _, s, vt = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(a[list(ids)] @ vt[:6].T), atol=1e-4) and np.allclose(np.linalg.norm(got, axis=0), s[:6], atol=1e-6)
+    again = dict(rows(units.project(w, model), "doc_id", "embedding"))
+    assert all(np.allclose(again[d], e) for d, e in zip(ids, got, strict=True))
+    assert units.project(w.where("false"), model).count() == 0 and units.svd_embed(w.where("false"), 6)[0].count() == 0
+    with pytest.raises(ValueError):
+        units.project(w, model.unionByName(spark.createDataFrame([("x", [1.0])], model.schema)))
 
 
 def test_result_classes(spark, tmp_path):

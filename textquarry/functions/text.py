@@ -270,13 +270,46 @@ def parse_time(text: Column | str) -> Column:
     return F.coalesce(F.try_to_timestamp(_c(text)).cast("double"), F.lit(0.0))
 
 
+def han_grams(text: Column | str, sizes: tuple[int, ...] = (2,)) -> Column:
+    """All stretches of ``sizes`` characters inside the runs of Han characters."""
+    runs = F.regexp_extract_all(blank(text), F.lit(f"[{HAN}]{{2,}}"), F.lit(0))
+
+    def of(n):
+        cut = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - n + 1), lambda i: F.substring(r, i, F.lit(n)))
+        return F.flatten(F.transform(F.filter(runs, lambda r: F.length(r) >= n), cut))
+
+    return F.concat(*(of(n) for n in sizes))
+
+
 def query_terms(text: Column | str, profile: Profile = LATIN, least: int = 2) -> Column:
-    """H8: distinct lower-case terms of at least ``least`` characters that are no stopwords, in order."""
-    found = F.regexp_extract_all(F.lower(blank(text)), F.lit(profile.token.lower() if profile.name == "latin" else profile.token), F.lit(0))
+    """H8: distinct lower-case terms of at least ``least`` characters that are no stopwords, in order; of Han runs their bigrams, last."""
+    found = F.regexp_extract_all(F.lower(blank(text)), F.lit("[a-z0-9_]+"), F.lit(0))
+    found = found if profile.name == "latin" else F.concat(found, han_grams(text))
     stop = F.array(*(F.lit(w) for w in profile.stopwords)) if profile.stopwords else F.array().cast("array<string>")
     return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= least) & ~F.array_contains(stop, t)))
 
 
+def query_names(text: Column | str, profile: Profile = LATIN) -> Column:
+    """Distinct names of 2 to 4 characters: whole Han runs, or in Latin letters capitalised words that are no stopwords."""
+    if profile.name != "latin":
+        runs = F.regexp_extract_all(blank(text), F.lit(f"[{HAN}]+"), F.lit(0))
+        return F.array_distinct(F.filter(runs, lambda r: F.length(r).between(2, 4)))
+    words = F.regexp_extract_all(blank(text), F.lit("[A-Za-z0-9_]+"), F.lit(0))
+    return F.array_distinct(F.filter(words, lambda w: w.rlike("^[A-Z][a-z]{1,3}$") & ~F.lower(w).isin(*profile.stopwords)))
+
+
+def sentence_words(text: Column | str, profile: Profile = LATIN) -> Column:
+    """The distinct words that query terms and names can equal: as they stand, in lower case, and stretches of 2 to 4 Han characters."""
+    words = F.regexp_extract_all(blank(text), F.lit("[A-Za-z0-9_]+"), F.lit(0))
+    parts = [words, F.transform(words, lambda w: F.lower(w))] + ([] if profile.name == "latin" else [han_grams(text, (2, 3, 4))])
+    return F.array_distinct(F.concat(*parts))
+
+
+def quoted_phrase(text: Column | str) -> Column:
+    """The first phrase of two or more characters in quotation marks, else empty."""
+    return F.trim(F.regexp_extract(blank(text), '["“「『]([^"”」』]{2,})["”」』]', 1))
+
+
 def phrase_terms(text: Column | str, most: int = 8) -> Column:
     """H8: the first ``most`` distinct words of 2 to 4 letters; bigrams of the text when there are none."""
     t = blank(text)

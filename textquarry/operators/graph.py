@@ -10,7 +10,7 @@ from ..functions.profiles import HAN
 from ..sources.tables import shared_dir
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cut lineage in the shared folder."""
     spark: SparkSession = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
@@ -175,7 +175,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     are about logarithmic on chains too, and go on until no label changes.
     """
     both = both_ways(edges).distinct()
-    labels = _cut(nodes.select("id", F.col("id").alias("component")).distinct())
+    labels = cut(nodes.select("id", F.col("id").alias("component")).distinct())
     while True:
         near = both.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("seen"))
         step = labels.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", "seen").alias("now"))
@@ -183,7 +183,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         root = F.struct(F.col("was").alias("id"), F.lit(None).cast(labels.schema["component"].dataType).alias("was"), F.col("now").alias("now"))
         step = step.select(F.explode(F.array(own, root)).alias("m")).groupBy("m.id").agg(F.max("m.was").alias("was"), F.min("m.now").alias("now"))
         jump = labels.select(F.col("id").alias("now"), F.col("component").alias("jumped"))
-        step = _cut(step.join(jump, "now", "left").select("id", "was", F.least("now", "jumped").alias("component")))
+        step = cut(step.join(jump, "now", "left").select("id", "was", F.least("now", "jumped").alias("component")))
         labels = step.select("id", "component")
         if step.where("was != component").isEmpty():
             return labels
@@ -196,7 +196,7 @@ def bfs_rings(nodes: DataFrame, edges: DataFrame, centre: DataFrame, far: int =
     front = seen
     for ring in range(1, far):
         front = both.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        front = _cut(front.join(seen.select("id"), "id", "left_anti").withColumn("ring", F.lit(ring)))
+        front = cut(front.join(seen.select("id"), "id", "left_anti").withColumn("ring", F.lit(ring)))
         seen = seen.unionByName(front)
     return nodes.select("id").join(seen, "id", "left").select("id", F.coalesce("ring", F.lit(far)).alias("ring"))
 
@@ -210,7 +210,7 @@ def concept_chains(edges: DataFrame, starts: DataFrame, steps: int = 4) -> DataF
         nxt = path.join(out, tip == F.col("src")).where(~F.array_contains("path", F.col("dst")))
         best = nxt.groupBy("start").agg(F.min(F.struct((-F.col("weight")).alias("w"), "dst")).alias("b"))
         path = path.join(best, "start", "left").select("start", F.when(F.col("b").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("b.dst"))).alias("path"))
-        path = _cut(path)
+        path = cut(path)
     return path.select("start", F.posexplode("path").alias("step", "id"))
 
 

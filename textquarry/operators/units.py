@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from .graph import cut
 
 
 def _per_text(docs: DataFrame, cut: Callable[[str], list[str]], name: str) -> DataFrame:
@@ -214,33 +215,108 @@ def salvage_json(raw: DataFrame, schema: str, field: str = "label") -> DataFrame
     return rows.withColumn("parsed", F.from_json(source, schema)).withColumn("labels", F.when(F.col("way") == "labels", labels))
 
 
-def svd_embed(weights: DataFrame, dim: int = 384) -> tuple[DataFrame, DataFrame]:
-    """(vectors (doc_id, chunk_index, embedding), model (term, component)) by truncated SVD of tf-idf weights.
+#: Most terms of a matrix that may be decomposed, vectors beyond the wanted ones, and passes before the last.
+MAX_TERMS, OVERSAMPLE, PASSES = 20_000, 10, 5
 
-    The matrix is distributed; its columns are the vocabulary of ``tfidf`` (at most some thousands),
-    so only the Gram matrix of the terms meets the driver. The model is a table: write it, read it
-    back, and pass it to ``project``. Vectors are not normalised.
-    """
-    from pyspark import StorageLevel
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
 
-    terms = [r["term"] for r in weights.select("term").distinct().orderBy("term").collect()]
+def _batches(frames, n: int):
+    """(keys, dense rows of ``n`` columns) of Arrow batches (doc_id, chunk_index, i, x), 256 rows at a time."""
+    import numpy as np
+
+    for frame in frames:
+        for at in range(0, len(frame), 256):
+            part = frame.slice(at, 256)
+            i, x = part.column(2), part.column(3)
+            dense = np.zeros((len(part), n))
+            dense[np.repeat(np.arange(len(part)), i.value_lengths().to_numpy()), i.flatten().to_numpy()] = x.flatten().to_numpy()
+            yield part, dense
+
+
+def _sparse(weights: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, chunk_index, i, x): the numbers of a chunk's terms and their weights; chunks without a known term have no row."""
     at = weights.sparkSession.createDataFrame(list(enumerate(terms)), "i int, term string")
     rows = weights.join(F.broadcast(at), "term").groupBy("doc_id", "chunk_index").agg(F.array_sort(F.collect_list(F.struct("i", "weight"))).alias("v"))
+    return rows.select("doc_id", "chunk_index", F.col("v.i").alias("i"), F.col("v.weight").alias("x"))
+
+
+def svd_embed(weights: DataFrame, dim: int = 384, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(vectors (doc_id, chunk_index, embedding), model (term, component)) by truncated SVD of tf-idf weights.
+
+    Randomised subspace iteration: a pass multiplies a block of ``dim`` + OVERSAMPLE vectors by the Gram matrix
+    of the terms, each task for its own chunks by matrix products, and the tasks' sums are added in a tree.
+    Only terms x block numbers (16 MB for 5,000 terms) are on the driver or in a task; the matrix itself is a
+    table in the shared folder. More than MAX_TERMS terms are an error: ``vocabulary`` bounds them. The model
+    is a table: write it, read it back, and pass it to ``project``. Vectors are not normalised; they have
+    min(dim, terms) places, each component's largest entry being positive. Empty weights give empty tables.
+    """
+    import numpy as np
+
+    spark = weights.sparkSession
+    terms = [r["term"] for r in weights.select("term").distinct().orderBy("term").limit(MAX_TERMS + 1).collect()]
     n = len(terms)
-    vectors = rows.rdd.map(lambda r: Vectors.sparse(n, [x["i"] for x in r["v"]], [x["weight"] for x in r["v"]]))
-    # Every iteration reads the matrix again.
-    vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    v = RowMatrix(vectors, numCols=n).computeSVD(min(dim, n), computeU=False).V.toArray()
-    vectors.unpersist()
-    model = weights.sparkSession.createDataFrame([(t, row.tolist()) for t, row in zip(terms, v)], "term string, component array<double>")
-    return project(weights, model), model
+    if n > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} terms: weigh a smaller vocabulary")
+    wide = min(dim + OVERSAMPLE, n)
+    matrix = cut(_sparse(weights, terms))
+
+    def gram_times(block: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(frames):
+            import pyarrow as pa
+
+            total = np.zeros((n, wide))
+            for _, dense in _batches(frames, n):
+                total += dense.T @ (dense @ shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+        parts = matrix.mapInArrow(run, "part binary").rdd.map(lambda r: np.frombuffer(r["part"]))
+        total = parts.treeReduce(np.add, depth=3).reshape(n, wide)
+        shared.destroy()
+        return total
+
+    if not n:
+        model = spark.createDataFrame([], "term string, component array<double>")
+        return project(weights, model), model
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, wide)))[0]
+    for _ in range(PASSES if wide < n else 0):
+        basis = np.linalg.qr(gram_times(basis))[0]
+    small = basis.T @ gram_times(basis)
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    v = basis @ turn[:, np.argsort(-values, kind="stable")[: min(dim, n)]]
+    v *= np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
+    model = spark.createDataFrame([(t, row.tolist()) for t, row in zip(terms, v, strict=True)], "term string, component array<double>")
+    return _times(matrix, v), model
+
+
+def _times(matrix: DataFrame, v) -> DataFrame:
+    """(doc_id, chunk_index, embedding): rows of a sparse matrix times the broadcast components ``v``."""
+    shared, (n, wide) = matrix.sparkSession.sparkContext.broadcast(v), v.shape
+
+    def run(frames):
+        import numpy as np
+        import pyarrow as pa
+
+        for part, dense in _batches(frames, n):
+            flat = (dense @ shared.value).ravel()
+            ends = pa.array(np.arange(0, len(flat) + 1, wide), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["doc_id", "chunk_index", "embedding"])
+
+    ids = {f.name: f.dataType.simpleString() for f in matrix.schema}
+    return matrix.mapInArrow(run, f"doc_id {ids['doc_id']}, chunk_index {ids['chunk_index']}, embedding array<double>")
 
 
 def project(weights: DataFrame, model: DataFrame) -> DataFrame:
-    """Embeddings of chunks by a stored model; terms that it does not know add nothing. Sizes always agree with the model."""
-    dims = F.posexplode("component").alias("k", "c")
-    parts = weights.join(model, "term").select("doc_id", "chunk_index", "weight", dims)
-    sums = parts.groupBy("doc_id", "chunk_index", "k").agg(F.sum(F.col("weight") * F.col("c")).alias("x"))
-    return sums.groupBy("doc_id", "chunk_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("embedding"))
+    """Embeddings of chunks by a stored model; terms that it does not know add nothing, chunks without a known one have no row.
+
+    The model, at most MAX_TERMS rows of one size, is broadcast; components of different sizes are an error.
+    """
+    import numpy as np
+
+    known = model.orderBy("term").limit(MAX_TERMS + 1).collect()
+    sizes = {len(r["component"]) for r in known}
+    if len(known) > MAX_TERMS or len(sizes) > 1:
+        raise ValueError(f"a model has at most {MAX_TERMS} terms and components of one size, not sizes {sorted(sizes)}")
+    if not known:
+        return weights.select("doc_id", "chunk_index", F.array().cast("array<double>").alias("embedding")).where(F.lit(False))
+    return _times(_sparse(weights, [r["term"] for r in known]), np.array([r["component"] for r in known]))

@@ -12,19 +12,38 @@ from ..sources.tables import table
 from .retrieval import _STOP, CHUNKS, EVIDENCE, bm25_evidence, questions
 
 _SPLIT = "list_filter(list_transform(string_split(regexp_replace({}, '([.!?;])', '\\1' || chr(10), 'g'), chr(10)), lambda s: trim(s, ' ')), lambda s: s != '')"
-_EXACT_ONLY = f""",
-xq AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(t), '[a-z0-9_]+'), lambda t: length(t) >= 2 AND t NOT IN ({_STOP})))) AS term,
-    lower(regexp_extract(t, '"([^"]+)"', 1)) AS phrase FROM (SELECT item_id AS query_id, coalesce(text, '') AS t FROM benchmark)),
-sl AS (SELECT doc_id, chunk_index, {_SPLIT.format("chunk")} AS ss FROM chunks),
-s AS (SELECT doc_id, chunk_index, i - 1 AS pos, ss[i] AS sentence, concat(CASE WHEN i > 1 THEN ss[i - 1] ELSE '' END, ss[i], coalesce(ss[i + 1], '')) AS window_text
-    FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM sl)),
-w AS (SELECT doc_id, chunk_index, pos, unnest(list_distinct(regexp_extract_all(lower(sentence), '[a-z0-9_]+'))) AS term FROM s),
-h AS (SELECT query_id, doc_id, chunk_index, pos, count(*) AS hit_count, any_value(phrase) AS phrase FROM w JOIN xq USING (term) GROUP BY ALL),
-h2 AS (SELECT h.*, sentence, window_text FROM h JOIN s USING (doc_id, chunk_index, pos) WHERE phrase = '' OR contains(lower(sentence), phrase)),
-h3 AS (SELECT *, row_number() OVER (PARTITION BY query_id, substr(sentence, 1, 80) ORDER BY hit_count DESC, doc_id, chunk_index, pos) AS r1 FROM h2),
+_WORDS = "regexp_extract_all({}, '[A-Za-z0-9_]+')"
+_ITEMS = "SELECT item_id AS query_id, coalesce(text, '') AS t FROM benchmark"
+
+
+def _exact_sql(asked: str) -> str:
+    """CTEs up to ``ex``, the exact scan's rows for the queries (query_id, t) that ``asked`` selects."""
+    return f""",
+xp AS (SELECT *, trim(regexp_extract(t, '["“「『]([^"”」』]{{2,}})["”」』]', 1), ' ') AS phrase FROM ({asked})),
+xt AS (SELECT query_id, unnest(list_distinct(list_filter({_WORDS.format("lower(t)")}, lambda t: length(t) >= 2 AND t NOT IN ({_STOP})))) AS term FROM xp WHERE phrase = ''),
+xn AS (SELECT query_id, unnest(list_distinct(list_filter({_WORDS.format("t")}, lambda w: regexp_full_match(w, '[A-Z][a-z]{{1,3}}') AND lower(w) NOT IN ({_STOP})))) AS term FROM xp WHERE phrase = ''),
+xq AS (SELECT query_id, term, max(a) AS a, max(b) AS b FROM (SELECT query_id, term, 1 AS a, 0 AS b FROM xt UNION ALL SELECT query_id, term, 0, 1 FROM xn) GROUP BY ALL),
+sl AS (SELECT * FROM (SELECT doc_id, chunk_index, chunk, {_SPLIT.format("chunk")} AS ss FROM chunks) WHERE len(ss) > 0),
+s AS (SELECT doc_id, chunk_index, i - 1 AS pos, ss[i] AS sentence FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM sl)),
+w AS (SELECT doc_id, chunk_index, pos, substr(sentence, 1, 80) AS prefix, unnest(list_distinct(list_concat({_WORDS.format("sentence")}, {_WORDS.format("lower(sentence)")}))) AS term FROM s),
+h0 AS (SELECT query_id, doc_id, chunk_index, pos, prefix, sum(a) AS hits, list(term) FILTER (WHERE b = 1) AS names FROM w JOIN xq USING (term) GROUP BY ALL HAVING hits > 0),
+h1 AS (SELECT query_id, doc_id, chunk_index, pos, prefix, false AS spans, (hits + CASE WHEN len(list_distinct(flatten(list(coalesce(names, []))
+    OVER (PARTITION BY query_id, doc_id, chunk_index ORDER BY pos RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING)))) >= 2 THEN 3 ELSE 0 END)::BIGINT AS hit_count FROM h0),
+p0 AS (SELECT query_id, phrase, sl.*, len(list_filter(ss, lambda x: contains(x, phrase))) = 0 AS spans FROM sl JOIN xp ON phrase != '' AND contains(chunk, phrase)),
+p1 AS (SELECT query_id, phrase, doc_id, chunk_index, 0 AS pos, substr(chunk, 1, 200) AS sentence, true AS spans FROM p0 WHERE spans UNION ALL
+    SELECT query_id, phrase, doc_id, chunk_index, pos, sentence, false FROM p0 JOIN s USING (doc_id, chunk_index) WHERE NOT spans AND contains(sentence, phrase)),
+h2 AS (SELECT * FROM h1 UNION ALL SELECT query_id, doc_id, chunk_index, pos, substr(sentence, 1, 80), spans, contains(sentence, phrase)::BIGINT FROM p1),
+h3 AS (SELECT *, row_number() OVER (PARTITION BY query_id, prefix ORDER BY doc_id, chunk_index, pos) AS r1 FROM h2),
 h4 AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, chunk_index ORDER BY hit_count DESC, pos) AS r2 FROM h3 WHERE r1 = 1),
-ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hit_count DESC, doc_id, chunk_index, pos) AS place FROM h4 WHERE r2 <= 2) WHERE place <= 8)"""
+h5 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hit_count DESC, doc_id, chunk_index, pos) AS place FROM h4 WHERE r2 <= 2),
+ex AS (SELECT query_id, place, doc_id, chunk_index, pos, hit_count, CASE WHEN spans THEN substr(chunk, 1, 200) ELSE ss[pos + 1] END AS sentence,
+    concat(CASE WHEN pos > 0 THEN ss[pos] ELSE '' END, ss[pos + 1], coalesce(ss[pos + 2], '')) AS window_text FROM h5 JOIN sl USING (doc_id, chunk_index) WHERE place <= 8)"""
+
+
+_EXACT_ONLY = _exact_sql(_ITEMS)
 _EXACT = CHUNKS + _EXACT_ONLY
+_PHRASE = CHUNKS + _exact_sql(f"""SELECT 2 * query_id AS query_id, concat('"', t, '"') AS t FROM ({_ITEMS}) UNION ALL
+    SELECT 2 * query_id + 1, concat('"', coalesce({_SPLIT.format("t")}[1], ''), '"') FROM ({_ITEMS})""")
 _DEDUP = EVIDENCE + _EXACT_ONLY + """,
 both_ AS (SELECT 0 AS origin, query_id, place, doc_id, chunk_index, pos, sentence FROM ex UNION ALL SELECT 1, query_id, evidence_rank, doc_id, chunk_index, pos, sentence FROM ev3 WHERE evidence_rank <= 8),
 b1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, substr(sentence, 1, 80) ORDER BY origin, place, doc_id, chunk_index, pos) AS r1 FROM both_),
@@ -49,6 +68,15 @@ def exact_sentence_scan(spark, sf_dir):
     return _exact(spark, sf_dir).select("query_id", "place", "doc_id", "chunk_index", "pos", "hit_count", F.md5("window_text").alias("window_md5"))
 
 
+def exact_phrase_scan(spark, sf_dir):
+    """Every benchmark item in quotation marks, whole (which spans sentences) and its first sentence."""
+    q, quoted = questions(spark, sf_dir), lambda c: F.concat(F.lit('"'), F.coalesce(c, F.lit("")), F.lit('"'))
+    both = q.select((2 * F.col("query_id")).alias("query_id"), quoted(F.col("text")).alias("text")).unionByName(
+        q.select((2 * F.col("query_id") + 1).alias("query_id"), quoted(F.get(fx.sentence_array("text"), F.lit(0))).alias("text")))
+    rows = e.exact_sentences(both, _chunks(spark, sf_dir), 8)
+    return rows.select("query_id", "place", "doc_id", "chunk_index", "pos", "hit_count", F.md5("sentence").alias("sentence_md5"), F.md5("window_text").alias("window_md5"))
+
+
 def _dedup(spark, sf_dir):
     """The exact scan's sentences before those of the BM25 hits."""
     hits = bm25_evidence(spark, sf_dir).withColumnRenamed("evidence_rank", "place")
@@ -115,6 +143,7 @@ def locate_evidence(spark, sf_dir):
 
 QUERIES = {
     "exact_sentence_scan": (exact_sentence_scan, f"WITH {_EXACT} SELECT query_id, place, doc_id, chunk_index, pos, hit_count, md5(window_text) AS window_md5 FROM ex"),
+    "exact_phrase_scan": (exact_phrase_scan, f"WITH {_PHRASE} SELECT query_id, place, doc_id, chunk_index, pos, hit_count, md5(sentence) AS sentence_md5, md5(window_text) AS window_md5 FROM ex"),
     "evidence_dedup": (evidence_dedup, f"WITH {_DEDUP} SELECT query_id, origin, doc_id, chunk_index, pos FROM ded"),
     "evidence_entity_filter": (evidence_entity_filter, f"""WITH {_EXACT}, q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{{3,}}')) AS es,
         regexp_matches(coalesce(text, ''), '{LATIN.routes["is_narrative"]}') AS narrative FROM benchmark),

@@ -62,8 +62,10 @@ def salvage_json(spark, sf_dir):
 
 
 def svd_embed(spark, sf_dir):
-    w = ix.tfidf(fixed_windows(_docs(spark, sf_dir)), 200)
-    return u.svd_embed(w, 16)[0].select("doc_id", "chunk_index", F.size("embedding").alias("dim"))
+    """5,000 terms and 384 dimensions over all chunks; of each vector its size and length."""
+    vectors, _ = u.svd_embed(ix.tfidf(fixed_windows(_docs(spark, sf_dir))))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    return vectors.select("doc_id", "chunk_index", F.size("embedding").alias("dim"), F.round(norm, 5).alias("norm"))
 
 
 _STATS_ONLY = _STATS.split(",\n    pg AS")[0]
