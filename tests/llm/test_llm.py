@@ -90,6 +90,19 @@ def test_token_count_equals_library(spark, docs):
         assert sorted(map(str, got)) == sorted(map(str, rows))
 
 
+def test_token_count_of_letters_newer_than_javas(spark):
+    """Code points that Java's Unicode version lacks, between letters, digits, signs and around the special string."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    new = ["\U0001e4d0", "\U00011f50", "\U0001e4f1", "\u1c89", "\u0378", "\U0001fae8"]
+    made = [f"a{c}b 1{c}1 .{c}. {c}{c} <|endoftext|>{c}x" for c in new] + ["plain", "née", new[0] * 20_000]
+    d = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_count.count_tokens(d, path).collect()}
+    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(made)}
+
+
 def test_bpe_equals_library(docs):
     import tiktoken
 

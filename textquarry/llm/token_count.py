@@ -11,6 +11,10 @@ The most frequent pre-tokens (a third of all rows may be one of them) never trav
 the table, at most HEAD_ROWS rows of at most HEAD_CHARS characters and so of bounded size, is
 broadcast, and documents sum it before the shuffle. All other pre-tokens are joined by shuffle;
 none of them is frequent, so that join has no hot key.
+
+The tokenizer's character classes are of a later Unicode version than Java's. Over all code points they
+differ only in characters that Java does not know (class Cn), so texts with one of these, and no others,
+are cut by the tokenizer's own pre-tokenizer.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import os
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import map_rows, saved, whole_text
 
 #: White space as Unicode lists it (Java's own class is ASCII only, and has no U+0085).
 WS = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -40,6 +44,24 @@ def pretokens(text: Column) -> Column:
     ).otherwise(F.regexp_extract_all(text, F.lit(PRETOKEN), F.lit(0)))
 
 
+def cut_texts(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` (``text`` without nulls, other columns) with ``toks``, the pre-tokens of each text as the tokenizer cuts it."""
+    unknown = (F.octet_length("text") != F.length("text")) & F.col("text").rlike(r"\p{Cn}")
+
+    def make():
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path).pre_tokenizer
+
+        def run(texts):
+            return ([[seg[a:b] for seg in t.split("<|endoftext|>") for _, (a, b) in tokenizer.pre_tokenize_str(seg)] for t in texts],)
+
+        return run
+
+    known = rows.where(~unknown).withColumn("toks", pretokens(F.col("text")))
+    return known.unionByName(map_rows(rows.where(unknown), make, "toks array<string>", ["text"], rows=500, chars=1_000_000))
+
+
 def _count_pieces(path: str):
     def run(frames):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,7 +79,7 @@ def _count_pieces(path: str):
 
 def piece_table(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """(tok, freq, pieces): every distinct pre-token of the corpus, its frequency and its piece count."""
-    tok = docs.select(F.explode(pretokens(F.coalesce(F.col(text_col), F.lit("")))).alias("tok"))
+    tok = cut_texts(docs.select(whole_text(text_col).alias("text")), path).select(F.explode("toks").alias("tok"))
     freq = tok.groupBy("tok").agg(F.count("*").alias("freq"))
     return saved(freq.mapInPandas(_count_pieces(path), "tok string, freq long, pieces long"), "pieces")
 
@@ -89,14 +111,13 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", id_col: str
     """
     pieces = piece_table(docs, path, text_col)
     head = head_of(pieces, head_rows)
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.col("text")
     special = F.when(F.contains(text, F.lit("<|endoftext|>")), F.size(F.split(text, SPECIAL, -1)) - 1).otherwise(0).cast("long")
     # What a row has of itself is carried by a leading entry that no pre-token can equal (digits
     # never share one with a control character) and that differs from row to row.
-    own = F.coalesce(F.concat(F.lit("\0"), F.col(id_col).cast("string")), F.lit("\0"))
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), special.alias("special"), F.octet_length(text).cast("long").alias("size"),
-        F.concat(F.array(own), pretokens(text)).alias("toks"),
+    own = F.coalesce(F.concat(F.lit("\0"), F.col("id").cast("string")), F.lit("\0"))
+    rows = cut_texts(docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")), path).select(
+        "id", F.xxhash64(text).alias("h"), special.alias("special"), F.octet_length(text).cast("long").alias("size"), F.concat(F.array(own), "toks").alias("toks"),
     )
     each = rows.select("id", "h", "special", "size", F.posexplode("toks").alias("pos", "tok"))
     each = each.join(F.broadcast(head.select("tok", "pieces")), "tok", "left")
