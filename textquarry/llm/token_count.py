@@ -20,6 +20,7 @@ are cut by the tokenizer's own pre-tokenizer.
 from __future__ import annotations
 
 import os
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,15 +47,18 @@ def pretokens(text: Column) -> Column:
 
 def cut_texts(rows: DataFrame, path: str) -> DataFrame:
     """``rows`` (``text`` without nulls, other columns) with ``toks``, the pre-tokens of each text as the tokenizer cuts it."""
-    unknown = (F.octet_length("text") != F.length("text")) & F.col("text").rlike(r"\p{Cn}")
+    # The first test is quick; Java knows all characters up to U+036F.
+    unknown = F.col("text").rlike(r"[^\x00-\x{36F}]") & F.col("text").rlike(r"\p{Cn}")
 
     def make():
-        from tokenizers import Tokenizer
+        @cache
+        def tokenizer():  # most tasks have no such text
+            from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path).pre_tokenizer
+            return Tokenizer.from_file(path).pre_tokenizer
 
         def run(texts):
-            return ([[seg[a:b] for seg in t.split("<|endoftext|>") for _, (a, b) in tokenizer.pre_tokenize_str(seg)] for t in texts],)
+            return ([[seg[a:b] for seg in t.split("<|endoftext|>") for _, (a, b) in tokenizer().pre_tokenize_str(seg)] for t in texts],)
 
         return run
 
