@@ -98,6 +98,8 @@ def test_token_count_of_letters_newer_than_javas(spark):
     t = Tokenizer.from_file(path)
     new = ["\U0001e4d0", "\U00011f50", "\U0001e4f1", "\u1c89", "\u0378", "\U0001fae8"]
     made = [f"a{c}b 1{c}1 .{c}. {c}{c} <|endoftext|>{c}x" for c in new] + ["plain", "née", new[0] * 20_000]
+    known = [i for i in range(0x40000) if not 0xD800 <= i <= 0xDFFF]
+    made += ["".join(f"a{chr(i)}1 {chr(i)}" for i in known[k : k + 2000]) for k in range(0, len(known), 2000)]
     d = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
     got = {r["doc_id"]: r["n_tokens"] for r in token_count.count_tokens(d, path).collect()}
     assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(made)}

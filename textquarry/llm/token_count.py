@@ -13,8 +13,7 @@ broadcast, and documents sum it before the shuffle. All other pre-tokens are joi
 none of them is frequent, so that join has no hot key.
 
 The tokenizer's character classes are of a later Unicode version than Java's. Over all code points they
-differ only in characters that Java does not know (class Cn), so texts with one of these, and no others,
-are cut by the tokenizer's own pre-tokenizer.
+differ only in characters that Java does not know (class Cn); for these the pattern asks the tokenizer's.
 """
 
 from __future__ import annotations
@@ -25,45 +24,56 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, saved, whole_text
+from .common import saved, whole_text
 
 #: White space as Unicode lists it (Java's own class is ASCII only, and has no U+0085).
 WS = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-#: The byte-level pre-tokenizer's pattern, with that class.
-PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
 #: The tokenizer's one special string; inside texts it is one token and separates segments.
 SPECIAL = r"<\|endoftext\|>"
 HEAD_ROWS = 262_144
 HEAD_CHARS = 64
 
 
-def pretokens(text: Column) -> Column:
-    """array<string> of the pre-tokens of ``text``, special strings cut out."""
-    return F.when(
-        F.contains(text, F.lit("<|endoftext|>")),
-        F.flatten(F.transform(F.split(text, SPECIAL, -1), lambda s: F.regexp_extract_all(s, F.lit(PRETOKEN), F.lit(0)))),
-    ).otherwise(F.regexp_extract_all(text, F.lit(PRETOKEN), F.lit(0)))
+@cache
+def newer(path: str) -> tuple[str, str]:
+    """The letters and the numbers of the tokenizer at ``path`` as ranges of a Java character class.
+
+    Each code point is asked between a letter and a digit. Planes 4 to 16 hold no letters or numbers.
+    """
+    from tokenizers import Tokenizer
 
+    points = [i for i in range(0x40000) if not 0xD800 <= i <= 0xDFFF]
+    probe = "".join(f"a{chr(i)}1\n" for i in points)
+    starts = {at for _, (at, _) in Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str(probe)}
+    letters = [c for k, c in enumerate(points) if 4 * k + 1 not in starts]
+    numbers = [c for k, c in enumerate(points) if 4 * k + 1 in starts and 4 * k + 2 not in starts]
 
-def cut_texts(rows: DataFrame, path: str) -> DataFrame:
-    """``rows`` (``text`` without nulls, other columns) with ``toks``, the pre-tokens of each text as the tokenizer cuts it."""
-    # The first test is quick; Java knows all characters up to U+036F.
-    unknown = F.col("text").rlike(r"[^\x00-\x{36F}]") & F.col("text").rlike(r"\p{Cn}")
+    def ranges(found):
+        edges = [c for k, c in enumerate(found) if not k or found[k - 1] != c - 1]
+        ends = [c for k, c in enumerate(found) if k + 1 == len(found) or found[k + 1] != c + 1]
+        return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(edges, ends, strict=True))
 
-    def make():
-        @cache
-        def tokenizer():  # most tasks have no such text
-            from tokenizers import Tokenizer
+    return ranges(letters), ranges(numbers)
 
-            return Tokenizer.from_file(path).pre_tokenizer
 
-        def run(texts):
-            return ([[seg[a:b] for seg in t.split("<|endoftext|>") for _, (a, b) in tokenizer().pre_tokenize_str(seg)] for t in texts],)
+def pattern(path: str) -> str:
+    """The byte-level pre-tokenizer's pattern for Java.
+
+    The ranges are looked at for characters alone that Java does not know, so others cost nothing more.
+    """
+    letters, numbers = newer(path)
+    letter, number = rf"[\p{{L}}[\p{{Cn}}&&[{letters}]]]", rf"[\p{{N}}[\p{{Cn}}&&[{numbers}]]]"
+    other = rf"[[^{WS}\p{{L}}\p{{N}}]&&[\P{{Cn}}[^{letters}{numbers}]]]"
+    return rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+|[{WS}]+(?![^{WS}])|[{WS}]+"
 
-        return run
 
-    known = rows.where(~unknown).withColumn("toks", pretokens(F.col("text")))
-    return known.unionByName(map_rows(rows.where(unknown), make, "toks array<string>", ["text"], rows=500, chars=1_000_000))
+def pretokens(text: Column, path: str) -> Column:
+    """array<string> of the pre-tokens of ``text`` as the tokenizer at ``path`` cuts it, special strings cut out."""
+    cut = F.lit(pattern(path))
+    return F.when(
+        F.contains(text, F.lit("<|endoftext|>")),
+        F.flatten(F.transform(F.split(text, SPECIAL, -1), lambda s: F.regexp_extract_all(s, cut, F.lit(0)))),
+    ).otherwise(F.regexp_extract_all(text, cut, F.lit(0)))
 
 
 def _count_pieces(path: str):
@@ -83,7 +93,7 @@ def _count_pieces(path: str):
 
 def piece_table(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """(tok, freq, pieces): every distinct pre-token of the corpus, its frequency and its piece count."""
-    tok = cut_texts(docs.select(whole_text(text_col).alias("text")), path).select(F.explode("toks").alias("tok"))
+    tok = docs.select(F.explode(pretokens(whole_text(text_col), path)).alias("tok"))
     freq = tok.groupBy("tok").agg(F.count("*").alias("freq"))
     return saved(freq.mapInPandas(_count_pieces(path), "tok string, freq long, pieces long"), "pieces")
 
@@ -115,13 +125,14 @@ def count_tokens(docs: DataFrame, path: str, text_col: str = "text", id_col: str
     """
     pieces = piece_table(docs, path, text_col)
     head = head_of(pieces, head_rows)
-    text = F.col("text")
+    text = whole_text(text_col)
     special = F.when(F.contains(text, F.lit("<|endoftext|>")), F.size(F.split(text, SPECIAL, -1)) - 1).otherwise(0).cast("long")
     # What a row has of itself is carried by a leading entry that no pre-token can equal (digits
     # never share one with a control character) and that differs from row to row.
-    own = F.coalesce(F.concat(F.lit("\0"), F.col("id").cast("string")), F.lit("\0"))
-    rows = cut_texts(docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")), path).select(
-        "id", F.xxhash64(text).alias("h"), special.alias("special"), F.octet_length(text).cast("long").alias("size"), F.concat(F.array(own), "toks").alias("toks"),
+    own = F.coalesce(F.concat(F.lit("\0"), F.col(id_col).cast("string")), F.lit("\0"))
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), special.alias("special"), F.octet_length(text).cast("long").alias("size"),
+        F.concat(F.array(own), pretokens(text, path)).alias("toks"),
     )
     each = rows.select("id", "h", "special", "size", F.posexplode("toks").alias("pos", "tok"))
     each = each.join(F.broadcast(head.select("tok", "pieces")), "tok", "left")
