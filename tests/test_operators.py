@@ -20,6 +20,13 @@ def test_clean_text_zh(spark):
     assert "139" not in out and "978" not in out and "42" not in out and out.startswith("正文") and out.endswith("结束")
 
 
+def test_valid_concept_han(spark):
+    cases = {"球状闪电": True, "人际关系": True, "目的": False, "目的地": True, "和谐": True, "骑着自行": False, "的母亲": False, "母亲们": False, "意识到错误是事物的演变": False, "以及算法": False, "科": False, "科" * 17: False, "BERT": True, "": False}
+    d = spark.createDataFrame([(k,) for k in cases] + [(None,)], "label string")
+    got = {r["label"]: r["ok"] for r in d.select("label", fx.valid_concept("label", ("以及",)).alias("ok")).collect()}
+    assert got == cases | {None: False}
+
+
 def test_sentences_zh(spark):
     assert one(spark, fx.sentence_array(F.lit("你好。再见！\n完"), ZH)) == ["你好。", "再见！", "完"]
 

@@ -98,14 +98,30 @@ CONCEPT_WHITELIST = ("transformer", "attention", "embedding", "retrieval")
 GENERIC_LABELS = ("the", "and", "this", "that", "with", "from", "chapter", "page", "table")
 
 
-def valid_concept(label: Column | str) -> Column:
-    """B8, Latin branch: whitelist, acronym, inner capital, or letters with digits; 2 to 40 characters, not generic."""
+#: Fixed values of the Han branch of the concept gate: characters that open, close or fill a fragment of a sentence.
+HAN_START = "的了是但而并且也都就还这那们等若如之其所将把让没很更最我你他她它"
+HAN_END = "的了是在但而并且也都就还这那们个次件名等着过上下中回吗呢吧与其之"
+HAN_INSIDE = "的了是在和与及或但而且并也都就还这那们个种等若如之与其所对从向被把让使着过很更最些次件名位"
+
+
+def valid_concept(label: Column | str, generic: tuple[str, ...] = ()) -> Column:
+    """The gate of concept labels.
+
+    Latin labels: whitelist, acronym, inner capital, or letters with digits; 2 to 40 characters, not generic.
+    Labels with a Han character: 2 to 16 characters that neither open nor close like a fragment, with at most
+    one function character (of four characters none in the middle) and no word of ``generic`` in them.
+    """
     c = F.trim(blank(label))
     shape = (
         F.lower(c).isin(*CONCEPT_WHITELIST) | c.rlike("^[A-Z]{2,8}$") | c.rlike("^[A-Za-z]*[a-z][A-Z][A-Za-z]*$")
         | (c.rlike("[A-Za-z]") & c.rlike("[0-9]") & c.rlike("^[A-Za-z0-9-]+$"))
     )
-    return F.length(c).between(2, 40) & ~F.lower(c).isin(*GENERIC_LABELS) & shape
+    latin = F.length(c).between(2, 40) & ~F.lower(c).isin(*GENERIC_LABELS) & shape
+    fragment = c.rlike(f"^[{HAN_START}]|[{HAN_END}]$") | c.rlike(f"[{HAN_INSIDE}].*[{HAN_INSIDE}]")
+    fragment = fragment | ((F.length(c) == 4) & F.substring(c, 2, 2).rlike(f"[{HAN_INSIDE}]"))
+    for word in generic:
+        fragment = fragment | F.contains(c, F.lit(word))
+    return F.when(c.rlike(f"[{HAN}]"), F.length(c).between(2, 16) & ~fragment).otherwise(latin)
 
 
 def clean_label(label: Column | str) -> Column:
