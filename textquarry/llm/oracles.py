@@ -174,6 +174,61 @@ def _contamination() -> str:
         coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN a USING (r) LEFT JOIN c USING (r)"""
 
 
+def _audit() -> str:
+    w = "regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')"
+    letters = "'A', 'B', 'C', 'D', 'E'"
+    orders = " || ".join(f"x{i}.l" for i in range(5))
+    tables = ", ".join(f"l x{i}" for i in range(5))
+    apart = " AND ".join(f"x{i}.l != x{j}.l" for i in range(5) for j in range(i))
+    total = lambda value, where: f"coalesce(sum({value}) FILTER (WHERE {where}), 0)::BIGINT"
+    mine, gone = "contains(f, letter)", "len(list_filter(string_split(f, ''), lambda x: x != '' AND contains(before, x))) > 0"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+    x AS (SELECT d.*, {w} AS w FROM d),
+    y AS (SELECT r, doc_id, part, CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN EXISTS (SELECT 1 FROM d e WHERE e.t = x.t AND e.doc_id < x.doc_id) THEN 'E' ELSE '' END AS f FROM x),
+    z AS (SELECT part, f, EXISTS (SELECT 1 FROM labels b WHERE b.doc_id = y.doc_id AND b.quality = 1) AS good,
+        EXISTS (SELECT 1 FROM labels b WHERE b.doc_id = y.doc_id AND b.toxic = 1) AS toxic FROM y),
+    c AS (SELECT part, f, good, toxic, count(*) AS n FROM z GROUP BY ALL),
+    l AS (SELECT unnest([{letters}]) AS l),
+    o AS (SELECT {orders} AS filter_order FROM {tables} WHERE {apart}),
+    s AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, substr(filter_order, 1, step - 1) AS before
+        FROM (SELECT DISTINCT part FROM c), o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+    a AS (SELECT part, filter_order, step, letter, {total('n', f'NOT {mine} AND NOT {gone}')} AS kept, {total('n', f'{mine} AND NOT {gone}')} AS removed,
+        {total('n', f'{mine} AND {gone}')} AS redundant, {total('n', 'f = letter')} AS unique_fails,
+        {total('n', f'good AND {mine} AND NOT {gone}')} AS good_lost, {total('n', f'toxic AND {mine} AND NOT {gone}')} AS toxic_lost FROM s JOIN c USING (part) GROUP BY ALL)
+    SELECT * EXCLUDE (letter), sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley FROM a"""
+
+
+def _merkle() -> str:
+    told = lambda c: f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda n: "sha256(" + " || ".join(told(c) for c in ("doc_id", "source", "lang", n, "text")) + ")"
+    byte = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)"
+    digits = "list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda c, b: {byte}), 4294967295::BIGINT)"
+    # Every tree's levels: parents of runs of two until one node remains.
+    tree = lambda name, leaves: f"""{name} AS (SELECT tree, 0 AS level, pos, node, n FROM {leaves} UNION ALL
+        SELECT tree, level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), ((n + 1) // 2)::BIGINT FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 2, n)"""
+    path = lambda name, nodes: f"""{name} AS (SELECT tree, pos AS row_pos, 0 AS level, pos, n FROM {nodes} WHERE level = 0 UNION ALL
+        SELECT tree, row_pos, level + 1, pos // 2, ((n + 1) // 2)::BIGINT FROM {name} WHERE n > 1)"""
+    flank = lambda w, t: f"""SELECT w.tree, w.row_pos, w.level, CASE WHEN w.pos % 2 = 1 THEN q.node ELSE '' END AS l, CASE WHEN w.pos % 2 = 0 THEN coalesce(q.node, '') ELSE '' END AS r
+        FROM {w} w LEFT JOIN {t} q ON q.tree = w.tree AND q.level = w.level AND q.pos = xor(w.pos, 1::BIGINT) WHERE w.n > 1"""
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('1' || lang, '0') AS tree, {leaf('n_chars')} AS node,
+        CASE WHEN {crc} % 7 = 0 THEN {leaf('(n_chars + 1)')} ELSE {leaf('n_chars')} END AS changed FROM documents),
+    e AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, node) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d),
+    {tree('t', 'e')}, sub AS (SELECT '' AS tree, tree AS lang_tree, node, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+    {tree('u', 'sub')}, {path('wt', 't')}, {path('wu', 'u')},
+    ft AS ({flank('wt', 't')}), fu AS ({flank('wu', 'u')}),
+    up AS (SELECT sub.lang_tree AS tree, sub.node AS subroot, list({{'l': l, 'r': r}} ORDER BY level) FILTER (WHERE l IS NOT NULL) AS p FROM sub LEFT JOIN fu ON fu.row_pos = sub.pos GROUP BY ALL),
+    own AS (SELECT e.tree, e.pos, list({{'l': l, 'r': r}} ORDER BY level) FILTER (WHERE l IS NOT NULL) AS p FROM e LEFT JOIN ft ON ft.tree = e.tree AND ft.row_pos = e.pos GROUP BY ALL),
+    a AS (SELECT e.doc_id, e.node AS leaf, subroot, (SELECT node FROM u WHERE n = 1) AS root, changed, list_concat(coalesce(own.p, []), coalesce(up.p, [])) AS p
+        FROM e JOIN own USING (tree, pos) JOIN up USING (tree)),
+    b AS (SELECT *, sha256(array_to_string(list_transform(p, lambda x: x.l || x.r), '')) AS proof_sha256,
+        CASE WHEN len(p) = 0 THEN changed ELSE list_reduce(list_prepend(changed, list_transform(p, lambda x: x.l || '|' || x.r)),
+            lambda acc, x: sha256(split_part(x, '|', 1) || acc || split_part(x, '|', 2))) END AS folded_root FROM a)
+    SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM b"""
+
+
 ORACLES: dict[str, str] = {
     "op2_pii": _pii(),
     "op4_line_dedup": _lines(),
@@ -182,4 +237,6 @@ ORACLES: dict[str, str] = {
     "op8_near_dedup": _near(),
     "op9_secrets": _secrets(),
     "op10_decontamination": _contamination(),
+    "op11_filter_audit": _audit(),
+    "op12_merkle_manifest": _merkle(),
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, line_dedup, neardup, pii, quality_crf, quality_rules, secrets, token_count, warc
+from . import bpe, decontam, filter_audit, line_dedup, merkle, neardup, pii, quality_crf, quality_rules, secrets, token_count, warc
 from .common import table
 
 
@@ -71,10 +71,26 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_digest(found)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all rows; the tampered leaf of every seventh id or so is folded with the original siblings."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = F.col("n_chars").cast("decimal(38,0)") + F.when(chosen, 1).otherwise(0)
+    tampered = merkle.leaf_digest("doc_id", "source", "lang", changed, "text")
+    out = merkle.manifest(table(spark, sf_dir, "documents"), fields, extra={"tampered": tampered})
+    out = out.withColumn("proof_sha256", F.sha2(merkle.proof().cast("binary"), 256)).withColumn("folded_root", merkle.folded("tampered"))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_crf, op2_pii, op3_token_count, op4_line_dedup, op5_warc,
         op6_quality_rules, op7_byte_bpe, op8_near_dedup, op9_secrets, op10_decontamination,
+        op11_filter_audit, op12_merkle_manifest,
     )
 }
