@@ -317,14 +317,14 @@ def link_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         ).where("lo < hi")
         pairs = _pivot_pairs if turn < PIVOT_ROUNDS else _remaining_pairs
         found = saved(_confirmed(saved(pairs(placed, mixed, known, percent), "pairs"), sets, percent), "links")
-        labels = _merged(labels, found)
+        labels = merged(labels, found)
     out = signed.join(classes, "ck", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.coalesce("component", "rep"))
     out = out.select(F.col("id").alias(id_col), "n_shingles", component.cast(docs.schema[id_col].dataType).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (id, component) after ``links`` (a, b), which join whole components.
 
     Only the links of this round are followed, between components instead of documents, so the

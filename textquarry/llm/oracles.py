@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from . import line_dedup, neardup, pii, quality_rules, secrets
+from . import line_dedup, neardup, ngram_join, pii, quality_rules, secrets
 
 _DOCS = "d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents)"
 
@@ -144,19 +144,18 @@ def _rules() -> str:
         array_to_string(failed, ',') AS failed_rules FROM v"""
 
 
-def _near() -> str:
-    n = neardup.SHINGLE
+def _near(n: int, percent: int, columns: str) -> str:
     return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
     s AS MATERIALIZED (SELECT DISTINCT r, doc_id, array_to_string(w[i:i+{n - 1}], ' ') AS g FROM (
         SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - {n - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
     z AS (SELECT r, doc_id, count(*) AS n FROM s GROUP BY ALL),
     o AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
-    e AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM o JOIN z x ON o.a = x.r JOIN z y ON o.b = y.r WHERE 100 * k >= {neardup.PERCENT} * (x.n + y.n - k)),
+    e AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM o JOIN z x ON o.a = x.r JOIN z y ON o.b = y.r WHERE 100 * k >= {percent} * (x.n + y.n - k)),
     u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
     reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, u.b FROM reach JOIN u ON reach.b = u.a),
     c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
-    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN z USING (r, doc_id) JOIN c USING (doc_id)"""
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id{columns} FROM d LEFT JOIN z USING (r, doc_id) JOIN c USING (doc_id)"""
 
 
 def _contamination() -> str:
@@ -234,9 +233,10 @@ ORACLES: dict[str, str] = {
     "op4_line_dedup": _lines(),
     "op5_warc": _warc(),
     "op6_quality_rules": _rules(),
-    "op8_near_dedup": _near(),
+    "op8_near_dedup": _near(neardup.SHINGLE, neardup.PERCENT, ", doc_id = component_id AS kept"),
     "op9_secrets": _secrets(),
     "op10_decontamination": _contamination(),
     "op11_filter_audit": _audit(),
     "op12_merkle_manifest": _merkle(),
+    "op13_ngram_join": _near(ngram_join.SHINGLE, ngram_join.PERCENT, ""),
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, filter_audit, line_dedup, merkle, neardup, pii, quality_crf, quality_rules, secrets, token_count, warc
+from . import bpe, decontam, filter_audit, line_dedup, merkle, neardup, ngram_join, pii, quality_crf, quality_rules, secrets, token_count, warc
 from .common import table
 
 
@@ -86,11 +86,15 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_crf, op2_pii, op3_token_count, op4_line_dedup, op5_warc,
         op6_quality_rules, op7_byte_bpe, op8_near_dedup, op9_secrets, op10_decontamination,
-        op11_filter_audit, op12_merkle_manifest,
+        op11_filter_audit, op12_merkle_manifest, op13_ngram_join,
     )
 }
