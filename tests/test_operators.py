@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import text as fx
 from textquarry.functions.profiles import LATIN, ZH
-from textquarry.operators import corpus, graph, index, records
+from textquarry.operators import blocks, corpus, graph, index, records
 from textquarry.sources import files
 from textquarry.streaming import jobs
 
@@ -69,7 +69,7 @@ def test_windows_cover_the_text(spark):
 def test_bm25_prefers_the_match(spark):
     docs = spark.createDataFrame([(1, "red fox"), (2, "blue whale"), (3, "green tree"), (4, None)], "doc_id long, text string")
     q = spark.createDataFrame([(7, "whale"), (8, None)], "query_id long, text string")
-    got = index.top_k(index.bm25_scores(q, index.fixed_windows(docs)), 1).collect()
+    got = blocks.bm25_top(q, blocks.build(index.fixed_windows(docs)), 1).collect()
     assert [(r["query_id"], r["doc_id"], r["rank"]) for r in got] == [(7, 2, 1)]
 
 

@@ -1,10 +1,7 @@
-"""Chunks, the lexical index and ranked retrieval, for all queries at once.
+"""Chunks, vector search, fusion of ranked lists and evidence, for all queries at once.
 
-The index is normalised tables: postings(term, chunk, tf, length) and term statistics. A chunk's terms
-are counted inside its own task. For a search the terms of the queries, up to BROADCAST_TERMS rows,
-are broadcast, so only their postings leave the tasks and a word of every query and chunk is no hot
-key; more query terms meet the postings in a shuffle in which each term is dealt over SALTS parts.
-Ranking is a per-query window limited to k, which Spark cuts before the shuffle.
+The lexical index and its search are in ``blocks``. Ranking is a per-query window limited to k, which
+Spark cuts before the shuffle.
 """
 
 from __future__ import annotations
@@ -40,37 +37,15 @@ def fixed_windows(docs: DataFrame, size: int = 2000, overlap: int = 200, cap: in
     return at.select("doc_id", "chunk_index", F.substring("text", (F.col("chunk_index") * step + 1).cast("int"), F.lit(size)).alias("chunk"))
 
 
-def terms_of(profile: Profile = ZH, bigrams: bool = False) -> Column:
-    """The terms of ``chunk`` in order; with ``bigrams`` also those of two consecutive terms, joined by a space."""
-    one = F.regexp_extract_all("chunk", F.lit(profile.token), F.lit(0))
+def terms_of(profile: Profile = ZH, bigrams: bool = False, text: Column | str = "chunk") -> Column:
+    """The terms of ``text`` in order; with ``bigrams`` also those of two consecutive terms, joined by a space."""
+    one = F.regexp_extract_all(text, F.lit(profile.token), F.lit(0))
     if not bigrams:
         return one
     pairs = lambda t: F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda x, i: F.concat(F.get(t, i), F.lit(" "), x))
     return F.get(F.transform(F.array(one), lambda t: F.concat(t, pairs(t))), F.lit(0))
 
 
-def postings(chunks: DataFrame, profile: Profile = ZH, bigrams: bool = False, only: DataFrame | None = None) -> DataFrame:
-    """(term, doc_id, chunk_index, n_terms, tf), ``n_terms`` the chunk's length; of the broadcast terms ``only``, if given."""
-    rows = chunks.select("doc_id", "chunk_index", terms_of(profile, bigrams).alias("terms"))
-    rows = rows.select("doc_id", "chunk_index", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    rows = rows if only is None else rows.join(F.broadcast(only.select("term")), "term", "left_semi")
-    return rows.groupBy("term", "doc_id", "chunk_index", "n_terms").agg(F.count("*").alias("tf"))
-
-
-def term_stats(chunks: DataFrame, profile: Profile = ZH) -> tuple[DataFrame, DataFrame]:
-    """(term, df, idf), where a negative idf becomes EPSILON times the mean idf, and one row (n, mean_terms) of the chunks.
-
-    Terms are made distinct inside each chunk, so their counts combine before the shuffle.
-    """
-    terms = chunks.select(terms_of(profile).alias("terms"))
-    size = terms.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean_terms"))
-    df = terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(size.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    stats = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return stats, size
-
-
 def query_term_rows(queries: DataFrame, profile: Profile = ZH) -> DataFrame:
     """(query_id, term, qtf)."""
     terms = F.explode(F.regexp_extract_all(fx.blank("text"), F.lit(profile.token), F.lit(0)))
@@ -85,20 +60,6 @@ def with_terms(post: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
     return dealt.join(wanted.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["term", "__salt"]).drop("__salt")
 
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame, profile: Profile = ZH, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
-    """(query_id, doc_id, chunk_index, score) of every pair with a positive score, rounded to 6 decimals."""
-    stats, size = term_stats(chunks, profile)
-    asked = query_term_rows(queries, profile)
-    small = asked.count() <= broadcast_terms
-    post = postings(chunks, profile, only=asked.select("term").distinct() if small else None)
-    wanted = asked.join(stats.select("term", "idf"), "term")
-    hit = with_terms(post, wanted, small).crossJoin(F.broadcast(size.select("mean_terms")))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("mean_terms"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    scored = hit.groupBy("query_id", "doc_id", "chunk_index").agg(F.round(F.sum(part), 6).alias("score"))
-    return scored.where("score > 0")
-
-
 def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", ties: tuple[str, ...] = ("doc_id", "chunk_index")) -> DataFrame:
     """the ``k`` best rows of each query with their ``rank`` from 1; ties by ``ties``."""
     w = Window.partitionBy(by).orderBy(F.desc(score), *ties)
@@ -201,47 +162,6 @@ def sentence_evidence(hits: DataFrame, queries: DataFrame, n: int = 8, per_chunk
     return rows.select("query_id", "evidence_rank", "doc_id", "chunk_index", "pos", "hit_count", "sentence")
 
 
-def vocabulary(chunks: DataFrame, vocab: int = 5000, profile: Profile = ZH, bigrams: bool = True) -> DataFrame:
-    """(term, df, idf) of the ``vocab`` most frequent terms, ties by term; smoothed idf ln((1 + N) / (1 + df)) + 1, N all chunks.
-
-    At most ``vocab`` rows, which are gathered once: several steps use them.
-    """
-    post = chunks.select(terms_of(profile, bigrams).alias("terms"))
-    freq = post.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("freq"))
-    top = freq.orderBy(F.desc("freq"), "term").limit(vocab).select("term")
-    df = post.select(F.explode(F.array_distinct("terms")).alias("term")).join(F.broadcast(top), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    n = chunks.agg(F.count("*").alias("n"))
-    out = df.crossJoin(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    return chunks.sparkSession.createDataFrame(out.collect(), out.schema)
-
-
-def weighted(rows: DataFrame, terms: DataFrame, profile: Profile = ZH, bigrams: bool = True) -> DataFrame:
-    """(term, doc_id, chunk_index, weight): L2-normalised tf-idf of chunks over a ``vocabulary``, not rounded."""
-    post = postings(rows, profile, bigrams, only=terms).join(F.broadcast(terms.select("term", "idf")), "term")
-    raw = post.select("term", "doc_id", "chunk_index", (F.col("tf") * F.col("idf")).alias("raw"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id", "chunk_index")))
-    return raw.select("term", "doc_id", "chunk_index", (F.col("raw") / norm).alias("weight"))
-
-
-def tfidf(chunks: DataFrame, vocab: int = 5000, profile: Profile = ZH, bigrams: bool = True) -> DataFrame:
-    """L2-normalised tf-idf weights (term, doc_id, chunk_index, weight) of terms and bigrams, rounded to 6 decimals.
-
-    Only postings of the vocabulary, which is broadcast (at most ``vocab`` rows), are shuffled.
-    """
-    out = weighted(chunks, vocabulary(chunks, vocab, profile, bigrams), profile, bigrams)
-    return out.withColumn("weight", F.round("weight", 6))
-
-
-def tfidf_search(queries: DataFrame, chunks: DataFrame, k: int, vocab: int = 5000, least: float = 0.01, profile: Profile = ZH, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
-    """C4 in the space of tf-idf: cosine of every query (query_id, text) with every chunk; the best max(4k, 40) over ``least``."""
-    terms = vocabulary(chunks, vocab, profile)
-    asked = queries.select(F.col("query_id").alias("doc_id"), F.lit(0).alias("chunk_index"), fx.blank("text").alias("chunk"))
-    asked = weighted(asked, terms, profile).select("term", F.col("doc_id").alias("query_id"), F.col("weight").alias("asked"))
-    hit = with_terms(weighted(chunks, terms, profile), asked, asked.count() <= broadcast_terms)
-    scored = hit.groupBy("query_id", "doc_id", "chunk_index").agg(F.round(F.sum(F.col("asked") * F.col("weight")), 6).alias("score"))
-    return top_k(scored.where(F.col("score") > least), max(4 * k, 40))
-
-
 def mmr(hits: DataFrame, vectors: DataFrame, k: int, trade: float = 0.7) -> DataFrame:
     """Greedy diversity re-ranking of each query's first max(4k, 16) hits (query_id, vec_id, score, rank).
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as g
 from ..operators import graph_edit as ge
-from ..operators import index as ix
+from ..operators import blocks as bl
 from ..operators.corpus import html_to_text
 from ..operators.index import fixed_windows
 from ..sources.tables import table
@@ -109,7 +109,7 @@ def name_candidates(spark, sf_dir):
 
 def chunk_keywords(spark, sf_dir):
     c = fixed_windows(table(spark, sf_dir, "documents"))
-    return ge.chunk_keywords(ix.tfidf(c), c, 10)
+    return ge.chunk_keywords(bl.tfidf(c), c, 10)
 
 
 def filter_web_results(spark, sf_dir):

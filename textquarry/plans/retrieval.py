@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..functions.profiles import LATIN
+from ..operators import blocks as bl
 from ..operators import index as ix
 from ..operators.evidence import query_variants
-from ..sources.tables import table
+from ..sources.tables import stored, table
 
 _ENDERS = "([" + LATIN.enders + "])"
 _STOP = ", ".join(f"'{w}'" for w in LATIN.stopwords)
@@ -54,18 +55,17 @@ def fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats, _ = ix.term_stats(chunks(spark, sf_dir))
-    return stats.select("term", "df", F.round("idf", 6).alias("idf"))
+    return bl.term_stats(bl.build(chunks(spark, sf_dir))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.top_k(ix.bm25_scores(questions(spark, sf_dir), chunks(spark, sf_dir)), 5)
+    return bl.bm25_top(questions(spark, sf_dir), bl.build(chunks(spark, sf_dir)), 5)
 
 
 def bm25_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the 5 best chunks of every benchmark passage and their matching sentences."""
     q, c = questions(spark, sf_dir), chunks(spark, sf_dir)
-    hits = ix.top_k(ix.bm25_scores(q, c), 5)
+    hits = bl.bm25_top(q, bl.build(c), 5)
     return ix.sentence_evidence(hits.join(c, ["doc_id", "chunk_index"]), q)
 
 
@@ -105,21 +105,22 @@ def _candidates(spark, sf_dir, hits: DataFrame, c: DataFrame) -> DataFrame:
 
 def hybrid_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks for every passage in up to three variants, by tf-idf cosine and BM25, fused."""
-    q, c = variants(spark, sf_dir), chunks(spark, sf_dir)
-    vec = _candidates(spark, sf_dir, ix.tfidf_search(q, c, 5), c)
-    lex = _candidates(spark, sf_dir, ix.top_k(ix.bm25_scores(q, c), 40), c)
+    q, c = stored(variants(spark, sf_dir), "variants"), chunks(spark, sf_dir)
+    index = bl.build(c, bigrams=True)
+    vec = _candidates(spark, sf_dir, bl.cosine_top(q, index, bl.vocabulary(index), 40), c)
+    lex = _candidates(spark, sf_dir, bl.bm25_top(q, index, 40), c)
     fused = ix.fuse(vec, lex, ["doc_id", "prefix"], "weight")
     return fused.select("query_id", "doc_id", F.md5("prefix").alias("prefix_md5"), "v_rank", "b_rank", "score")
 
 
 def phrase_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = questions(spark, sf_dir), chunks(spark, sf_dir)
-    hits = ix.top_k(ix.bm25_scores(q, c), 5).select("query_id", "doc_id", "chunk_index", (1 / (60 + F.col("rank"))).alias("score"))
+    hits = bl.bm25_top(q, bl.build(c), 5).select("query_id", "doc_id", "chunk_index", (1 / (60 + F.col("rank"))).alias("score"))
     return ix.phrase_bonus(hits.join(c, ["doc_id", "chunk_index"]), q).select("query_id", "doc_id", "chunk_index", "score")
 
 
 def tfidf_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ix.tfidf(chunks(spark, sf_dir))
+    return bl.tfidf(chunks(spark, sf_dir))
 
 
 def weak_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:

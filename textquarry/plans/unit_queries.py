@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import corpus
-from ..operators import index as ix
+from ..operators import blocks as bl
 from ..operators import units as u
 from ..operators.index import fixed_windows
 from ..sources.tables import table
@@ -63,7 +63,7 @@ def salvage_json(spark, sf_dir):
 
 def svd_embed(spark, sf_dir):
     """5,000 terms and 384 dimensions over all chunks; of each vector its size and length."""
-    vectors, _ = u.svd_embed(ix.tfidf(fixed_windows(_docs(spark, sf_dir))))
+    vectors, _ = u.svd_embed(bl.tfidf(fixed_windows(_docs(spark, sf_dir))))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     return vectors.select("doc_id", "chunk_index", F.size("embedding").alias("dim"), F.round(norm, 5).alias("norm"))
 

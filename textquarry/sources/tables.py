@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
 def _fresh(spark: SparkSession) -> str:
     path = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="textquarry-")
     return path
+
+
+_stored: dict[str, list[str]] = {}
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, which cuts lineage; it stays until ``clear``, since results are lazy."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _stored.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has ``stored``; call it when results that read it are written."""
+    for path in _stored.pop(spark.sparkContext.applicationId, []):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
