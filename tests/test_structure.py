@@ -22,9 +22,16 @@ def test_inline_toc_block_goes(spark):
 
 
 def test_contents_region_and_headings(spark):
-    text = "Contents\nIntro ... 1\n  Deep 2\n\n\n\nBody text ends.\n"
-    lines = outline.numbered_lines(spark.createDataFrame([(1, text), (2, None), (3, "")], DOCS))
-    assert rows(outline.toc_region(lines), "doc_id", "title", "level") == [(1, "Deep", 1), (1, "Intro", 0)]
+    han = "前言\n目 录\n第 一 部 分 引子\n   1.1 细节\n        更深\n\n1 编号\n12\n书名：某书\n第 一 部 分 引子\n第一章 开始\n正文\n"
+    long = "x" * 60
+    three = "\n".join(["Contents", "One", "Two", "", long, "Three", long, "", long, "Four"])
+    capped = "\n".join(["contents", *(f"entry {i}" for i in range(100))])
+    d = spark.createDataFrame([(1, han), (2, None), (3, ""), (4, three), (5, capped), (6, "no such line"), (7, "Contents")], DOCS)
+    got = rows(outline.toc_region(d), "doc_id", "line_no", "title", "level")
+    assert got[:4] == [(1, 2, "第一部分引子", 0), (1, 3, "1.1 细节", 1), (1, 4, "更深", 2), (1, 6, "1 编号", 1)]
+    # The line that ends it is the third in a row; the region ends three lines before that.
+    assert [g for g in got if g[0] == 4] == [(4, 1, "One", 0), (4, 2, "Two", 0)]
+    assert [g[1] for g in got if g[0] == 5] == list(range(1, 60)) and {g[0] for g in got} == {1, 4, 5}
     alone = outline.numbered_lines(spark.createDataFrame([(1, "x" * 30 + "\n\nShort one\n\n" + "y" * 30)], DOCS))
     assert rows(outline.inline_headings(alone), "line_no", "title", "level") == [(2, "Short one", 2)]
     marked = outline.numbered_lines(spark.createDataFrame([(1, "# 第一章 开始\ntext\n# 第二章 后来")], DOCS))
@@ -57,7 +64,30 @@ def test_volumes_keep_their_distance(spark):
     text = "\n".join(["Early", "x" * 6000, "First", "x" * 100, "Close", "x" * 6000, "Second"])
     d = spark.createDataFrame([(1, text)], DOCS)
     h = outline.numbered_lines(d).where("length(line) < 10").selectExpr("doc_id", "line_no", "line AS title", "0 AS level")
-    assert rows(outline.volumes(d, h), "line_no", "title") == [(2, "First"), (6, "Second")]
+    got = rows(outline.volumes(d, h), "volume_at", "volume", "rule", "chapter")
+    assert got == [(6007, "First", "heading", "Close"), (12121, "Second", "heading", None)]
+
+
+def test_volumes_of_a_collection(spark):
+    """Volumes by headings and by lines, chapters with other white space, repeats in the front matter, stand-ins, and fragments that are none."""
+    fill = "正文" * 3000
+    parts = ["封面" * 1200, "球状闪电", "三体I", "超新星纪元", "尾卷", fill, "球状闪电", "第一章 死 星", fill, "三体I", "第一部 红岸", fill, "第二章 台球", "2024年12月", "要。"]
+    parts += [fill, "超新星纪元", "第三章 一", "第四章 二", "第五章 三", fill, fill, fill, fill, "尾卷", "序 章", "中部 咒语", "序　章", "尾声", fill]
+    text = "\n".join(parts)
+    heads = [("球状闪电", 0), ("第一章 死星", 1), ("三体I", 0), ("第一部 红岸", 0), ("第二章 台球", 1), ("附录", 0), ("尾卷", 0), ("第三章 一", 1), ("第四章 二", 1), ("第五章 三", 1), ("一、列表", 2)]
+    d = spark.createDataFrame([(1, text), (2, None), (3, "")], DOCS)
+    h = spark.createDataFrame([(1, i, t, level) for i, (t, level) in enumerate(heads)], "doc_id long, line_no int, title string, level int")
+    got = outline.volumes(d, h).orderBy("volume_at", "chapter_at").collect()
+    found = {}
+    for r in got:
+        assert text[r["volume_at"] :].startswith(r["volume"])
+        found.setdefault((r["volume"], r["rule"]), []).append(r["chapter"])
+    assert found == {
+        ("球状闪电", "heading"): ["第一章 死星"],
+        ("三体I", "heading"): ["第一部 红岸", "第二章 台球"],
+        ("超新星纪元", "line"): ["第三章 一", "第四章 二", "第五章 三"],
+        ("尾卷", "heading"): ["序 章", "中部 咒语", "尾声"],
+    }
 
 
 def test_outline_merging(spark):

@@ -127,10 +127,15 @@ def bm25_top(queries: DataFrame, blocks: DataFrame, k: int, profile: Profile = Z
 
 def cosine_top(queries: DataFrame, blocks: DataFrame, terms: DataFrame, k: int, least: float = 0.01, profile: Profile = ZH, most_terms: int = BROADCAST_TERMS) -> DataFrame:
     """C4 in the space of tf-idf: the ``k`` best chunks of each query by cosine over ``least``, of the vocabulary ``terms`` (term, idf)."""
+    return search(query_weights(queries, terms, profile), blocks, k, least, None, most_terms, terms)
+
+
+def query_weights(queries: DataFrame, terms: DataFrame, profile: Profile = ZH) -> DataFrame:
+    """(query_id, term, a): L2-normalised tf-idf of the queries (query_id, text) over a vocabulary ``terms``."""
     asked = queries.select("query_id", F.explode(terms_of(profile, bigrams=True, text=fx.blank("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
     asked = asked.join(F.broadcast(terms), "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("query_id")))
-    return search(asked.select("query_id", "term", (F.col("raw") / norm).alias("a")), blocks, k, least, None, most_terms, terms)
+    return asked.select("query_id", "term", (F.col("raw") / norm).alias("a"))
 
 
 def _lists(row, wanted):
@@ -277,6 +282,38 @@ def weights(blocks: DataFrame, terms: DataFrame) -> DataFrame:
     return blocks.select("doc_id", "chunk_index", "term", "df", "at", "tf").mapInArrow(run, f"term string, doc_id {doc_kind}, chunk_index int, weight double")
 
 
+def sparse_rows(blocks: DataFrame, terms: DataFrame) -> tuple[DataFrame, list[str]]:
+    """D6 as sparse rows (doc_id, chunk_index, i: numbers of terms, x: weights), stored, and the terms that are numbered.
+
+    Each block gives its own chunks' rows; chunks without a term of the vocabulary have none.
+    """
+    known = terms.select("term", "idf").orderBy("term").toArrow().combine_chunks()
+    wanted, idf = known.column("term").combine_chunks() if known.num_rows else None, known.column("idf").to_numpy()
+    names = wanted.to_pylist() if known.num_rows else []
+    shared = blocks.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(frames):
+        import numpy as np
+        import pyarrow as pa
+
+        if shared.value is None:
+            return
+        for frame in frames:
+            for r in range(len(frame)):
+                row = {name: frame.column(c)[r] for c, name in enumerate(frame.schema.names)}
+                number, at, w = _normed(row, shared.value, idf)
+                order = np.lexsort((number, at))
+                has, size = np.unique(at, return_counts=True)
+                ends = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
+                has = pa.array(has)
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x[order], k)) for x, k in ((number, pa.int32()), (w, pa.float64()))]
+                yield pa.RecordBatch.from_arrays([row["doc_id"].values.take(has), row["chunk_index"].values.take(has), *lists], names=["doc_id", "chunk_index", "i", "x"])
+
+    doc_kind = blocks.schema["doc_id"].dataType.elementType.simpleString()
+    rows = blocks.select("doc_id", "chunk_index", "term", "df", "at", "tf").mapInArrow(run, f"doc_id {doc_kind}, chunk_index int, i array<int>, x array<double>")
+    return stored(rows, "matrix"), names
+
+
 def tfidf(chunks: DataFrame, vocab: int = 5000, profile: Profile = ZH) -> DataFrame:
     """L2-normalised tf-idf weights (term, doc_id, chunk_index, weight) of terms and bigrams, rounded to 6 decimals."""
     index = build(chunks, profile, bigrams=True)

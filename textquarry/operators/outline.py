@@ -39,23 +39,52 @@ def drop_inline_toc(headings: DataFrame, gap: int = 25, least: int = 5) -> DataF
     return rows.join(block, "doc_id", "left").where(~F.coalesce(inside, F.lit(False))).select(*headings.columns)
 
 
-def toc_region(lines: DataFrame, title: str = "(?i)^(contents|table of contents|目录|目 录)$", cap: int = 80) -> DataFrame:
-    """Entries (doc_id, line_no, title, level) after the first contents line.
-
-    The region ends ``cap`` lines on, or before three lines in a row that are no entries (blank,
-    over 60 characters, or ending a sentence). Levels are 0 to 2 by indent; page numbers go, and
-    so do metadata lines.
+#: E12, fixed values: contents lines, lines about a book that are no entries, and such that no entry begins with.
+TOC_TITLE = "(?i)^(contents|目[ 　]?录)$|^目录"
+TOC_META = "^[ \\t]*(书名|作者|封面|版权|ISBN|出版|定价|印次|版次|字数|译者|审校|后记|致谢|参考文献|附录|此书)[：: \\t]"
+TOC_DROP = "^[ \\t]*(书名|作者|封面|版权|ISBN|出版|定价|印次|版次|字数|译者|审校|后记|致谢|参考文献|附录|感言)|^[：:]"
+TOC_CHAPTER = "^第[一二三四五六七八九十百0-9]+[ \\t]*章"
+#: E12, fixed values: lines that are looked through, and taken where no end is found.
+TOC_SCAN, TOC_TAKEN = 79, 59
+
+
+def toc_region(docs: DataFrame, title: str = TOC_TITLE, meta: str = TOC_META, drop: str = TOC_DROP, chapter: str = TOC_CHAPTER) -> DataFrame:
+    """Entries (doc_id, line_no, title, level) of the contents region of each document (doc_id, text).
+
+    The region follows the first contents line. It ends before the first chapter line, or three lines before a line that is no
+    entry and the third in a row that is blank or none; without either within TOC_SCAN lines it has TOC_TAKEN. Entries
+    are lines under 50 characters, numbered ones, and those that begin like a chapter or part. Levels are by indent, under 3, under 8, and
+    more; numbered lines without indent are of level 1. Page numbers alone, lines about the book and repeats of an id go. A
+    document's lines are folded where they are; none leaves its row before it is an entry.
     """
-    first = lines.where(F.trim("line").rlike(title)).groupBy("doc_id").agg(F.min("line_no").alias("__start"))
-    rows = lines.join(first, "doc_id").where(F.col("line_no").between(F.col("__start") + 1, F.col("__start") + cap))
-    t = F.trim("line")
-    rows = rows.withColumn("__bad", ((t == "") | (F.length(t) > 60) | t.rlike("[.!?;。！？；]$")).cast("int"))
-    rows = rows.withColumn("__three", F.sum("__bad").over(_in_doc().rowsBetween(0, 2)))
-    rows = rows.withColumn("__over", F.max((F.col("__three") == 3).cast("int")).over(_in_doc()))
-    rows = rows.where("__over = 0 AND __bad = 0").where(~t.rlike("(?i)^(isbn|copyright|author|publisher|版权|作者|出版)"))
-    indent = F.length("line") - F.length(F.ltrim("line"))
-    level = F.when(indent >= 4, 2).when(indent >= 2, 1).otherwise(0)
-    return rows.select("doc_id", "line_no", F.trim(F.regexp_replace(t, "[ .…·]*[0-9]+$", "")).alias("title"), level.alias("level")).where("title != ''")
+    trimmed = lambda x: F.regexp_replace(x, "^[ \t\r\x0b\x0c　]+|[ \t\r\x0b\x0c　]+$", "")
+    t = docs.select("doc_id", F.split(fx.blank("text"), "\n", -1).alias("ls"))
+    t = t.withColumn("at", F.array_position(F.transform("ls", lambda x: trimmed(x).rlike(title)), F.lit(True)).cast("int")).where("at > 0")
+    t = t.select("doc_id", "at", F.slice("ls", F.col("at") + 1, F.lit(TOC_SCAN)).alias("ls"))
+
+    def kind(x):
+        own = trimmed(x)
+        plain = fx.collapse_cjk_spaces(own)
+        entry = ~plain.rlike(meta) & ((F.length(own) < 50) | own.rlike("^[0-9]{1,2}[ \t]") | plain.rlike("(?i)^(第|chapter|part)") | plain.rlike("^[一二三四五六七八九十]+[ \t]*[、.]"))
+        return F.struct((own == "").alias("blank"), entry.alias("entry"), plain.rlike(chapter).alias("chapter"))
+
+    def step(acc, x):
+        bad = F.when(x["blank"], acc["bad"] + 1).when(x["entry"], 0).otherwise(acc["bad"] + 1)
+        third = ~x["blank"] & ~x["entry"] & (bad >= 3)
+        end = F.when(third, F.greatest(acc["i"] - 3, F.lit(0))).when(~x["blank"] & x["chapter"], acc["i"])
+        now = F.struct((acc["i"] + 1).alias("i"), bad.alias("bad"), end.alias("end"))
+        return F.when(acc["end"].isNotNull(), acc).otherwise(now)
+
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("bad"), F.lit(None).cast("int").alias("end"))
+    t = t.withColumn("end", F.coalesce(F.aggregate(F.transform("ls", kind), start, step)["end"], F.lit(TOC_TAKEN)))
+    rows = t.select("doc_id", "at", F.posexplode(F.slice("ls", F.lit(1), F.col("end"))).alias("n", "line"))
+    own = trimmed(F.col("line"))
+    rows = rows.select("doc_id", (F.col("at") + F.col("n")).alias("line_no"), own.alias("own"), fx.collapse_cjk_spaces(own).alias("title"), (F.length("line") - F.length(F.regexp_replace("line", "^[ \t\r\x0b\x0c　]+", ""))).alias("indent"))
+    rows = rows.where((F.length("own") > 1) & (F.length("title") > 1) & ~F.col("own").rlike("^[iIvVxX0-9]+$") & ~F.col("own").rlike("(?i)^(contents|目　?录)$") & ~F.col("title").rlike(drop))
+    level = F.when(F.col("indent") >= 8, 2).when(F.col("indent") >= 3, 1).when(F.col("title").rlike("^[0-9]{1,2}[ \t]") & (F.length("title") < 50), 1).otherwise(0)
+    once = Window.partitionBy("doc_id", fx.heading_id("title")).orderBy("line_no")
+    rows = rows.withColumn("level", level).withColumn("__n", F.row_number().over(once)).where("__n = 1")
+    return rows.select("doc_id", "line_no", "title", "level")
 
 
 def inline_headings(lines: DataFrame, profile: Profile = LATIN, most_lines: int = 5000) -> DataFrame:
@@ -101,20 +130,69 @@ def chapters_to_parts(headings: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("__part.line_no").alias("part_line"), F.col("__part.title").alias("part"), "line_no", "title")
 
 
-def volumes(docs: DataFrame, headings: DataFrame, least: int = 5000) -> DataFrame:
-    """(doc_id, line_no, title): level-0 volume titles, from character ``least`` on and at least so far apart.
+#: E18, fixed values: titles that hold one of these are no volumes; sections are no volumes but chapters; lines that stand in for
+#: chapters of a volume without any; lines that are no titles of volumes.
+VOLUME_NOISE = "序|导言|引言|前言|概要与列表|总结|附录|参考文献|致谢|后记|目录|审校|版权|全集"
+VOLUME_SECTION = "^第[一二三四五六七八九十百千]+部"
+VOLUME_STAND_IN = "(?i)^(序[ \\t]*章|[上中下][ \\t]*部|第[一二三四五六七八九十百千0-9]+[ \\t]*[章部]|尾声|后记|楔子|引子|prologue|epilogue|chapter [0-9]+)"
+LINE_NOISE = "序|导言|引言|前言|概要与列表|总结|附录|参考文献|致谢|后记|目录|审校|版权|书名|作者|封面|授权|内容简介"
+LINE_NOT = "^第[一二三四五六七八九十百千]+[章部节]|^[一二三四五六七八九十]+、|^[0-9]+[.．、 \\t]"
+
+
+def volumes(docs: DataFrame, headings: DataFrame, least: int = 5000, reach: int = 20_000, chapters: int = 3, lines: int = 12, noise: str = VOLUME_NOISE, section: str = VOLUME_SECTION, stand_in: str = VOLUME_STAND_IN, line_noise: str = LINE_NOISE) -> DataFrame:
+    """(doc_id, volume_at, volume, rule, chapter_at, chapter) by the places of titles in the text, one row a chapter.
 
-    Chosen greedily from the start of each document; a document's level-0 headings are folded in
-    order, without leaving the JVM.
+    A title's places are the lines beyond character ``least`` that equal it without white space. First (``rule`` is ``heading``) each level-0
+    title that may be a volume takes its first place that is ``least`` away from those taken. Then (``line``) of the first ``lines``
+    distinct short lines those that ``chapters`` headings below level 0 follow within ``reach`` characters, as far away from all volumes. A
+    chapter is a level-1 title, or one of level 0 that is no volume, of the latest volume before its first place. A volume
+    without chapters has its first ``lines`` lines that look like one instead, and a row without a chapter where there are none. Counting is a range
+    window over places; only titles and places of a document are gathered in its row.
     """
-    n = numbered_lines(docs).withColumn("__at", F.sum(F.length("line") + 1).over(_in_doc()) - F.length("line") - 1)
-    rows = headings.where((F.col("level") == 0) & fx.valid_volume_title("title")).join(n.select("doc_id", "line_no", "__at"), ["doc_id", "line_no"])
-    items = F.array_sort(F.collect_list(F.struct(F.col("__at").cast("long").alias("at"), "line_no", "title")))
-    none = F.filter("items", lambda x: F.lit(False))
-    pick = lambda acc, x: F.when(x["at"] >= F.coalesce(F.element_at(acc, -1)["at"], F.lit(0)) + least, F.array_append(acc, x)).otherwise(acc)
-    last = lambda acc, x: F.when(F.size(acc) == 0, F.when(x["at"] >= least, F.array(x)).otherwise(acc)).otherwise(pick(acc, x))
-    picked = rows.groupBy("doc_id").agg(items.alias("items")).select("doc_id", F.explode(F.aggregate("items", none, last)).alias("v"))
-    return picked.select("doc_id", "v.line_no", "v.title")
+    flat = lambda c: F.regexp_replace(c, "[ \t\r　]+", "")
+    own = lambda c: F.regexp_replace(c, "^[ \t\r　]+|[ \t\r　]+$", "")
+    body = numbered_lines(docs).withColumn("at", (F.sum(F.length("line") + 1).over(_in_doc()) - F.length("line") - 1).cast("long"))
+    body = body.select("doc_id", "at", own(F.col("line")).alias("line"), flat(F.col("line")).alias("key")).where((F.col("at") > least) & (F.col("key") != ""))
+    w = Window.partitionBy("doc_id", "title").orderBy("line_no")
+    items = headings.select("doc_id", "line_no", own(F.col("title")).alias("title"), "level").withColumn("__n", F.row_number().over(w))
+    items = items.where((F.col("__n") == 1) & F.length("title").between(2, 80)).withColumn("key", flat(F.col("title")))
+    placed = items.join(body.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("at")).alias("places")), ["doc_id", "key"])
+    placed = placed.withColumn("at", F.element_at("places", 1))
+
+    # The two greedy choices, in order of the headings and of the lines.
+    away = lambda chosen, p: ~F.exists(chosen, lambda c: F.abs(c["at"] - p) < least)
+    may_be = (F.col("level") == 0) & fx.valid_volume_title("title") & ~F.col("title").rlike(noise) & ~F.col("title").rlike(section)
+    first = placed.where(may_be & (F.length("title") <= 60)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "title", "places"))).alias("heads"))
+    short = body.where(F.length("line").between(2, 12) & ~F.col("line").rlike(LINE_NOT) & ~F.col("line").rlike(line_noise)).groupBy("doc_id", "line").agg(F.min("at").alias("at"))
+    short = short.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("at"))).where(F.col("__n") <= lines)
+    points = short.select("doc_id", "at", "line", F.lit(0).alias("one")).unionByName(placed.where("level >= 1").select("doc_id", "at", F.lit(None).cast("string").alias("line"), F.lit(1).alias("one")))
+    ahead = Window.partitionBy("doc_id").orderBy("at").rangeBetween(0, reach - 1)
+    points = points.withColumn("following", F.sum("one").over(ahead)).where(F.col("line").isNotNull() & (F.col("following") >= chapters) & fx.valid_volume_title("line"))
+    known = items.where(may_be).select("doc_id", F.col("title").alias("line"))
+    second = points.join(known, ["doc_id", "line"], "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("lone"))
+    none = F.array().cast("array<struct<at:bigint,title:string,rule:string>>")
+    take = lambda p, title, rule: F.array(F.struct(p.alias("at"), title.alias("title"), F.lit(rule).alias("rule")))
+
+    def by_heading(acc, x):
+        free = F.filter(x["places"], lambda p: away(acc, p))
+        return F.when(F.size(free) > 0, F.concat(acc, take(F.get(free, F.lit(0)), x["title"], "heading"))).otherwise(acc)
+
+    by_line = lambda acc, x: F.when(away(acc, x["at"]), F.concat(acc, take(x["at"], x["line"], "line"))).otherwise(acc)
+    vols = first.join(second, "doc_id", "full")
+    vols = vols.withColumn("v", F.when(F.col("heads").isNull(), none).otherwise(F.aggregate("heads", none, by_heading)))
+    vols = vols.withColumn("v", F.array_sort(F.when(F.col("lone").isNull(), F.col("v")).otherwise(F.aggregate("lone", F.col("v"), by_line)))).select("doc_id", "v").where(F.size("v") > 0)
+
+    # Chapters and stand-ins, each in the latest volume before its place.
+    inside = lambda rows: rows.join(vols, "doc_id").withColumn("vol", F.try_element_at(F.filter("v", lambda x: x["at"] <= F.col("at")), F.lit(-1))).where(F.col("vol").isNotNull())
+    part = placed.where((F.col("level") == 1) | ((F.col("level") == 0) & ~F.col("title").rlike(noise))).select("doc_id", "at", F.col("title").alias("chapter"))
+    part = inside(part).where(~F.exists("v", lambda x: x["title"] == F.col("chapter"))).select("doc_id", "vol", F.col("at").alias("chapter_at"), "chapter")
+    all_ = vols.select("doc_id", F.explode("v").alias("vol"))
+    empty = all_.join(part.select("doc_id", "vol").distinct(), ["doc_id", "vol"], "left_anti")
+    likely = inside(body.where((F.length("line") <= 40) & F.col("line").rlike(stand_in))).groupBy("doc_id", "vol", "key").agg(F.min(F.struct("at", "line")).alias("x"))
+    likely = likely.select("doc_id", "vol", F.col("x.at").alias("chapter_at"), F.col("x.line").alias("chapter")).join(empty, ["doc_id", "vol"], "left_semi")
+    likely = likely.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "vol").orderBy("chapter_at"))).where(F.col("__n") <= lines).drop("__n")
+    rows = all_.join(part.unionByName(likely), ["doc_id", "vol"], "left")
+    return rows.select("doc_id", F.col("vol.at").alias("volume_at"), F.col("vol.title").alias("volume"), F.col("vol.rule").alias("rule"), "chapter_at", "chapter")
 
 
 def structure_graph(headings: DataFrame, max_nodes: int = 60, levels: int = 4) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from .graph import cut
+from ..sources.tables import stored
 
 
 def _per_text(docs: DataFrame, cut: Callable[[str], list[str]], name: str) -> DataFrame:
@@ -219,17 +219,13 @@ def salvage_json(raw: DataFrame, schema: str, field: str = "label") -> DataFrame
 MAX_TERMS, OVERSAMPLE, PASSES = 20_000, 10, 5
 
 
-def _batches(frames, n: int):
-    """(keys, dense rows of ``n`` columns) of Arrow batches (doc_id, chunk_index, i, x), 256 rows at a time."""
-    import numpy as np
-
-    for frame in frames:
-        for at in range(0, len(frame), 256):
-            part = frame.slice(at, 256)
-            i, x = part.column(2), part.column(3)
-            dense = np.zeros((len(part), n))
-            dense[np.repeat(np.arange(len(part)), i.value_lengths().to_numpy()), i.flatten().to_numpy()] = x.flatten().to_numpy()
-            yield part, dense
+def _sparse_rows(frame):
+    """(numbers of terms, weights) of each row of an Arrow batch (doc_id, chunk_index, i, x)."""
+    i, x = frame.column(2), frame.column(3)
+    ends = i.value_lengths().to_numpy().cumsum()
+    i, x = i.flatten().to_numpy(), x.flatten().to_numpy()
+    for a, b in zip([0, *ends[:-1]], ends, strict=True):
+        yield i[a:b], x[a:b]
 
 
 def _sparse(weights: DataFrame, terms: list[str]) -> DataFrame:
@@ -245,19 +241,23 @@ def svd_embed(weights: DataFrame, dim: int = 384, seed: int = 7) -> tuple[DataFr
     Randomised subspace iteration: a pass multiplies a block of ``dim`` + OVERSAMPLE vectors by the Gram matrix
     of the terms, each task for its own chunks by matrix products, and the tasks' sums are added in a tree.
     Only terms x block numbers (16 MB for 5,000 terms) are on the driver or in a task; the matrix itself is a
-    table in the shared folder. More than MAX_TERMS terms are an error: ``vocabulary`` bounds them. The model
+    table of sparse rows in the shared folder, of which only the terms of a chunk are multiplied. More than MAX_TERMS terms are an error: ``vocabulary`` bounds them. The model
     is a table: write it, read it back, and pass it to ``project``. Vectors are not normalised; they have
     min(dim, terms) places, each component's largest entry being positive. Empty weights give empty tables.
     """
+    terms = [r["term"] for r in weights.select("term").distinct().orderBy("term").limit(MAX_TERMS + 1).collect()]
+    if len(terms) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} terms: weigh a smaller vocabulary")
+    return svd_of(stored(_sparse(weights, terms), "matrix"), terms, dim, seed)
+
+
+def svd_of(matrix: DataFrame, terms: list[str], dim: int = 384, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """``svd_embed`` of a stored matrix (doc_id, chunk_index, i, x) of sparse rows over ``terms``."""
     import numpy as np
 
-    spark = weights.sparkSession
-    terms = [r["term"] for r in weights.select("term").distinct().orderBy("term").limit(MAX_TERMS + 1).collect()]
+    spark = matrix.sparkSession
     n = len(terms)
-    if n > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} terms: weigh a smaller vocabulary")
     wide = min(dim + OVERSAMPLE, n)
-    matrix = cut(_sparse(weights, terms))
 
     def gram_times(block: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast(block)
@@ -266,8 +266,9 @@ def svd_embed(weights: DataFrame, dim: int = 384, seed: int = 7) -> tuple[DataFr
             import pyarrow as pa
 
             total = np.zeros((n, wide))
-            for _, dense in _batches(frames, n):
-                total += dense.T @ (dense @ shared.value)
+            for frame in frames:
+                for i, x in _sparse_rows(frame):
+                    total[i] += x[:, None] * (x @ shared.value[i])
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
         parts = matrix.mapInArrow(run, "part binary").rdd.map(lambda r: np.frombuffer(r["part"]))
@@ -277,7 +278,7 @@ def svd_embed(weights: DataFrame, dim: int = 384, seed: int = 7) -> tuple[DataFr
 
     if not n:
         model = spark.createDataFrame([], "term string, component array<double>")
-        return project(weights, model), model
+        return matrix.select("doc_id", "chunk_index", F.array().cast("array<double>").alias("embedding")).where(F.lit(False)), model
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, wide)))[0]
     for _ in range(PASSES if wide < n else 0):
         basis = np.linalg.qr(gram_times(basis))[0]
@@ -291,15 +292,15 @@ def svd_embed(weights: DataFrame, dim: int = 384, seed: int = 7) -> tuple[DataFr
 
 def _times(matrix: DataFrame, v) -> DataFrame:
     """(doc_id, chunk_index, embedding): rows of a sparse matrix times the broadcast components ``v``."""
-    shared, (n, wide) = matrix.sparkSession.sparkContext.broadcast(v), v.shape
+    shared, wide = matrix.sparkSession.sparkContext.broadcast(v), v.shape[1]
 
     def run(frames):
         import numpy as np
         import pyarrow as pa
 
-        for part, dense in _batches(frames, n):
-            flat = (dense @ shared.value).ravel()
-            ends = pa.array(np.arange(0, len(flat) + 1, wide), pa.int32())
+        for part in frames:
+            flat = np.array([x @ shared.value[i] for i, x in _sparse_rows(part)], dtype=float).ravel()
+            ends = pa.array(np.arange(0, len(part) * wide + 1, wide), pa.int32())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["doc_id", "chunk_index", "embedding"])
 
     ids = {f.name: f.dataType.simpleString() for f in matrix.schema}

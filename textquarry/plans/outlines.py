@@ -39,11 +39,16 @@ def drop_inline_toc(spark, sf_dir):
     return o.drop_inline_toc(h)
 
 
+def _short_lines(spark, sf_dir, line):
+    """The documents with a line a clause, ``line`` of (x, i) in place of the i-th, from 0."""
+    ls = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[.!?,] ", "\n"), "\n", -1)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(ls, line), "\n").alias("text"))
+
+
 def toc_region(spark, sf_dir):
-    """The second line of a document stands for its contents line; words stand on lines of their own."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "([.!?,]) ", "$1\n").alias("text"))
-    rows = o.numbered_lines(d).withColumn("line", F.when(F.col("line_no") == 1, "Contents").otherwise(F.regexp_replace("line", "[.]$", "")))
-    return o.toc_region(rows)
+    """The second clause of a document is its contents line; clauses are indented by their number, and some are blank or chapters."""
+    line = lambda x, i: F.when(i == 1, "Contents").when(i % 47 == 46, F.concat(F.lit("第3章 "), x)).when(i % 11 == 10, "").otherwise(F.concat(F.repeat(F.lit(" "), i % 4 * 3), x))
+    return o.toc_region(_short_lines(spark, sf_dir, line))
 
 
 def inline_headings(spark, sf_dir):
@@ -65,8 +70,10 @@ def chapters_to_parts(spark, sf_dir):
 
 
 def volumes(spark, sf_dir):
-    h = _headings(spark, sf_dir).withColumn("title", F.regexp_extract("title", "^([A-Za-z ]{2,20})", 1))
-    return o.volumes(table(spark, sf_dir, "documents"), h)
+    """Clauses are headings, at level line mod 3, where they have at most 40 characters and the line number is no multiple of 4."""
+    d = _short_lines(spark, sf_dir, lambda x, i: x)
+    rows = o.numbered_lines(d).where("line_no % 4 > 0 AND length(line) <= 40")
+    return o.volumes(d, rows.select("doc_id", "line_no", F.col("line").alias("title"), (F.col("line_no") % 3).alias("level")))
 
 
 def structure_graph(spark, sf_dir):
@@ -104,6 +111,14 @@ def tree_clean(spark, sf_dir):
     return o.tree_clean(n.selectExpr("tree", "ord", "CAST(ord AS STRING) AS node_id", "CASE WHEN ord > 1 THEN CAST(ord div 2 AS STRING) END AS parent_id", "CASE WHEN ord = 1 THEN 'root' ELSE label END AS label", "description")).drop("description")
 
 
+_CLAUSES = "cl AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[.!?,] ', chr(10), 'g'), chr(10)) AS ls FROM documents)"
+_T = "regexp_replace(x, '^[ \\t\\r\\x0b\\x0c　]+|[ \\t\\r\\x0b\\x0c　]+$', '', 'g')"
+#: H11 for the lines of these documents, whose only Han characters are those of the chapter lines.
+_P = _T
+_OWN = "regexp_replace(raw, '^[ \\t\\r　]+|[ \\t\\r　]+$', '', 'g')"
+_FREE = "list_filter(x.ps, lambda p: len(list_filter(a.c, lambda c: abs(c.ofs - p) < 5000)) = 0)"
+#: B19 in SQL.
+_VALID = "(length(trim({0}, ' ')) BETWEEN 2 AND 20 AND NOT regexp_matches(trim({0}, ' '), '[.,;:!?。，；：！？]$') AND NOT regexp_matches(trim({0}, ' '), '(?i)^(fig|figure|table|图|表)') AND NOT regexp_matches(trim({0}, ' '), '[0-9]{{4}}[-/年]') AND length(regexp_replace({0}, '[^A-Za-z一-鿿]', '', 'g')) >= 2)"
 _SPREAD = "(CASE WHEN least({n}, {q}) <= 1 THEN {i} = 0 ELSE list_contains(list_transform(range(0, least({n}, {q})::BIGINT), lambda z: round_even(z * ({n} - 1) / (least({n}, {q}) - 1), 0)::BIGINT), {i}) END)"
 QUERIES = {
     "drop_inline_toc": (drop_inline_toc, f"""WITH {_H}, g AS (SELECT doc_id, CASE WHEN line_no > 30 THEN line_no * 10 ELSE line_no END AS line_no, title, level FROM h),
@@ -111,16 +126,19 @@ QUERIES = {
         b AS (SELECT *, sum(far) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM a), r AS (SELECT doc_id, run, count(*) AS c, min(i) AS s FROM b GROUP BY ALL),
         k AS (SELECT doc_id, min(s) FILTER (c >= 5) AS s, max(c) AS c FROM r GROUP BY doc_id)
         SELECT doc_id, line_no, title, level FROM b JOIN k USING (doc_id) WHERE NOT coalesce(n > 5 AND (s <= 5 OR s >= n - c - 3) AND i >= s AND i < s + c, false)"""),
-    "toc_region": (toc_region, """WITH l AS (SELECT doc_id, i - 1 AS line_no, CASE WHEN i = 2 THEN 'Contents' ELSE regexp_replace(ls[i], '[.]$', '') END AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (
-            SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?,]) ', '\\1' || chr(10), 'g'), chr(10)) AS ls FROM documents))),
-        f AS (SELECT doc_id, min(line_no) AS s FROM l WHERE regexp_matches(trim(line, ' '), '(?i)^(contents|table of contents|目录|目 录)$') GROUP BY doc_id),
-        r AS (SELECT l.*, trim(line, ' ') AS t, CASE WHEN trim(line, ' ') = '' OR length(trim(line, ' ')) > 60 OR regexp_matches(trim(line, ' '), '[.!?;。！？；]$') THEN 1 ELSE 0 END AS bad
-            FROM l JOIN f USING (doc_id) WHERE line_no > s AND line_no <= s + 80),
-        e AS (SELECT *, sum(bad) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS three FROM r),
-        z AS (SELECT *, max(three) OVER (PARTITION BY doc_id ORDER BY line_no) AS worst FROM e)
-        SELECT * FROM (SELECT doc_id, line_no, trim(regexp_replace(t, '[ .…·]*[0-9]+$', ''), ' ') AS title,
-            CASE WHEN length(line) - length(ltrim(line, ' ')) >= 4 THEN 2 WHEN length(line) - length(ltrim(line, ' ')) >= 2 THEN 1 ELSE 0 END AS level FROM z
-            WHERE worst < 3 AND bad = 0 AND NOT regexp_matches(t, '(?i)^(isbn|copyright|author|publisher|版权|作者|出版)')) WHERE title != ''"""),
+    "toc_region": (toc_region, f"""WITH {_CLAUSES}, a AS (SELECT doc_id, list_transform(ls, lambda x, i: CASE WHEN i = 2 THEN 'Contents' WHEN (i - 1) % 47 = 46 THEN '第3章 ' || x WHEN (i - 1) % 11 = 10 THEN ''
+            ELSE repeat(' ', ((i - 1) % 4 * 3)::BIGINT) || x END) AS ls FROM cl),
+        s AS (SELECT doc_id, ls, list_position(list_transform(ls, lambda x: regexp_matches({_T}, '{o.TOC_TITLE}')), true) AS ofs FROM a),
+        r AS (SELECT doc_id, ofs, ls[ofs + 1:ofs + {o.TOC_SCAN}] AS ls FROM s WHERE ofs > 0),
+        k AS (SELECT *, list_transform(ls, lambda x: {{'i': -1::BIGINT, 'bad': CASE WHEN {_T} = '' THEN 1 WHEN NOT regexp_matches({_P}, '{o.TOC_META}') AND (length({_T}) < 50 OR regexp_matches({_T}, '^[0-9]{{1,2}}[ \\t]')
+            OR regexp_matches({_P}, '(?i)^(第|chapter|part)') OR regexp_matches({_P}, '^[一二三四五六七八九十]+[ \\t]*[、.]')) THEN 0 ELSE 2 END, 'ch': regexp_matches({_P}, '{o.TOC_CHAPTER}'), 'e': -1::BIGINT}}) AS ks FROM r),
+        f AS (SELECT doc_id, ofs, ls, list_reduce(list_prepend({{'i': 0::BIGINT, 'bad': 0, 'ch': false, 'e': -1::BIGINT}}, ks), lambda a, x: CASE WHEN a.e >= 0 THEN a ELSE {{'i': a.i + 1,
+            'bad': CASE x.bad WHEN 0 THEN 0 ELSE a.bad + 1 END, 'ch': false, 'e': CASE WHEN x.bad = 2 AND a.bad >= 2 THEN greatest(a.i - 3, 0) WHEN x.bad != 1 AND x.ch THEN a.i ELSE -1 END}} END) AS z FROM k),
+        g AS (SELECT doc_id, ofs, unnest(range(0, len(t))) AS n, unnest(t) AS x FROM (SELECT doc_id, ofs, ls[1:CASE WHEN z.e >= 0 THEN z.e ELSE {o.TOC_TAKEN} END] AS t FROM f)),
+        h AS (SELECT doc_id, ofs + n AS line_no, {_T} AS own, {_P} AS title, length(x) - length(regexp_replace(x, '^[ \\t\\r\\x0b\\x0c　]+', '')) AS indent FROM g),
+        v AS (SELECT *, row_number() OVER (PARTITION BY doc_id, {_ID} ORDER BY line_no) AS rn FROM h WHERE length(own) > 1 AND length(title) > 1 AND NOT regexp_matches(own, '^[iIvVxX0-9]+$')
+            AND NOT regexp_matches(own, '(?i)^(contents|目　?录)$') AND NOT regexp_matches(title, '{o.TOC_DROP}'))
+        SELECT doc_id, line_no, title, CASE WHEN indent >= 8 THEN 2 WHEN indent >= 3 THEN 1 WHEN regexp_matches(title, '^[0-9]{{1,2}}[ \\t]') AND length(title) < 50 THEN 1 ELSE 0 END AS level FROM v WHERE rn = 1"""),
     "inline_headings": (inline_headings, f"""WITH {_L}, v AS (SELECT doc_id, line_no, x, {_LEVEL} AS level, trim(coalesce(lag(line) OVER w, ''), ' ') = '' AND trim(coalesce(lead(line) OVER w, ''), ' ') = '' AND length(x) BETWEEN 3 AND 20 AS alone
             FROM (SELECT *, trim(line, ' ') AS x FROM l) WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
         n AS (SELECT *, count(level) OVER (PARTITION BY doc_id) = 0 AND count(*) OVER (PARTITION BY doc_id) < 5000 AS none FROM v)
@@ -135,11 +153,28 @@ QUERIES = {
         SELECT doc_id, line_no, title, level FROM c WHERE rn = 1"""),
     "chapters_to_parts": (chapters_to_parts, f"""WITH {_H}, p AS (SELECT *, max(CASE WHEN level = 0 THEN line_no END) OVER (PARTITION BY doc_id ORDER BY line_no) AS part_line FROM h)
         SELECT p.doc_id, part_line, h.title AS part, p.line_no, p.title FROM p JOIN h ON h.doc_id = p.doc_id AND h.line_no = part_line WHERE p.level > 0"""),
-    "volumes": (volumes, f"""WITH RECURSIVE {_H}, pos AS (SELECT doc_id, line_no, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - length(line) - 1 AS place FROM l),
-        c AS (SELECT h.doc_id, h.line_no, regexp_extract(title, '^([A-Za-z ]{{2,20}})', 1) AS title, place FROM h JOIN pos USING (doc_id, line_no) WHERE level = 0),
-        k AS (SELECT * FROM c WHERE length(trim(title, ' ')) BETWEEN 2 AND 20 AND NOT regexp_matches(trim(title, ' '), '(?i)^(fig|figure|table)') AND length(regexp_replace(title, ' ', '', 'g')) >= 2),
-        v AS (SELECT doc_id, min(place) AS place FROM k WHERE place >= 5000 GROUP BY doc_id UNION ALL SELECT v.doc_id, min(k.place) FROM v JOIN k ON k.doc_id = v.doc_id AND k.place >= v.place + 5000 GROUP BY v.doc_id)
-        SELECT doc_id, line_no, title FROM v JOIN k USING (doc_id, place)"""),
+    "volumes": (volumes, f"""WITH {_CLAUSES}, l0 AS (SELECT doc_id, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS raw FROM cl),
+        l AS (SELECT *, (sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - length(raw) - 1)::BIGINT AS ofs, {_OWN} AS line, regexp_replace(raw, '[ \\t\\r　]+', '', 'g') AS key FROM l0),
+        b AS (SELECT * FROM l WHERE ofs > 5000 AND key != ''),
+        it AS (SELECT * FROM (SELECT doc_id, line_no, line AS title, key, line_no % 3 AS level, row_number() OVER (PARTITION BY doc_id, line ORDER BY line_no) AS rn FROM l WHERE line_no % 4 > 0 AND length(raw) <= 40) WHERE rn = 1 AND length(title) BETWEEN 2 AND 80),
+        pl AS (SELECT it.*, ps, ps[1] AS ofs FROM it JOIN (SELECT doc_id, key, list(ofs ORDER BY ofs) AS ps FROM b GROUP BY ALL) USING (doc_id, key)),
+        mb AS (SELECT * FROM pl WHERE level = 0 AND {_VALID.format('title')} AND NOT regexp_matches(title, '{o.VOLUME_NOISE}') AND NOT regexp_matches(title, '{o.VOLUME_SECTION}')),
+        g1 AS (SELECT doc_id, list_reduce(list_prepend({{'c': []::STRUCT(ofs BIGINT, title VARCHAR, rule VARCHAR)[], 't': '', 'ps': []::BIGINT[]}}, list({{'c': []::STRUCT(ofs BIGINT, title VARCHAR, rule VARCHAR)[], 't': title, 'ps': ps}} ORDER BY line_no)),
+            lambda a, x: {{'c': CASE WHEN len({_FREE}) > 0 THEN list_append(a.c, {{'ofs': ({_FREE})[1], 'title': x.t, 'rule': 'heading'}}) ELSE a.c END, 't': x.t, 'ps': x.ps}}).c AS v FROM mb GROUP BY doc_id),
+        sh AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ofs) AS rn FROM (SELECT doc_id, line, min(ofs) AS ofs FROM b WHERE length(line) BETWEEN 2 AND 12 AND NOT regexp_matches(line, '{o.LINE_NOT}') AND NOT regexp_matches(line, '{o.LINE_NOISE}') GROUP BY ALL)),
+        ok AS (SELECT doc_id, ofs, line FROM sh WHERE rn <= 12 AND {_VALID.format('line')} AND (SELECT count(*) FROM pl WHERE pl.doc_id = sh.doc_id AND level >= 1 AND pl.ofs >= sh.ofs AND pl.ofs < sh.ofs + 20000) >= 3
+            AND NOT EXISTS (SELECT 1 FROM it WHERE it.doc_id = sh.doc_id AND it.title = sh.line AND it.level = 0 AND {_VALID.format('it.title')} AND NOT regexp_matches(it.title, '{o.VOLUME_NOISE}') AND NOT regexp_matches(it.title, '{o.VOLUME_SECTION}'))),
+        g2 AS (SELECT doc_id, list({{'ofs': ofs, 'title': line, 'rule': 'line'}} ORDER BY ofs, line) AS lone FROM ok GROUP BY doc_id),
+        g3 AS (SELECT doc_id, coalesce(v, []) AS v, coalesce(lone, []) AS lone FROM g1 FULL JOIN g2 USING (doc_id)),
+        g4 AS (SELECT doc_id, unnest(list_reduce(list_prepend(v, list_transform(lone, lambda y: [y])), lambda a, x: CASE WHEN len(list_filter(a, lambda c: abs(c.ofs - x[1].ofs) < 5000)) = 0 THEN list_concat(a, x) ELSE a END)) AS v FROM g3),
+        vo AS (SELECT doc_id, v.ofs AS volume_at, v.title AS volume, v.rule AS rule, lead(v.ofs, 1, 9223372036854775807) OVER (PARTITION BY doc_id ORDER BY v.ofs) AS until FROM g4),
+        ch AS (SELECT vo.*, pl.ofs AS chapter_at, pl.title AS chapter FROM pl JOIN vo ON pl.doc_id = vo.doc_id AND pl.ofs >= volume_at AND pl.ofs < until WHERE (level = 1 OR (level = 0 AND NOT regexp_matches(pl.title, '{o.VOLUME_NOISE}')))
+            AND NOT EXISTS (SELECT 1 FROM vo x WHERE x.doc_id = pl.doc_id AND x.volume = pl.title)),
+        si AS (SELECT vo.*, b.ofs AS chapter_at, b.line AS chapter, b.key FROM b JOIN vo ON b.doc_id = vo.doc_id AND b.ofs >= volume_at AND b.ofs < until WHERE length(b.line) <= 40 AND regexp_matches(b.line, '{o.VOLUME_STAND_IN}')
+            AND NOT EXISTS (SELECT 1 FROM ch WHERE ch.doc_id = vo.doc_id AND ch.volume_at = vo.volume_at)),
+        st AS (SELECT *, row_number() OVER (PARTITION BY doc_id, volume_at ORDER BY chapter_at) AS rn FROM (SELECT doc_id, volume_at, volume, rule, min(chapter_at) AS chapter_at, arg_min(chapter, chapter_at) AS chapter FROM si GROUP BY doc_id, volume_at, volume, rule, key))
+        SELECT doc_id, volume_at, volume, rule, chapter_at, chapter FROM ch UNION ALL SELECT doc_id, volume_at, volume, rule, chapter_at, chapter FROM st WHERE rn <= 12
+        UNION ALL SELECT doc_id, volume_at, volume, rule, NULL, NULL FROM vo WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.doc_id = vo.doc_id AND ch.volume_at = vo.volume_at) AND NOT EXISTS (SELECT 1 FROM st WHERE st.doc_id = vo.doc_id AND st.volume_at = vo.volume_at)"""),
     "structure_graph": (structure_graph, f"""WITH {_H}, u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, title ORDER BY line_no) AS rn FROM h),
         v AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS place FROM u WHERE rn = 1), n AS (SELECT * FROM v WHERE place <= 60),
         e AS (SELECT b.doc_id, b.title AS dst, b.level, arg_max(a.title, a.line_no) FILTER (a.level < b.level) AS up, arg_max(a.title, a.line_no) FILTER (a.level = b.level) AS same

@@ -9,6 +9,8 @@ from ..functions import text as fx
 from ..functions.profiles import LATIN
 from ..operators import blocks as bl
 from ..operators import index as ix
+from ..operators import units as u
+from ..operators import vectors as vx
 from ..operators.evidence import query_variants
 from ..sources.tables import stored, table
 
@@ -113,6 +115,18 @@ def hybrid_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.select("query_id", "doc_id", F.md5("prefix").alias("prefix_md5"), "v_rank", "b_rank", "score")
 
 
+def hybrid_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C5 over the vectors of D7: BM25 fused with dot products of SVD vectors of chunks (D7), found by an inverted file."""
+    q, c = stored(variants(spark, sf_dir), "variants"), chunks(spark, sf_dir)
+    index = bl.build(c, bigrams=True)
+    terms = bl.vocabulary(index)
+    vectors, model = u.svd_of(*bl.sparse_rows(index, terms))
+    asked = u.project(bl.query_weights(q, terms).select("term", F.col("query_id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.col("a").alias("weight")), model)
+    hits = vx.search(asked.select(F.col("doc_id").alias("query_id"), "embedding"), vx.build(stored(vectors, "vectors")), 40)
+    fused = ix.fuse(_candidates(spark, sf_dir, hits, c), _candidates(spark, sf_dir, bl.bm25_top(q, index, 40), c), ["doc_id", "prefix"], "weight")
+    return fused.select("query_id", "doc_id", F.md5("prefix").alias("prefix_md5"), "v_rank", "b_rank", "score")
+
+
 def phrase_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = questions(spark, sf_dir), chunks(spark, sf_dir)
     hits = bl.bm25_top(q, bl.build(c), 5).select("query_id", "doc_id", "chunk_index", (1 / (60 + F.col("rank"))).alias("score"))
@@ -185,6 +199,7 @@ QUERIES = {
     "vector_search": (vector_search, f"WITH {_VEC} SELECT * FROM vec"),
     "mmr_rerank": (mmr_rerank, None),
     "hybrid_fuse": (hybrid_fuse, f"WITH {_FUSE} SELECT * FROM fused"),
+    "hybrid_vectors": (hybrid_vectors, None),
     "weak_evidence": (weak_evidence, f"WITH {_FUSE} SELECT query_id, max(score) AS best, max(score) < 0.010 AS weak FROM fused GROUP BY query_id"),
     "tfidf_matrix": (tfidf_matrix, f"WITH {CHUNKS}, {TFIDF} SELECT term, doc_id, chunk_index, round(w, 6) AS weight FROM tw"),
     "citations": (citations, f"WITH {BM25} SELECT query_id, rank AS number, 'doc ' || doc_id || ', page ' || (chunk_index // 2 + 1) || ', part ' || (chunk_index + 1) AS location, round(1 / (1 + score), 4) AS distance FROM hits"),

@@ -63,7 +63,8 @@ def salvage_json(spark, sf_dir):
 
 def svd_embed(spark, sf_dir):
     """5,000 terms and 384 dimensions over all chunks; of each vector its size and length."""
-    vectors, _ = u.svd_embed(bl.tfidf(fixed_windows(_docs(spark, sf_dir))))
+    index = bl.build(fixed_windows(_docs(spark, sf_dir)), bigrams=True)
+    vectors, _ = u.svd_of(*bl.sparse_rows(index, bl.vocabulary(index)))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     return vectors.select("doc_id", "chunk_index", F.size("embedding").alias("dim"), F.round(norm, 5).alias("norm"))
 
