@@ -127,22 +127,20 @@ DEAL_ROWS = 1000
 DEAL_KEYS = 200_000
 
 
-def deal(rows: DataFrame, side: DataFrame, key: list[str], by: Column) -> tuple[DataFrame, DataFrame]:
+def deal(rows: DataFrame, side: DataFrame, sizes: DataFrame, key: str, by: Column) -> tuple[DataFrame, DataFrame]:
     """``rows`` and ``side`` with a column ``deal``, to be joined on it and ``key``, so that no key is hot.
 
-    ``side`` has for each key in ``members`` how many of ``rows`` have it; the column goes. A key of more than DEAL_ROWS is
-    dealt over parts by ``by``, and its rows of ``side`` are copied to each part. At most DEAL_KEYS keys
-    are: the rows that make a key hot are at least the DEAL_KEYS-th part of all, so what is broadcast is bounded.
+    ``sizes`` has in ``members`` how many of ``rows`` have each ``key``. A key of more than DEAL_ROWS is dealt
+    over parts by ``by``, and its rows of ``side`` are copied to each part. At most DEAL_KEYS keys are: what
+    makes a key hot is at least the DEAL_KEYS-th part of all rows, so what is broadcast is bounded.
     """
-    sizes = side.select(*key, "members").dropDuplicates(key)
     total = sizes.agg(F.sum("members")).first()[0] or 0
     most = max(DEAL_ROWS, total // DEAL_KEYS)
-    last = F.floor(F.col("members") / most).cast("int")
-    hot = F.broadcast(sizes.where(F.col("members") > most).select(*key, last.alias("last")))
-    part = F.pmod(by, F.coalesce("last", F.lit(0)) + 1).cast("int")
-    dealt = rows.join(hot, key, "left").withColumn("deal", part).drop("last")
-    parts = F.sequence(F.lit(0), F.when(F.col("members") > most, last).otherwise(F.lit(0)))
-    return dealt, side.withColumn("deal", F.explode(parts)).drop("members")
+    hot = F.broadcast(sizes.where(F.col("members") > most).select(key, F.floor(F.col("members") / most).cast("int").alias("deals")))
+    last = F.coalesce("deals", F.lit(0))
+    dealt = rows.join(hot, key, "left").withColumn("deal", F.pmod(by, last + 1).cast("int")).drop("deals")
+    copies = side.join(hot, key, "left").withColumn("deal", F.explode(F.sequence(F.lit(0), last))).drop("deals")
+    return dealt, copies
 
 
 def _slices(sizes, rows: int, chars: int):

@@ -48,8 +48,8 @@ def failures(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", pa
     shared = saved(alone.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("id").alias("members")).where("low < high").select("hash", "members"), "shared")
     among = F.broadcast(shared.select("hash")) if shared.count() <= BROADCAST_HASHES else shared.select("hash")
     copies = rows.where(F.col("id").isNotNull()).join(among, "hash", "left_semi")
-    twins = copies.groupBy("hash", F.col("text").alias("same")).agg(F.min("id").alias("smaller")).join(shared, "hash")
-    left, right = deal(copies, twins, ["hash"], F.xxhash64("id"))
+    twins = copies.groupBy("hash", F.col("text").alias("same")).agg(F.min("id").alias("smaller"))
+    left, right = deal(copies, twins, shared, "hash", F.xxhash64("id"))
     right = right.withColumnRenamed("hash", "h").withColumnRenamed("deal", "d")
     seen = (F.col("hash") == F.col("h")) & (F.col("deal") == F.col("d")) & (F.col("text") == F.col("same")) & (F.col("smaller") < F.col("id"))
     twice = left.join(right, seen, "left_semi").select("id", "part", "hash", F.lit(DUPLICATE).alias("bits"), F.lit(0).alias("one"))

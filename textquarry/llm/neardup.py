@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import map_rows, saved
+from .common import deal, map_rows, saved
 
 SHINGLE = 5
 #: Jaccard similarity in hundredths from which documents are linked, where the caller names no other.
@@ -38,8 +38,6 @@ SKETCH_BITS = 4096
 PIVOT_ROUNDS = 3
 #: Members of a bucket that meet in one task in the last round.
 BLOCK = 512
-#: Pairs of one pivot that meet in one task.
-HOT = 2000
 #: Ids of candidate documents up to which they are broadcast (8 bytes each).
 BROADCAST_IDS = 2_000_000
 
@@ -235,30 +233,29 @@ def hooked(step: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b; saved) whose full shingle sets are similar enough.
 
-    A ``b`` of very many pairs (a pivot) is no hot key: its pairs are dealt over one part for each
-    HOT of them, and only such ids have their set copied to several parts.
+    A document of very many pairs (a pivot) is no hot key: its pairs are dealt over parts.
     """
-    hot = pairs.groupBy("b").agg(F.floor(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 0")
-    hot = F.broadcast(hot) if pairs.count() <= HOT * BROADCAST_IDS // 10 else hot
-    part = F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(0)) + 1).cast("int")
-    dealt = pairs.join(hot, "b", "left").select("a", "b", part.alias("part"))
-    copies = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")).join(hot, "b", "left")
-    copies = copies.select("b", "sb", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(0)))).alias("part"))
-    one = dealt.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    two = one.join(copies, ["b", "part"])
+    both = _with_set(_with_set(pairs, pairs, sets, "a", "b"), pairs, sets, "b", "a")
     inter = F.size(F.array_intersect("sa", "sb"))
-    return two.where(similar(inter, F.size("sa"), F.size("sb"), percent)).select("a", "b")
+    return both.where(similar(inter, F.size("sa"), F.size("sb"), percent)).select("a", "b")
+
+
+def _with_set(rows: DataFrame, pairs: DataFrame, sets: DataFrame, end: str, other: str) -> DataFrame:
+    sizes = pairs.groupBy(end).agg(F.count("*").alias("members"))
+    rows, sets = deal(rows, sets.select(F.col("id").alias(end), F.col("shingles").alias(f"s{end}")), sizes, end, F.xxhash64(other))
+    return rows.join(sets, [end, "deal"]).drop("deal")
 
 
 def _pivot_pairs(placed: DataFrame, mixed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """(a, b): each member of the ``mixed`` buckets with the likeliest of the pivots of its buckets.
 
     Pivots bring their sketches along with their buckets, so no join is on a pivot's id but the one
-    of the buckets themselves, in which a pivot stands once for each band.
+    of the buckets themselves, in which a pivot stands once for each band. Buckets of many are dealt.
     """
-    pivots = mixed.select("key", F.col("pivot.id").alias("b"), F.col("pivot.component").alias("pc"))
-    pivots = pivots.join(known.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    pairs = placed.join(pivots, "key").where("component != pc").drop("key", "component", "pc").dropDuplicates(["id", "b"])
+    mixed = saved(mixed.select("key", F.col("pivot.id").alias("b"), F.col("pivot.component").alias("pc"), "members"), "pivots")
+    pivots = mixed.drop("members").join(known.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    placed, pivots = deal(placed, pivots, mixed, "key", F.xxhash64("id"))
+    pairs = placed.join(pivots, ["key", "deal"]).where("component != pc").drop("key", "deal", "component", "pc").dropDuplicates(["id", "b"])
     pairs = pairs.join(known.select("id", F.col("n").alias("na"), F.col("sketch").alias("sa")), "id").where(could_be("na", "nb", "sa", "sb", percent))
     best = pairs.groupBy(F.col("id").alias("a")).agg(F.min_by("b", F.struct(differing_bits("sa", "sb"), "b")).alias("b"))
     return best.select("a", "b")
@@ -296,8 +293,8 @@ def link_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     signed = saved(map_rows(rows, lambda: _signer(percent), "ck binary, n_shingles long, bands array<bigint>, sketch array<bigint>", ["text"], ["id"], rows=1000), "signed")
     filled = signed.where((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     # Equal word sequences: one class each, under its smallest id.
-    classes = saved(filled.groupBy("ck").agg(F.min("id").alias("rep")), "classes")
-    reps = filled.join(classes.withColumnsRenamed({"ck": "k", "rep": "id2"}), (F.col("ck") == F.col("k")) & (F.col("id") == F.col("id2"))).dropDuplicates(["id"])
+    classes = saved(filled.groupBy("ck").agg(F.min("id").alias("rep"), F.count("*").alias("members")), "classes")
+    reps = filled.join(classes.select(F.col("ck").alias("k"), F.col("rep").alias("id2")), (F.col("ck") == F.col("k")) & (F.col("id") == F.col("id2"))).dropDuplicates(["id"])
     reps = reps.select("id", F.col("n_shingles").alias("n"), "sketch", "bands")
     buckets = reps.select("id", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
@@ -318,9 +315,12 @@ def link_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
         pairs = _pivot_pairs if turn < PIVOT_ROUNDS else _remaining_pairs
         found = saved(_confirmed(saved(pairs(placed, mixed, known, percent), "pairs"), sets, percent), "links")
         labels = merged(labels, found)
-    out = signed.join(classes, "ck", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.coalesce("component", "rep"))
-    out = out.select(F.col("id").alias(id_col), "n_shingles", component.cast(docs.schema[id_col].dataType).alias("component_id"))
+    # Copies of one text are one key, so they are dealt; texts without words and rows without an id meet nobody.
+    placed = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("ck", F.coalesce("component", "rep").alias("component"))
+    full, placed = deal(filled.select("id", "ck", "n_shingles"), placed, classes.select("ck", "members"), "ck", F.xxhash64("id"))
+    out = full.join(placed, ["ck", "deal"]).select("id", "n_shingles", "component")
+    empty = signed.where((F.col("n_shingles") == 0) | F.col("id").isNull()).select("id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).alias("component"))
+    out = out.unionByName(empty).select(F.col("id").alias(id_col), "n_shingles", F.col("component").cast(docs.schema[id_col].dataType).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 
 
