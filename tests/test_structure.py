@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textquarry.functions.profiles import ZH
-from textquarry.operators import evidence, graph_edit, index, outline, units
+from textquarry.operators import blocks, evidence, graph_edit, index, outline, ranks, records, units, vectors
 from textquarry.streaming import jobs
 
 DOCS = "doc_id long, text string"
@@ -238,3 +238,100 @@ def test_gap_hints_and_stats_line(spark):
     assert rows(graph_edit.gap_hints(chains, edges), "side", "hint", "priority") == [("after", "(none)", "medium"), ("before", "z", "high")]
     stats = spark.createDataFrame([(1, 1234, 5, 1, 0)], "doc_id long, n_chars long, n_words long, n_sentences long, n_paragraphs long")
     assert stats.select(units.stats_text().alias("x")).first()["x"] == "Document 1: 1,234 characters, 5 words, 1 sentences, 0 paragraphs."
+
+
+def test_running_sums_of_one_large_group(spark):
+    d = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("doc_id"), F.when(F.col("id") % 50 == 0, None).otherwise(F.lit("one")).alias("domain"), (F.col("id") % 11).alias("size"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = ranks.running(d, "domain", "doc_id", F.col("size"))
+    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < 3000
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for domain in ("one", None):
+        part = sorted((r["doc_id"], r["number"], r["before"], r["size"]) for r in got.collect() if r["domain"] == domain)
+        total = 0
+        for i, (_, number, before, size) in enumerate(part, 1):
+            assert (number, before) == (i, total)
+            total += size
+
+
+def test_evidence_of_a_long_document_is_found_in_linear_time(spark):
+    import time
+
+    r = np.random.default_rng(3)
+    sentences = [" ".join(f"w{x}" for x in r.integers(0, 5000, 24)) + "." for _ in range(8000)]
+    text = "\n ".join(sentences)
+    assert len(text) > 1_000_000
+    e = spark.createDataFrame([(1, i, x.replace(" ", "  ")) for i, x in enumerate(sentences)] + [(1, 8000, "not in it"), (1, 8001, " "), (1, 8002, None), (2, 8003, "lost")], "doc_id long, n int, sentence string")
+    began = time.time()
+    got = {x["n"]: (x["start"], x["end"]) for x in evidence.locate_evidence(e, spark.createDataFrame([(1, text), (2, None)], DOCS)).collect()}
+    assert time.time() - began < 30
+    at = 0
+    for i, x in enumerate(sentences):
+        assert got[i] == (at, at + len(x))
+        at += len(x) + 2
+    assert [got[i] for i in range(8000, 8004)] == [(-1, -1)] * 4
+
+
+def test_modified_sentences_equal_brute_force(spark):
+    r = np.random.default_rng(1)
+    pool = [f"w{i}" for i in range(30)]
+    docs = {d: {" ".join(r.choice(pool, r.integers(1, 9))) for _ in range(25)} for d in range(4)}
+    s = spark.createDataFrame([(d, x) for d, xs in docs.items() for x in xs], "doc_id long, sentence string")
+    got = {(x["a"], x["b"]): x["n_modified"] for x in evidence.document_pair_diff(s, spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "a long, b long")).collect()}
+    for a, b in got:
+        gone, new = docs[a] - docs[b], docs[b] - docs[a]
+        like = lambda x, y: 2 * len({*x.split()} & {*y.split()}) >= len({*x.split()} | {*y.split()})
+        assert got[a, b] == sum(any(like(x, y) for y in new) for x in gone) > 0
+
+
+def test_the_last_question_is_whole(spark):
+    m = spark.createDataFrame([(1, 1, "user", "q" * 1_200_000)], "conv_id long, turn long, role string, text string")
+    got = {x["part"]: len(x["text"]) for x in records.conversation_window(m).collect()}
+    assert got == {"question": 1_200_000, "recent": 200}
+
+
+def test_bm25_blocks_equal_brute_force(spark, monkeypatch):
+    """Small blocks, groups of queries, ties, and early stops give the rows of a plain sum."""
+    monkeypatch.setattr(blocks, "BLOCK", 7)
+    r = np.random.default_rng(5)
+    words = [f"t{int(x)}" for x in r.zipf(1.4, 3000) % 60]
+    docs = [(i, " ".join(words[i * 20 : i * 20 + r.integers(0, 20)])) for i in range(150)]
+    docs[3], docs[7] = (3, "t1 t2 t9"), (7, "t1 t2 t9")
+    queries = [(i, " ".join(r.choice(words, 4))) for i in range(30)] + [(30, None), (31, "none such"), (32, "t1 t1 t2")]
+    index_ = blocks.build(index.fixed_windows(spark.createDataFrame(docs, DOCS)))
+    q = spark.createDataFrame(queries, "query_id long, text string")
+    toks = {d: t.split() for d, t in docs if t}
+    n, mean = len(toks), sum(map(len, toks.values())) / len(toks)
+    df = {}
+    for t in toks.values():
+        for w in set(t):
+            df[w] = df.get(w, 0) + 1
+    raw = {w: np.log(n - c + 0.5) - np.log(c + 0.5) for w, c in df.items()}
+    floor = 0.25 * np.mean(list(raw.values()))
+    want = []
+    for i, text in queries:
+        scores = []
+        for d, t in toks.items():
+            s = sum((raw[w] if raw[w] >= 0 else floor) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in (text or "").split() if w in df)
+            if round(s, 6) > 0:
+                scores.append((-round(s, 6), d))
+        want += [(i, d, place) for place, (_, d) in enumerate(sorted(scores)[:5], 1)]
+    for most in (500_000, 20):
+        assert rows(blocks.bm25_top(q, index_, 5, most_terms=most), "query_id", "doc_id", "rank") == sorted(want)
+
+
+def test_vector_lists_find_what_a_scan_finds(spark):
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(12, 16))
+    m = centres[r.integers(0, 12, 1500)] + 0.3 * r.normal(size=(1500, 16))
+    v = spark.createDataFrame([(i, i % 3, x.tolist()) for i, x in enumerate(m)] + [(9999, 0, None)], "doc_id long, chunk_index int, embedding array<double>")
+    q = spark.createDataFrame([(i, m[i * 10].tolist()) for i in range(100)] + [(100, None)], "query_id long, embedding array<double>")
+    ivf = vectors.build(v)
+    want = set()
+    for i in range(100):
+        s = np.round(m @ m[i * 10], 6)
+        want |= {(i, int(d)) for d in sorted(range(1500), key=lambda d: (-s[d], d))[:10] if s[d] > 0.01}
+    pairs = lambda df: {(x["query_id"], x["doc_id"]) for x in df.collect()}
+    assert pairs(vectors.search(q, ivf, 10, probes=None)) == want
+    assert len(pairs(vectors.search(q, ivf, 10)) & want) >= 0.9 * len(want)
+    assert vectors.search(q, vectors.build(v.where("doc_id < 0")), 10).count() == 0

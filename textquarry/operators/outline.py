@@ -13,6 +13,7 @@ from pyspark.sql.window import WindowSpec
 
 from ..functions import text as fx
 from ..functions.profiles import LATIN, Profile
+from .ranks import running
 
 
 def _in_doc() -> WindowSpec:
@@ -279,8 +280,7 @@ def rule_tree(chunks: DataFrame, by: str = "domain") -> DataFrame:
     """(domain, node_id, parent_id, label, n_chunks): a root a domain, one child a document in id order."""
     files = chunks.groupBy(by, "doc_id").agg(F.count("*").alias("n_chunks"))
     root = files.groupBy(by).agg(F.sum("n_chunks").alias("n_chunks")).select(by, F.lit("node_0").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col(by).alias("label"), "n_chunks")
-    n = F.row_number().over(Window.partitionBy(by).orderBy("doc_id"))
-    leaf = files.select(by, F.concat(F.lit("node_"), n).alias("node_id"), F.lit("node_0").alias("parent_id"), F.col("doc_id").cast("string").alias("label"), "n_chunks")
+    leaf = running(files, by, "doc_id").select(by, F.concat(F.lit("node_"), "number").alias("node_id"), F.lit("node_0").alias("parent_id"), F.col("doc_id").cast("string").alias("label"), "n_chunks")
     return root.unionByName(leaf)
 
 

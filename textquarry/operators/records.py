@@ -32,17 +32,18 @@ def save_sessions(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def conversation_window(messages: DataFrame, turns: int = 6, chars: int = 200, pairs: int = 4, pair_chars: int = 300) -> DataFrame:
     """(conv_id, part, turn, back, role, text): the last user turn (``question``), the last ``pairs`` pairs of turns
-    before it (``history``) and the last ``turns`` turns (``recent``), cut to so many characters; ``back`` counts from 1.
+    before it (``history``) and the last ``turns`` turns (``recent``); history and recent turns are cut to so many characters, the question is whole; ``back`` counts from 1.
 
     Null and blank turns are no history.
     """
     asked = messages.withColumn("asked", F.max(F.when(F.col("role") == "user", F.col("turn"))).over(Window.partitionBy("conv_id")))
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    row = lambda df, part, n: df.select("conv_id", F.lit(part).alias("part"), "turn", "back", "role", F.substring("text", 1, n).alias("text"))
+    row = lambda df, part, text: df.select("conv_id", F.lit(part).alias("part"), "turn", "back", "role", text.alias("text"))
+    head = lambda n: F.substring("text", 1, n)
     question = asked.where("turn = asked").withColumn("back", F.lit(1))
     history = asked.where("turn < asked").where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("back", F.row_number().over(w)).where(F.col("back") <= 2 * pairs)
     recent = messages.withColumn("back", F.row_number().over(w)).where(F.col("back") <= turns)
-    return row(question, "question", 1_000_000).unionByName(row(history, "history", pair_chars)).unionByName(row(recent, "recent", chars))
+    return row(question, "question", F.col("text")).unionByName(row(history, "history", head(pair_chars))).unionByName(row(recent, "recent", head(chars)))
 
 
 def session_preview(messages: DataFrame, chars: int = 50) -> DataFrame:
