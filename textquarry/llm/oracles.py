@@ -114,7 +114,7 @@ def _rules() -> str:
     n_cuts = sum(len(rule[3]) for rule in rules)
     term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha!r}) + (n - i) * ln(1 - {alpha!r}))"
     failed = ", ".join(
-        f"CASE WHEN coalesce({value(v)} {'>' if large else '<'} (SELECT cutoff FROM chosen c WHERE c.stratum IS NOT DISTINCT FROM st.stratum AND rule = {r}), false) THEN '{name}' END"
+        f"CASE WHEN coalesce({value(v)} {'>' if large else '<'} (SELECT cutoff FROM chosen c WHERE c.stratum = own.stratum AND rule = {r}), false) THEN '{name}' END"
         for r, (name, v, large, _) in enumerate(rules)
     )
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
@@ -129,17 +129,14 @@ def _rules() -> str:
         len(ws) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(ws) AS base_failed
         FROM d JOIN w USING (r) JOIN ln USING (r) LEFT JOIN rep USING (r)),
     truth AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-    sizes AS (SELECT stratum, count(*) AS n FROM own JOIN truth USING (doc_id) GROUP BY stratum),
-    top AS (SELECT stratum FROM sizes ORDER BY n DESC, stratum LIMIT {quality_rules.MAX_STRATA}),
-    st AS (SELECT own.* REPLACE (CASE WHEN (SELECT count(*) FROM sizes) <= {quality_rules.MAX_STRATA} OR stratum IN (SELECT stratum FROM top) THEN stratum END AS stratum) FROM own),
-    labelled AS (SELECT st.*, quality FROM st JOIN truth USING (doc_id)),
+    labelled AS (SELECT own.*, quality FROM own JOIN truth USING (doc_id)),
     grid AS ({grid}),
     counts AS (SELECT stratum, rule, cutoff, count(*) FILTER (WHERE quality = 1) AS n, count(*) FILTER (WHERE quality = 1 AND rej) AS k,
         count(*) FILTER (WHERE rej) AS gone FROM grid GROUP BY ALL),
     tested AS (SELECT *, (SELECT sum({term}) FROM (SELECT unnest(range(0, k + 1)) AS i)) AS p FROM counts WHERE n > 0 AND k < {alpha!r} * n),
     safe AS (SELECT * FROM tested WHERE p <= {quality_rules.DELTA!r} / (greatest(1, (SELECT count(*) FROM (SELECT DISTINCT stratum FROM labelled))) * {n_cuts}) AND gone > 0),
     chosen AS (SELECT stratum, rule, arg_max(cutoff, gone * 1000000 + 999999 - cutoff) AS cutoff FROM safe GROUP BY ALL),
-    v AS (SELECT *, list_filter([{failed}], lambda x: x IS NOT NULL) AS failed FROM st)
+    v AS (SELECT *, list_filter([{failed}], lambda x: x IS NOT NULL) AS failed FROM own)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed) = 0 AS kept,
         array_to_string(failed, ',') AS failed_rules FROM v"""
 

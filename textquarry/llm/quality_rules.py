@@ -5,12 +5,10 @@ language) and rule, a grid of cutoffs is tested on the labelled holdout: a cutof
 the exact binomial (Clopper-Pearson) upper bound of its false-rejection rate, among documents
 labelled good, is at most ALPHA / number of rules. All cutoffs of all rules and strata are tested at once, so each
 test runs at level DELTA / number of tests (Bonferroni): with probability 1 - DELTA the chosen
-cutoffs together reject at most ALPHA of a stratum's good documents. The MAX_STRATA strata with most
-labelled documents stand alone; all others are one shared stratum (null) and certified as one. Of the safe cutoffs of a rule the
-one that rejects most documents is used; a rule with no safe cutoff is off.
+cutoffs together reject at most ALPHA of a stratum's good documents, in every stratum, however many there are. Of the
+safe cutoffs of a rule the one that rejects most documents is used; a rule with no safe cutoff is off.
 
-Only the names of those strata and counts over the grid reach the driver: strata (MAX_STRATA and the
-shared one at most) x rules x cutoffs.
+Counts and cutoffs are tables with a row for each stratum; only the number of strata reaches the driver.
 """
 
 from __future__ import annotations
@@ -22,12 +20,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, saved
+from .common import deal, map_rows, saved
 
 #: Most false rejections among a stratum's good documents, over all rules; each rule gets an equal part.
 ALPHA = 0.05
 DELTA = 0.05
-MAX_STRATA = 32
+#: Strata up to which their cutoffs are broadcast (under 200 bytes each).
+BROADCAST_STRATA = 100_000
 
 #: Rules: name, statistic per thousand, whether large values are bad, and the cutoffs on the grid.
 RULES = (
@@ -98,9 +97,16 @@ def _rejects(rule, cutoff) -> Column:
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
-    """P(Bin(n, p) <= k), exactly summed."""
-    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
-    return min(1.0, math.fsum(math.exp(log(i)) for i in range(k + 1)))
+    """P(Bin(n, p) <= k), summed from the term of ``k`` down until terms no longer count."""
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
+    terms = [term]
+    for i in range(k, 0, -1):
+        # Each term is the next one times this ratio, which falls with i.
+        term *= i / (n - i + 1) * (1 - p) / p
+        terms.append(term)
+        if term < 1e-18 * terms[0]:
+            break
+    return min(1.0, math.fsum(terms))
 
 
 def is_safe(k: int, n: int, level: float, alpha: float = ALPHA) -> bool:
@@ -108,41 +114,43 @@ def is_safe(k: int, n: int, level: float, alpha: float = ALPHA) -> bool:
     return n > 0 and k < alpha * n and binomial_cdf(k, n, alpha) <= level
 
 
-def shared_strata(rows: DataFrame, labelled: DataFrame, most: int) -> DataFrame:
-    """``rows`` with ``stratum`` null where it is none of the ``most`` largest strata of ``labelled``, if there are more."""
-    top = labelled.groupBy("stratum").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "stratum").limit(most + 1).collect()
-    if len(top) <= most:
-        return rows
-    return rows.withColumn("stratum", F.when(F.col("stratum").isin([r["stratum"] for r in top[:most]]), F.col("stratum")))
+def choose_cutoffs(labelled: DataFrame, stratum: str = "stratum", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Certified cutoffs, saved: a row per stratum with a column ``cut<r>`` per rule, null where the rule is off.
 
-
-def choose_cutoffs(labelled: DataFrame, stratum: str = "stratum", alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, int]]:
-    """Certified cutoffs by stratum and rule, from statistics with ``stratum`` and ``quality`` (1: good).
-
-    One aggregation; its result has a row for each stratum, which ``shared_strata`` bounds.
+    ``labelled`` has the statistics, ``stratum`` and ``quality`` (1: good). One aggregation counts; a
+    map over its rows, one per stratum, decides.
     """
     good = F.col("quality") == 1
+    grid = [(r, c, cutoff) for r, rule in enumerate(RULES) for c, cutoff in enumerate(rule[3])]
     aggs = [F.count(F.when(good, 1)).alias("n")]
-    for r, rule in enumerate(RULES):
-        for c, cutoff in enumerate(rule[3]):
-            rejected = _rejects(rule, cutoff) & ~base_failed()
-            aggs += [F.count(F.when(rejected & good, 1)).alias(f"g{r}_{c}"), F.count(F.when(rejected, 1)).alias(f"a{r}_{c}")]
-    counts = labelled.groupBy(stratum).agg(*aggs, F.count("*").alias("rows")).orderBy(F.desc("rows"), stratum).collect()
-    level = delta / max(1, len(counts) * sum(len(rule[3]) for rule in RULES))
-    chosen: dict[str, dict[str, int]] = {}
-    for row in counts:
-        for r, rule in enumerate(RULES):
-            safe = [(row[f"a{r}_{c}"], -c) for c in range(len(rule[3])) if is_safe(row[f"g{r}_{c}"], row["n"], level, alpha / len(RULES))]
-            if safe and max(safe)[0] > 0:
-                chosen.setdefault(row[stratum], {})[rule[0]] = rule[3][-max(safe)[1]]
-    return chosen
+    for r, c, cutoff in grid:
+        rejected = _rejects(RULES[r], cutoff) & ~base_failed()
+        aggs += [F.count(F.when(rejected & good, 1)).alias(f"g{r}_{c}"), F.count(F.when(rejected, 1)).alias(f"a{r}_{c}")]
+    counts = saved(labelled.groupBy(F.col(stratum).alias("stratum")).agg(*aggs), "counts")
+    level = delta / max(1, counts.count() * len(grid))
+
+    def make():
+        def run(_, n, good, gone):
+            out = []
+            for own, g, a in zip(n, good, gone, strict=True):
+                best: list = [(0, 0, None)] * len(RULES)
+                for (r, c, cutoff), k, all_ in zip(grid, g, a, strict=True):
+                    if all_ > 0 and is_safe(k, own, level, alpha / len(RULES)):
+                        best[r] = max(best[r], (all_, -c, cutoff))
+                out.append([b[2] for b in best])
+            return [list(x) for x in zip(*out, strict=True)]
+
+        return run
+
+    rows = counts.select("stratum", "n", F.array(*(f"g{r}_{c}" for r, c, _ in grid)).alias("good"), F.array(*(f"a{r}_{c}" for r, c, _ in grid)).alias("gone"), F.lit("").alias("text"))
+    return saved(map_rows(rows, make, ", ".join(f"cut{r} int" for r in range(len(RULES))), ["text", "n", "good", "gone"], ["stratum"]), "cutoffs")
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, text_col: str = "text", id_col: str = "doc_id", stratum_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
     """``docs`` with the statistics, base_failed, ``failed_rules`` and kept.
 
     Labels are joined by ``id_col`` and only their counts are used; a document whose labels
-    disagree counts as bad. Null strata share the stratum "". Strata beyond the MAX_STRATA largest share one. Null texts have no words and fail
+    disagree counts as bad. Null strata share the stratum "". A stratum without labels has no rules but the base. Null texts have no words and fail
     the base; repeated rows each count; an empty ``labels`` leaves every rule off. Of cutoffs that
     reject equally many the milder is used. Columns of ``docs`` named like a new one give way.
     """
@@ -151,15 +159,15 @@ def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)), F.col(id_col).alias("__id"), F.coalesce(F.col(stratum_col), F.lit("")).alias("stratum"), F.col(text_col).alias("__text"))
     rows = saved(with_stats(rows, "__text", [*names, "__id", "stratum"]), "stats")
     truth = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").alias("quality"))
-    rows = shared_strata(rows, rows.select("__id", "stratum").join(truth, "__id"), MAX_STRATA)
-    labelled = rows.join(truth, "__id")
-    chosen = choose_cutoffs(labelled, alpha=alpha, delta=delta)
-    failed = []
-    for rule in RULES:
-        cut = {s: c[rule[0]] for s, c in chosen.items() if rule[0] in c}
-        for stratum, cutoff in cut.items():
-            failed.append(F.when(F.col("stratum").eqNullSafe(F.lit(stratum)) & _rejects(rule, cutoff), F.lit(rule[0])))
+    chosen = choose_cutoffs(rows.join(truth, "__id"), alpha=alpha, delta=delta)
+    if chosen.count() <= BROADCAST_STRATA:
+        rows = rows.join(F.broadcast(chosen), "stratum", "left")
+    else:
+        sizes = rows.groupBy("stratum").agg(F.count("*").alias("members"))
+        rows, chosen = deal(rows, chosen, sizes, "stratum", F.xxhash64("__id", "n_words", "word_chars"))
+        rows = rows.join(chosen, ["stratum", "deal"], "left").drop("deal")
+    failed = [F.when(_rejects(rule, F.col(f"cut{r}")), F.lit(rule[0])) for r, rule in enumerate(RULES)]
     out = rows.withColumn("base_failed", base_failed())
-    out = out.withColumn("failed_rules", F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>"))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("stratum", "__id")
+    out = out.withColumn("failed_rules", F.array_compact(F.array(*failed)))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("stratum", "__id", *(f"cut{r}" for r in range(len(RULES))))
     return out.withColumnsRenamed(dict(zip(names, carry, strict=True)))
