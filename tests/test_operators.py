@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as fx
-from textquarry.functions.profiles import LATIN, ZH
-from textquarry.operators import blocks, corpus, graph, index, records
+from textquarry.functions.profiles import HAN, LATIN, ZH
+from textquarry.operators import blocks, corpus, graph, graph_edit, index, records
 from textquarry.sources import files
 from textquarry.streaming import jobs
 
@@ -20,6 +20,23 @@ def test_clean_text_zh(spark):
     assert "139" not in out and "978" not in out and "42" not in out and out.startswith("正文") and out.endswith("结束")
 
 
+def test_clean_and_preprocess_zh_lines(spark):
+    raw = "甲\n--- 3/12 ---\n7 / 9\nISBN-13：978-7\n版权信息 某社\n地址\n\n乙\n扫码关注\n（全书完）\n2024-01-31\n-5-\n[3] 注释\n[4]\n丙 • 丁\n完成。Y\n第3页/共9页"
+    out = one(spark, fx.clean_text(F.lit(raw), ZH))
+    assert not any(x in out for x in ("3/12", "7 / 9", "978", "某社", "地址", "扫码")) and "乙" in out and "2024-01-31" in out
+    out = one(spark, fx.preprocess(F.lit(raw), ZH))
+    assert not any(x in out for x in ("全书完", "2024", "-5-", "注释", "[4]", "978", "共9页", "。Y", "7 / 9")) and "丙\n- 丁\n完成。" in out
+
+
+def test_name_candidates_han(spark):
+    text = "叶文洁说道。汪淼问，叶文洁笑，骑着自行说。汪淼问道。汪淼说道！他们说道，平静地说道，平静地说道。红岸工程，红岸工程，"
+    c = spark.createDataFrame([(1, 0, text), (2, 0, None)], "doc_id long, chunk_index int, chunk string")
+    verbs = "说道|问道|笑道|答道|喊道|问|答|说|笑"
+    got = {r["name"]: r["score"] for r in graph_edit.name_candidates(c, f"[{HAN}]{{2,4}}?", verbs, verbs, (), 30, ZH.not_first, ZH.not_last, fx.HAN_INSIDE).collect()}
+    assert {"叶文洁", "汪淼"} <= set(got) and got["汪淼"] > 5
+    assert not any(x.startswith(("他", "的")) or x.endswith("地") or "着" in x for x in got)
+
+
 def test_valid_concept_han(spark):
     cases = {"球状闪电": True, "人际关系": True, "目的": False, "目的地": True, "和谐": True, "骑着自行": False, "的母亲": False, "母亲们": False, "意识到错误是事物的演变": False, "以及算法": False, "科": False, "科" * 17: False, "BERT": True, "": False}
     d = spark.createDataFrame([(k,) for k in cases] + [(None,)], "label string")

@@ -71,13 +71,17 @@ STRAY = "[\\x{fffd}\\x{e000}-\\x{f8ff}\\x{200b}\\x{feff}]"
 
 
 def preprocess(text: Column | str, profile: Profile = LATIN) -> Column:
-    """Drop stray glyphs, and end marks, dates, footnotes and page numbers on lines of their own; inline bullets become list lines."""
+    """Drop stray glyphs, page marks and book numbers, and end marks, dates, footnotes and page numbers on lines of their own.
+
+    Inline bullets become list lines, and a lone Y that stands for a check mark at a line's end goes.
+    """
     out = F.regexp_replace(blank(text), STRAY, "")
     for pattern in profile.preprocess:
         out = F.regexp_replace(out, pattern, "")
     out = F.regexp_replace(out, "\n{4,}", "\n\n\n")
     out = F.regexp_replace(out, "(?m)^ {4,}", "  ")
-    return F.regexp_replace(out, "([^ \t\r\n])[ \t]*•[ \t]*", "$1\n- ")
+    out = F.regexp_replace(out, "([^ \t\r\n])[ \t]*•[ \t]*", "$1\n- ")
+    return F.regexp_replace(out, f"(?m)([{profile.orphan}])Y([ \t]*)$", "$1$2")
 
 
 def garbled_ratio(text: Column | str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from ..functions.profiles import HAN
 from .graph import components, keep_edges, layout_overlap
 
 #: D11, fixed values: weights of the parts.
@@ -168,16 +169,22 @@ def gap_hints(chains: DataFrame, edges: DataFrame) -> DataFrame:
     return sides.join(best, ["start", "side"], "left").select("start", "side", F.coalesce("b.hint", F.lit("(none)")).alias("hint"), (-F.col("b.w")).alias("weight"), F.when(F.col("b").isNull(), "medium").otherwise("high").alias("priority"))
 
 
-def name_candidates(chunks: DataFrame, name: str, speech: str, action: str, stop: tuple[str, ...] = (), n: int = 30) -> DataFrame:
+def name_candidates(chunks: DataFrame, name: str, speech: str, action: str, stop: tuple[str, ...] = (), n: int = 30, not_first: str = "", not_last: str = "", inside: str = "") -> DataFrame:
     """Names by count: 2 for each before a speech verb, 1 before an action verb, 1 for each occurrence; at least 2, the ``n`` best.
 
     The patterns are the profile's: a name, and the verbs that follow a name and a space (or nothing, in Han text).
+    Fragments of sentences are no names: what begins with a character of ``not_first``, ends with one of ``not_last`` or holds one
+    of ``inside``, and Han labels that the concept gate (B8) refuses.
     """
     found = lambda p, g, s: chunks.select(F.explode(F.regexp_extract_all("chunk", F.lit(p), F.lit(g))).alias("name"), F.lit(s).alias("s"))
     rows = found(f"({name}) *(?:{speech})", 1, 2).unionByName(found(f"({name}) *(?:{action})", 1, 1)).unionByName(found(f"({name})", 1, 1))
+    fragments = [f"^[{not_first}]"] * bool(not_first) + [f"[{not_last}]$"] * bool(not_last) + [f"[{inside}]"] * bool(inside)
+    if fragments:
+        rows = rows.where(~F.col("name").rlike("|".join(fragments)))
     if stop:
         rows = rows.where(~F.lower("name").isin(*stop))
     c = rows.groupBy("name").agg(F.sum("s").alias("score")).where("score >= 2")
+    c = c.where(~F.col("name").rlike(f"[{HAN}]") | fx.valid_concept("name"))
     return c.orderBy(F.desc("score"), F.desc(F.length("name")), "name").limit(n)
 
 

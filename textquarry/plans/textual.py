@@ -43,7 +43,7 @@ def _replaced(column: str, patterns, to: str = "") -> str:
 
 
 _CLEAN = _replaced(_replaced(_replaced("t", LATIN.cleanup), ["\\n{4,}"], "\n\n\n"), ["(?m)^[ \\t]*[0-9]{1,4}[ \\t]*$", "^[ \\t\\r\\n]+", "[ \\t\\r\\n]+$"])
-_PRE = _replaced(_replaced(_replaced(_replaced(_replaced("t", [fx.STRAY]), LATIN.preprocess), ["\\n{4,}"], "\n\n\n"), ["(?m)^ {4,}"], "  "), ["([^ \\t\\r\\n])[ \\t]*•[ \\t]*"], "\\1\n- ")
+_PRE = _replaced(_replaced(_replaced(_replaced(_replaced(_replaced("t", [fx.STRAY]), LATIN.preprocess), ["\\n{4,}"], "\n\n\n"), ["(?m)^ {4,}"], "  "), ["([^ \\t\\r\\n])[ \\t]*•[ \\t]*"], "\\1\n- "), [f"(?m)([{LATIN.orphan}])Y([ \\t]*)$"], "\\1\\2")
 _SENT = f"""s AS (SELECT doc_id, unnest(range(0, len(ss))) AS pos, unnest(ss) AS sentence FROM (
     SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([{LATIN.enders}])', '\\1' || chr(10), 'g'), chr(10)), lambda s: trim(s, ' ')), lambda s: s != '') AS ss FROM d))"""
 
