@@ -207,8 +207,8 @@ def test_streams_equal_batches(spark, tmp_path):
     jobs.cache_batch(batch(("n", "normal", 101), ("o", "normal", 102)), 2, cache, {"normal": 600, "degraded": 60}, 3)
     assert live() == [("m", 100), ("n", 101), ("o", 102)]
 
-    results = spark.createDataFrame([("k", 0), ("k", 5), ("j", 1)], "key string, s long").select("key", F.timestamp_seconds("s").alias("ts"))
+    results = batch(("k", "normal", 100), ("k", "normal", 105), ("j", "normal", 101))
     results.coalesce(1).write.parquet(str(tmp_path / "results"))
     stream = spark.readStream.schema(results.schema).parquet(str(tmp_path / "results"))
-    jobs.run_to_end(jobs.first_results(stream), "firsts", "append", str(tmp_path / "c3"))
-    assert sorted(r["key"] for r in spark.table("firsts").collect()) == ["j", "k"]
+    jobs.result_cache(stream, str(tmp_path / "cached"), str(tmp_path / "c3"), {"normal": 600}).awaitTermination()
+    assert sorted((r["key"], int(r["ts"].timestamp())) for r in jobs.read_store(spark, str(tmp_path / "cached")).collect()) == [("j", 101), ("k", 100)]

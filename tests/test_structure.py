@@ -224,12 +224,21 @@ def test_svd_against_numpy(spark):
         units.project(w, model.unionByName(spark.createDataFrame([("x", [1.0])], model.schema)))
 
 
-def test_result_classes(spark, tmp_path):
-    r = spark.createDataFrame([("k", "normal", 0), ("k", "normal", 5), ("k", "task", 1), ("j", "odd", 1)], "key string, kind string, s long").select("key", "kind", F.timestamp_seconds("s").alias("ts"))
-    r.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(r.schema).parquet(str(tmp_path / "in"))
-    jobs.run_to_end(jobs.cached_results(stream, {"normal": 600, "task": 3600}), "classes", "append", str(tmp_path / "c"))
-    assert sorted((x["key"], x["kind"]) for x in spark.table("classes").collect()) == [("k", "normal"), ("k", "task")]
+def test_results_expire_by_class(spark, tmp_path):
+    schema, at = "key string, kind string, ts timestamp, value long", str(tmp_path / "in")
+
+    def after(*rows_):
+        """What has been passed on once these results have come, in a batch of their own."""
+        d = spark.createDataFrame([(k, c, 1_000_000 + t, v) for k, c, t, v in rows_], "key string, kind string, s long, value long")
+        d.select("key", "kind", F.timestamp_seconds("s").alias("ts"), "value").coalesce(1).write.mode("append").parquet(at)
+        stream = jobs.first_results(spark.readStream.schema(schema).parquet(at), {"normal": 600, "degraded": 60}, "0 seconds")
+        jobs.run_to_end(stream, "", "append", str(tmp_path / "c"), lambda b, n: b.write.mode("append").parquet(str(tmp_path / "out")))
+        return sorted(r["value"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert after(("k", "normal", 5, 2), ("k", "normal", 0, 1), ("d", "degraded", 0, 3), ("x", "other", 0, 4), (None, "normal", 1, 5)) == [1, 3, 5]
+    assert after(("k", "normal", 100, 6), ("d", "degraded", 100, 7), ("d", "degraded", 170, 8)) == [1, 3, 5, 7, 8]
+    assert after(("k", "degraded", 601, 9), ("k", "degraded", 640, 10), ("d", "degraded", 200, 11)) == [1, 3, 5, 7, 8, 9]
+    assert after(("k", "normal", 5000, 12), ("k", "normal", 300, 13)) == [1, 3, 5, 7, 8, 9, 12]  # value 13 comes too late
 
 
 def test_gap_hints_and_stats_line(spark):

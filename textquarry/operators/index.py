@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..functions.profiles import LATIN, ZH, Profile
+from ..sources.tables import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -79,6 +80,7 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int, least: float =
     for i in range(blocks):
         asked = queries.where(F.col("query").isNotNull() & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).collect()
         best = top_k(_block_search(asked, vectors, most, least), most, ties=("vec_id",))
+        best = best if blocks == 1 else stored(best, "hits")  # so only one block of queries is held at a time
         out = best if out is None else out.unionByName(best)
     return out
 

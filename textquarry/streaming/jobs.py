@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import index, records
 
@@ -113,24 +113,60 @@ def cache_batch(batch: DataFrame, number: int, path: str, seconds: dict[str, int
 
 
 def result_cache(results: DataFrame, path: str, checkpoint: str, seconds: dict[str, int], cap: int = 10_000) -> StreamingQuery:
-    """A store of live results under ``path`` by ``cache_batch``: expiry by class, and the oldest evicted over ``cap``."""
-    writer = results.writeStream.foreachBatch(lambda batch, number: cache_batch(batch, number, path, seconds, cap))
+    """A store of live results under ``path``: the first of each key by ``first_results``, the oldest evicted over ``cap`` (``cache_batch``)."""
+    writer = first_results(results, seconds).writeStream.foreachBatch(lambda batch, number: cache_batch(batch, number, path, seconds, cap))
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def first_results(results: DataFrame, ttl: str = "600 seconds") -> DataFrame:
-    """The first result of each key within ``ttl`` of event time; older keys are forgotten."""
-    return results.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["key"])
-
-
-def cached_results(results: DataFrame, seconds: dict[str, int]) -> DataFrame:
-    """The first result of each key, kept at least as many seconds of event time as its ``kind`` says.
-
-    Each kind is a branch with its own time to live, so a class's state leaves once the watermark of
-    the whole query has passed it; kinds that are not named go.
+class FirstOfKey(StatefulProcessor):
+    """State of a key: event time and seconds to live of its live result. Keys of kinds that ``seconds`` does not name are never live."""
+
+    def __init__(self, seconds: dict[str, int]) -> None:
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.live = handle.getValueState("live", "ts double, ttl long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        """Results in the order of their time: one is passed on where none is live, and a timer frees its state when it has expired."""
+        frame = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        until = None
+        if self.live.exists():
+            ts, ttl = self.live.get()
+            until = ts + ttl
+        kept = []
+        for i, (kind, ts) in enumerate(zip(frame["kind"], frame["ts"], strict=True)):
+            ttl, at = self.seconds.get(kind), ts.timestamp()
+            if ttl is not None and (until is None or at > until):
+                kept.append(i)
+                until = at + ttl
+                self.live.update((at, ttl))
+                self.handle.registerTimer(int(until * 1000) + 1)
+        yield frame.iloc[kept]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        """The timer of a result that another has replaced since is not the key's; the state goes with the live one's."""
+        if self.live.exists():
+            ts, ttl = self.live.get()
+            if int((ts + ttl) * 1000) + 1 <= expiredTimerInfo.getExpiryTimeInMs():
+                self.live.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def first_results(results: DataFrame, seconds: dict[str, int], late: str = "600 seconds") -> DataFrame:
+    """The first result of each key (key, kind, ts, ...), and the next one after as many seconds of event time as its ``kind`` says.
+
+    State is kept by key with a timer of its own length for each kind, so it is bounded by the live results; results more than ``late``
+    behind the latest are dropped. It needs the RocksDB state store, which is set for the session.
     """
-    branches = [first_results(results.where(F.col("kind") == kind), f"{ttl} seconds") for kind, ttl in seconds.items()]
-    return reduce(DataFrame.unionByName, branches)
+    spark = results.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    grouped = results.withWatermark("ts", late).groupBy("key")
+    return grouped.transformWithStateInPandas(statefulProcessor=FirstOfKey(seconds), outputStructType=results.schema, outputMode="Append", timeMode="EventTime")
 
 
 def run_to_end(df: DataFrame, name: str, mode: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
