@@ -6,7 +6,8 @@ consecutive words, or, when shorter, one window of all its words.
 
 Spark cuts the benchmark into windows and counts them. Up to BROADCAST_WINDOWS distinct windows
 with IDS_PER_WINDOW items each on average, the set is broadcast as sorted 64-bit hashes with a
-128-bit digest that verifies each hit: about 30 bytes a window and 20 an item id, so 20 MB. Training
+128-bit digest that verifies each hit: about 30 bytes a window and 20 an item id, so 20 MB in each task. While the
+set is made, its rows are on the driver too, at the bound some 500 MB. Training
 texts are scanned in slices, all their windows at once. A larger benchmark stays a table: the
 windows of the documents are joined to it by digest, in shuffles, and hits are put together per row.
 """

@@ -53,8 +53,8 @@ KINDS = (*BASE_KINDS, "entropy")
 def least_sum(candidate: Column) -> Column:
     """Least sum of c log2 c (millionths) over the windows of ``candidate``; the table's end if shorter.
 
-    The candidate is cut into character codes once; each step changes the two counts of the
-    characters that enter and leave, so the work is in proportion to its length.
+    The candidate is cut into character codes once; in each step the counts of the two characters that
+    enter and leave change and the row of some 80 counts is written anew, so the work is in proportion to the length.
     """
     first, last = ord(min(ALPHABET)), ord(max(ALPHABET))
     table = F.lit(CLOGC)

@@ -26,6 +26,7 @@ from urllib.parse import urlsplit
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_rows, new_path, saved
 
@@ -34,6 +35,8 @@ BLOCK_LINES = 512
 MIN_REVISIT_BYTES = 0
 #: Repeated payloads (a digest, an id and a URL of 100 bytes on average) up to which they are broadcast.
 BROADCAST_ROWS = 200_000
+#: Bytes of records that a task reads before it hands them on.
+READ_BYTES = 8_000_000
 #: Parts of a digest's pages in a join by shuffle.
 SALTS = 16
 
@@ -233,82 +236,98 @@ def build_index(captures: DataFrame, path: str, block_lines: int = BLOCK_LINES)
     return saved(ordered.mapInArrow(run, "first_key string, file string, directory_offset long, directory_length long"), "directory")
 
 
-def _search(path: str, top: list[tuple]):
-    """fn(keys) -> per key the records found, as lists; keys best come sorted."""
-
-    def make():
-        store = Store(path)
-        firsts = [t[0] for t in top]
-        directories: OrderedDict = OrderedDict()
-        blocks: OrderedDict = OrderedDict()
-
-        def directory(i):
-            if i not in directories:
-                if len(directories) >= 4:
-                    directories.popitem(last=False)
-                _, file, offset, length = top[i]
-                rows = json.loads(zlib.decompress(store.read(file, offset, length)))
-                directories[i] = ([r[0] for r in rows], rows)
-            return directories[i]
-
-        def block(i, j):
-            if (i, j) not in blocks:
-                if len(blocks) >= 8:
-                    blocks.popitem(last=False)
-                _, offset, length = directory(i)[1][j]
-                lines = zlib.decompress(store.read(top[i][1], offset, length)).decode("utf-8", "surrogatepass").split("\n")
-                split = [x.rsplit("\t", 3) for x in lines]
-                blocks[i, j] = ([x[0] for x in split], split)
-            return blocks[i, j]
-
-        def find(key):
-            out = []
-            # Equal keys may cross blocks and files: from the last block that starts before the key on.
-            i = max(0, bisect_left(firsts, key) - 1)
-            while i < len(top) and (firsts[i] <= key):
-                starts = directory(i)[0]
-                j = max(0, bisect_left(starts, key) - 1)
-                while j < len(starts) and starts[j] <= key:
-                    keys, rows = block(i, j)
-                    out += rows[bisect_left(keys, key) : bisect_right(keys, key)]
-                    j += 1
-                i += 1
-            return out
-
-        def run(keys):
-            types, pages, sizes, digests, refers, bodies = [], [], [], [], [], []
-            for key in keys:
-                found = [parse(gzip.decompress(store.read(f, int(o), int(n)))) for _, f, o, n in find(key)]
-                types.append([h["WARC-Type"] for h, _ in found])
-                pages.append([h["X-Page-Id"] for h, _ in found])
-                sizes.append([int(h["X-Payload-Length"]) for h, _ in found])
-                digests.append([h["WARC-Payload-Digest"].removeprefix("sha1:") for h, _ in found])
-                refers.append([h.get("X-Refers-To-Page-Id", "") for h, _ in found])
-                bodies.append([b for _, b in found])
-            return types, pages, sizes, digests, refers, bodies
-
-        return run
-
-    return make
-
-
-def lookup(queries: DataFrame, directory: DataFrame, path: str, key_col: str = "key") -> DataFrame:
+def _finder(store: Store, top: list[tuple]):
+    """fn(key) -> the index lines of the key, one by one; keys best come sorted."""
+    firsts = [t[0] for t in top]
+    directories: OrderedDict = OrderedDict()
+    blocks: OrderedDict = OrderedDict()
+
+    def directory(i):
+        if i not in directories:
+            if len(directories) >= 4:
+                directories.popitem(last=False)
+            _, file, offset, length = top[i]
+            rows = json.loads(zlib.decompress(store.read(file, offset, length)))
+            directories[i] = ([r[0] for r in rows], rows)
+        return directories[i]
+
+    def block(i, j):
+        if (i, j) not in blocks:
+            if len(blocks) >= 8:
+                blocks.popitem(last=False)
+            _, offset, length = directory(i)[1][j]
+            lines = zlib.decompress(store.read(top[i][1], offset, length)).decode("utf-8", "surrogatepass").split("\n")
+            split = [x.rsplit("\t", 3) for x in lines]
+            blocks[i, j] = ([x[0] for x in split], split)
+        return blocks[i, j]
+
+    def find(key):
+        # Equal keys may cross blocks and files: from the last block that starts before the key on.
+        i = max(0, bisect_left(firsts, key) - 1)
+        while i < len(top) and (firsts[i] <= key):
+            starts = directory(i)[0]
+            j = max(0, bisect_left(starts, key) - 1)
+            while j < len(starts) and starts[j] <= key:
+                keys, rows = block(i, j)
+                yield from rows[bisect_left(keys, key) : bisect_right(keys, key)]
+                j += 1
+            i += 1
+
+    return find
+
+
+def lookup(queries: DataFrame, directory: DataFrame, path: str, key_col: str = "key", read_bytes: int = READ_BYTES) -> DataFrame:
     """``queries`` (sorted by key within tasks) with one row per record found under its key.
 
     Columns: record_type, page, payload_bytes, payload_digest, refers (texts; "" for none), body (binary).
-    The top directory has one row per index file; it is sent with the tasks.
+    The top directory has one row per index file; it is sent with the tasks. Records leave a task in batches
+    of about ``read_bytes``; only a single record may be larger.
     """
     top = [tuple(r) for r in directory.orderBy("first_key", "file").collect()]
-    ddl = "t array<string>, p array<string>, s array<long>, d array<string>, r array<string>, b array<binary>"
     # Keys are small but the records behind them are not: a number keeps AQE from joining the parts.
     parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = queries.repartitionByRange(parts, key_col).sortWithinPartitions(key_col)
-    found = map_rows(ordered, _search(path, top), ddl, [key_col], rows=500)
-    each = F.explode(F.arrays_zip("t", "p", "s", "d", "r", "b")).alias("x")
-    return found.select(*(f"`{c}`" for c in queries.columns), each).select(
-        *(f"`{c}`" for c in queries.columns), F.col("x.t").alias("record_type"), F.col("x.p").alias("page"), F.col("x.s").alias("payload_bytes"),
-        F.col("x.d").alias("payload_digest"), F.col("x.r").alias("refers"), F.col("x.b").alias("body"),
-    )
+    run = _reader(path, top, queries.columns.index(key_col), read_bytes)
+    return ordered.mapInArrow(run, T.StructType([*queries.schema.fields, *RECORD.fields]))
+
+
+#: What is read of a record.
+RECORD = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("record_type", "page")]
+    + [T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("refers", T.StringType()), T.StructField("body", T.BinaryType())]
+)
+
+
+def _reader(path: str, top: list[tuple], at: int, read_bytes: int):
+    """fn(batches with keys in column ``at``) -> those batches, a row per record found, with RECORD's columns."""
+
+    def run(frames):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(f.dataType) for f in RECORD]
+        store = Store(path)
+        find = _finder(store, top)
+
+        def batch(frame, rows, found):
+            columns = [c.take(pa.array(rows, pa.int64())) for c in frame.columns]
+            values = zip(*found, strict=True) if found else [[]] * len(kinds)
+            return pa.RecordBatch.from_arrays([*columns, *(pa.array(v, k) for v, k in zip(values, kinds, strict=True))], names=[*frame.schema.names, *RECORD.names])
+
+        for frame in frames:
+            rows, found, size = [], [], 0
+            for i, key in enumerate(frame.column(at).to_pylist()):
+                for _, file, offset, length in find(key):
+                    head, body = parse(gzip.decompress(store.read(file, int(offset), int(length))))
+                    rows.append(i)
+                    found.append((head["WARC-Type"], head["X-Page-Id"], int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), head.get("X-Refers-To-Page-Id", ""), body))
+                    size += len(body) + 200
+                    if size >= read_bytes:
+                        yield batch(frame, rows, found)
+                        rows, found, size = [], [], 0
+            yield batch(frame, rows, found)
+
+    return run
 
 
 def page_keys(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
