@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import math
 import os
 import random
 import zlib
@@ -280,6 +281,8 @@ def test_rule_statistics():
 def test_binomial_bound():
     assert quality_rules.binomial_cdf(0, 10, 0.5) == pytest.approx(0.5**10)
     assert quality_rules.binomial_cdf(10, 10, 0.5) == pytest.approx(1)
+    exact = sum(math.comb(3000, i) * 0.01**i * 0.99 ** (3000 - i) for i in range(21))
+    assert quality_rules.binomial_cdf(20, 3000, 0.01) == pytest.approx(exact, rel=1e-9)
     assert not quality_rules.is_safe(0, 100, 0.001, 0.02) and quality_rules.is_safe(0, 1000, 0.001, 0.02)
 
 
@@ -293,16 +296,32 @@ def test_rules_choose_certified_cutoffs(spark, docs, empty):
     assert quality_rules.apply_rules(docs, labels.limit(0)).count() == docs.count() and quality_rules.apply_rules(empty, labels).count() == 0
 
 
-def test_rules_of_small_strata_are_shared(spark):
-    n = quality_rules.MAX_STRATA
-    good = [(i, prose(i % 50, 70), f"big{i % n}") for i in range(40 * n)]
-    good += [(10_000 + i, prose(i % 50, 70), f"small{i % 40}") for i in range(1200)]
-    bad = [(20_000 + i, " ".join(w + "###" for w in prose(i, 70).split()), f"small{i % 40}") for i in range(80)]
+def test_rules_certify_each_stratum_alone(spark):
+    good = [(i, prose(i % 50, 70), "large" if i < 1600 else f"small{i % 40}") for i in range(2800)]
+    bad = [(20_000 + i, " ".join(w + "###" for w in prose(i, 70).split()), "large" if i < 60 else f"small{i % 40}") for i in range(140)]
     df = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, int(i < 20_000), 0) for i, _, _ in good + bad], "doc_id long, quality int, toxic int")
     got = by_id(quality_rules.apply_rules(df, labels, alpha=0.2))
-    assert all(got[i]["kept"] for i, _, _ in good) and not any(got[i]["kept"] for i, _, _ in bad)
-    assert {r["lang"] for r in got.values()} == {x for _, _, x in good}
+    assert all(got[i]["kept"] for i, _, _ in good)
+    # 30 good documents certify nothing, whatever other strata have.
+    assert all(got[i]["kept"] == (lang != "large") for i, _, lang in bad)
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_rules_of_thousands_of_strata_equal_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(quality_rules, "BROADCAST_STRATA", broadcast)
+    n_rules, n_cuts = len(quality_rules.RULES), sum(len(r[3]) for r in quality_rules.RULES)
+    # Of every stratum with 60 labels or more: 1 of 30 documents has many symbols; labels grow with the stratum's number.
+    sizes = {f"l{i:04d}": 3000 if i % 2500 == 0 else 1 for i in range(5000)}
+    rows = [(lang, k % 30 != 0, 1000 if k % 30 == 0 else 0) for lang, n in sizes.items() for k in range(n)]
+    stats = spark.createDataFrame([(lang, int(good), 100, 500, symbols, 5, 0, 0, 5) for lang, good, symbols in rows], f"stratum string, quality int, {', '.join(c + ' long' for c in quality_rules.STATS)}")
+    got = {r["stratum"]: r["cut0"] for r in quality_rules.choose_cutoffs(stats, alpha=0.2).collect()}
+    level = quality_rules.DELTA / (5000 * n_cuts)
+    assert len(got) == 5000
+    for lang, n in sizes.items():
+        safe = quality_rules.is_safe(0, n - -(-n // 30), level, 0.2 / n_rules)
+        assert got[lang] == (quality_rules.RULES[0][3][0] if safe and n > 1 else None)
+    assert sum(v is not None for v in got.values()) == 2
 
 
 def test_crf_chain_matches_enumeration():
@@ -447,7 +466,7 @@ def test_rules_equal_their_sql_with_many_strata(spark):
     rows += [(10_000 + i, " ".join(w + "###" for w in prose(i, 70).split()), None if i % 3 else f"lang{i % n:02d}") for i in range(200)]
     docs = pd.DataFrame(rows, columns=["doc_id", "text", "lang"])
     truth = pd.DataFrame({"doc_id": docs["doc_id"], "quality": (docs["doc_id"] < 10_000).astype(int)})
-    assert docs["lang"].fillna("").nunique() > quality_rules.MAX_STRATA
+    assert docs["lang"].fillna("").nunique() > 32
     con = duckdb.connect()
     con.register("documents", docs)
     con.register("labels", truth)
@@ -546,3 +565,60 @@ def test_pipeline_stages_on_edges(spark, docs, empty, small_tables):
             assert {0, 4, 5, 6, 7} <= left and not left & {1, 2, 8} and sum(r["doc_id"] == 0 for r in rows) == 2
         else:
             assert 900 not in left and len(rows) == full.count() - 1
+
+
+def test_crf_fit_at_its_bound(spark, monkeypatch):
+    """The sample stops at ``fit_lines`` lines, half of them for each label; at the default bound fitting takes some 100 MB."""
+    import time
+    import tracemalloc
+
+    rows = [(i, "\n".join(prose(i * 1000 + k, 12) for k in range(80)), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_crf, "fit", lambda x, sizes, y, prior: seen.append((len(x), len(y), y.sum())))
+    quality_crf.train(docs, labels, fit_lines=1000)
+    assert seen[-1][0] <= 1000 and 0 < seen[-1][2] < seen[-1][1] == seen[-1][0] // 80
+    quality_crf.train(docs, labels, fit_lines=10)
+    assert seen[-1][1] == 2  # one document of each label is always learnt from
+    monkeypatch.undo()
+
+    r = np.random.default_rng(0)
+    sizes = np.full(quality_crf.FIT_LINES // 400, 400)
+    y = np.arange(len(sizes)) % 2
+    x = np.abs(r.normal(size=(sizes.sum(), quality_crf.N))).astype(np.float32)
+    x[:, 0] += np.repeat(y, sizes)
+    monkeypatch.setattr(quality_crf, "STEPS", (3, 3))
+    tracemalloc.start()
+    began = time.time()
+    model = quality_crf.fit(x, sizes, y, 0.5)
+    assert tracemalloc.get_traced_memory()[1] < 300e6 and time.time() - began < 30
+    tracemalloc.stop()
+    assert ((model.score(x, sizes) >= 0.5) == y).mean() > 0.9
+
+
+def test_warc_lookup_hands_records_on_by_bytes(spark):
+    """Batches end at READ_BYTES, whatever number of keys or of records of one key they hold."""
+
+    import pyarrow as pa
+
+    rows = [(i, "http://one.example/", "x" * 20_000 + str(i)) for i in range(40)] + [(7, "http://one.example/", "again" * 5000)] * 30
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path, directory = warc.archive(df, spark, min_bytes=10**9)
+    keys = sorted(r["key"] for r in warc.page_keys(df).collect())
+    top = [tuple(r) for r in directory.orderBy("first_key", "file").collect()]
+    batches = list(warc._reader(path, top, 1, 50_000)([pa.RecordBatch.from_pydict({"n": range(len(keys)), "key": keys})]))
+    assert sum(b.num_rows for b in batches) == 70 == warc.lookup(warc.page_keys(df), directory, path).count()
+    assert max(sum(len(x.as_py()) for x in b.column("body")) for b in batches) < 80_000
+    assert all(x.as_py() in keys for b in batches for x in b.column("key"))
+
+
+def test_near_duplicates_of_hot_texts_end_evenly(spark):
+    """20,000 empty and 20,000 equal texts: joins deal them, and empty ones take part in none."""
+    base = prose(3, 60)
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("")).otherwise(F.lit(base)).alias("text"))
+    out = neardup.link_documents(docs)
+    per_task = out.groupBy(F.spark_partition_id()).count().collect()
+    got = out.groupBy("n_shingles", "kept").agg(F.count("*"), F.countDistinct("component_id")).collect()
+    assert sorted(tuple(r) for r in got) == [(0, True, 20_000, 20_000), (56, False, 19_999, 1), (56, True, 1, 1)]
+    assert max(r["count"] for r in per_task) < 20_000

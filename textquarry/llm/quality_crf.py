@@ -5,8 +5,8 @@ of its line and of the lines before and after it; an edge's weights are those of
 pairs. Forward-backward gives each line's probability of being good, and a document's quality is
 their mean weighted by line length, calibrated on the training documents.
 
-The model is fitted on a bounded sample: at most SAMPLE documents per label, chosen by a hash of
-the id, of longer ones the first SAMPLE_LINES lines. Labels are those of documents, so fitting takes
+The model is fitted on a bounded sample: in the order of a hash of the id at most SAMPLE documents per label, of
+longer ones the first SAMPLE_LINES lines, until FIT_LINES lines are reached (half of them for each label). Labels are those of documents, so fitting takes
 two rounds: in the first every line carries its document's label; lines of which the first model
 is sure that they are of the other kind then change sides, and the second round learns from
 documents with lines of both kinds, which is what the label pairs of neighbours are learnt from.
@@ -18,13 +18,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows
 
 SAMPLE = 2500
 SAMPLE_LINES = 400
+FIT_LINES = 200_000
 STEPS = (120, 150)
 RIDGE = 1e-3
 #: Log-odds from which a line of the first round's other kind changes sides (probability 0.95).
@@ -73,14 +74,32 @@ def line_features(text: str) -> np.ndarray:
 _CLASS_OF = np.where(_CLASS.any(axis=1), _CLASS.argmax(axis=1), 8)
 
 
-def with_neighbours(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Features of each node with those of the nodes before and after it in its document; ``first`` marks document starts."""
-    last = np.concatenate((first[1:], [True]))
-    before = np.vstack((np.zeros((1, x.shape[1]), x.dtype), x[:-1]))
-    after = np.vstack((x[1:], np.zeros((1, x.shape[1]), x.dtype)))
-    before[first] = 0
-    after[last] = 0
-    return np.hstack((np.ones((len(x), 1), x.dtype), x, before, after, first[:, None], last[:, None]))
+class Nodes:
+    """Features of every node, of the nodes before and after it in its document, and marks of a document's ends.
+
+    The matrix of them all, three times as wide as ``x``, is never made: its products are sums of products of ``x``.
+    """
+
+    def __init__(self, x: np.ndarray, first: np.ndarray) -> None:
+        self.x, self.first = x.astype(np.float64), first
+        self.last = np.concatenate((first[1:], [True]))
+
+    @property
+    def width(self) -> int:
+        return 1 + 3 * self.x.shape[1] + 2
+
+    def times(self, theta: np.ndarray) -> np.ndarray:
+        n = self.x.shape[1]
+        own, before, after = (self.x @ theta[1 + n * i : 1 + n * (i + 1)] for i in range(3))
+        out = theta[0] + own + theta[-2] * self.first + theta[-1] * self.last
+        out[1:] += before[:-1] * ~self.first[1:]
+        out[:-1] += after[1:] * ~self.last[:-1]
+        return out
+
+    def transposed_times(self, d: np.ndarray) -> np.ndarray:
+        before = self.x[:-1].T @ (d[1:] * ~self.first[1:])
+        after = self.x[1:].T @ (d[:-1] * ~self.last[:-1])
+        return np.concatenate(([d.sum()], self.x.T @ d, before, after, [d @ self.first, d @ self.last]))
 
 
 @dataclass(frozen=True)
@@ -94,7 +113,7 @@ class Crf:
 
     def log_odds(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
         scaled = np.clip((x - self.mean) / self.scale, -6, 6)
-        return with_neighbours(scaled, first) @ self.unary
+        return Nodes(scaled, first).times(self.unary)
 
     def marginals(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """P(good) of each node of documents of ``sizes`` lines."""
@@ -155,10 +174,10 @@ def fit(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, prior: float) -> Crf:
     """Two rounds of maximum conditional likelihood on line labels; then calibration on document labels."""
     first = starts(sizes)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    z = with_neighbours(np.clip((x - mean) / scale, -6, 6), first).astype(np.float64)
+    z = Nodes(np.clip((x - mean) / scale, -6, 6), first)
     truth = np.repeat(y, sizes).astype(np.float64)
-    theta, pair = climb(z, sizes, truth, STEPS[0], np.zeros(z.shape[1]), np.zeros((2, 2)))
-    odds = z @ theta
+    theta, pair = climb(z, sizes, truth, STEPS[0], np.zeros(z.width), np.zeros((2, 2)))
+    odds = z.times(theta)
     truth = np.where(odds > SURE, 1.0, np.where(odds < -SURE, 0.0, truth))
     theta, pair = climb(z, sizes, truth, STEPS[1], theta, np.zeros((2, 2)))
     model = Crf(mean, scale, theta, pair)
@@ -166,15 +185,15 @@ def fit(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, prior: float) -> Crf:
     return Crf(mean, scale, theta, pair, slope, offset)
 
 
-def climb(z: np.ndarray, sizes: np.ndarray, truth: np.ndarray, steps: int, theta: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def climb(z: Nodes, sizes: np.ndarray, truth: np.ndarray, steps: int, theta: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Adam on the log-likelihood of the line labels ``truth``, from the weights given."""
     inside = np.flatnonzero(~starts(sizes))
     seen = np.bincount((truth[inside - 1] * 2 + truth[inside]).astype(int), minlength=4).reshape(2, 2).astype(float)
     m = [np.zeros_like(theta), np.zeros_like(pair)]
     v = [np.zeros_like(theta), np.zeros_like(pair)]
     for step in range(1, steps + 1):
-        p, pairs = chain(z @ theta, sizes, pair)
-        grads = [z.T @ (truth - p) / len(z) - RIDGE * theta, (seen - pairs) / len(z) - RIDGE * pair]
+        p, pairs = chain(z.times(theta), sizes, pair)
+        grads = [z.transposed_times(truth - p) / len(truth) - RIDGE * theta, (seen - pairs) / len(truth) - RIDGE * pair]
         for i, g in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.999 * v[i] + 0.001 * g * g
@@ -205,8 +224,8 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id") -> Crf | None:
-    """A model fitted on at most ``sample`` documents of each label; None when a label has no documents.
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id", fit_lines: int = FIT_LINES) -> Crf | None:
+    """A model fitted on at most ``sample`` documents of each label and ``fit_lines`` lines; None when a label has no documents.
 
     Documents with contradicting labels count as bad.
     """
@@ -229,7 +248,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: st
 
         return run
 
-    got = map_rows(rows, make, "x binary, lines int", ["text"], ["id", "y"]).dropDuplicates(["id"]).toPandas().sort_values("id", kind="stable")
+    got = map_rows(rows, make, "x binary, lines int", ["text"], ["id", "y"]).dropDuplicates(["id"])
+    # At most ``sample`` rows of a label; of those that would pass its half of the lines none but the first goes on.
+    upto = F.sum("lines").over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
+    got = got.withColumn("upto", upto).where((F.col("upto") <= fit_lines // 2) | (F.col("upto") == F.col("lines"))).drop("upto")
+    got = got.toPandas().sort_values("id", kind="stable")
     if got["y"].nunique() < 2:
         return None
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, N)
