@@ -8,15 +8,20 @@ inverted lists it occurs. So:
 2. A class of which more than n - T shingles occur nowhere else has no partner. The sparse shingles
    alone show it for nearly all: those that are in one class only are counted, and more than n - T
    of them rule the class out. What they leave open stays in; nothing is lost.
-3. The others' whole sets become inverted lists, each cut in shards by document, so that a list's
-   part is bounded however many documents hold its shingle.
+3. Of the others' sets the shingles whose hash is 0 modulo LISTED become inverted lists, each cut in shards
+   by document, so that a list's part is bounded however many documents hold its shingle. Partners differ in n - T
+   shingles of the document at most, so they share at least ``need`` = listed shingles - (n - T) of its lists.
+   Documents with too few listed shingles for that, and all that could be their partners, have all their shingles listed.
 4. A document that is asked searches the lists. Its long lists, L of them by DivideSkip's rule, are put
    aside; the short ones are merged by a heap that skips (``occurrences``), which leaves candidates with
-   T - L occurrences. In the long lists candidates are only probed: whether one is in a long list
-   is asked, by binary search, of its sorted set, which holds the same answer as the list.
-5. Components need not know all links of a group of copies. In PIVOT_ROUNDS rounds only one document
-   of each list that still mixes components is asked; its links join components. It has then met all partners
-   and leaves the lists, and so does every document with fewer than T lists that mix components. In the
+   need - L occurrences. For the rest candidates are only probed: whether one is in a long list, or has a shingle
+   that is not listed, is asked, by binary search, of its sorted set, which holds the same answer as the list.
+   Before that, a bitmap of the parities of a set's hashes rules candidates out: two bitmaps differ in no more bits than the
+   sets differ in shingles. Bitmaps go to the tasks while they are bounded; without them the probes do all the work.
+5. Components need not know all links of a group of copies. Of each list that still mixes components one document,
+   by a hash, is the pivot; in PIVOT_ROUNDS rounds only pivots of most of their lists are asked, and only for
+   documents of other components; their links join components. It has then met all partners
+   and leaves the lists, and so does every document with fewer than ``need`` lists that mix components. In the
    last round all that are left are asked.
 
 Only counts reach the driver.
@@ -39,8 +44,9 @@ from .neardup import merged
 SHINGLE = 3
 #: Jaccard similarity in hundredths from which documents are linked.
 PERCENT = 90
-#: One of so many shingles takes part in the first filter.
-SPARSE = 4
+#: One of so many shingles takes part in the first filter, and one of so many has a list.
+SPARSE = 5
+LISTED = 3
 #: Documents of a shard of the lists.
 SHARD = 100_000
 PIVOT_ROUNDS = 3
@@ -49,6 +55,10 @@ MU = 0.0085
 #: Ids up to which they are broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
+#: Bits of a set's parity bitmap, and documents up to which bitmaps are broadcast (80 bytes each).
+PARITIES = 512
+BROADCAST_BITMAPS = 1_000_000
+
 #: Bytes that a step of ``word_hashes`` takes, and word bytes from which a word is hashed on its own.
 STEP = 1 << 15
 _rng = np.random.default_rng(20250117)
@@ -136,7 +146,11 @@ def _signer():
 
 
 def _setter():
-    return lambda texts: ([np.sort(s.view(np.int64)) for s in shingle_sets(texts)],)
+    def run(texts):
+        sets = [np.sort(s.view(np.int64)) for s in shingle_sets(texts)]
+        return sets, [int((s % LISTED == 0).sum()) for s in sets]
+
+    return run
 
 
 def occurrences(lists: list[list[int]], least: int) -> list[tuple[int, int]]:
@@ -178,38 +192,101 @@ def required(n: Column, percent: int) -> Column:
 
 def _open_classes(signed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Those of ``classes`` that the sparse shingles don't rule out."""
-    postings = signed.select(F.xxhash64("ck").alias("c"), F.explode("some").alias("s"))
+    # Shuffled as they are: few shingles meet twice in a task.
+    postings = signed.select(F.xxhash64("ck").alias("c"), F.explode("some").alias("s")).repartition("s")
     alone = postings.groupBy("s").agg(F.min("c").alias("c"), F.max("c").alias("other")).where("c = other")
     alone = alone.groupBy("c").agg(F.count("*").alias("alone"))
     rows = classes.withColumn("c", F.xxhash64("ck")).join(alone, "c", "left")
     return rows.where(F.coalesce("alone", F.lit(0)) <= F.col("n") - required(F.col("n"), percent))
 
 
-def _round(sets: DataFrame, labels: DataFrame, shards: int, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The lists that mix components, and the documents with at least T of them.
+def _prepared(sets: DataFrame, percent: int) -> DataFrame:
+    """``sets`` (id, shingles, listed) with n, ``need``, ``by_all`` (whether need counts all its lists) and ``all`` (whether all are listed)."""
+    sets = sets.withColumn("n", F.size("shingles").cast("long"))
+    t = required(F.col("n"), percent)
+    gap = F.col("n") - t
+    sets = sets.withColumn("by_all", F.col("listed") <= gap).withColumn("need", F.when(F.col("listed") <= gap, t).otherwise(F.col("listed") - gap))
+    # A partner has no more listed shingles than the other has, and those of its own in which it differs.
+    return sets.withColumn("all", F.col("listed") <= gap + F.floor((100 - percent) * F.col("n") / F.lit(percent)))
 
-    lists: (s, shard, ids: array of (id, n) by id, long: the list's whole length); documents: (id, n, t, mine: array
-    of (length, s), pivot: whether it is the one to ask of a list).
+
+def _round(sets: DataFrame, labels: DataFrame, shards: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The lists that mix components, and the documents with at least ``need`` of them.
+
+    lists: (s, shard, ids: array of (id, n, own, component) by id; own: the document counts this list); documents: (id, n,
+    component, need, mine: array of (length, s), pivot: whether it is the pivot of most of these).
     """
-    rows = sets.join(labels, "id").select(F.explode("shingles").alias("s"), "id", "n", "component")
+    is_listed = lambda x: F.pmod(x, F.lit(LISTED)) == 0
+    rows = sets.join(labels, "id").select("id", "n", "component", "by_all", F.explode(F.when(F.col("all"), F.col("shingles")).otherwise(F.filter("shingles", is_listed))).alias("s"))
+    rows = rows.select("s", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", "n", (F.col("by_all") | is_listed(F.col("s"))).alias("own"), "component")
     luck = F.struct(F.xxhash64("id", F.lit(turn)), "id")
-    lists = rows.groupBy("s", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")).agg(
-        F.array_sort(F.collect_list(F.struct("id", "n"))).alias("ids"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(luck).alias("luck")
+    lists = rows.repartition("s", "shard").groupBy("s", "shard").agg(
+        F.array_sort(F.collect_list(F.struct("id", "n", "own", "component"))).alias("ids"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(luck).alias("luck")
     )
-    heads = lists.groupBy("s").agg(F.sum(F.size("ids")).alias("long"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("luck")["id"].alias("pivot")).where("lo < hi")
-    lists = saved(lists.select("s", "shard", "ids").join(heads.select("s", "long", "pivot"), "s"), "lists")
-    seen = lists.select("s", "long", "pivot", F.explode("ids").alias("m"))
-    seen = seen.groupBy(F.col("m.id").alias("id")).agg(F.first("m.n").alias("n"), F.array_sort(F.collect_list(F.struct("long", "s"))).alias("mine"), F.max(F.col("m.id") == F.col("pivot")).alias("pivot"))
-    return lists, saved(seen.withColumn("t", required(F.col("n"), percent)).where(F.size("mine") >= F.col("t")), "open")
+    if shards == 1:
+        lists = lists.where("lo < hi").select("s", "shard", "ids", F.size("ids").cast("long").alias("long"), F.col("luck.id").alias("pivot"))
+    else:
+        heads = lists.groupBy("s").agg(F.sum(F.size("ids")).alias("long"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("luck")["id"].alias("pivot")).where("lo < hi")
+        lists = lists.select("s", "shard", "ids").join(heads.select("s", "long", "pivot"), "s")
+    lists = saved(lists, "lists")
+    seen = lists.select("s", "long", "pivot", F.explode("ids").alias("m")).where("m.own").select(F.col("m.id").alias("id"), "s", "long", "pivot").repartition("id")
+    seen = seen.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("long", "s"))).alias("mine"), (2 * F.count_if(F.col("id") == F.col("pivot")) > F.count("*")).alias("pivot"))
+    return lists, saved(seen.join(sets.select("id", "n", "need"), "id").join(labels, "id").where(F.size("mine") >= F.col("need")), "open")
 
 
-def _merge(frames):
-    import pyarrow as pa
+def _parities():
+    """The parities of the numbers of a set's hashes in PARITIES classes, as bytes."""
 
-    for frame in frames:
-        q, shard, lists, least = (frame.column(i).to_pylist() for i in range(4))
-        found = [(a, r, k) for a, own, few in zip(q, lists, least, strict=True) for r, k in occurrences(own, few)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], names=["q", "r", "k"])
+    def run(_, shingles):
+        out = []
+        for own in shingles:
+            at = np.asarray(own, dtype=np.int64).view(np.uint64) >> np.uint64(40)
+            out.append(np.packbits(np.bincount((at % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1).tobytes())
+        return (out,)
+
+    return run
+
+
+def _bitmaps(seen: DataFrame, sets: DataFrame):
+    """(ids, sizes, bitmaps) of the documents of ``seen``, broadcast; None where they are too many."""
+    if seen.count() > BROADCAST_BITMAPS:
+        return None
+    rows = sets.join(seen.select("id"), "id", "left_semi").withColumn("text", F.lit(""))
+    made = map_rows(rows, _parities, "bits binary", ["text", "shingles"], ["id", "n"]).orderBy("id").toArrow()
+    bits = np.frombuffer(b"".join(made.column("bits").to_pylist()), dtype=np.uint64).reshape(made.num_rows, PARITIES // 64)
+    return seen.sparkSession.sparkContext.broadcast((made.column("id").to_numpy(), made.column("n").to_numpy(), bits))
+
+
+def _merger(bitmaps, percent: int):
+    """Candidates of each document from its short lists; those that bitmaps rule out, or that have no bitmap and so no partner, leave the lists first."""
+
+    def possible(q: int, lists: list[np.ndarray]) -> list[np.ndarray]:
+        ids, sizes, bits = bitmaps.value
+        own = np.searchsorted(ids, q)
+        at = [np.minimum(np.searchsorted(ids, x), len(ids) - 1) for x in lists]
+        met = np.zeros(len(ids), dtype=bool)
+        for i, x in zip(at, lists, strict=True):
+            met[i[ids[i] == x]] = True
+        r = np.flatnonzero(met)
+        differ = np.bitwise_count(bits[r] ^ bits[own]).sum(axis=1, dtype=np.int64)
+        met[r] = (100 + percent) * differ <= (100 - percent) * (sizes[r] + sizes[own])
+        return [x[met[i] & (ids[i] == x)] for i, x in zip(at, lists, strict=True)]
+
+    def run(frames):
+        import pyarrow as pa
+
+        for frame in frames:
+            q, least = frame.column(0).to_pylist(), frame.column(3).to_pylist()
+            found = []
+            for n, (a, few) in enumerate(zip(q, least, strict=True)):
+                lists = [x.values.to_numpy() for x in frame.column(2)[n].values]
+                lists = possible(a, lists) if bitmaps else lists
+                lists = [x.tolist() for x in lists if len(x)]
+                if len(lists) >= few:
+                    found += [(a, r, k) for r, k in occurrences(lists, few)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], names=["q", "r", "k"])
+
+    return run
 
 
 def _probe():
@@ -226,23 +303,22 @@ def _probe():
     return run
 
 
-def search(asked: DataFrame, lists: DataFrame, sets: DataFrame, percent: int, once: bool = False) -> DataFrame:
-    """(a, b) of every document ``a`` of ``asked`` and every other that its lists lead to and it is linked with.
+def search(asked: DataFrame, lists: DataFrame, sets: DataFrame, percent: int, once: bool = False, bitmaps=None) -> DataFrame:
+    """(a, b) of every document ``a`` of ``asked`` and every one of another component that it is linked with.
 
     ``once``: all documents of the lists are asked, so of a pair the smaller id finds the other.
     """
     longest = F.element_at("mine", F.lit(-1))["long"]
-    aside = F.least(F.col("t") - 1, F.ceil(F.col("t") / (MU * F.log2(longest) + 1))).cast("int")
+    aside = F.least(F.col("need") - 1, F.ceil(F.col("need") / (MU * F.log2(longest) + 1))).cast("int")
     near = F.size("mine") - aside
-    asked = asked.withColumn("near", near).withColumn("least", F.col("t") - aside)
-    short = asked.select(F.col("id").alias("q"), F.col("n").alias("nq"), "least", F.explode(F.transform(F.slice("mine", F.lit(1), F.col("near")), lambda x: x["s"])).alias("s"))
-    fits = lambda x: (100 * F.least(x["n"], "nq") >= percent * F.greatest(x["n"], "nq")) & ((x["id"] > F.col("q")) if once else (x["id"] != F.col("q")))
+    asked = asked.select(F.col("id").alias("q"), F.col("n").alias("nq"), F.col("component").alias("cq"), (F.col("need") - aside).alias("least"), F.transform(F.slice("mine", F.lit(1), near), lambda x: x["s"]).alias("near"))
+    short = asked.select("q", "nq", "cq", "least", F.explode("near").alias("s"))
+    fits = lambda x: (100 * F.least(x["n"], "nq") >= percent * F.greatest(x["n"], "nq")) & (x["component"] != F.col("cq")) & ((x["id"] > F.col("q")) if once else F.lit(True))
     fetched = short.join(lists.select("s", "shard", "ids"), "s").withColumn("ids", F.transform(F.filter("ids", fits), lambda x: x["id"])).where(F.size("ids") > 0)
     own = fetched.groupBy("q", "shard").agg(F.collect_list("ids").alias("lists"), F.first("least").cast("int").alias("least")).where(F.size("lists") >= F.col("least"))
-    found = saved(own.mapInArrow(_merge, "q long, r long, k long"), "candidates")
-    far = asked.select(F.col("id").alias("q"), F.col("n").alias("nq"), F.transform(F.slice("mine", F.col("near") + 1, F.size("mine")), lambda x: x["s"]).alias("far"))
-    far = far.join(found.groupBy("q").agg(F.count("*").alias("members")), "q")
-    pairs, far = deal(found, far, ["q"], F.xxhash64("r"))
+    found = saved(own.mapInArrow(_merger(bitmaps, percent), "q long, r long, k long"), "candidates")
+    far = asked.join(sets.select(F.col("id").alias("q"), "shingles"), "q").select("q", "nq", F.array_except("shingles", "near").alias("far"))
+    pairs, far = deal(found, far, found.groupBy("q").agg(F.count("*").alias("members")), "q", F.xxhash64("r"))
     pairs = pairs.join(far, ["q", "deal"]).join(sets.select(F.col("id").alias("r"), F.col("n").alias("nr"), "shingles"), "r")
     pairs = map_rows(pairs.withColumn("text", F.lit("")), _probe, "more long", ["text", "far", "shingles"], ["q", "r", "nq", "nr", "k"])
     both = F.col("k") + F.col("more")
@@ -258,28 +334,32 @@ def join_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     table gives an empty table.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    signed = saved(map_rows(rows, _signer, "ck binary, n long, some array<bigint>", ["text"], ["id"]), "signed")
+    sparse = saved(map_rows(rows, _signer, "ck binary, n long, some array<bigint>", ["text"], ["id"]), "sparse")
     filled = (F.col("n") > 0) & F.col("id").isNotNull()
+    signed = saved(sparse.select("id", "ck", "n"), "signed")
     classes = saved(signed.where(filled).groupBy("ck").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("members")), "classes")
-    ids = saved(_open_classes(signed.where(filled), classes, percent).select(F.col("rep").alias("id")), "ids")
+    ids = saved(_open_classes(sparse.where(filled), classes, percent).select(F.col("rep").alias("id")), "ids", instead_of=sparse)
     n_ids = ids.count()
     texts = rows.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "id", "left_semi")
-    sets = map_rows(texts, _setter, "shingles array<bigint>", ["text"], ["id"]).dropDuplicates(["id"])
-    sets = saved(sets.withColumn("n", F.size("shingles").cast("long")), "sets")
+    sets = saved(map_rows(texts, _setter, "shingles array<bigint>, listed long", ["text"], ["id"]), "sets")
+    sets = _prepared(sets.dropDuplicates(["id"]), percent)
 
     labels = ids.select("id", F.col("id").alias("component"))
     left = sets
     for turn in range(PIVOT_ROUNDS + 1):
-        lists, seen = _round(left, labels, 1 + n_ids // SHARD, turn, percent)
+        lists, seen = _round(left, labels, 1 + n_ids // SHARD, turn)
         if seen.isEmpty():
             break
         last = turn == PIVOT_ROUNDS
-        links = saved(search(seen if last else seen.where("pivot"), lists, sets, percent, once=last), "links")
+        asked = seen if last else seen.where("pivot")
+        if asked.isEmpty():
+            continue
+        links = saved(search(asked, lists, sets, percent, last, _bitmaps(seen, sets)), "links")
         labels = merged(labels, links)
         left = sets.join(seen.where(~F.col("pivot")).select("id"), "id", "left_semi")
-    placed = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("ck", F.coalesce("component", "rep").alias("component"), "members")
+    placed = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("ck", F.coalesce("component", "rep").alias("component"))
     full, empty = signed.where(filled).select("id", "ck", "n"), signed.where(~filled | F.col("id").isNull()).select("id", "n")
-    full, placed = deal(full, placed, ["ck"], F.xxhash64("id"))
+    full, placed = deal(full, placed, classes.select("ck", "members"), "ck", F.xxhash64("id"))
     out = full.join(placed, ["ck", "deal"]).select("id", "n", "component")
     out = out.unionByName(empty.withColumn("component", F.when(F.col("n") == 0, F.col("id"))))
     kind = docs.schema[id_col].dataType
