@@ -344,3 +344,17 @@ def test_vector_lists_find_what_a_scan_finds(spark):
     assert pairs(vectors.search(q, ivf, 10, probes=None)) == want
     assert len(pairs(vectors.search(q, ivf, 10)) & want) >= 0.9 * len(want)
     assert vectors.search(q, vectors.build(v.where("doc_id < 0")), 10).count() == 0
+
+
+def test_rows_of_megabytes_lie_in_small_row_groups(spark):
+    """A task that reads the index or the lists holds a row group at once: some blocks, not all that its file has."""
+    import pyarrow.parquet as pq
+    from textquarry.operators import blocks as bl
+    from textquarry.operators.index import fixed_windows
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
+    index = bl.build(fixed_windows(docs), bigrams=True)
+    assert index.count() >= 4
+    metas = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    groups = [m.row_group(i) for m in metas for i in range(m.num_row_groups)]
+    assert len(groups) > 1 and max(g.total_byte_size for g in groups) <= 16 << 20

@@ -51,7 +51,7 @@ def build(chunks: DataFrame, profile: Profile = ZH, bigrams: bool = False) -> Da
                 start = stop
 
     rows = chunks.select("doc_id", "chunk_index", terms_of(profile).alias("terms"))
-    return stored(rows.mapInArrow(run, _SCHEMA.format(doc=f"array<{chunks.schema['doc_id'].dataType.simpleString()}>")), "index")
+    return stored(rows.mapInArrow(run, _SCHEMA.format(doc=f"array<{chunks.schema['doc_id'].dataType.simpleString()}>")), "index", wide=True)
 
 
 def _packed(part, sizes, bigrams: bool):

@@ -90,7 +90,7 @@ def build(vectors: DataFrame, n_lists: int | None = None, sample: int = SAMPLE)
     placed = vectors.select("doc_id", "chunk_index", "embedding").mapInArrow(assign, f"doc_id {kinds['doc_id']}, chunk_index {kinds['chunk_index']}, embedding {kinds['embedding']}, list int")
     # A list is no hot key: its vectors are dealt by id inside the range.
     placed = placed.withColumn("luck", F.xxhash64("doc_id", "chunk_index")).repartitionByRange("list", "luck").sortWithinPartitions("list", "luck").drop("luck")
-    return Ivf(stored(placed.mapInArrow(pack, f"list int, doc_id array<{kinds['doc_id']}>, chunk_index array<{kinds['chunk_index']}>, vectors array<double>"), "lists"), centroids)
+    return Ivf(stored(placed.mapInArrow(pack, f"list int, doc_id array<{kinds['doc_id']}>, chunk_index array<{kinds['chunk_index']}>, vectors array<double>"), "lists", wide=True), centroids)
 
 
 def search(queries: DataFrame, index: Ivf, k: int, least: float = 0.01, probes: int | None = 0) -> DataFrame:
