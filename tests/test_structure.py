@@ -358,3 +358,59 @@ def test_rows_of_megabytes_lie_in_small_row_groups(spark):
     metas = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
     groups = [m.row_group(i) for m in metas for i in range(m.num_row_groups)]
     assert len(groups) > 1 and max(g.total_byte_size for g in groups) <= 16 << 20
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_pair_diff_shuffles_documents_only(spark):
+    """No row for a word or a pair of sentences: the pair's two documents meet in one row, copies of a pair count once, absent sides are empty."""
+    s = spark.createDataFrame([(1, 0, "a b c d"), (1, 1, "only here"), (2, 0, "a b c x"), (2, 1, "new one"), (2, 2, "!")], "doc_id long, pos int, sentence string")
+    got = evidence.document_pair_diff(s, spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 4)], "a long, b long"))
+    assert "Generate" not in _plan(got)
+    assert rows(got, "a", "b", "n_added", "n_removed", "n_modified", "similarity") == [(1, 2, 2, 2, 1, 0.0), (2, 3, 0, 2, 0, 0.0)]
+
+
+def test_pages_are_cut_without_a_python_call_a_document(spark):
+    p = spark.createDataFrame([(1, 2, "b" * 80), (1, 1, "a" * 150), (2, 1, None)], "doc_id long, page int, text string")
+    got = units.chunk_pages(p, 100, 20)
+    assert "FlatMapGroups" not in _plan(got)
+    assert {(r["doc_id"], r["page"]) for r in got.collect()} >= {(1, 1)}
+
+
+def test_joints_are_compared_by_their_ends(spark):
+    from textquarry.operators import records
+
+    c = spark.createDataFrame([(1, 0, "x" * 500 + "0123456789"), (1, 1, "0123456789" + "y" * 500), (1, 2, None)], "doc_id long, chunk_index int, chunk string")
+    got = records.rebuild_text(c)
+    assert "lag(tail" in _plan(got)
+    assert got.first()["text"] == "x" * 500 + "0123456789\n" + "y" * 500
+
+
+def test_texts_are_cut_some_at_a_time(spark):
+    """A task holds SLICE texts, not a batch of ten thousand, and none is lost at a slice's end."""
+    n = 2 * units.SLICE + 3
+    got = units._per_text(spark.range(n).selectExpr("id AS doc_id", "concat('t', id) AS text").coalesce(1), lambda t: [t, "+"], "piece")
+    assert "MapInArrow" in _plan(got) and "MapInPandas" not in _plan(got)
+    assert rows(got, "doc_id", "pos", "piece") == sorted((i, j, x) for i in range(n) for j, x in enumerate((f"t{i}", "+")))
+
+
+def test_sentences_are_located_some_documents_at_a_time(spark):
+    n = 2 * evidence.SLICE + 3
+    d = spark.range(n).selectExpr("id AS doc_id", "concat('ab ', id, '. cd') AS text").coalesce(1)
+    e = d.selectExpr("doc_id", "'. cd' AS sentence")
+    assert rows(evidence.locate_evidence(e, d), "doc_id", "start", "end") == [(i, 3 + len(str(i)), 7 + len(str(i))) for i in range(n)]
+
+
+def test_vectors_are_scored_in_blocks_with_ties(spark):
+    import numpy as np
+
+    from textquarry.operators import index as ix
+
+    n = 2 * ix.VECTOR_BLOCK + 5
+    m = np.random.default_rng(1).integers(-2, 3, (n, 4)).astype(float)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<float>").coalesce(1)
+    got = ix.vector_search(v.where("vec_id % 500 = 0").selectExpr("vec_id AS query_id", "embedding AS query"), v, 10)
+    want = [(q, i, m[q] @ m[i], r + 1) for q in range(0, n, 500) for r, i in enumerate([i for i in np.lexsort((np.arange(n), -(m @ m[q]))) if m[q] @ m[i] > 0.01][:40])]
+    assert rows(got, "query_id", "vec_id", "score", "rank") == sorted(want)

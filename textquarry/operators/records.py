@@ -201,9 +201,10 @@ def map_groups(chunks: DataFrame, picks: int = 8) -> DataFrame:
 def rebuild_text(chunks: DataFrame, least: int = 8, most: int = 120, joint: str = "\n") -> DataFrame:
     """A document's chunks in order, each without the longest prefix that repeats the end of the chunk before, joined by line ends."""
     w = Window.partitionBy("doc_id").orderBy("chunk_index")
-    before = F.coalesce(F.lag("chunk").over(w), F.lit(""))
-    rows = chunks.withColumn("before", before)
-    fits = F.filter(F.sequence(F.lit(most), F.lit(least), F.lit(-1)), lambda n: (F.length("before") >= n) & (F.length("chunk") >= n) & (F.substring(F.col("chunk"), F.lit(1), n) == F.right(F.col("before"), n)))
+    # Only the ``most`` characters on either side of a joint are compared, cut off once.
+    ends = chunks.select("doc_id", "chunk_index", "chunk", F.substring("chunk", 1, most).alias("head"), F.right("chunk", F.lit(most)).alias("tail"))
+    rows = ends.withColumn("before", F.coalesce(F.lag("tail").over(w), F.lit("")))
+    fits = F.filter(F.sequence(F.lit(most), F.lit(least), F.lit(-1)), lambda n: (F.length("before") >= n) & (F.length("head") >= n) & (F.substring(F.col("head"), F.lit(1), n) == F.right(F.col("before"), n)))
     cut = F.coalesce(F.get(fits, F.lit(0)), F.lit(0))
     rows = rows.withColumn("rest", F.substring(F.col("chunk"), cut + 1, F.length("chunk")))
     ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "rest")))
