@@ -22,6 +22,8 @@ BROADCAST_TERMS = 500_000
 SALTS = 16
 #: Queries whose vectors go to every task at once.
 QUERY_BLOCK = 4096
+#: Vectors that a task multiplies with these at once: 32 MB of scores.
+VECTOR_BLOCK = 1024
 
 
 def fixed_windows(docs: DataFrame, size: int = 2000, overlap: int = 200, cap: int | None = None) -> DataFrame:
@@ -97,16 +99,20 @@ def _block_search(asked: list, vectors: DataFrame, most: int, least: float) -> D
         import pyarrow as pa
 
         best = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
+        worst = np.full(len(ids), -np.inf)  # of the queries that have ``most`` rows, the last one's score
         for frame in frames:
-            if not len(frame) or not ids:
-                continue
-            vec = frame.column(0).to_numpy()
-            score = np.round(frame.column(1).flatten().to_numpy().astype(float).reshape(len(vec), width) @ matrix.T, 6)
-            for q in range(len(ids)):
-                at = np.flatnonzero(score[:, q] > least)
-                s, v = np.concatenate((best[q][0], score[at, q])), np.concatenate((best[q][1], vec[at]))
-                order = np.lexsort((v, -s))[:most]
-                best[q] = (s[order], v[order])
+            for start in range(0, len(frame) if ids else 0, VECTOR_BLOCK):
+                part = frame.slice(start, VECTOR_BLOCK)
+                vec = part.column(0).to_numpy()
+                score = np.round(part.column(1).flatten().to_numpy().astype(float).reshape(len(vec), width) @ matrix.T, 6)
+                new = (score > least) & (score >= worst)
+                for q in np.flatnonzero(new.any(axis=0)):
+                    at = np.flatnonzero(new[:, q])
+                    s, v = np.concatenate((best[q][0], score[at, q])), np.concatenate((best[q][1], vec[at]))
+                    order = np.lexsort((v, -s))[:most]
+                    best[q] = (s[order], v[order])
+                    if len(order) == most:
+                        worst[q] = s[order[-1]]
         for q, (s, v) in zip(ids, best, strict=True):
             yield pa.RecordBatch.from_arrays([pa.array([q] * len(v), pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
 
