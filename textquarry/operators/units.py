@@ -7,25 +7,32 @@ documents; it never groups documents together.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..sources.tables import stored
 
+#: Texts that a task cuts at a time, out of an Arrow batch of up to 64 MB.
+SLICE = 64
+
 
 def _per_text(docs: DataFrame, cut: Callable[[str], list[str]], name: str) -> DataFrame:
-    """(doc_id, pos, ``name``): the pieces that ``cut`` makes of each text, in order."""
+    """(doc_id, pos, ``name``): the pieces that ``cut`` makes of each text, in order; a task has SLICE texts in hand at a time."""
+
+    def run(frames):
+        import pyarrow as pa
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(d, i, piece) for d, t in zip(batch["doc_id"], batch["text"]) for i, piece in enumerate(cut(t))]
-            yield pd.DataFrame(rows, columns=["doc_id", "pos", name])
+        for frame in frames:
+            for at in range(0, len(frame), SLICE):
+                part = frame.slice(at, SLICE)
+                rows = [(d, i, piece) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for i, piece in enumerate(cut(t))]
+                ids, pos, pieces = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(pieces, pa.string())], names=["doc_id", "pos", name])
 
-    return docs.select("doc_id", fx.blank("text").alias("text")).mapInPandas(run, f"doc_id long, pos int, {name} string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), fx.blank("text").alias("text")).mapInArrow(run, f"doc_id long, pos int, {name} string")
 
 
 def _break_at(text: str, start: int, stop: int) -> tuple[int, int]:
@@ -71,15 +78,26 @@ def cut_pages(pages: list[tuple[int, str]], size: int, overlap: int) -> list[tup
 
 
 def chunk_pages(pages: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:
-    """(doc_id, chunk_index, page, chunk) of pages (doc_id, page, text); a document's pages fit one task."""
+    """(doc_id, chunk_index, page, chunk) of pages (doc_id, page, text); a document's pages fit one task.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("page")
-        cut = cut_pages(list(zip(pdf["page"], pdf["text"])), size, overlap)
-        return pd.DataFrame([(pdf["doc_id"].iloc[0], i, p, c) for i, (p, c) in enumerate(cut)], columns=["doc_id", "chunk_index", "page", "chunk"])
+    Pages are gathered to one row a document, and rows are cut one by one.
+    """
+
+    def run(frames):
+        import pyarrow as pa
 
-    rows = pages.where("doc_id IS NOT NULL").select("doc_id", F.col("page").cast("long").alias("page"), fx.blank("text").alias("text"))
-    return rows.groupBy("doc_id").applyInPandas(run, "doc_id long, chunk_index int, page long, chunk string")
+        for frame in frames:
+            for at in range(0, len(frame), SLICE):
+                part = frame.slice(at, SLICE)
+                rows = []
+                for d, held in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    rows += [(d, i, p, c) for i, (p, c) in enumerate(cut_pages([(x["page"], x["text"]) for x in held], size, overlap))]
+                ids, number, page, chunk = zip(*rows, strict=True) if rows else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(number, pa.int32()), pa.array(page, pa.int64()), pa.array(chunk, pa.string())], names=["doc_id", "chunk_index", "page", "chunk"])
+
+    rows = pages.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("long").alias("page"), fx.blank("text").alias("text"))
+    held = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("pages"))
+    return held.mapInArrow(run, "doc_id long, chunk_index int, page long, chunk string")
 
 
 _HEADING = re.compile(r"#|第[一二三四五六七八九十百0-9]+[章节部篇卷]|(?i:(?:chapter|part) +[0-9])")
