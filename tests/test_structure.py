@@ -452,3 +452,43 @@ def test_exact_scan_counts_pairs_inside_tasks(spark):
     got = evidence.exact_sentences(queries, c, 3)
     assert "Generate" not in _plan(got)
     assert rows(got, "query_id", "place", "doc_id", "chunk_index", "pos", "hit_count") == _exact_by_hand(q, chunks, 3)
+
+
+def test_components_read_the_edges_once(spark):
+    """Rounds work on what they left of the edges, not on the edges' own plan; the smallest id names a component, ends that are no nodes link nothing."""
+    import random
+
+    from textquarry.operators import graph
+
+    rnd = random.Random(4)
+    pairs = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7), (8, 999), (999, 9)]
+    up = {i: i for i in range(500)}
+    root = lambda i: i if up[i] == i else root(up[i])
+    for a, b in pairs:
+        if a in up and b in up:
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+    read = spark.sparkContext.accumulator(0)
+    edges = spark.createDataFrame(spark.sparkContext.parallelize(pairs, 3).map(lambda p: (read.add(1), p)[1]), "src long, dst long")
+    got = rows(graph.components(spark.range(500), edges), "id", "component")
+    assert got == [(i, root(i)) for i in range(500)]
+    assert read.value == len(pairs)
+
+
+def test_graph_queries_read_the_texts_once(spark):
+    from textquarry.plans import graphs
+
+    for df in graphs._graph(spark, "/root/testdata/sf0.001"):
+        assert "documents.parquet" not in " ".join(df.inputFiles())
+
+
+def test_overlaps_by_half_of_the_neighbours(spark):
+    import random
+
+    from textquarry.operators import graph
+
+    rnd = random.Random(6)
+    at = [(f"n{i}", rnd.uniform(-120, 120), rnd.uniform(-120, 120)) for i in range(90)]
+    got = graph.layout_overlap(spark.createDataFrame(at, "id string, x double, y double"))
+    want = sorted((a, b) for a, ax, ay in at for b, bx, by in at if a < b and (ax - bx) ** 2 + (ay - by) ** 2 < 2500)
+    assert rows(got, "a", "b") == want

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..functions.profiles import HAN
-from ..sources.tables import shared_dir
+from ..sources.tables import shared_dir, stored
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -169,24 +169,28 @@ def entity_resolve(raw: DataFrame, edges: DataFrame, n: int) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable, by label spreading with root hooking and pointer jumping.
+    """(id, component): the smallest id reachable over edges among ``nodes``, by contraction.
 
-    A smaller label goes to a node and to that node's own label, so whole trees are hooked; rounds
-    are about logarithmic on chains too, and go on until no label changes.
+    In every round each end goes to that of itself and its neighbours which comes first in an order by hash, new in each
+    round, and edges are those between the ends' targets, until none is left. A round leaves at most about three
+    quarters of the ends, whatever the graph, so rounds are logarithmic on chains too, and all rounds together read a
+    few times the edges.
     """
-    both = both_ways(edges).distinct()
-    labels = cut(nodes.select("id", F.col("id").alias("component")).distinct())
-    while True:
-        near = both.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("seen"))
-        step = labels.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", "seen").alias("now"))
-        own = F.struct("id", F.col("was").alias("was"), "now")
-        root = F.struct(F.col("was").alias("id"), F.lit(None).cast(labels.schema["component"].dataType).alias("was"), F.col("now").alias("now"))
-        step = step.select(F.explode(F.array(own, root)).alias("m")).groupBy("m.id").agg(F.max("m.was").alias("was"), F.min("m.now").alias("now"))
-        jump = labels.select(F.col("id").alias("now"), F.col("component").alias("jumped"))
-        step = cut(step.join(jump, "now", "left").select("id", "was", F.least("now", "jumped").alias("component")))
-        labels = step.select("id", "component")
-        if step.where("was != component").isEmpty():
-            return labels
+    a, b = F.least("src", "dst"), F.greatest("src", "dst")
+    first = edges.where("src != dst").select(a.alias("src"), b.alias("dst")).distinct()
+    left = stored(keep_edges(first, nodes), "links")
+    labels, turn = nodes.select("id", F.col("id").alias("at")).distinct(), 0
+    while not left.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("id"))  # noqa: B023, E731
+        best = both_ways(left).groupBy("src").agg(F.min(rank("dst")).alias("near"))
+        to = stored(best.select(F.col("src").alias("at"), F.least(rank("src"), "near")["id"].alias("to")), "targets")
+        moved = lambda df, c: df.join(to.select(F.col("at").alias(c), F.col("to").alias(f"{c}_to")), c)  # noqa: B023, E731
+        ends = moved(moved(left, "src"), "dst").where("src_to != dst_to")
+        left = stored(ends.select(F.least("src_to", "dst_to").alias("src"), F.greatest("src_to", "dst_to").alias("dst")).distinct(), "links")
+        labels = stored(labels.join(to, "at", "left").select("id", F.coalesce("to", "at").alias("at")), "labels")
+        turn += 1
+    smallest = labels.groupBy("at").agg(F.min("id").alias("component"))
+    return labels.join(smallest, "at", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def bfs_rings(nodes: DataFrame, edges: DataFrame, centre: DataFrame, far: int = 3) -> DataFrame:
@@ -215,13 +219,14 @@ def concept_chains(edges: DataFrame, starts: DataFrame, steps: int = 4) -> DataF
 
 
 def layout_overlap(nodes: DataFrame, radius: float = 50.0) -> DataFrame:
-    """Pairs of placed nodes (id, x, y) nearer than ``radius``, by grid cells and their neighbours."""
+    """Pairs of placed nodes (id, x, y) nearer than ``radius``, by grid cells and the half of their neighbours that is ahead."""
     cell = lambda c: F.floor(F.col(c) / radius).cast("long")
     placed = nodes.withColumn("cx", cell("x")).withColumn("cy", cell("y"))
-    around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    near = placed.withColumn("o", F.explode(around)).select((F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    both = placed.join(near, ["cx", "cy"]).where("id < b")
-    return both.where(F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2) < radius * radius).select(F.col("id").alias("a"), "b")
+    ahead = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))
+    near = placed.withColumn("o", F.explode(ahead)).select((F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), ((F.col("o.i") == 0) & (F.col("o.j") == 0)).alias("own"), F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    both = placed.join(near, ["cx", "cy"]).where("id < b OR (NOT own AND id > b)")
+    both = both.where(F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2) < radius * radius)
+    return both.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
 
 
 def category_shares(nodes: DataFrame, category: Column) -> DataFrame:

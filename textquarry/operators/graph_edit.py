@@ -116,7 +116,7 @@ def graph_quality(nodes: DataFrame, edges: DataFrame, keywords: tuple[str, ...]
     """
     shares = nodes.groupBy("category").agg(F.count("*").alias("n")).agg(F.count("*").alias("cats"), F.max("n").alias("largest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_nodes"))
     lab = edges.agg(F.coalesce(F.avg(F.trim(fx.blank("relation")).isin(*vague).cast("int")), F.lit(1.0)).alias("vague_share"), F.count("*").alias("n_edges"))
-    comp = components(nodes, keep_edges(edges, nodes)).groupBy("component").agg(F.count("*").alias("n"))
+    comp = components(nodes, edges).groupBy("component").agg(F.count("*").alias("n"))
     comp = comp.agg(F.count("*").alias("n_components"), F.coalesce(F.sum((F.col("n") == 1).cast("int")), F.lit(0)).alias("n_isolated"))
     over = layout_overlap(nodes.select("id", "x", "y")).agg(F.count("*").alias("n_overlaps"))
     hit = F.lower("label").rlike("|".join(keywords)) if keywords else F.lit(False)

@@ -8,7 +8,7 @@ from ..functions import text as fx
 from ..functions.profiles import LATIN
 from ..operators import graph as g
 from ..operators.index import fixed_windows
-from ..sources.tables import table
+from ..sources.tables import stored, table
 
 _BASE = """x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE length(coalesce(text, '')) > 0),
 chunks AS (SELECT doc_id, i AS chunk_index, substr(t, i * 1800 + 1, 2000) AS chunk FROM (
@@ -42,9 +42,10 @@ def rank_concepts(spark, sf_dir):
 
 
 def _graph(spark, sf_dir):
-    labels = _labels(spark, sf_dir)
-    nodes = g.concept_nodes(labels)
-    return labels, nodes, g.adjacency_edges(labels, nodes)
+    """Labels, nodes and edges, each stored: what follows reads them several times, and the texts once."""
+    labels = stored(_labels(spark, sf_dir), "labels")
+    nodes = stored(g.concept_nodes(labels), "nodes")
+    return labels, nodes, stored(g.adjacency_edges(labels, nodes), "edges")
 
 
 def adjacency_edges(spark, sf_dir):
