@@ -492,3 +492,45 @@ def test_overlaps_by_half_of_the_neighbours(spark):
     got = graph.layout_overlap(spark.createDataFrame(at, "id string, x double, y double"))
     want = sorted((a, b) for a, ax, ay in at for b, bx, by in at if a < b and (ax - bx) ** 2 + (ay - by) ** 2 < 2500)
     assert rows(got, "a", "b") == want
+
+
+def _toc_by_hand(text):
+    """E12 line by line: (line_no, title) of documents without Han spaces."""
+    import re
+
+    ls = text.split("\n")
+    at = next((i for i, x in enumerate(ls) if re.search(outline.TOC_TITLE, x.strip(" \t　"))), None)
+    if at is None:
+        return []
+    bad, end = 0, None
+    for i, x in enumerate(ls[at + 1 : at + 1 + outline.TOC_SCAN]):
+        own = x.strip(" \t　")
+        entry = own != "" and len(own) < 50
+        bad = 0 if entry else bad + 1
+        if own and not entry and bad >= 3:
+            end = max(i - 3, 0)
+        elif re.search(outline.TOC_CHAPTER, own):
+            end = i
+        if end is not None:
+            break
+    out, seen = [], set()
+    for i, x in enumerate(ls[at + 1 :][: outline.TOC_TAKEN if end is None else end]):
+        own = x.strip(" \t　")
+        if len(own) > 1 and own.lower() not in seen and own.lower() != "contents" and not re.search("^[iIvVxX0-9]+$", own):
+            seen.add(own.lower())
+            out.append((at + 1 + i, own))
+    return out
+
+
+def test_contents_regions_stay_in_their_row(spark):
+    """No shuffle, and the contents line is looked for once; ends as by the rule line by line."""
+    import random
+
+    rnd = random.Random(8)
+    long = "word " * 12
+    line = lambda: rnd.choice(["", "  ", long, long, f"entry {rnd.randrange(30)}", f"  Entry {rnd.randrange(30)}", f"　part {rnd.randrange(9)} ", "x", "第3章 end" if rnd.random() < 0.2 else "more"])
+    docs = [(i, "\n".join([*(line() for _ in range(rnd.randrange(4))), *(["Contents"] if i % 9 else []), *(line() for _ in range(rnd.choice([3, 12, 90])))])) for i in range(150)]
+    docs += [(900 + i, "\n".join(["contents", *(rnd.choice(["", f"entry {j}"]) for j in range(100))])) for i in range(5)]
+    got = outline.toc_region(spark.createDataFrame(docs, DOCS))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and _plan(got).split("Optimized")[1].split("Physical")[0].count("split(") == 1
+    assert rows(got, "doc_id", "line_no", "title") == sorted((d, *x) for d, t in docs for x in _toc_by_hand(t))
