@@ -534,3 +534,18 @@ def test_contents_regions_stay_in_their_row(spark):
     got = outline.toc_region(spark.createDataFrame(docs, DOCS))
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and _plan(got).split("Optimized")[1].split("Physical")[0].count("split(") == 1
     assert rows(got, "doc_id", "line_no", "title") == sorted((d, *x) for d, t in docs for x in _toc_by_hand(t))
+
+
+def test_volumes_read_texts_and_headings_once(spark):
+    """Lines, titles and places are stored; a title of 80 characters has a place, though it lies between spaces, and one of 81 has none."""
+    names = ["Volume One", "Part of " + "x" * 12, "y" * 80, "z" * 81]
+    text = "\n".join(["w " * 2600, " Volume  One\t", "　" + names[1], "w" * 100, "\t" + names[2] + "　", names[3]])
+    heads = [(i, n, names[n], 1 if n else 0) for i in range(6) for n in range(4)]
+    read = {c: spark.sparkContext.accumulator(0) for c in "dh"}
+    make = lambda c, data, schema: spark.createDataFrame(spark.sparkContext.parallelize(data, 2).map(lambda x: (read[c].add(1), x)[1]), schema)
+    d = make("d", [(i, text) for i in range(6)] + [(9, None)], DOCS)
+    h = make("h", heads + [(i, 10 + n, t, 2) for i, n, t, _ in heads], "doc_id long, line_no int, title string, level int")
+    got = rows(outline.volumes(d, h), "doc_id", "volume_at", "volume", "rule", "chapter_at", "chapter")
+    at = [len("\n".join(text.split("\n")[:n])) + 1 for n in (1, 2, 4)]
+    assert got == [(i, at[0], names[0], "heading", p, c) for i in range(6) for p, c in ((at[1], names[1]), (at[2], names[2]))]
+    assert read["d"].value == 7 and read["h"].value == 2 * len(heads)
