@@ -1,11 +1,14 @@
 """Small inline cases of outlines, evidence, graph changes and units: fixed examples, nulls, empties, ties."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textquarry.functions.profiles import ZH
 from textquarry.operators import blocks, evidence, graph_edit, index, outline, ranks, records, units, vectors
+from textquarry.sources import tables
 from textquarry.streaming import jobs
 
 DOCS = "doc_id long, text string"
@@ -549,3 +552,93 @@ def test_volumes_read_texts_and_headings_once(spark):
     at = [len("\n".join(text.split("\n")[:n])) + 1 for n in (1, 2, 4)]
     assert got == [(i, at[0], names[0], "heading", p, c) for i in range(6) for p, c in ((at[1], names[1]), (at[2], names[2]))]
     assert read["d"].value == 7 and read["h"].value == 2 * len(heads)
+
+
+def _shuffled(spark):
+    """Bytes that tasks have written to shuffles so far."""
+    import time
+
+    sc = spark.sparkContext._jsc.sc()
+    time.sleep(0.5)  # figures of tasks are taken over every 100 ms
+    spark.range(1).count()
+    sc.listenerBus().waitUntilEmpty(10_000)
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def _bytes(df):
+    return sum(os.path.getsize(f.removeprefix("file://")) for f in df.inputFiles())
+
+
+def test_gram_matrix_is_summed_once_by_few_tasks(spark, monkeypatch):
+    """Sums that are shuffled do not grow with the pieces of the matrix, and all three ways of adding give the same vectors."""
+    r = np.random.default_rng(4)
+    a = r.random((400, 200)) * (r.random((400, 200)) < 0.2) * (0.98 ** np.arange(200))
+    held = [(d, 0, np.flatnonzero(x).tolist(), x[x > 0].tolist()) for d, x in enumerate(a)]
+    matrix = tables.stored(spark.createDataFrame(held, "doc_id long, chunk_index int, i array<int>, x array<double>").repartition(40), "matrix")
+    terms, was = [f"t{i:03d}" for i in range(200)], _shuffled(spark)
+    small = {"spark.sql.files.maxPartitionBytes": "8k", "spark.sql.files.openCostInBytes": "0"}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        got = dict(rows(units.svd_of(matrix, terms, 100)[0], "doc_id", "embedding"))
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    assert _shuffled(spark) - was < 1e6
+    assert np.allclose(np.linalg.norm(list(got.values()), axis=0), np.linalg.svd(a, compute_uv=False)[:100], atol=1e-2)
+    for name, value in (("PAIRED", 5), ("GRAM_TERMS", 0)):
+        monkeypatch.setattr(units, name, value)
+        again = dict(rows(units.svd_of(matrix, terms, 100)[0], "doc_id", "embedding"))
+        assert all(np.allclose(again[d], got[d], atol=1e-6) for d in got)
+
+
+def test_vocabulary_of_terms_that_no_block_has_often(spark, monkeypatch):
+    """Exact counts, ties by term, whatever the blocks give at first."""
+    from collections import Counter
+
+    docs = [(i, " ".join([*[f"d{i}a d{i}b d{i}c"] * 9, "thin", *["even"] * (i % 4 == 0)])) for i in range(40)]
+    docs += [(99, ""), (98, None)]
+    freq, df = Counter(), Counter()
+    for _, text in docs:
+        words = (text or "").split()
+        grams = [*words, *map(" ".join, zip(words, words[1:]))]
+        freq.update(grams)
+        df.update(set(grams))
+    monkeypatch.setattr(blocks, "BLOCK", 4)
+    built = blocks.build(index.fixed_windows(spark.createDataFrame(docs, DOCS)).coalesce(1), bigrams=True)
+    assert built.count() == 10 and not any(" " in t for r in built.collect() for t in r["term"])
+    for most, able in ((4, 8), (1, 8), (1, 1)):
+        monkeypatch.setattr(blocks, "GIVEN", most)
+        monkeypatch.setattr(blocks, "ABLE", able)
+        for n in (1, 7, 200, 10_000):
+            want = sorted(freq, key=lambda t: (-freq[t], t))[:n]
+            got = blocks.vocabulary(built, n).collect()
+            assert {(r["term"], r["df"]) for r in got} == {(t, df[t]) for t in want} and len(got) == len(want)
+            assert all(abs(r["idf"] - np.log(41 / (1 + r["df"])) - 1) < 1e-12 for r in got)
+    assert blocks.vocabulary(built.where("false"), 5).count() == 0
+
+
+def test_vocabulary_shuffles_a_few_terms_of_a_block(spark):
+    docs = tables.table(spark, "/root/testdata/sf0.1", "documents").where("doc_id % 4 = 0")
+    built = blocks.build(index.fixed_windows(docs).coalesce(2), bigrams=True)
+    terms, was = sum(r["n"] for r in built.select((F.size("df")).alias("n")).collect()), _shuffled(spark)
+    assert blocks.vocabulary(built, 200).count() == 200
+    assert _shuffled(spark) - was < 4 * terms
+
+
+def test_lists_of_svd_vectors_hold_counts(spark):
+    """Rows that lists, samples and shuffles hold are counts of terms; hits are those of the vectors themselves."""
+    docs = tables.table(spark, "/root/testdata/sf0.01", "documents")
+    built = blocks.build(index.fixed_windows(docs), bigrams=True)
+    counts, names, idf = blocks.term_counts(built, blocks.vocabulary(built, 1000))
+    dense, model = units.svd_of(blocks.weighed(counts, idf), names, 384)
+    dense = tables.stored(dense, "vectors")
+    embed, was = units.embedder(spark, model, idf), _shuffled(spark)
+    lists = vectors.build(counts, embed=embed)
+    assert _shuffled(spark) - was < _bytes(dense) / 2 and _bytes(lists.packs) < _bytes(dense) / 6
+    q = dense.where("doc_id % 50 = 0 AND chunk_index = 0").selectExpr("doc_id AS query_id", "embedding")
+    hits = lambda ivf, **k: sorted((r["query_id"], r["doc_id"], r["chunk_index"], r["score"], r["rank"]) for r in vectors.search(q, ivf, 10, **k).collect())
+    whole = vectors.build(dense)
+    assert np.allclose(whole.centroids, lists.centroids)
+    assert len(hits(lists)) > 100 and hits(lists) == hits(whole) and hits(lists, probes=None) == hits(whole, probes=None)
+    assert sum(len(r["doc_id"]) for r in lists.packs.collect()) == counts.count()

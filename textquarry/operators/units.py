@@ -6,6 +6,7 @@ documents; it never groups documents together.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..sources.tables import stored
+from .blocks import unit_weights
 
 #: Texts that a task cuts at a time, out of an Arrow batch of up to 64 MB.
 SLICE = 64
@@ -235,6 +237,10 @@ def salvage_json(raw: DataFrame, schema: str, field: str = "label") -> DataFrame
 
 #: Most terms of a matrix that may be decomposed, vectors beyond the wanted ones, and passes before the last.
 MAX_TERMS, OVERSAMPLE, PASSES = 20_000, 10, 5
+#: Most terms whose Gram matrix is summed whole (half of it, 144 MB); rows that make one more task worth its sum; numbers of a piece of a sum.
+GRAM_TERMS, TASK_ROWS, PIECE = 6_000, 65_536, 1 << 20
+#: Terms of a row whose pairs are added at once.
+PAIRED = 1024
 
 
 def _sparse_rows(frame):
@@ -256,10 +262,12 @@ def _sparse(weights: DataFrame, terms: list[str]) -> DataFrame:
 def svd_embed(weights: DataFrame, dim: int = 384, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(vectors (doc_id, chunk_index, embedding), model (term, component)) by truncated SVD of tf-idf weights.
 
-    Randomised subspace iteration: a pass multiplies a block of ``dim`` + OVERSAMPLE vectors by the Gram matrix
-    of the terms, each task for its own chunks by matrix products, and the tasks' sums are added in a tree.
-    Only terms x block numbers (16 MB for 5,000 terms) are on the driver or in a task; the matrix itself is a
-    table of sparse rows in the shared folder, of which only the terms of a chunk are multiplied. More than MAX_TERMS terms are an error: ``vocabulary`` bounds them. The model
+    Randomised subspace iteration: a pass multiplies a block of ``dim`` + OVERSAMPLE vectors by the Gram matrix of the
+    terms. Up to GRAM_TERMS terms this is summed once, each task adding up its own chunks, and passes are products on the driver, which holds
+    terms x terms / 2 numbers (100 MB for 5,000). With more, each pass goes over the chunks, and only terms x block numbers are
+    on the driver or in a task. There are never more sums than cores, however many chunks, and they are added
+    in pieces by one shuffle. The matrix itself is a table of sparse rows, of which only the terms of a chunk are
+    multiplied. More than MAX_TERMS terms are an error: ``vocabulary`` bounds them. The model
     is a table: write it, read it back, and pass it to ``project``. Vectors are not normalised; they have
     min(dim, terms) places, each component's largest entry being positive. Empty weights give empty tables.
     """
@@ -269,34 +277,93 @@ def svd_embed(weights: DataFrame, dim: int = 384, seed: int = 7) -> tuple[DataFr
     return svd_of(stored(_sparse(weights, terms), "matrix"), terms, dim, seed)
 
 
+def _summed(matrix: DataFrame, add, size: int):
+    """The sum over all rows of a sparse matrix: ``add(total, i, x)`` puts a row into the ``size`` numbers of its task."""
+    import numpy as np
+
+    tasks = min(matrix.sparkSession.sparkContext.defaultParallelism, 1 + matrix.count() // TASK_ROWS)
+
+    def run(frames):
+        import pyarrow as pa
+
+        total = np.zeros(size)
+        for frame in frames:
+            for i, x in _sparse_rows(frame):
+                add(total, i, x)
+        for at in range(0, size, PIECE):
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([total[at : at + PIECE].tobytes()], pa.binary())], names=["at", "part"])
+
+    parts = matrix.coalesce(tasks).mapInArrow(run, "at long, part binary").rdd.map(lambda r: (r["at"], np.frombuffer(r["part"])))
+    total = np.zeros(size)
+    for at, part in parts.reduceByKey(np.add, min(tasks, -(-size // PIECE))).toLocalIterator(prefetchPartitions=True):
+        total[at : at + len(part)] = part
+    return total
+
+
+@functools.cache
+def _pairs():
+    """All (a, b), a <= b < PAIRED, by b: the first m (m + 1) / 2 are those below m."""
+    import numpy as np
+
+    b, a = np.tril_indices(PAIRED)
+    return a, b
+
+
+def _gram(matrix: DataFrame, n: int):
+    """The product of a block by the Gram matrix of a sparse matrix, from its upper triangle, summed once."""
+    import numpy as np
+
+    starts = np.arange(n) * n - np.arange(n) * (np.arange(n) + 1) // 2  # of a row of the triangle, less its first column
+
+    def add(total, i, x):
+        i, n = i.astype(np.int64), len(i) * (len(i) + 1) // 2
+        if len(i) <= PAIRED:
+            a, b = (k[:n] for k in _pairs())
+            total[starts[i][a] + i[b]] += x[a] * x[b]
+        else:
+            for k in range(len(i)):
+                total[starts[i[k]] + i[k:]] += x[k] * x[k:]
+
+    total = _summed(matrix, add, n * (n + 1) // 2)
+
+    def times(block):
+        out = np.zeros_like(block)
+        step = max(1, PIECE // n)
+        for a in range(0, n, step):
+            b = min(n, a + step)
+            rows = np.zeros((b - a, n - a))
+            for k in range(a, b):
+                rows[k - a, k - a :] = total[starts[k] + k : starts[k] + n]
+            out[a:b] += rows @ block[a:]
+            rows[np.arange(b - a), np.arange(b - a)] = 0
+            out[a:] += rows.T @ block[a:b]
+        return out
+
+    return times
+
+
 def svd_of(matrix: DataFrame, terms: list[str], dim: int = 384, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """``svd_embed`` of a stored matrix (doc_id, chunk_index, i, x) of sparse rows over ``terms``."""
+    """``svd_embed`` of a matrix (doc_id, chunk_index, i, x) of sparse rows over ``terms``, ``i`` ascending, read from a stored table."""
     import numpy as np
 
     spark = matrix.sparkSession
     n = len(terms)
     wide = min(dim + OVERSAMPLE, n)
 
-    def gram_times(block: np.ndarray) -> np.ndarray:
+    def by_passes(block: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast(block)
 
-        def run(frames):
-            import pyarrow as pa
+        def add(total, i, x):
+            total.reshape(n, wide)[i] += x[:, None] * (x @ shared.value[i])
 
-            total = np.zeros((n, wide))
-            for frame in frames:
-                for i, x in _sparse_rows(frame):
-                    total[i] += x[:, None] * (x @ shared.value[i])
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
-
-        parts = matrix.mapInArrow(run, "part binary").rdd.map(lambda r: np.frombuffer(r["part"]))
-        total = parts.treeReduce(np.add, depth=3).reshape(n, wide)
+        total = _summed(matrix, add, n * wide).reshape(n, wide)
         shared.destroy()
         return total
 
     if not n:
         model = spark.createDataFrame([], "term string, component array<double>")
         return matrix.select("doc_id", "chunk_index", F.array().cast("array<double>").alias("embedding")).where(F.lit(False)), model
+    gram_times = _gram(matrix, n) if n <= GRAM_TERMS else by_passes
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, wide)))[0]
     for _ in range(PASSES if wide < n else 0):
         basis = np.linalg.qr(gram_times(basis))[0]
@@ -308,6 +375,18 @@ def svd_of(matrix: DataFrame, terms: list[str], dim: int = 384, seed: int = 7) -
     return _times(matrix, v), model
 
 
+def _products(i, x, v):
+    """The rows of a sparse matrix, given by their lengths ``i`` (Arrow lists) and weights one after the other, times ``v``."""
+    import numpy as np
+
+    ends = np.cumsum(i.value_lengths().to_numpy())
+    i = i.flatten().to_numpy()
+    out = np.zeros((len(ends), v.shape[1]))
+    for r, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+        out[r] = x[a:b] @ v[i[a:b]]
+    return out
+
+
 def _times(matrix: DataFrame, v) -> DataFrame:
     """(doc_id, chunk_index, embedding): rows of a sparse matrix times the broadcast components ``v``."""
     shared, wide = matrix.sparkSession.sparkContext.broadcast(v), v.shape[1]
@@ -317,7 +396,7 @@ def _times(matrix: DataFrame, v) -> DataFrame:
         import pyarrow as pa
 
         for part in frames:
-            flat = np.array([x @ shared.value[i] for i, x in _sparse_rows(part)], dtype=float).ravel()
+            flat = _products(part.column(2), part.column(3).flatten().to_numpy(), shared.value).ravel()
             ends = pa.array(np.arange(0, len(part) * wide + 1, wide), pa.int32())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["doc_id", "chunk_index", "embedding"])
 
@@ -325,17 +404,35 @@ def _times(matrix: DataFrame, v) -> DataFrame:
     return matrix.mapInArrow(run, f"doc_id {ids['doc_id']}, chunk_index {ids['chunk_index']}, embedding array<double>")
 
 
+def _components(model: DataFrame):
+    """The terms of a model, ascending, and their components as a matrix."""
+    known = model.select("term", "component").orderBy("term").limit(MAX_TERMS + 1).toArrow()
+    component = known.column("component").combine_chunks()
+    sizes = set(component.value_lengths().to_pylist())
+    if len(component) > MAX_TERMS or len(sizes) > 1:
+        raise ValueError(f"a model has at most {MAX_TERMS} terms and components of one size, not sizes {sorted(sizes)}")
+    return known.column("term").to_pylist(), component.flatten().to_numpy().reshape(len(component), -1) if len(component) else None
+
+
 def project(weights: DataFrame, model: DataFrame) -> DataFrame:
     """Embeddings of chunks by a stored model; terms that it does not know add nothing, chunks without a known one have no row.
 
     The model, at most MAX_TERMS rows of one size, is broadcast; components of different sizes are an error.
     """
+    terms, v = _components(model)
+    if not terms:
+        return weights.select("doc_id", "chunk_index", F.array().cast("array<double>").alias("embedding")).where(F.lit(False))
+    return _times(_sparse(weights, terms), v)
+
+
+def embedder(spark, model: DataFrame, idf: list[float]):
+    """For rows of ``blocks.term_counts`` over the model's terms: the function that makes their D7 vectors of their Arrow lists (i, tf) inside a task."""
     import numpy as np
 
-    known = model.orderBy("term").limit(MAX_TERMS + 1).collect()
-    sizes = {len(r["component"]) for r in known}
-    if len(known) > MAX_TERMS or len(sizes) > 1:
-        raise ValueError(f"a model has at most {MAX_TERMS} terms and components of one size, not sizes {sorted(sizes)}")
-    if not known:
-        return weights.select("doc_id", "chunk_index", F.array().cast("array<double>").alias("embedding")).where(F.lit(False))
-    return _times(_sparse(weights, [r["term"] for r in known]), np.array([r["component"] for r in known]))
+    shared = spark.sparkContext.broadcast((_components(model)[1], np.array(idf)))
+
+    def embed(i, tf):
+        v, idf = shared.value
+        return _products(i, unit_weights(i, tf, idf), v)
+
+    return embed

@@ -120,9 +120,10 @@ def hybrid_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = stored(variants(spark, sf_dir), "variants"), chunks(spark, sf_dir)
     index = bl.build(c, bigrams=True)
     terms = bl.vocabulary(index)
-    vectors, model = u.svd_of(*bl.sparse_rows(index, terms))
+    counts, names, idf = bl.term_counts(index, terms)
+    _, model = u.svd_of(bl.weighed(counts, idf), names)
     asked = u.project(bl.query_weights(q, terms).select("term", F.col("query_id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.col("a").alias("weight")), model)
-    hits = vx.search(asked.select(F.col("doc_id").alias("query_id"), "embedding"), vx.build(stored(vectors, "vectors")), 40)
+    hits = vx.search(asked.select(F.col("doc_id").alias("query_id"), "embedding"), vx.build(counts, embed=u.embedder(spark, model, idf)), 40)
     fused = ix.fuse(_candidates(spark, sf_dir, hits, c), _candidates(spark, sf_dir, bl.bm25_top(q, index, 40), c), ["doc_id", "prefix"], "weight")
     return fused.select("query_id", "doc_id", F.md5("prefix").alias("prefix_md5"), "v_rank", "b_rank", "score")
 
