@@ -631,9 +631,8 @@ def test_lists_of_svd_vectors_hold_counts(spark):
     docs = tables.table(spark, "/root/testdata/sf0.01", "documents")
     built = blocks.build(index.fixed_windows(docs), bigrams=True)
     counts, names, idf = blocks.term_counts(built, blocks.vocabulary(built, 1000))
-    dense, model = units.svd_of(blocks.weighed(counts, idf), names, 384)
-    dense = tables.stored(dense, "vectors")
-    embed, was = units.embedder(spark, model, idf), _shuffled(spark)
+    dense = tables.stored(units.svd_of(blocks.weighed(counts, idf), names, 384)[0], "vectors")
+    embed, was = units.embedder(spark, units.components(blocks.weighed(counts, idf), len(names), 384), idf), _shuffled(spark)
     lists = vectors.build(counts, embed=embed)
     assert _shuffled(spark) - was < _bytes(dense) / 2 and _bytes(lists.packs) < _bytes(dense) / 6
     q = dense.where("doc_id % 50 = 0 AND chunk_index = 0").selectExpr("doc_id AS query_id", "embedding")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..functions.profiles import ZH, Profile
-from ..sources.tables import stored
+from ..sources.tables import drop, stored
 from .index import B, BROADCAST_TERMS, EPSILON, K1, query_term_rows, terms_of, top_k
 
 #: Chunks and terms (with repeats) of a block at most; a single chunk may have more terms.
@@ -318,7 +318,9 @@ def _pass(asked: DataFrame, blocks: DataFrame, k: int, least: float, weigh: Call
                     length = starts[t + 1] - starts[t]
                     index = _gather(starts[t], length)
                     score = np.round(np.bincount(at[index], weights=w[index] * np.repeat(a[bounds[q] : bounds[q + 1]], length), minlength=len(docs)), 6)
-                    hit = np.flatnonzero(score > least)
+                    hit = np.flatnonzero((score > least) & (score >= (have[0][-1] if have is not None and len(have[0]) == k else least)))
+                    if not len(hit):
+                        continue
                     s, d, c = score[hit], docs[hit], chunk[hit]
                     if have is not None:
                         s, d, c = np.concatenate((have[0], s)), np.concatenate((have[1], d)), np.concatenate((have[2], c))
@@ -353,10 +355,13 @@ def vocabulary(blocks: DataFrame, vocab: int = 5000) -> DataFrame:
         able = known.where(F.col("freq") + hidden - F.col("rest") >= bound) if hidden else known.orderBy(F.desc("freq"), "term").limit(vocab)
         if not hidden or hidden < bound and able.count() <= ABLE * vocab:
             break
+        drop(given)
         most *= 4
     top = document_frequencies(blocks, able).orderBy(F.desc("freq"), "term").limit(vocab)
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    return stored(top.crossJoin(F.broadcast(sizes_of(blocks).select("n"))).select("term", "df", idf.alias("idf")), "vocabulary")
+    out = stored(top.crossJoin(F.broadcast(sizes_of(blocks).select("n"))).select("term", "df", idf.alias("idf")), "vocabulary")
+    drop(given)
+    return out
 
 
 def weights(blocks: DataFrame, terms: DataFrame) -> DataFrame:

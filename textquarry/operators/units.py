@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -238,7 +239,7 @@ def salvage_json(raw: DataFrame, schema: str, field: str = "label") -> DataFrame
 #: Most terms of a matrix that may be decomposed, vectors beyond the wanted ones, and passes before the last.
 MAX_TERMS, OVERSAMPLE, PASSES = 20_000, 10, 5
 #: Most terms whose Gram matrix is summed whole (half of it, 144 MB); rows that make one more task worth its sum; numbers of a piece of a sum.
-GRAM_TERMS, TASK_ROWS, PIECE = 6_000, 65_536, 1 << 20
+GRAM_TERMS, TASK_ROWS, PIECE = 6_000, 65_536, 1 << 17
 #: Terms of a row whose pairs are added at once.
 PAIRED = 1024
 
@@ -264,7 +265,7 @@ def svd_embed(weights: DataFrame, dim: int = 384, seed: int = 7) -> tuple[DataFr
 
     Randomised subspace iteration: a pass multiplies a block of ``dim`` + OVERSAMPLE vectors by the Gram matrix of the
     terms. Up to GRAM_TERMS terms this is summed once, each task adding up its own chunks, and passes are products on the driver, which holds
-    terms x terms / 2 numbers (100 MB for 5,000). With more, each pass goes over the chunks, and only terms x block numbers are
+    terms x terms / 2 numbers in a mapped file (100 MB for 5,000). With more, each pass goes over the chunks, and only terms x block numbers are
     on the driver or in a task. There are never more sums than cores, however many chunks, and they are added
     in pieces by one shuffle. The matrix itself is a table of sparse rows, of which only the terms of a chunk are
     multiplied. More than MAX_TERMS terms are an error: ``vocabulary`` bounds them. The model
@@ -278,25 +279,40 @@ def svd_embed(weights: DataFrame, dim: int = 384, seed: int = 7) -> tuple[DataFr
 
 
 def _summed(matrix: DataFrame, add, size: int):
-    """The sum over all rows of a sparse matrix: ``add(total, i, x)`` puts a row into the ``size`` numbers of its task."""
+    """The sum over all rows of a sparse matrix: ``add(total, i, x)`` puts a row into the ``size`` numbers of its task. On the driver it lies in a mapped file."""
     import numpy as np
 
     tasks = min(matrix.sparkSession.sparkContext.defaultParallelism, 1 + matrix.count() // TASK_ROWS)
 
-    def run(frames):
+    def batch(at, x):
         import pyarrow as pa
 
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["at", "part"])
+
+    def run(frames):
         total = np.zeros(size)
         for frame in frames:
             for i, x in _sparse_rows(frame):
                 add(total, i, x)
         for at in range(0, size, PIECE):
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([total[at : at + PIECE].tobytes()], pa.binary())], names=["at", "part"])
+            yield batch(at, total[at : at + PIECE])
 
-    parts = matrix.coalesce(tasks).mapInArrow(run, "at long, part binary").rdd.map(lambda r: (r["at"], np.frombuffer(r["part"])))
-    total = np.zeros(size)
-    for at, part in parts.reduceByKey(np.add, min(tasks, -(-size // PIECE))).toLocalIterator(prefetchPartitions=True):
-        total[at : at + len(part)] = part
+    def join(frames):
+        held: dict = {}
+        for frame in frames:
+            for at, part in zip(frame.column(0).to_pylist(), frame.column(1), strict=True):
+                part = np.frombuffer(part.as_buffer())
+                if at in held:
+                    held[at] += part
+                else:
+                    held[at] = part.copy()
+        for at, part in held.items():
+            yield batch(at, part)
+
+    parts = matrix.coalesce(tasks).mapInArrow(run, "at long, part binary").repartition(1 + size // (8 * PIECE), "at").mapInArrow(join, "at long, part binary")
+    total = np.memmap(tempfile.TemporaryFile(), np.float64, "w+", shape=(size,))
+    for r in parts.toLocalIterator(prefetchPartitions=True):
+        total[r["at"] : r["at"] + PIECE] = np.frombuffer(r["part"])
     return total
 
 
@@ -319,7 +335,10 @@ def _gram(matrix: DataFrame, n: int):
         i, n = i.astype(np.int64), len(i) * (len(i) + 1) // 2
         if len(i) <= PAIRED:
             a, b = (k[:n] for k in _pairs())
-            total[starts[i][a] + i[b]] += x[a] * x[b]
+            at, pair = starts[i].take(a), x.take(a)
+            at += i.take(b)
+            pair *= x.take(b)
+            np.add.at(total, at, pair)
         else:
             for k in range(len(i)):
                 total[starts[i[k]] + i[k:]] += x[k] * x[k:]
@@ -328,7 +347,7 @@ def _gram(matrix: DataFrame, n: int):
 
     def times(block):
         out = np.zeros_like(block)
-        step = max(1, PIECE // n)
+        step = max(1, 4 * PIECE // n)
         for a in range(0, n, step):
             b = min(n, a + step)
             rows = np.zeros((b - a, n - a))
@@ -345,9 +364,22 @@ def _gram(matrix: DataFrame, n: int):
 def svd_of(matrix: DataFrame, terms: list[str], dim: int = 384, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """``svd_embed`` of a matrix (doc_id, chunk_index, i, x) of sparse rows over ``terms``, ``i`` ascending, read from a stored table."""
     import numpy as np
+    import pyarrow as pa
+
+    v = components(matrix, len(terms), dim, seed)
+    if not terms:
+        model = matrix.sparkSession.createDataFrame([], "term string, component array<double>")
+        return matrix.select("doc_id", "chunk_index", F.array().cast("array<double>").alias("embedding")).where(F.lit(False)), model
+    ends = pa.array(np.arange(0, v.size + 1, v.shape[1]), pa.int32())
+    model = matrix.sparkSession.createDataFrame(pa.table({"term": pa.array(terms, pa.string()), "component": pa.ListArray.from_arrays(ends, pa.array(v.ravel()))}))
+    return _times(matrix, v), model
+
+
+def components(matrix: DataFrame, n: int, dim: int = 384, seed: int = 7):
+    """The components of D7, terms x places, of a matrix (doc_id, chunk_index, i, x) of sparse rows over ``n`` terms."""
+    import numpy as np
 
     spark = matrix.sparkSession
-    n = len(terms)
     wide = min(dim + OVERSAMPLE, n)
 
     def by_passes(block: np.ndarray) -> np.ndarray:
@@ -361,8 +393,7 @@ def svd_of(matrix: DataFrame, terms: list[str], dim: int = 384, seed: int = 7) -
         return total
 
     if not n:
-        model = spark.createDataFrame([], "term string, component array<double>")
-        return matrix.select("doc_id", "chunk_index", F.array().cast("array<double>").alias("embedding")).where(F.lit(False)), model
+        return np.zeros((0, 0))
     gram_times = _gram(matrix, n) if n <= GRAM_TERMS else by_passes
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, wide)))[0]
     for _ in range(PASSES if wide < n else 0):
@@ -371,8 +402,7 @@ def svd_of(matrix: DataFrame, terms: list[str], dim: int = 384, seed: int = 7) -
     values, turn = np.linalg.eigh((small + small.T) / 2)
     v = basis @ turn[:, np.argsort(-values, kind="stable")[: min(dim, n)]]
     v *= np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
-    model = spark.createDataFrame([(t, row.tolist()) for t, row in zip(terms, v, strict=True)], "term string, component array<double>")
-    return _times(matrix, v), model
+    return v
 
 
 def _products(i, x, v):
@@ -419,17 +449,21 @@ def project(weights: DataFrame, model: DataFrame) -> DataFrame:
 
     The model, at most MAX_TERMS rows of one size, is broadcast; components of different sizes are an error.
     """
-    terms, v = _components(model)
+    return projected(weights, *_components(model))
+
+
+def projected(weights: DataFrame, terms: list[str], v) -> DataFrame:
+    """``project`` by the ``components`` of ``terms``."""
     if not terms:
         return weights.select("doc_id", "chunk_index", F.array().cast("array<double>").alias("embedding")).where(F.lit(False))
     return _times(_sparse(weights, terms), v)
 
 
-def embedder(spark, model: DataFrame, idf: list[float]):
-    """For rows of ``blocks.term_counts`` over the model's terms: the function that makes their D7 vectors of their Arrow lists (i, tf) inside a task."""
+def embedder(spark, v, idf: list[float]):
+    """For rows of ``blocks.term_counts``: the function that makes their D7 vectors, by ``components`` of the same terms, of their Arrow lists (i, tf) inside a task."""
     import numpy as np
 
-    shared = spark.sparkContext.broadcast((_components(model)[1], np.array(idf)))
+    shared = spark.sparkContext.broadcast((v, np.array(idf)))
 
     def embed(i, tf):
         v, idf = shared.value

@@ -38,13 +38,17 @@ class Ivf:
 
 def dense(embedding) -> np.ndarray:
     """Vectors that are stored as they are: the matrix of an Arrow list array."""
-    return embedding.flatten().to_numpy().reshape(len(embedding), -1).astype(float)
+    return np.asarray(embedding.flatten().to_numpy().reshape(len(embedding), -1), dtype=float)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
+def _nearest(m: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(np.argmax(m[at : at + 4096] @ centroids.T, axis=1) for at in range(0, len(m), 4096))])
+
+
 def _sampled(rows: DataFrame, embed: Callable, sample: int) -> np.ndarray:
     """The vectors of at most ``sample`` rows, by the hash of their ids; only ids are sorted and shuffled."""
     keys = [F.xxhash64("doc_id", "chunk_index").alias("luck"), F.col("doc_id"), F.col("chunk_index")]
@@ -74,7 +78,7 @@ def fit_centroids(m: np.ndarray, n_lists: int, rounds: int = 12, seed: int = 3)
     rng = np.random.default_rng(seed)
     centroids = m[np.sort(rng.choice(len(m), min(n_lists, len(m)), replace=False))]
     for _ in range(rounds):
-        near = np.argmax(m @ centroids.T, axis=1)
+        near = _nearest(m, centroids)
         total = np.zeros_like(centroids)
         np.add.at(total, near, m)
         # An empty list takes a random vector.
@@ -97,7 +101,7 @@ def build(vectors: DataFrame, n_lists: int | None = None, sample: int = SAMPLE,
     m = _sampled(vectors, embed, sample)
     centroids = fit_centroids(m, n)
     # A list is no hot key: of a larger one, by the sample, rows are dealt over several parts.
-    held = np.bincount(np.argmax(m @ centroids.T, axis=1), minlength=len(centroids)) if len(m) else np.zeros(0)
+    held = np.bincount(_nearest(m, centroids), minlength=len(centroids))
     parts = np.ceil(held * (total / max(1, len(m))) / DEALT).clip(1).astype(np.int64)
     shared = vectors.sparkSession.sparkContext.broadcast((centroids, parts))
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
@@ -109,7 +113,7 @@ def build(vectors: DataFrame, n_lists: int | None = None, sample: int = SAMPLE,
         centroids, parts = shared.value
         for frame in frames:
             if len(frame):
-                near = np.argmax(embed(*frame.columns[3:]) @ centroids.T, axis=1)
+                near = _nearest(embed(*frame.columns[3:]), centroids)
                 part = frame.column(0).to_numpy() % parts[near]
                 yield pa.RecordBatch.from_arrays([*frame.columns[1:], pa.array(near, pa.int32()), pa.array(part, pa.int32())], names=[*names, "list", "part"])
 

@@ -12,7 +12,7 @@ from ..operators import index as ix
 from ..operators import units as u
 from ..operators import vectors as vx
 from ..operators.evidence import query_variants
-from ..sources.tables import stored, table
+from ..sources.tables import drop, stored, table
 
 _ENDERS = "([" + LATIN.enders + "])"
 _STOP = ", ".join(f"'{w}'" for w in LATIN.stopwords)
@@ -121,9 +121,11 @@ def hybrid_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = bl.build(c, bigrams=True)
     terms = bl.vocabulary(index)
     counts, names, idf = bl.term_counts(index, terms)
-    _, model = u.svd_of(bl.weighed(counts, idf), names)
-    asked = u.project(bl.query_weights(q, terms).select("term", F.col("query_id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.col("a").alias("weight")), model)
-    hits = vx.search(asked.select(F.col("doc_id").alias("query_id"), "embedding"), vx.build(counts, embed=u.embedder(spark, model, idf)), 40)
+    v = u.components(bl.weighed(counts, idf), len(names))
+    asked = u.projected(bl.query_weights(q, terms).select("term", F.col("query_id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.col("a").alias("weight")), names, v)
+    lists = vx.build(counts, embed=u.embedder(spark, v, idf))
+    drop(counts)
+    hits = vx.search(asked.select(F.col("doc_id").alias("query_id"), "embedding"), lists, 40)
     fused = ix.fuse(_candidates(spark, sf_dir, hits, c), _candidates(spark, sf_dir, bl.bm25_top(q, index, 40), c), ["doc_id", "prefix"], "weight")
     return fused.select("query_id", "doc_id", F.md5("prefix").alias("prefix_md5"), "v_rank", "b_rank", "score")
 
